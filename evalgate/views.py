@@ -66,6 +66,28 @@ SELECT d.doc_id, d.lang AS fold, least(CAST(d.n_chars AS DOUBLE)/4000, 1.0) AS p
 FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id"""
 
 
+_LOO_SQL = """
+SELECT label, heldout_segment, seed, CASE WHEN label%10=0 AND heldout_segment='7' THEN 1 ELSE 0 END AS returncode,
+  CASE WHEN label%10=0 AND heldout_segment='7' AND seed='A' THEN 'boom' END AS error,
+  CASE WHEN label%11=0 AND heldout_segment='5' THEN NULL ELSE f1 END AS val_f1, f05 AS val_f05,
+  CASE WHEN label%9=0 AND heldout_segment='2' THEN NULL ELSE ap END AS average_precision, p AS precision, r AS recall,
+  CAST((label*7+fold)%101 AS DOUBLE)/100 AS best_threshold, rate AS val_positive_rate, pred AS pred_positive_rate,
+  CASE WHEN fold%2=1 THEN ap/greatest(rate, 1e-12) END AS ap_prevalence_lift,
+  CASE WHEN r < 0.3 THEN 'weak' WHEN r < 0.35 THEN NULL ELSE 'ok' END AS fixed_threshold_status,
+  CASE WHEN p = 0 THEN 'fixed_zero_precision' WHEN r < 0.3 THEN 'weak_relative_to_selected_f1' END AS fixed_threshold_failure_reason,
+  concat('runs/', label, '/', heldout_segment, '/', seed) AS artifact_dir
+FROM (SELECT *, 2.0*p*r/greatest(p+r, 1e-9) AS f1, 1.25*p*r/greatest(0.25*p+r, 1e-9) AS f05 FROM (
+ SELECT label, fold, CAST(fold AS VARCHAR) AS heldout_segment, seed, tp/greatest(tp+fp, 1.0) AS p, tp/greatest(tp+fn, 1.0) AS r,
+  (tp+fp)/n AS pred, pos/n AS rate, CASE WHEN pos > 0 THEN aps/pos ELSE 0.0 END AS ap FROM (
+  SELECT run_id AS label, fold, seed, count(*) AS n, sum(y) AS pos, CAST(sum(y) FILTER (WHERE prob >= 0.45) AS DOUBLE) AS tp,
+   CAST(count(*) FILTER (WHERE prob >= 0.45 AND y = 0) AS DOUBLE) AS fp, CAST(count(*) FILTER (WHERE prob < 0.45 AND y = 1) AS DOUBLE) AS fn,
+   sum(CASE WHEN y = 1 THEN CAST(hits AS DOUBLE)/k ELSE 0 END) AS aps FROM (
+   SELECT *, sum(y) OVER (PARTITION BY run_id, fold, seed ORDER BY k) AS hits FROM (
+    SELECT run_id, fold, seed, prob, CAST(label > 0.5 AS INT) AS y,
+     row_number() OVER (PARTITION BY run_id, fold, seed ORDER BY prob DESC, l_orderkey, l_partkey) AS k FROM V_SCORES))
+  GROUP BY run_id, fold, seed)))"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -106,6 +128,31 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def loo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LOO rows: one evaluated row per (label, heldout segment, seed) of the scores."""
+    from evalgate.operators.metrics import average_precision, confusion
+
+    s, keys = scores(spark, sf_dir), ["run_id", "fold", "seed"]
+    rows = confusion(s, 0.45, keys).join(average_precision(s, keys, ["l_orderkey", "l_partkey"]), keys)
+    rows = rows.selectExpr(
+        "run_id AS label", "fold", "CAST(fold AS STRING) AS heldout_segment", "seed", "f1", "f05", "precision AS p",
+        "recall AS r", "pred_positive_rate AS pred", "positives/n AS rate", "average_precision AS ap",
+    )
+    fail = "label%10=0 AND heldout_segment='7'"
+    return rows.selectExpr(
+        "label", "heldout_segment", "seed", f"CASE WHEN {fail} THEN 1 ELSE 0 END AS returncode",
+        f"CASE WHEN {fail} AND seed='A' THEN 'boom' END AS error",
+        "CASE WHEN label%11=0 AND heldout_segment='5' THEN NULL ELSE f1 END AS val_f1", "f05 AS val_f05",
+        "CASE WHEN label%9=0 AND heldout_segment='2' THEN NULL ELSE ap END AS average_precision",
+        "p AS precision", "r AS recall", "CAST((label*7+fold)%101 AS DOUBLE)/100 AS best_threshold",
+        "rate AS val_positive_rate", "pred AS pred_positive_rate",
+        "CASE WHEN fold%2=1 THEN ap/greatest(rate, 1e-12D) END AS ap_prevalence_lift",
+        "CASE WHEN r < 0.3D THEN 'weak' WHEN r < 0.35D THEN NULL ELSE 'ok' END AS fixed_threshold_status",
+        "CASE WHEN p = 0 THEN 'fixed_zero_precision' WHEN r < 0.3D THEN 'weak_relative_to_selected_f1' END AS fixed_threshold_failure_reason",
+        "concat('runs/', label, '/', heldout_segment, '/', seed) AS artifact_dir",
+    )
+
+
 SQL_VIEWS = {
     "V_SCORES": _SCORES.format(lineitem="lineitem"),
     "V_RUNS": _RUNS.format(orders="orders"),
@@ -114,8 +161,9 @@ SQL_VIEWS = {
     "V_BIGMAP": _BIGMAP.format(px="V_PX", embeddings="embeddings"),
     "V_LOG": _LOG.format(string="VARCHAR", events="events"),
     "V_DOCS": _DOCS.format(documents="documents", labels="labels"),
+    "V_LOO": _LOO_SQL,
 }
-_NEEDS = {"V_MAP": ["V_PX"], "V_BIGMAP": ["V_PX"]}
+_NEEDS = {"V_MAP": ["V_PX"], "V_BIGMAP": ["V_PX"], "V_LOO": ["V_SCORES"]}
 
 
 def with_views(sql: str) -> str:
