@@ -22,11 +22,13 @@ HEADLINE = [
 
 def main() -> None:
     from evalgate.plans.catalog import QUERIES
+    from evalgate.plans.registry import ROUNDING
     from evalgate.session import local_session
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
+    ROUNDING["on"] = False
     spark = local_session(cpus)
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()

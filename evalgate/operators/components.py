@@ -8,6 +8,8 @@ min-label rounds with pointer jumping over checkpointed tables.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,21 +21,23 @@ from evalgate.session import checkpointed
 ROW = 2**31
 
 
-def _label_tile(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Smallest pixel id of each pixel's component inside one tile."""
-    y0, x0 = y.min(), x.min()
-    h, w = int(y.max() - y0) + 3, int(x.max() - x0) + 3
-    at = np.full((h, w), -1, dtype=np.int64)
-    order = np.lexsort((x, y))
-    ys, xs = y[order] - y0 + 1, x[order] - x0 + 1
-    at[ys, xs] = np.arange(len(ys))
+def _label_tiles(tile_no: np.ndarray, y: np.ndarray, x: np.ndarray, tile: int) -> np.ndarray:
+    """Smallest pixel id of each pixel's component, for several whole tiles at once.
+
+    Pixels get a code on a padded local grid, so codes of different tiles never touch.
+    """
+    side = tile + 2
+    code = tile_no * (side * side) + (y % tile + 1) * side + (x % tile + 1)
+    order = np.argsort(code, kind="stable")
+    sorted_code = code[order]
     pairs = []
-    for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
-        other = at[ys + dy, xs + dx]
-        hit = other >= 0
-        pairs.append(np.stack([np.flatnonzero(hit), other[hit]], axis=1))
+    for step in (1, side - 1, side, side + 1):
+        at = np.searchsorted(sorted_code, sorted_code + step)
+        at_ok = at < len(sorted_code)
+        hit = np.flatnonzero(at_ok)[sorted_code[at[at_ok]] == sorted_code[at_ok] + step]
+        pairs.append(np.stack([hit, at[hit]], axis=1))
     a, b = np.concatenate(pairs).T
-    label = np.arange(len(ys))
+    label = np.arange(len(sorted_code))
     while len(a):
         low = np.minimum(label[a], label[b])
         new = label.copy()
@@ -43,23 +47,47 @@ def _label_tile(y: np.ndarray, x: np.ndarray) -> np.ndarray:
         if (new == label).all():
             break
         label = new
-    ids = (y[order].astype(np.int64) * ROW + x[order])[label]
-    out = np.empty(len(ys), dtype=np.int64)
-    out[order] = ids
+    out = np.empty(len(code), dtype=np.int64)
+    out[order] = (y[order].astype(np.int64) * ROW + x[order])[label]
     return out
 
 
 def tile_labels(mask: DataFrame, by: list[str], tile: int) -> DataFrame:
-    """Positive pixels with the label of their tile-local component."""
+    """Positive pixels with the label of their tile-local component.
+
+    Tiles are kept together by the shuffle and read in order; a task holds the tiles of one
+    Arrow batch plus the unfinished last one, never a map.
+    """
     tiled = mask.select(*by, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).withColumns(
         {"_ty": F.floor(F.col("y") / tile), "_tx": F.floor(F.col("x") / tile)})
     types = dict(tiled.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*by, "y", "x", "_ty", "_tx"]) + ", label long"
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(label=_label_tile(pdf["y"].to_numpy(), pdf["x"].to_numpy()))[[*by, "y", "x", "_ty", "_tx", "label"]]
-
-    return tiled.groupBy(*by, "_ty", "_tx").applyInPandas(label, schema)
+    cols = [*by, "y", "x", "_ty", "_tx"]
+    keys = [*by, "_ty", "_tx"]
+    schema = ", ".join(f"`{c}` {types[c]}" for c in cols) + ", label long"
+
+    def numbered(pdf: pd.DataFrame) -> np.ndarray:
+        changed = np.zeros(len(pdf), dtype=bool)
+        for k in keys:
+            v = pdf[k].to_numpy()
+            changed[1:] |= v[1:] != v[:-1]
+        return np.cumsum(changed)
+
+    def labelled(pdf: pd.DataFrame, no: np.ndarray) -> pd.DataFrame:
+        return pdf.assign(label=_label_tiles(no, pdf["y"].to_numpy(), pdf["x"].to_numpy(), tile))[[*cols, "label"]]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame] = []
+        for frame in frames:
+            pdf = pd.concat([*kept, frame], ignore_index=True) if kept else frame
+            no = numbered(pdf)
+            whole = no < no[-1]
+            if whole.any():
+                yield labelled(pdf[whole], no[whole])
+            kept = [pdf[~whole]]
+        if kept:
+            yield labelled(kept[0], numbered(kept[0]))
+
+    return tiled.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
 def border_edges(labels: DataFrame, by: list[str], tile: int) -> DataFrame:

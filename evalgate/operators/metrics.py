@@ -101,10 +101,11 @@ def value_counts(scores: DataFrame, by: list[str]) -> DataFrame:
 
 
 def running_counts(values: DataFrame, by: list[str], then: list[str] | None = None) -> DataFrame:
-    """Add counts down to and including each row (``ge_n``, ``ge_pos``) and group totals
-    (``all_n``, ``all_pos``); rows are ordered by prob descending, then by ``then``."""
+    """Add counts down to and including each row (``ge_n``, ``ge_pos``), group totals (``all_n``,
+    ``all_pos``) and the next higher score (``hi_prob``); rows are ordered by prob descending,
+    then by ``then``."""
     values = values.withColumn("_cell", score_cell(F.col("prob")))
-    cells = values.groupBy(*by, "_cell").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_pos"))
+    cells = values.groupBy(*by, "_cell").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_pos"), F.min("prob").alias("_min"))
     group = W.partitionBy(*by)
     above = group.orderBy(F.col("_cell").desc()).rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select(
@@ -112,17 +113,18 @@ def running_counts(values: DataFrame, by: list[str], then: list[str] | None = No
         "_cell",
         F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_off_n"),
         F.coalesce(F.sum("_pos").over(above), F.lit(0)).alias("_off_pos"),
+        F.lag("_min").over(group.orderBy(F.col("_cell").desc())).alias("_above"),
         F.sum("_n").over(group).alias("all_n"),
         F.sum("_pos").over(group).alias("all_pos"),
     )
-    inside = (
-        W.partitionBy(*by, "_cell").orderBy(F.col("prob").desc(), *(then or [])).rowsBetween(W.unboundedPreceding, 0)
-    )
+    ordered = W.partitionBy(*by, "_cell").orderBy(F.col("prob").desc(), *(then or []))
+    inside = ordered.rowsBetween(W.unboundedPreceding, 0)
     return (
         null_safe_join(values, cells, [*by, "_cell"])
         .withColumn("ge_n", F.sum("n").over(inside) + F.col("_off_n"))
         .withColumn("ge_pos", F.sum("pos").over(inside) + F.col("_off_pos"))
-        .drop("_cell", "_off_n", "_off_pos")
+        .withColumn("hi_prob", F.coalesce(F.lag("prob").over(ordered), F.col("_above")))
+        .drop("_cell", "_off_n", "_off_pos", "_above")
     )
 
 
@@ -196,50 +198,51 @@ def ap_lift(ap: DataFrame, scores: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def quantiles(cum: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
+def quantiles(cum: DataFrame, by: list[str], probs: list[float], distinct: bool = False) -> DataFrame:
     """Exact linear-interpolation quantiles from running counts: ``(by, q_index, threshold, ge_n, ge_pos)``.
 
-    Each distinct score knows which ranks it covers, so only the rows next to a requested
-    rank survive; no group is held in one aggregation buffer. ``ge_*`` count scores at or
-    above the quantile.
+    Each distinct score knows the ranks it covers and the next higher score, so it works out
+    its own quantiles: no group is held in one aggregation buffer and nothing is shuffled.
+    ``ge_*`` count scores at or above the quantile. ``distinct`` keeps one row per value.
     """
     n, below = F.col("all_n"), F.col("all_n") - F.col("ge_n")
     steps = (n - 1).cast("double")
+    top = len(probs) - 1
     if len(probs) == QUANTILE_STEPS and probs == QUANTILES:
-        # evenly spaced: the covered quantile indexes follow by arithmetic
-        gap = (probs[-1] - probs[0]) / (len(probs) - 1)
-        first = F.floor(((below - 1) / steps - probs[0]) / gap) - 1
+        # evenly spaced: the covered quantile indexes follow by arithmetic, one spare on each side
+        gap = (probs[-1] - probs[0]) / top
+        first = F.floor((below / steps - probs[0]) / gap) - 1
         last = F.ceil(((below + F.col("n")) / steps - probs[0]) / gap) + 1
-        top = F.lit(len(probs) - 1)
-        lo = F.when(n > 1, F.least(F.greatest(first, F.lit(0)), top)).otherwise(0)
-        hi = F.when(n > 1, F.greatest(F.least(last, top), lo)).otherwise(top)
+        lo = F.when(n > 1, F.least(F.greatest(first, F.lit(0)), F.lit(top))).otherwise(0)
+        hi = F.when(n > 1, F.greatest(F.least(last, F.lit(top)), lo)).otherwise(top)
         index = F.sequence(lo.cast("int"), hi.cast("int"))
     else:
-        index = F.sequence(F.lit(0), F.lit(len(probs) - 1))
-    q = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("q_index") + 1)
-    near = cum.withColumn("_below", below).withColumn("q_index", F.explode(index)).withColumn("_t", steps * q)
-    rank = F.floor("_t")
-    is_lo = (rank >= F.col("_below")) & (rank < F.col("_below") + F.col("n"))
-    is_hi = (rank + 1 >= F.col("_below")) & (rank + 1 < F.col("_below") + F.col("n"))
-    at = F.struct("prob", "ge_n", "ge_pos")
-    pairs = (
-        near.filter(is_lo | is_hi)
-        .groupBy(*by, "q_index")
-        .agg(
-            F.max(F.when(is_lo, at)).alias("lo"),
-            F.max(F.when(is_hi, at)).alias("hi"),
-            F.max(F.col("_t") - rank).alias("frac"),
-            F.max("all_n").alias("all_n"),
-            F.max("all_pos").alias("all_pos"),
-        )
-    )
-    value = F.when(
-        F.col("hi").isNull() | (F.col("hi.prob") == F.col("lo.prob")), F.col("lo.prob")
-    ).otherwise(F.col("lo.prob") + (F.col("hi.prob") - F.col("lo.prob")) * F.col("frac"))
-    pairs = pairs.withColumn("threshold", value)
-    side = F.when(F.col("threshold") <= F.col("lo.prob"), F.col("lo")).otherwise(F.col("hi"))
-    return pairs.select(*by, "q_index", "threshold", side["ge_n"].alias("ge_n"), side["ge_pos"].alias("ge_pos"),
-                        "all_n", "all_pos")
+        index = F.sequence(F.lit(0), F.lit(top))
+    table = F.array(*[F.lit(p) for p in probs])
+    rows = cum.withColumns({"_below": below, "_steps": steps})
+
+    def at(i: Column) -> Column:
+        return F.col("_steps") * F.element_at(table, i + 1)
+
+    def covered(i: Column) -> Column:
+        return (F.floor(at(i)) >= F.col("_below")) & (F.floor(at(i)) < F.col("_below") + F.col("n"))
+
+    def value(i: Column) -> Column:
+        same = F.col("hi_prob").isNull() | (F.floor(at(i)) + 1 < F.col("_below") + F.col("n"))
+        return F.when(same, F.col("prob")).otherwise(F.col("prob") + (F.col("hi_prob") - F.col("prob")) * (at(i) - F.floor(at(i))))
+
+    hits = F.filter(index, covered)
+    if distinct:
+        found = rows.select(*by, "prob", "n", "pos", "ge_n", "ge_pos", "all_n", "all_pos",
+                            F.explode(F.array_distinct(F.transform(hits, value))).alias("threshold"))
+        extra = []
+    else:
+        pairs = F.transform(hits, lambda i: F.struct(i.alias("q_index"), value(i).alias("threshold")))
+        found = rows.select(*by, "prob", "n", "pos", "ge_n", "ge_pos", "all_n", "all_pos", F.inline(pairs))
+        extra = ["q_index"]
+    above = F.col("threshold") > F.col("prob")
+    return found.select(*by, *extra, "threshold", F.when(above, F.col("ge_n") - F.col("n")).otherwise(F.col("ge_n")).alias("ge_n"),
+                        F.when(above, F.col("ge_pos") - F.col("pos")).otherwise(F.col("ge_pos")).alias("ge_pos"), "all_n", "all_pos")
 
 
 def score_stats(scores: DataFrame, by: list[str]) -> DataFrame:
@@ -258,28 +261,31 @@ def score_stats(scores: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _fixed_counts(values: DataFrame, by: list[str], thresholds: list[float]) -> DataFrame:
-    """Counts at data-independent thresholds: bucket each score by the number of thresholds at
-    or below it, then sum the at most ``len(thresholds)+1`` buckets from the top."""
+    """Counts at data-independent thresholds.
+
+    Each score falls in the bucket of thresholds at or below it; a running sum over the at most
+    ``len(thresholds)+1`` buckets of a group gives the count at every threshold between two
+    occupied buckets.
+    """
     cuts = sorted(set(thresholds))
     bucket = sum((F.when(F.col("prob") >= t, 1).otherwise(0) for t in cuts), F.lit(0))
     buckets = values.groupBy(*by, bucket.alias("b")).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    per_group = buckets.groupBy(*by).agg(
-        F.collect_list(F.struct("b", "n", "pos")).alias("buckets"),
-        F.sum("n").alias("all_n"), F.sum("pos").alias("all_pos"),
-    )
-
-    def above(index: Column, name: str) -> Column:
-        return F.aggregate(
-            F.filter("buckets", lambda r: r["b"] > index), F.lit(0).cast("long"), lambda acc, r: acc + r[name]
-        )
-
-    items = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(t).alias("t")) for j, t in enumerate(cuts)])
-    rows = F.transform(
-        items,
-        lambda it: F.struct(it["t"].alias("threshold"), above(it["j"], "n").alias("ge_n"),
-                            above(it["j"], "pos").alias("ge_pos")),
-    )
-    return per_group.select(*by, "all_n", "all_pos", F.inline(rows))
+    group = W.partitionBy(*by)
+    down = group.orderBy(F.col("b").desc())
+    total = down.rowsBetween(W.unboundedPreceding, 0)
+    rows = buckets.select(
+        *by, "b", F.sum("n").over(total).alias("ge_n"), F.sum("pos").over(total).alias("ge_pos"), F.sum("n").over(group).alias("all_n"),
+        F.sum("pos").over(group).alias("all_pos"), F.coalesce(F.lead("b").over(down), F.lit(0)).alias("_lower"), F.lag("b").over(down).alias("_higher"))
+    last = F.lit(len(cuts) - 1)
+    inside = F.when(F.col("b") > F.col("_lower"), F.sequence(F.col("_lower"), F.greatest(F.col("b") - 1, F.col("_lower"))))
+    above = F.when(F.col("_higher").isNull() & (F.col("b") <= last), F.sequence(F.col("b"), F.greatest(last, F.col("b"))))
+    none = F.array().cast("array<int>")
+    out = rows.withColumn("j", F.explode(F.concat(F.coalesce(inside, none), F.coalesce(above, none))))
+    over = F.col("j") >= F.col("b")
+    table = F.array(*[F.lit(t) for t in cuts])
+    return out.select(*by, "all_n", "all_pos", F.element_at(table, F.col("j") + 1).alias("threshold"),
+                      F.when(over, F.lit(0).cast("long")).otherwise(F.col("ge_n")).alias("ge_n"),
+                      F.when(over, F.lit(0).cast("long")).otherwise(F.col("ge_pos")).alias("ge_pos"))
 
 
 def _sweep_rows(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -291,17 +297,19 @@ def _sweep_rows(counts: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _dedup_counts(counts: DataFrame, by: list[str]) -> DataFrame:
-    names = ["ge_n", "ge_pos", "all_n", "all_pos"]
-    return counts.groupBy(*by, "threshold").agg(*[F.max(c).alias(c) for c in names])
-
-
 def default_sweep(values: DataFrame, by: list[str], fixed: float = 0.5) -> DataFrame:
-    """Sweep over the default grid from value counts: quantile thresholds carry their own counts."""
+    """Sweep over the default grid from value counts.
+
+    Quantile thresholds carry their own counts. Each score emits the distinct thresholds from
+    itself up to the next score; when two scores are neighbouring doubles both may emit the
+    same one, so the small result is grouped once more. Fixed-grid values are left to the grid.
+    """
     cols = [*by, "threshold", "ge_n", "ge_pos", "all_n", "all_pos"]
-    at_quantiles = quantiles(running_counts(values, by), by, QUANTILES).select(*cols)
-    at_fixed = _fixed_counts(values, by, [*EVEN_THRESHOLDS, fixed]).select(*cols)
-    return _sweep_rows(_dedup_counts(at_quantiles.unionByName(at_fixed), by), by)
+    grid = [*EVEN_THRESHOLDS, fixed]
+    at_quantiles = quantiles(running_counts(values, by), by, QUANTILES, distinct=True).select(*cols)
+    at_fixed = _fixed_counts(values, by, grid).select(*cols)
+    at_quantiles = at_quantiles.filter(~F.col("threshold").isin(grid)).groupBy(*by, "threshold").agg(*[F.max(c).alias(c) for c in cols[-4:]])
+    return _sweep_rows(at_quantiles.unionByName(at_fixed), by)
 
 
 def threshold_grid(scores: DataFrame, by: list[str], fixed: float = 0.5) -> DataFrame:

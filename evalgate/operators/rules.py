@@ -28,7 +28,10 @@ def lookup(values: dict, key: Column) -> Column:
 
 def kind(v: Column) -> Column:
     """number, string, boolean, object, array or null of a variant value."""
-    s = F.schema_of_variant(v)
+    return _kind_of(F.schema_of_variant(v))
+
+
+def _kind_of(s: Column) -> Column:
     return (F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "BOOLEAN", "boolean")
             .when(s == "STRING", "string").when(s == "VOID", "null").when(s.isNotNull(), "number"))
 
@@ -40,7 +43,7 @@ def cfg(doc: Column, path: str, kind_name: str = "string", default=None) -> Colu
 
 
 def config_kv(df: DataFrame, key: str, doc: str, depth: int = 5) -> DataFrame:
-    """One row per leaf (dotted path, variant value); lists are leaves.
+    """One row per leaf (dotted path, variant value, kind); lists are leaves.
 
     The levels are chained lateral explodes in one pass: a leaf stays as it is while nested
     objects open further, so the input is read once whatever the depth.
@@ -54,12 +57,11 @@ def config_kv(df: DataFrame, key: str, doc: str, depth: int = 5) -> DataFrame:
         path = F.when(F.col("_key").isNull(), F.col("path")).when(F.col("path") == "", F.col("_key")).otherwise(
             F.concat_ws(".", "path", "_key"))
         out = out.select(key, path.alias("path"), F.when(F.col("_key").isNull(), F.col("v")).otherwise(F.col("_value")).alias("v"))
-    return out.filter("path <> ''")
+    return out.filter("path <> ''").withColumn("_schema", F.schema_of_variant("v")).withColumn("kind", _kind_of(F.col("_schema"))).drop("_schema")
 
 
-def leaf_text(v: Column) -> Column:
-    """Canonical text of a leaf: numbers as rounded doubles, lists as JSON."""
-    k = kind(v)
+def leaf_text(v: Column, k: Column) -> Column:
+    """Canonical text of a leaf of kind ``k``: numbers as rounded doubles, lists as JSON."""
     number = F.round(F.try_variant_get(v, "$", "double"), 10).cast("string")
     return F.when(k == "null", "null").when(k == "number", number).when(k.isin("array", "object"), F.to_json(v)).otherwise(
         F.try_variant_get(v, "$", "string"))
@@ -69,7 +71,7 @@ def config_signature(kv: DataFrame, key: str) -> DataFrame:
     """sha256 of the sorted leaves without volatile keys at any level; one config per group."""
     parts = F.split("path", r"\.")
     keep = kv.filter(~F.arrays_overlap(parts, F.array(*[F.lit(k) for k in VOLATILE_KEYS])))
-    typed = F.struct("path", F.concat(kind(F.col("v")), F.lit(":"), leaf_text(F.col("v"))).alias("value"))
+    typed = F.struct("path", F.concat("kind", F.lit(":"), leaf_text(F.col("v"), F.col("kind"))).alias("value"))
     text = F.to_json(F.sort_array(F.collect_list(typed)))
     return keep.groupBy(key).agg(F.sha2(text, 256).alias("config_signature"))
 
@@ -80,10 +82,11 @@ def search_signature(kv: DataFrame, key: str) -> DataFrame:
     Needs leaves opened two levels deep (``config_kv(..., depth=2)``); a config contributes
     at most one entry per searched path.
     """
-    text = leaf_text(F.col("v"))
-    deep = (F.col("path") == "model.depth") & (kind(F.col("v")) == "number") & (F.try_variant_get("v", "$", "double") > 3)
-    entry = F.struct("path", F.when(deep, "3.0").otherwise(F.coalesce(text, F.lit("null"))))
-    found = F.map_from_entries(F.collect_list(F.when(F.col("path").isin(list(SEARCH_DEFAULTS)), entry)))
+    text = leaf_text(F.col("v"), F.col("kind"))
+    deep = (F.col("path") == "model.depth") & (F.col("kind") == "number") & (F.try_variant_get("v", "$", "double") > 3)
+    searched = F.col("path").isin(list(SEARCH_DEFAULTS))
+    kv = kv.select(key, F.when(searched, F.struct("path", F.when(deep, "3.0").otherwise(F.coalesce(text, F.lit("null"))))).alias("_e"))
+    found = F.map_from_entries(F.collect_list("_e"))
     wanted = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(d).alias("d")) for p, d in SEARCH_DEFAULTS.items()])
     canonical = F.array_join(F.transform(wanted, lambda w: F.coalesce(F.element_at(found, w["p"]), w["d"])), "|")
     return kv.groupBy(key).agg(F.sha2(canonical, 256).alias("search_signature"))
@@ -176,7 +179,7 @@ def is_robust(model: Column, scope: Column, policy: Column) -> Column:
 def oversized(kv: DataFrame, key: str, limit: float = 64.0) -> DataFrame:
     """Keys whose config has a patch or window size leaf above the limit, alone or inside a list."""
     name = F.lower(F.element_at(F.split("path", r"\."), -1))
-    scalar = F.when(kind(F.col("v")) == "number", F.try_variant_get("v", "$", "double")) > limit
+    scalar = F.when(F.col("kind") == "number", F.try_variant_get("v", "$", "double")) > limit
     listed = F.exists(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array()),
                       lambda x: F.coalesce(F.when(kind(x) == "number", F.try_variant_get(x, "$", "double")) > limit, F.lit(False)))
     named = kv.filter(name.isin("patch_size", "window_size", "patch_shape", "window_shape"))

