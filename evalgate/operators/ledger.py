@@ -285,20 +285,102 @@ def failure_context(runs: DataFrame, by: list[str], n: int = 24) -> tuple[DataFr
 # ---------------------------------------------------------------- proposals
 
 
+# Planner change rules as (ordinal, model, path, factor, addend, floor, ceiling, word, guard low, guard high).
+# A rule applies to values in [guard low, guard high); "toggle" flips a boolean; the new number is
+# value * factor + addend, held between floor and ceiling.
+PLANNER_RULES = [
+    (0, "torch", "training.learning_rate", 0.6, 0.0, 0.001, 0.25, None, None, None),
+    (1, "torch", "training.learning_rate", 1.5, 0.0, 0.001, 0.006, None, None, None),
+    (2, "torch", "training.positive_rate_loss_tolerance", 0.5, 0.0, 0.001, 0.02, None, None, None),
+    (3, "torch", "training.positive_rate_loss_tolerance", 1.5, 0.0, 0.001, 0.02, None, None, None),
+    (4, "torch", "training.positive_rate_loss_tolerance", 0.0, 0.008, 0.001, 0.02, None, None, None),
+    (5, "torch", "training.positive_rate_loss_weight", 1.0, -0.02, 0.0, 0.1, None, None, None),
+    (6, "torch", "training.positive_rate_loss_weight", 1.0, 0.02, 0.0, 0.1, None, None, None),
+    (7, "torch", "training.dice_loss_weight", 1.0, -0.15, 0.0, 0.8, None, None, None),
+    (8, "torch", "training.dice_loss_weight", 1.0, 0.15, 0.0, 0.8, None, None, None),
+    (9, "torch", "training.focal_loss_weight", 0.0, 0.1, 0.0, 0.5, None, None, None),
+    (10, "torch", "training.focal_loss_weight", 0.0, 0.2, 0.0, 0.5, None, None, None),
+    (11, "torch", "training.tversky_loss_weight", 0.0, 0.15, 0.0, 0.5, None, None, None),
+    (12, "torch", "training.tversky_beta", 0.0, 0.8, 0.1, 0.9, None, None, None),
+    (13, "torch", "training.sampling_strategy", 0.0, 0.0, 0.0, 0.0, "hard_mining", None, None),
+    (14, "torch", "training.sampling_curriculum", 0.0, 0.0, 0.0, 0.0, "warmup_then_hard", None, None),
+    (15, "torch", "evaluation.threshold", 0.0, 0.35, 0.05, 0.95, None, None, None),
+    (16, "torch", "evaluation.max_pred_positive_rate_ratio", 0.0, 2.5, 1.5, 3.5, None, 3.0, None),
+    (17, "torch", "evaluation.max_pred_positive_rate_ratio", 0.0, 3.0, 1.5, 3.5, None, None, 3.0),
+    (18, "torch", "evaluation.max_pred_positive_rate_ratio", 0.0, 3.5, 1.5, 3.5, None, 3.0, None),
+    (19, "torch", "evaluation.max_pred_positive_rate_ratio", 0.0, 2.75, 1.5, 3.5, None, None, None),
+    (20, "torch", "balanced_calibration", 0.0, 0.0, 0.0, 0.0, '{"max_pred_positive_rate_ratio":2.75,"positive_rate_loss_tolerance":0.008}', None, None),
+    (21, "torch", "balanced_calibration", 0.0, 0.0, 0.0, 0.0, '{"max_pred_positive_rate_ratio":3.0,"positive_rate_loss_weight":0.1}', None, None),
+    (22, "torch", "model.base_channels", 0.5, 0.0, 4.0, 16.0, None, None, None),
+    (23, "torch", "model.base_channels", 2.0, 0.0, 4.0, 16.0, None, None, None),
+    (24, "torch", "training.epochs", 1.0, -1.0, 2.0, 20.0, None, None, None),
+    (25, "torch", "training.epochs", 1.0, 1.0, 2.0, 8.0, None, None, None),
+    (26, "torch", "training.batch_size", 0.5, 0.0, 2.0, 32.0, None, None, None),
+    (27, "torch", "training.max_train_samples", 0.0, 1024.0, 1.0, 4096.0, None, None, 1.0),
+    (28, "torch", "training.augment_flips", 0.0, 0.0, 0.0, 0.0, "toggle", None, None),
+    (29, "torch", "training.augment_rotation", 0.0, 0.0, 0.0, 0.0, "toggle", None, None),
+    (30, "torch", "evaluation.tta_flips", 0.0, 0.0, 0.0, 0.0, "toggle", None, None),
+    (31, "torch", "training.seed", 1.0, 17.0, 0.0, 1e18, None, None, None),
+    (32, "torch", "dataset.z_offsets", 0.0, 0.0, 0.0, 0.0, "[-4,0,4]", None, None),
+    (33, "torch", "dataset.z_offsets", 0.0, 0.0, 0.0, 0.0, "[-6,-3,0,3,6]", None, None),
+    (0, "numpy", "training.pos_weight", 0.5, 0.0, 0.25, 25.0, None, None, None),
+    (1, "numpy", "training.pos_weight", 1.25, 0.0, 0.25, 8.0, None, None, None),
+    (2, "numpy", "training.learning_rate", 0.6, 0.0, 0.005, 0.25, None, None, None),
+    (3, "numpy", "training.learning_rate", 1.6, 0.0, 0.001, 0.25, None, None, None),
+    (4, "numpy", "training.weight_decay", 0.5, 0.0, 0.0, 0.05, None, None, None),
+    (5, "numpy", "training.weight_decay", 3.0, 0.0, 0.0000001, 0.05, None, None, None),
+    (6, "numpy", "training.epochs", 1.0, -2.0, 2.0, 20.0, None, None, None),
+    (7, "numpy", "training.epochs", 1.0, 3.0, 2.0, 20.0, None, None, None),
+    (8, "numpy", "model.depth", 0.0, 2.0, 1.0, 3.0, None, None, 2.0),
+    (9, "numpy", "model.depth", 0.0, 1.0, 1.0, 3.0, None, 2.0, None),
+    (10, "numpy", "model.depth", 0.0, 3.0, 1.0, 3.0, None, None, 3.0),
+    (11, "numpy", "training.seed", 1.0, 17.0, 0.0, 1e18, None, None, None),
+    (12, "numpy", "model.name", 0.0, 0.0, 0.0, 0.0, "tiny_numpy_mlp", None, None),
+    (13, "mlp", "model.hidden_units", 0.5, 0.0, 8.0, 96.0, None, None, None),
+    (14, "mlp", "model.hidden_units", 2.0, 0.0, 8.0, 96.0, None, None, None),
+    (15, "mlp", "training.max_train_pixels", 2.0, 0.0, 100000.0, 1200000.0, None, None, None),
+    (16, "mlp", "training.max_train_pixels", 0.5, 0.0, 100000.0, 1200000.0, None, None, None),
+    (17, "mlp", "training.sample_positive_fraction", 0.0, 0.25, 0.05, 0.95, None, None, None),
+]
+
+
+def planner_rules(spark) -> DataFrame:
+    return spark.createDataFrame(
+        PLANNER_RULES, "ordinal int, model string, path string, factor double, addend double, floor double, ceiling double, word string, guard_low double, guard_high double")
+
+
+def _number() -> Column:
+    """Numeric value of a leaf; an automatic weight counts as its default of 2."""
+    return F.coalesce(F.col("value").try_cast("double"), F.when(F.lower("value") == "auto", 2.0))
+
+
+def _proposed() -> Column:
+    number = _number()
+    step = F.when(F.col("factor") == 0, F.col("addend")).otherwise(number * F.col("factor") + F.col("addend"))
+    moved = F.when(step.isNotNull(), F.round(F.least(F.greatest(step, F.col("floor")), F.col("ceiling")), 7))
+    flipped = F.when(F.lower("value") == "true", "false").otherwise("true")
+    return F.when(F.col("word") == "toggle", flipped).otherwise(F.coalesce(F.col("word"), moved.cast("string")))
+
+
+def _changed() -> Column:
+    new, old = F.col("proposed"), F.col("value")
+    return new.isNotNull() & ~F.coalesce(new.try_cast("double") == old.try_cast("double"), new == old)
+
+
 def expand_candidates(bases: DataFrame, rules: DataFrame, by: list[str], tested: DataFrame, pending: DataFrame | None = None) -> DataFrame:
     """One change per candidate.
 
-    ``bases`` are flattened configs (base_id, path, value as text) and ``rules`` the small rule
-    table (ordinal, path, factor, addend, floor, ceiling, word, reason). Rules meet bases by an
-    equi-join on the path; no-ops and (base signature, path, value) combinations already tested
-    or pending are removed by anti joins.
+    ``bases`` are flattened configs (base_id, model_name, path, value as text) and ``rules`` the
+    planner table, whose size is fixed. Rules meet bases by an equi-join on the path; no-ops and
+    (path, value) changes already tested or pending in the group are removed by an anti join.
     """
     joined = bases.join(F.broadcast(rules), "path")
-    number = F.col("value").try_cast("double")
-    moved = F.round(F.least(F.greatest(number * F.col("factor") + F.col("addend"), F.col("floor")), F.col("ceiling")), 6)
-    proposed = F.coalesce(F.col("word"), F.when(number.isNotNull(), moved.cast("string")))
-    same = F.coalesce(proposed.try_cast("double") == number, proposed == F.col("value"))
-    out = joined.withColumn("proposed", proposed).filter(proposed.isNotNull() & ~same)
+    number = _number()
+    name = F.col("model_name")
+    fits = (F.when(F.col("model") == "torch", name.contains("torch")).when(F.col("model") == "mlp", name == "tiny_numpy_mlp")
+            .otherwise(~name.contains("torch")))
+    guarded = F.coalesce(number >= F.col("guard_low"), F.col("guard_low").isNull()) & F.coalesce(number < F.col("guard_high"), F.col("guard_high").isNull())
+    out = joined.filter(fits & guarded).withColumn("proposed", _proposed()).filter(_changed())
     seen = tested if pending is None else tested.unionByName(pending)
     return out.join(seen.select(*by, "path", "proposed"), [*by, "path", "proposed"], "left_anti")
 
@@ -764,8 +846,5 @@ def action_rules(spark) -> DataFrame:
 def action_moves(bases: DataFrame, rules: DataFrame, by: list[str], k: int = 2) -> DataFrame:
     """First k real changes per (group, action); bases carry model_name, path, value and the wanted action."""
     j = bases.join(F.broadcast(rules), ["action", "path"]).filter(~F.col("torch_only") | F.col("model_name").contains("torch"))
-    number = F.col("value").try_cast("double")
-    moved = F.round(F.least(F.greatest(number * F.col("factor") + F.col("addend"), F.col("floor")), F.col("ceiling")), 6)
-    j = j.withColumn("proposed", F.coalesce(F.col("word"), moved.cast("string")))
-    changed = j.filter(F.col("proposed").isNotNull() & ~F.coalesce(F.col("proposed").try_cast("double") == number, F.col("proposed") == F.col("value")))
+    changed = j.withColumn("proposed", _proposed()).filter(_changed())
     return top_rows(changed, [*by, "action"], [F.col("ordinal")], k, "move_rank")

@@ -191,31 +191,37 @@ def i9_family(spark, sf):
     return rounded(L.failure_context(gated(spark, sf), SCOPE)[1])
 
 
-_BASE_CTE = """
-bs AS (SELECT run_id AS base_id, research_scope, train_segment, unnest(['training.learning_rate', 'training.epochs', 'evaluation.threshold', 'training.sampling_strategy', 'training.pos_weight']) AS path,
-  unnest([CAST(val_f1 AS VARCHAR), CAST(run_id%9 AS VARCHAR), '0.35', CASE WHEN run_id%2=0 THEN 'hard_mining' ELSE 'random' END, CASE WHEN run_id%3=0 THEN 'auto' ELSE '2.0' END]) AS value FROM V_RUNS),
-ru AS (SELECT * FROM (VALUES (0, 'training.learning_rate', 0.6, 0.0, 0.001, 0.25, NULL), (1, 'training.learning_rate', 1.5, 0.0, 0.001, 0.25, NULL), (2, 'training.epochs', 1.0, 1.0, 2.0, 8.0, NULL),
-  (3, 'evaluation.threshold', 0.0, 0.35, 0.05, 0.95, NULL), (4, 'training.sampling_strategy', 0.0, 0.0, 0.0, 0.0, 'hard_mining'), (5, 'training.pos_weight', 0.5, 0.0, 0.25, 25.0, NULL)) r(ordinal, path, factor, addend, floor, ceiling, word)),
-ca0 AS (SELECT bs.*, ordinal, coalesce(word, CASE WHEN try_cast(value AS DOUBLE) IS NOT NULL THEN CAST(round(least(greatest(try_cast(value AS DOUBLE)*factor+addend, floor), ceiling), 6) AS VARCHAR) END) AS proposed FROM bs JOIN ru USING (path)),
+def _sql_value(v):
+    return "NULL" if v is None else repr(v) if isinstance(v, str) else f"{v:.8f}::DOUBLE" if isinstance(v, float) else str(v)
+
+
+_PLAN_SQL = "(VALUES " + ", ".join("(" + ", ".join(_sql_value(v) for v in rule) + ")" for rule in L.PLANNER_RULES) + \
+    ") r(ordinal, model, path, factor, addend, floor, ceiling, word, guard_low, guard_high)"
+_BASE_PATHS = {"training.learning_rate": "CAST(val_f1 AS {s})", "training.epochs": "CAST(run_id%9 AS {s})", "evaluation.threshold": "'0.35'",
+               "training.sampling_strategy": "CASE WHEN run_id%2=0 THEN 'hard_mining' ELSE 'random' END", "training.pos_weight": "CASE WHEN run_id%3=0 THEN 'auto' ELSE '2.0' END",
+               "evaluation.max_pred_positive_rate_ratio": "CASE WHEN run_id%4=0 THEN '2.5' ELSE '3.0' END", "training.augment_flips": "CASE WHEN run_id%5=0 THEN 'true' ELSE 'false' END"}
+_BASE_CTE = f"""
+bs AS (SELECT run_id AS base_id, research_scope, model_name, unnest([{', '.join(repr(k) for k in _BASE_PATHS)}]) AS path, unnest([{', '.join(v.replace('{s}', 'VARCHAR') for v in _BASE_PATHS.values())}]) AS value FROM V_RUNS),
+ca0 AS (SELECT bs.*, ordinal, model, CASE WHEN word = 'toggle' THEN CASE WHEN value = 'true' THEN 'false' ELSE 'true' END ELSE coalesce(word, CASE WHEN factor = 0 OR coalesce(try_cast(value AS DOUBLE), CASE WHEN lower(value) = 'auto' THEN 2.0 END) IS NOT NULL THEN CAST(round(least(greatest(coalesce(coalesce(try_cast(value AS DOUBLE), CASE WHEN lower(value) = 'auto' THEN 2.0 END), 0)*factor+addend, floor), ceiling), 7) AS VARCHAR) END) END AS proposed
+  FROM bs JOIN {_PLAN_SQL} USING (path) WHERE CASE model WHEN 'torch' THEN model_name LIKE '%torch%' WHEN 'mlp' THEN model_name = 'tiny_numpy_mlp' ELSE model_name NOT LIKE '%torch%' END
+  AND coalesce(coalesce(try_cast(value AS DOUBLE), CASE WHEN lower(value) = 'auto' THEN 2.0 END) >= guard_low, guard_low IS NULL) AND coalesce(coalesce(try_cast(value AS DOUBLE), CASE WHEN lower(value) = 'auto' THEN 2.0 END) < guard_high, guard_high IS NULL)),
 ca AS (SELECT * FROM ca0 WHERE proposed IS NOT NULL AND NOT coalesce(try_cast(proposed AS DOUBLE) = try_cast(value AS DOUBLE), proposed = value)
   AND NOT EXISTS (SELECT 1 FROM V_RUNS t WHERE t.research_scope = ca0.research_scope AND ca0.path = 'training.epochs' AND ca0.proposed = CAST(CAST(t.train_segment AS DOUBLE) AS VARCHAR)))"""
-_RULES = [(0, "training.learning_rate", 0.6, 0.0, 0.001, 0.25, None), (1, "training.learning_rate", 1.5, 0.0, 0.001, 0.25, None), (2, "training.epochs", 1.0, 1.0, 2.0, 8.0, None),
-          (3, "evaluation.threshold", 0.0, 0.35, 0.05, 0.95, None), (4, "training.sampling_strategy", 0.0, 0.0, 0.0, 0.0, "hard_mining"), (5, "training.pos_weight", 0.5, 0.0, 0.25, 25.0, None)]
 
 
 def candidates(spark, sf):
     r = views.runs(spark, sf)
-    leaves = F.expr("""array(struct('training.learning_rate' AS path, CAST(val_f1 AS STRING) AS value), struct('training.epochs' AS path, CAST(run_id%9 AS STRING) AS value), struct('evaluation.threshold' AS path, '0.35' AS value),
-      struct('training.sampling_strategy' AS path, CASE WHEN run_id%2=0 THEN 'hard_mining' ELSE 'random' END AS value), struct('training.pos_weight' AS path, CASE WHEN run_id%3=0 THEN 'auto' ELSE '2.0' END AS value))""")
-    bases = r.select(F.col("run_id").alias("base_id"), "research_scope", "train_segment", F.inline(leaves))
-    rules = spark.createDataFrame(_RULES, "ordinal int, path string, factor double, addend double, floor double, ceiling double, word string")
+    leaves = F.array(*[F.struct(F.lit(k).alias("path"), F.expr(v.replace("{s}", "STRING")).alias("value")) for k, v in _BASE_PATHS.items()])
+    bases = r.select(F.col("run_id").alias("base_id"), "research_scope", "model_name", F.inline(leaves))
     tested = r.select("research_scope", F.lit("training.epochs").alias("path"), F.col("train_segment").cast("double").cast("string").alias("proposed")).distinct()
-    return L.expand_candidates(bases, rules, SCOPE, tested)
+    return L.expand_candidates(bases, L.planner_rules(spark), SCOPE, tested)
 
 
-@query("i10_candidates", f"WITH {_BASE_CTE} SELECT base_id, research_scope, path, value, ordinal, proposed FROM ca")
+@query("i10_candidates", f"WITH {_BASE_CTE} SELECT base_id, research_scope, path, value, ordinal, round(try_cast(proposed AS DOUBLE), 6) AS number, CASE WHEN try_cast(proposed AS DOUBLE) IS NULL THEN proposed END AS word FROM ca")
 def i10(spark, sf):
-    return candidates(spark, sf).select("base_id", "research_scope", "path", "value", "ordinal", "proposed")
+    number = F.col("proposed").try_cast("double")
+    word = F.when(number.isNull(), F.col("proposed"))
+    return candidates(spark, sf).select("base_id", "research_scope", "path", "value", "ordinal", F.round(number, 6).alias("number"), word.alias("word"))
 
 
 _SCORED = f"""
@@ -241,18 +247,18 @@ def scored(spark, sf):
     return L.score_candidates(candidates(spark, sf).withColumn("cost_tier", tier), SCOPE, codes, fam, changed)
 
 
-@query("i11_candidate_scores", f"WITH {LEDGER}, {GATE}, {_FAIL}, {_BASE_CTE}, {_SCORED} SELECT base_id, path, ordinal, proposed, family, round(score, 6) AS score, why AS score_reasons FROM scd")
+@query("i11_candidate_scores", f"WITH {LEDGER}, {GATE}, {_FAIL}, {_BASE_CTE}, {_SCORED} SELECT base_id, path, ordinal, family, round(score, 6) AS score, why AS score_reasons FROM scd")
 def i11(spark, sf):
     s = scored(spark, sf)
-    return s.select("base_id", "path", "ordinal", "proposed", "family", "score", F.array_join("score_reasons", ",").alias("score_reasons"))
+    return s.select("base_id", "path", "ordinal", "family", "score", F.array_join("score_reasons", ",").alias("score_reasons"))
 
 
-@query("i12_selected_proposals", f"""WITH {LEDGER}, {GATE}, {_FAIL}, {_BASE_CTE}, {_SCORED}, z AS (SELECT *, base_id*10+ordinal AS ord, CASE cost_tier WHEN 'cheap' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END AS cr, concat(path, '=', proposed) AS sig FROM scd
+@query("i12_selected_proposals", f"""WITH {LEDGER}, {GATE}, {_FAIL}, {_BASE_CTE}, {_SCORED}, z AS (SELECT *, base_id*100+ordinal AS ord, CASE cost_tier WHEN 'cheap' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END AS cr, concat(path, '=', proposed) AS sig FROM scd
   WHERE family IN ('optimizer', 'data_sampling', 'loss_calibration')),
 f AS (SELECT *, row_number() OVER (PARTITION BY research_scope, family ORDER BY score DESC, cr, ord) AS fr FROM z), s AS (SELECT *, row_number() OVER (PARTITION BY research_scope, sig ORDER BY score DESC, cr, ord) AS sr FROM f WHERE fr = 1)
 SELECT research_scope, proposal_rank, base_id, path, proposed FROM (SELECT *, row_number() OVER (PARTITION BY research_scope ORDER BY score DESC, cr, ord) AS proposal_rank FROM s WHERE sr = 1) WHERE proposal_rank <= 3""")
 def i12(spark, sf):
-    s = scored(spark, sf).withColumn("candidate_signature", F.concat_ws("=", "path", "proposed")).withColumn("ordinal", F.col("base_id") * 10 + F.col("ordinal"))
+    s = scored(spark, sf).withColumn("candidate_signature", F.concat_ws("=", "path", "proposed")).withColumn("ordinal", F.col("base_id") * 100 + F.col("ordinal"))
     return L.select_proposals(s, SCOPE, 3, ["optimizer", "data_sampling", "loss_calibration"]).select("research_scope", "proposal_rank", "base_id", "path", "proposed")
 
 
@@ -537,7 +543,7 @@ _ACTIONS = ["calibrate_probability_scale", "calibrate_positive_rate", "hard_fold
 
 
 @query("i36_action_moves", f"""WITH bs AS (SELECT run_id, model_name, ({_ACTIONS!r})[1+run_id%6] AS action, unnest([{', '.join(repr(k) for k in _LEAVES)}]) AS path, unnest([{', '.join(v.replace('{s}', 'VARCHAR') for v in _LEAVES.values())}]) AS value FROM V_RUNS),
-m AS (SELECT bs.*, ordinal, coalesce(word, CAST(round(least(greatest(try_cast(value AS DOUBLE)*factor+addend, floor), ceiling), 6) AS VARCHAR)) AS proposed FROM bs JOIN {_RULE_SQL} USING (action, path) WHERE NOT torch_only OR model_name LIKE '%torch%'),
+m AS (SELECT bs.*, ordinal, coalesce(word, CASE WHEN factor = 0 OR try_cast(value AS DOUBLE) IS NOT NULL THEN CAST(round(least(greatest(coalesce(try_cast(value AS DOUBLE), 0)*factor+addend, floor), ceiling), 7) AS VARCHAR) END) AS proposed FROM bs JOIN {_RULE_SQL} USING (action, path) WHERE NOT torch_only OR model_name LIKE '%torch%'),
 k AS (SELECT *, row_number() OVER (PARTITION BY run_id, action ORDER BY ordinal) AS move_rank FROM m WHERE proposed IS NOT NULL AND NOT coalesce(try_cast(proposed AS DOUBLE) = try_cast(value AS DOUBLE), proposed = value))
 SELECT run_id, action, move_rank, path, coalesce(CAST(round(try_cast(proposed AS DOUBLE), 6) AS VARCHAR), proposed) AS proposed FROM k WHERE move_rank <= 2""")
 def i36(spark, sf):

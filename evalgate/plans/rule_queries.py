@@ -9,6 +9,7 @@ from evalgate.functions.columns import same_tail, safe_double, safe_ratio
 from evalgate.functions.tables import MUTATION_FAMILIES, PARAM_BOUNDS, REQUIRED_METRICS
 from evalgate.operators import rules as B
 from evalgate.plans.registry import query, rounded
+from evalgate.session import checkpointed
 
 _CONFIG = """concat('{"model":{"name":"', model_name, '","depth":', run_id%5, '},"dataset":{"research_scope":"', research_scope, '","patch_size":', 32+32*(run_id%3),
  CASE WHEN run_id%7=0 THEN ',"train_npz":"a.npz"' ELSE '' END, CASE WHEN run_id%14=0 THEN ',"val_npz":"b.npz"' ELSE '' END,
@@ -223,6 +224,7 @@ def b15(spark, sf):
 
 
 def _classes(df, sig):
+    df = checkpointed(df)
     first = df.groupBy(sig).agg(F.min("run_id").alias("class_run"))
     return df.join(first, sig).select("run_id", "class_run")
 
