@@ -35,31 +35,31 @@ def map_stats(scores: DataFrame, threshold: float, by: list[str]) -> DataFrame:
     """
     scores, by = grouped(scores, by)
     finite = ~(F.col("prob").isNull() | F.isnan("prob") | (F.abs("prob") == float("inf")))
-    px = scores.select(*by, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), clean_prob().alias("p"),
-                       finite.cast("int").alias("finite"))
-    px = px.withColumn("m", F.when(F.col("p") >= threshold, 1).otherwise(0))
+    px = scores.select(*by, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), clean_prob().alias("_p"),
+                       finite.cast("int").alias("_finite"))
+    px = px.withColumn("_m", F.when(F.col("_p") >= threshold, 1).otherwise(0))
     down = W.partitionBy(*by, "x").orderBy("y")
     across = W.partitionBy(*by, "y").orderBy("x")
 
     def after(col: str, w, axis: str) -> Column:
         return F.when(F.lead(axis).over(w) == F.col(axis) + 1, F.lead(col).over(w))
 
-    px = px.withColumns({"pv": after("p", down, "y"), "mv": after("m", down, "y"), "_col3": F.sum("m").over(down.rangeBetween(-1, 1))})
-    px = px.withColumns({"ph": after("p", across, "x"), "mh": after("m", across, "x"),
-                         "nb": F.sum("_col3").over(across.rangeBetween(-1, 1)) - F.col("m")})
+    px = px.withColumns({"_pv": after("_p", down, "y"), "_mv": after("_m", down, "y"), "_col3": F.sum("_m").over(down.rangeBetween(-1, 1))})
+    px = px.withColumns({"_ph": after("_p", across, "x"), "_mh": after("_m", across, "x"),
+                         "_nb": F.sum("_col3").over(across.rangeBetween(-1, 1)) - F.col("_m")})
     agg = px.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("finite").alias("finite_fraction"), F.sum("m").alias("positives"),
-        F.avg("p").alias("mean"), F.var_pop("p").alias("var"), F.stddev_pop("p").alias("std"),
-        F.count("pv").alias("nv"), F.count("ph").alias("nh"),
-        F.sum(F.abs(F.col("pv") - F.col("p"))).alias("dv"), F.sum(F.abs(F.col("ph") - F.col("p"))).alias("dh"),
-        F.avg(F.col("p") * F.col("pv")).alias("cv"), F.avg(F.col("p") * F.col("ph")).alias("ch"),
-        F.avg(F.when(F.col("pv").isNotNull(), F.col("p") + F.col("pv"))).alias("sv"),
-        F.avg(F.when(F.col("ph").isNotNull(), F.col("p") + F.col("ph"))).alias("sh"),
-        F.count_if(F.col("mv") != F.col("m")).alias("tv"), F.count_if(F.col("mh") != F.col("m")).alias("th"),
-        F.count_if((F.col("m") == 1) & (F.col("nb") >= 2)).alias("supported"),
-        F.count_if((F.col("m") == 1) & (F.col("nb") == 0)).alias("isolated"),
+        F.count(F.lit(1)).alias("n"), F.avg("_finite").alias("finite_fraction"), F.sum("_m").alias("positives"),
+        F.avg("_p").alias("mean"), F.var_pop("_p").alias("var"), F.stddev_pop("_p").alias("std"),
+        F.count("_pv").alias("nv"), F.count("_ph").alias("nh"),
+        F.sum(F.abs(F.col("_pv") - F.col("_p"))).alias("dv"), F.sum(F.abs(F.col("_ph") - F.col("_p"))).alias("dh"),
+        F.avg(F.col("_p") * F.col("_pv")).alias("cv"), F.avg(F.col("_p") * F.col("_ph")).alias("ch"),
+        F.avg(F.when(F.col("_pv").isNotNull(), F.col("_p") + F.col("_pv"))).alias("sv"),
+        F.avg(F.when(F.col("_ph").isNotNull(), F.col("_p") + F.col("_ph"))).alias("sh"),
+        F.count_if(F.col("_mv") != F.col("_m")).alias("tv"), F.count_if(F.col("_mh") != F.col("_m")).alias("th"),
+        F.count_if((F.col("_m") == 1) & (F.col("_nb") >= 2)).alias("supported"),
+        F.count_if((F.col("_m") == 1) & (F.col("_nb") == 0)).alias("isolated"),
     )
-    q = _quantile_columns(px, by, [0.01, 0.05, 0.95, 0.99], ["q01", "q05", "q95", "q99"], "p")
+    q = _quantile_columns(px, by, [0.01, 0.05, 0.95, 0.99], ["q01", "q05", "q95", "q99"], "_p")
     s = null_safe_join(agg, q, by)
     edges = F.col("nv") + F.col("nh")
     mean = F.col("mean")
@@ -152,23 +152,23 @@ def quality_actions(verdicts: DataFrame) -> DataFrame:
 def blockiness(scores: DataFrame, by: list[str], blocks: tuple[int, ...] = (2, 4, 8, 16)) -> DataFrame:
     """Largest boundary to internal difference ratio over block sizes and axes."""
     scores, by = grouped(scores, by)
-    px = scores.select(*by, "y", "x", clean_prob().alias("p"))
+    px = scores.select(*by, "y", "x", clean_prob().alias("_p"))
     rows = W.partitionBy(*by, "x").orderBy("y")
     cols = W.partitionBy(*by, "y").orderBy("x")
-    d = px.withColumn("dv", F.abs(F.col("p") - F.lag("p").over(rows))).withColumn("dh", F.abs(F.col("p") - F.lag("p").over(cols)))
-    lines = d.filter("dv IS NOT NULL").groupBy(*by, F.lit("row").alias("axis"), F.col("y").alias("line")).agg(F.avg("dv").alias("d")).unionByName(
-        d.filter("dh IS NOT NULL").groupBy(*by, F.lit("col").alias("axis"), F.col("x").alias("line")).agg(F.avg("dh").alias("d")))
-    shape = px.groupBy(*by).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    dyn = _quantile_columns(px, by, [0.01, 0.99], ["q01", "q99"], "p")
+    d = px.withColumn("_dv", F.abs(F.col("_p") - F.lag("_p").over(rows))).withColumn("_dh", F.abs(F.col("_p") - F.lag("_p").over(cols)))
+    lines = d.filter("_dv IS NOT NULL").groupBy(*by, F.lit("row").alias("axis"), F.col("y").alias("line")).agg(F.avg("_dv").alias("_d")).unionByName(
+        d.filter("_dh IS NOT NULL").groupBy(*by, F.lit("col").alias("axis"), F.col("x").alias("line")).agg(F.avg("_dh").alias("_d")))
+    shape = px.groupBy(*by).agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
+    dyn = _quantile_columns(px, by, [0.01, 0.99], ["q01", "q99"], "_p")
     shape = null_safe_join(shape, dyn, by)
-    per = null_safe_join(lines, shape.select(*by, "h", "w"), by).withColumn("block", F.explode(F.array(*[F.lit(b) for b in blocks])))
-    length = F.when(F.col("axis") == "row", F.col("h")).otherwise(F.col("w"))
+    per = null_safe_join(lines, shape.select(*by, "_h", "_w"), by).withColumn("block", F.explode(F.array(*[F.lit(b) for b in blocks])))
+    length = F.when(F.col("axis") == "row", F.col("_h")).otherwise(F.col("_w"))
     edge = F.col("line") % F.col("block") == 0
     ratio = per.filter(length > F.col("block") * 2).groupBy(*by, "block", "axis").agg(
-        (F.avg(F.when(edge, F.col("d"))) / F.greatest(F.avg(F.when(~edge, F.col("d"))), F.lit(1e-6))).alias("ratio"))
-    found = ratio.groupBy(*by).agg(F.max("ratio").alias("_i"), F.max_by("block", F.struct("ratio", -F.col("block"))).alias("_b"))
+        (F.avg(F.when(edge, F.col("_d"))) / F.greatest(F.avg(F.when(~edge, F.col("_d"))), F.lit(1e-6))).alias("_ratio"))
+    found = ratio.groupBy(*by).agg(F.max("_ratio").alias("_i"), F.max_by("block", F.struct("_ratio", -F.col("block"))).alias("_b"))
     out = null_safe_join(shape, found, by, "left")
-    skip = (F.col("h") < 16) | (F.col("w") < 16) | (F.col("q99") - F.col("q01") < 0.05) | F.col("_i").isNull() | (F.col("_i") <= 0)
+    skip = (F.col("_h") < 16) | (F.col("_w") < 16) | (F.col("q99") - F.col("q01") < 0.05) | F.col("_i").isNull() | (F.col("_i") <= 0)
     index = F.when(skip, 0.0).otherwise(F.col("_i"))
     return out.select(*by, index.alias("blockiness_index"), (index >= 8.0).alias("blockiness_suspect"), F.when(~skip, F.col("_b")).alias("block_size"))
 
