@@ -127,5 +127,8 @@ QUALITY_ACTIONS = {
     "invalid_values": ("check_artifact_integrity", "blocker"),
 }
 
+# Fixed value: configuration section that holds planner metadata.
+PLANNER_SECTION = "autoresearch"
+
 HELD_OUT_MODES = ["cross-segment", "cross-scroll", "leave-one-segment-out"]
 COST_RANK = {"cheap": 0, "normal": 1, "expensive": 2}

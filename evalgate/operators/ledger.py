@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evalgate.functions.columns import falsy_zero, first_reason, floored_ratio, grouped, null_safe_join, reasons
-from evalgate.functions.tables import HELD_OUT_MODES
+from evalgate.functions.tables import HELD_OUT_MODES, PLANNER_SECTION
 from evalgate.operators.rules import cost_rank, is_robust, lookup, mutation_family, scope_priority, validation_priority
 
 HARD_SEGMENTS = ["20230530172803", "20230522181603"]
@@ -93,8 +93,8 @@ LINEAGE_DOCS = ["proposal_score_components", "triage_failures", "score_reasons",
 
 def lineage(runs: DataFrame, doc: str = "doc") -> DataFrame:
     """Proposal lineage of each run from its configuration document."""
-    flat = [F.try_variant_get(doc, f"$.autoresearch.{c}", "string").alias(c) for c in LINEAGE]
-    nested = [F.to_json(F.try_variant_get(doc, f"$.autoresearch.{c}", "variant")).alias(c) for c in LINEAGE_DOCS]
+    flat = [F.try_variant_get(doc, f"$.{PLANNER_SECTION}.{c}", "string").alias(c) for c in LINEAGE]
+    nested = [F.to_json(F.try_variant_get(doc, f"$.{PLANNER_SECTION}.{c}", "variant")).alias(c) for c in LINEAGE_DOCS]
     return runs.select("run_id", "ts", *flat, *nested)
 
 

@@ -11,6 +11,7 @@ from evalgate.functions.tables import (
     MUTATION_FAMILIES,
     OPTIONAL_METRICS,
     PARAM_BOUNDS,
+    PLANNER_SECTION,
     RANGE_RULES,
     REQUIRED_METRICS,
     SEARCH_DEFAULTS,
@@ -94,8 +95,8 @@ def search_signature(kv: DataFrame, key: str) -> DataFrame:
 
 def profile_violations(doc: Column, max_epochs: int = 8, sample_cap: int = 1024, pixel_cap: int = 600000) -> dict[str, Column]:
     """Resolved run profile and the first limit it breaks."""
-    explicit = F.nullif(cfg(doc, "autoresearch.run_profile"), F.lit(""))
-    intent = cfg(doc, "autoresearch.intent", default="")
+    explicit = F.nullif(cfg(doc, f"{PLANNER_SECTION}.run_profile"), F.lit(""))
+    intent = cfg(doc, f"{PLANNER_SECTION}.intent", default="")
     exploring = ["cron_exploration", "promotion_action", "bounded_training_probe", "bounded_worst_fold_diagnostic"]
     promoting = ["promotion_validation", "seed_repeat_leave_one_out"]
     profile = F.coalesce(explicit, F.when(intent.isin(exploring), "exploration").when(intent.isin(promoting), "promotion"))
@@ -104,7 +105,7 @@ def profile_violations(doc: Column, max_epochs: int = 8, sample_cap: int = 1024,
     seeds = F.size(F.coalesce(F.try_variant_get(doc, "$.training.seeds", "array<variant>"), F.array()))
     samples = cfg(doc, "training.max_train_samples", "int", 0)
     pixels = F.coalesce(F.nullif(cfg(doc, "training.max_train_pixels", "int"), F.lit(0)), F.lit(pixel_cap))
-    heldout = cfg(doc, "autoresearch.heldout_segment", default="")
+    heldout = cfg(doc, f"{PLANNER_SECTION}.heldout_segment", default="")
     explore = profile == "exploration"
     violation = first_reason(
         (explore & (epochs > max_epochs), "epochs_above_cap"),

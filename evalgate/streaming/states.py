@@ -34,7 +34,7 @@ def cause_code(line: Column) -> Column:
     return first_reason(
         (explicit != "", explicit), *guards,
         (raw.contains("Promotion gate is ready") | raw.contains("pausing exploration"), "promotion_pause"),
-        (raw.contains("AutoResearch promotion action required") | raw.contains("Run linked seed-repeat LOO"), "promotion_evidence_required"),
+        (raw.contains("promotion action required") | raw.contains("Run linked seed-repeat LOO"), "promotion_evidence_required"),
         (raw.contains("No novel one-change proposals remain"), "signature_exhausted"),
         (raw.contains("deduped"), "deduped_existing_run"),
         (F.lower(raw).contains("timeout") | raw.contains("exit_code=124"), "timeout"),
