@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -20,15 +19,14 @@ from evalgate.streaming import states as K
 def _stream_table(df, name: str, mode: str):
     """Run a stream over the files present and return its final table.
 
-    The progress log goes below the session's checkpoint folder when it has one.
+    State and progress log go below the session's checkpoint folder when it has one.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    table = f"{name}_{uuid.uuid4().hex[:8]}"
-    where = os.path.join(root, table) if root else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    q = K.run_to_table(df, table, mode, where)
-    q.awaitTermination()
-    return spark.table(table)
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    where = f"{root}/{name}_{uuid.uuid4().hex[:8]}"
+    K.run_to_table(df, f"{where}/table", mode, f"{where}/log").awaitTermination()
+    out = spark.read.parquet(f"{where}/table/state" if mode == "complete" else f"{where}/table")
+    return out.select(*df.columns)
 
 
 def read_stream(spark, sf, name: str):

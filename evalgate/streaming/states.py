@@ -87,7 +87,16 @@ def dedupe_batch(df: DataFrame, key: str, event_time: str, tie: str) -> DataFram
     return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(event_time, tie)).alias("r")).select(key, "r.*").select(*df.columns)
 
 
-def run_to_table(df: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
-    """Drive a stream over the files present into an in-memory table (for reports and tests)."""
-    return (df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)
+def run_to_table(df: DataFrame, path: str, mode: str, checkpoint: str) -> StreamingQuery:
+    """Drive a stream over the files present into parquet below ``path``.
+
+    Complete mode keeps the latest full state; append mode keeps one folder per batch, so a
+    batch that is run again replaces its own rows. Executors write the rows.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        target = f"{path}/state" if mode == "complete" else f"{path}/batch={number}"
+        batch.write.mode("overwrite").parquet(target)
+
+    return (df.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
