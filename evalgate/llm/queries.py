@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalgate.llm import disclosure, exact_dedup, mixing, quality_forest, simhash_dedup, toxicity
+from evalgate.llm import disclosure, exact_dedup, mixing, quality_forest, simhash_dedup, substring_dedup, toxicity
 from evalgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_personal_data")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op8_repeated_strings")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
