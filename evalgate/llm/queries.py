@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalgate.llm import disclosure, exact_dedup, mixing, quality_forest, simhash_dedup, substring_dedup, toxicity
+from evalgate.llm import disclosure, exact_dedup, mixing, pieces, quality_forest, simhash_dedup, substring_dedup, toxicity
 from evalgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_repeated_strings")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op3_pieces")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.tokenized(table(spark, sf_dir, "documents"))
