@@ -118,25 +118,23 @@ def terms_of(text: Column) -> Column:
 def disclosing(rows: DataFrame, docs: DataFrame, support: int = SUPPORT, bits: float = BITS, posterior: float = POSTERIOR) -> DataFrame:
     """(term, posterior, bits) of the terms that reveal an entity; the strongest entity counts.
 
-    A text counts once however often it is copied: occurrences are told apart by their neighbourhood.
+    Probabilities are shares of documents; support counts distinct neighbourhoods, so that copies of a text are one witness.
     """
-    near = rows.select(F.explode("near").alias("n")).select("n.value", "n.kind", F.xxhash64("n.context").alias("place"), terms_of(F.col("n.context")).alias("terms"))
-    near = checkpointed(near.dropDuplicates(["value", "kind", "place"]))
-    repeated = near.groupBy("value", "kind").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
+    near = rows.select("row", F.explode("near").alias("n")).select("row", "n.value", "n.kind", F.xxhash64("n.context").alias("place"), terms_of(F.col("n.context")).alias("terms"))
+    near = checkpointed(near)
+    counts = lambda n: (F.count_distinct("row").alias(n), F.count_distinct("place").alias("places"))
+    repeated = near.groupBy("value", "kind").agg(*counts("n_entity")).filter(F.col("places") >= support).drop("places")
     pairs = (
-        near.join(repeated, ["value", "kind"]).select("value", "kind", "n_entity", F.explode("terms").alias("term"))
-        .groupBy("value", "kind", "n_entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
+        near.join(repeated, ["value", "kind"]).select("value", "kind", "n_entity", "row", "place", F.explode("terms").alias("term"))
+        .groupBy("value", "kind", "n_entity", "term").agg(*counts("n_both")).filter(F.col("places") >= support)
     )
-    pairs = checkpointed(pairs)
-    wanted = pairs.select("term").distinct()
-    # a document's own copies count once here as well: the whole text's hash stands for it
-    texts = docs.select(F.xxhash64("text").alias("hash"), F.explode(terms_of(F.col("text").cast("string"))).alias("term"))
-    known = texts.join(_sized(wanted), "term").groupBy("term").agg(F.count_distinct("hash").alias("n_term"))
-    total = docs.agg(F.approx_count_distinct(F.xxhash64("text")).alias("n_all"))
-    chance = F.least(F.col("n_both") / F.greatest("n_term", "n_both"), F.lit(1.0))
-    gain = F.log2(chance * F.greatest("n_all", "n_entity") / F.col("n_entity"))
-    strong = pairs.join(known, "term").crossJoin(F.broadcast(total)).select("term", chance.alias("posterior"), gain.alias("bits"))
-    return checkpointed(strong.filter((F.col("posterior") >= posterior) & (F.col("bits") >= bits)).groupBy("term").agg(F.max("posterior").alias("posterior"), F.max("bits").alias("bits")))
+    # every term of the corpus is counted map-side before candidates pick their counts
+    known = docs.select(F.explode(terms_of(F.col("text").cast("string"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    chance = F.col("n_both") / F.col("n_term")
+    gain = F.log2(chance * F.lit(docs.count()) / F.col("n_entity"))
+    strong = pairs.join(known, "term").select("term", chance.alias("posterior"), gain.alias("bits"))
+    best = strong.filter((F.col("posterior") >= posterior) & (F.col("bits") >= bits)).groupBy("term")
+    return checkpointed(best.agg(F.max("posterior").alias("posterior"), F.max("bits").alias("bits")))
 
 
 def _sized(terms: DataFrame) -> DataFrame:
