@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalgate.llm import disclosure, exact_dedup, mixing, pieces, quality_forest, simhash_dedup, substring_dedup, toxicity
+from evalgate.llm import disclosure, exact_dedup, html_text, mixing, pieces, quality_forest, simhash_dedup, substring_dedup, toxicity
 from evalgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_pieces")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenized(table(spark, sf_dir, "documents"))
+
+
+@query("op5_main_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
