@@ -22,14 +22,23 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the checkpoint folder the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir that driver and executors share.
 
-    The folder is the shared one from ``spark.checkpoint.dir``; a temporary one is
-    set only when the session has none, as in local tests.
+    Only a session whose executors are threads of the driver gets one of its own; a cluster without the setting is an error.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='spark-')}")
+    return spark.conf.get("spark.checkpoint.dir")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
