@@ -10,37 +10,42 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalgate.llm import exact_dedup, mixing, pieces, simhash_dedup, toxicity
 from evalgate.llm.common import table
-from evalgate.session import shared_folder
+from evalgate.session import checkpointed, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Documents whose doc_id is among the decisions; the few rows without doc_id are matched null to null."""
-    ids = decisions.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
+#: Most ids that are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def _without(docs: DataFrame, decisions: DataFrame, stays: Column) -> DataFrame:
+    """Documents that a decision lets stay; rows of one doc_id (or of none) stay together if any of them stays."""
+    dropped = decisions.groupBy(F.col("doc_id").alias("__id")).agg(F.max(stays).alias("__stays")).filter("not __stays").select("__id")
+    dropped = checkpointed(dropped)
+    if dropped.count() <= BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["__id"]), "left_anti")
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression-distance score accepts."""
-    scored = toxicity.scored(docs, table(spark, sf_dir, "labels"))
-    rejected = scored.filter("predicted = 1").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["__id"]), "left_anti")
+    return _without(docs, toxicity.scored(docs, table(spark, sf_dir, "labels")), F.col("predicted") == 0)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id."""
-    return _kept(docs, exact_dedup.deduplicate(docs).filter("kept"))
+    return _without(docs, exact_dedup.deduplicate(docs), F.col("kept"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints, over shingles of five words: the one with the smallest doc_id."""
-    return _kept(docs, simhash_dedup.near_duplicates(docs, width=5).filter("doc_id <=> component_id"))
+    """One document of each group of linked fingerprints: the one with the smallest doc_id."""
+    return _without(docs, simhash_dedup.near_duplicates(docs), F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -165,7 +165,14 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SL
     parts = taken.groupBy("row", "pass").agg(F.sum("words").alias("__words"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("__parts")).drop("pass")
     rows = docs.select("*", F.monotonically_increasing_id().alias("row"))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    # the words are the start of a fold, so that they are found once however many parts there are
+    start = F.struct(words.alias("w"), F.array().cast("array<string>").alias("out"))
+
+    def add(done: Column, p: Column) -> Column:
+        mine = F.slice(done["w"], (p["first"] + 1).cast("int"), p["words"].cast("int"))
+        return F.struct(done["w"].alias("w"), F.concat(done["out"], mine).alias("out"))
+
+    cut = F.array_join(F.aggregate("__parts", start, add, lambda done: done["out"]), " ")
     text = F.when(F.col("__words") == F.regexp_count("text", F.lit(WORD)), F.col("text")).otherwise(cut)
     out = rows.join(parts, "row").withColumn("text", text).drop("row", "__words", "__parts")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
