@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalgate.llm import disclosure, exact_dedup, html_text, mixing, pieces, quality_forest, simhash_dedup, substring_dedup, toxicity
+from evalgate.llm import disclosure, exact_dedup, html_text, mixing, pieces, quality_forest, sharding, simhash_dedup, substring_dedup, toxicity
 from evalgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_main_text")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op2_shards",
+    f"""WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes,
+                          lpad(bin(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)), 60, '0') AS bits FROM documents),
+             p AS (SELECT doc_id, n_bytes, k, substr(bits, 1, k) AS shard FROM d, range(0, 40) r(k)),
+             g AS (SELECT k, shard, sum(n_bytes) AS shard_bytes, count(*) AS shard_rows FROM p GROUP BY k, shard),
+             f AS (SELECT p.doc_id, p.n_bytes, p.shard, p.k, g.shard_bytes, g.shard_rows,
+                          row_number() OVER (PARTITION BY p.doc_id ORDER BY p.k) AS nth
+                   FROM p JOIN g ON p.k = g.k AND p.shard = g.shard WHERE g.shard_bytes <= {sharding.LIMIT} OR g.shard_rows = 1)
+        SELECT doc_id, n_bytes, shard, k AS depth, shard_bytes, shard_rows FROM f WHERE nth = 1""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
