@@ -185,8 +185,8 @@ def summarize_comparisons(status: DataFrame, by: list[str]) -> DataFrame:
 # ---------------------------------------------------------------- configs and risk
 
 
-def config_diff(left: DataFrame, right: DataFrame, keys: list[str], limit: int | None = 24) -> DataFrame:
-    """Differing leaves of two flattened configs; at most ``limit`` paths per pair, in path order."""
+def config_diff(left: DataFrame, right: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    """Differing leaves of two flattened configs in path order; a given ``limit`` keeps the first paths of each pair."""
     lv = left.select(*keys, "path", F.col("value").alias("left_value"))
     rv = right.select(*keys, "path", F.col("value").alias("right_value"))
     rows = lv.join(rv, [*keys, "path"], "full").filter(~F.col("left_value").eqNullSafe(F.col("right_value")))

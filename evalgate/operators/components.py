@@ -101,11 +101,11 @@ def border_edges(labels: DataFrame, by: list[str], tile: int) -> DataFrame:
     return null_safe_join(crossing.drop("_ty", "_tx"), there, [*by, "y", "x"]).select(*by, "a", "b").distinct()
 
 
-def close_labels(edges: DataFrame, by: list[str], max_rounds: int = 200) -> DataFrame:
+def close_labels(edges: DataFrame, by: list[str]) -> DataFrame:
     """(by, node, root): smallest reachable node; rounds stop when no label changes."""
     both = checkpointed(edges.unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = checkpointed(both.groupBy(*by, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    for _ in range(max_rounds):
+    while True:
         near = null_safe_join(both, roots.select(*by, F.col("node").alias("b"), F.col("root").alias("_r")), [*by, "b"])
         low = near.groupBy(*by, F.col("a").alias("node")).agg(F.min("_r").alias("_low"))
         hooked = null_safe_join(roots, low, [*by, "node"]).withColumn("_new", F.least("root", "_low"))
@@ -114,11 +114,8 @@ def close_labels(edges: DataFrame, by: list[str], max_rounds: int = 200) -> Data
             *by, "node", F.coalesce(F.least("_new", "_jump"), "_new").alias("root"), F.col("root").alias("_old"))
         stepped = checkpointed(stepped)
         if stepped.filter(F.col("root") != F.col("_old")).limit(1).count() == 0:
-            break
+            return roots
         roots = stepped.drop("_old")
-    else:
-        raise RuntimeError("component labels did not settle")
-    return roots
 
 
 def component_sizes(scores: DataFrame, by: list[str], threshold: float = 0.5, tile: int = 512) -> DataFrame:
@@ -135,19 +132,9 @@ def component_sizes(scores: DataFrame, by: list[str], threshold: float = 0.5, ti
     return rooted.groupBy(*by, F.coalesce("root", "node").alias("root")).agg(F.sum("size").alias("size"))
 
 
-def components(scores: DataFrame, by: list[str], threshold: float = 0.5, tile: int = 512, sampled: bool = False,
-               small: int = 4) -> DataFrame:
-    """Count, largest fraction and small-component fraction per map, 0 where nothing is positive.
-
-    ``sampled=True`` strides maps above one million pixels the way the preview statistics do.
-    """
+def components(scores: DataFrame, by: list[str], threshold: float = 0.5, tile: int = 512, small: int = 4) -> DataFrame:
+    """Count, largest fraction and small-component fraction per map, 0 where nothing is positive."""
     scores, by = grouped(scores, by)
-    if sampled:
-        shape = scores.groupBy(*by).agg(((F.max("y") + 1) * (F.max("x") + 1)).alias("_size"))
-        step = F.when(F.col("_size") > 1_000_000, F.ceil(F.sqrt(F.col("_size") / 1_000_000))).otherwise(1)
-        strided = null_safe_join(scores, shape.withColumn("_step", step), by)
-        scores = strided.filter((F.col("y") % F.col("_step") == 0) & (F.col("x") % F.col("_step") == 0)).select(
-            *by, F.floor(F.col("y") / F.col("_step")).alias("y"), F.floor(F.col("x") / F.col("_step")).alias("x"), "prob")
     sizes = component_sizes(scores, by, threshold, tile)
     stats = sizes.groupBy(*by).agg(
         F.count(F.lit(1)).alias("component_count"), (F.max("size") / F.sum("size")).alias("largest_component_fraction"),

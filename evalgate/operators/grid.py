@@ -44,17 +44,23 @@ def _starts(length: Column, patch: int, stride: int, cover: bool) -> Column:
     return F.array_distinct(F.concat(grid, F.array(last))) if cover else grid
 
 
+def fitting(segments: DataFrame, keys: list[str], height: Column, width: Column, patch: int) -> DataFrame:
+    """Segments as they are; one smaller than the patch fails the job, with its keys."""
+    name = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    small = F.raise_error(F.concat(F.lit(f"smaller than the patch size {patch}: "), name)).cast("int")
+    return segments.withColumn("h", F.when((height >= patch) & (width >= patch), F.col("h")).otherwise(small))
+
+
 def tile_origins(segments: DataFrame, keys: list[str], patch: int, stride: int) -> DataFrame:
     """Covering origins of each (keys, h, w): the stride grid plus a flush last tile per axis."""
-    ok = segments.filter((F.col("h") >= patch) & (F.col("w") >= patch))
+    ok = fitting(segments, keys, F.col("h"), F.col("w"), patch)
     ys = ok.select(*keys, "w", F.explode(_starts(F.col("h"), patch, stride, True)).alias("y0"))
     return ys.select(*keys, "y0", F.explode(_starts(F.col("w"), patch, stride, True)).alias("x0"))
 
 
 def tiled_origins(segments: DataFrame, keys: list[str], patch: int, stride: int, limit: int = 0, seed: int = 0) -> DataFrame:
     """Origins inside the x-region [x_lo, x_hi) without the flush tile; a limit keeps the first ones in hash order."""
-    w = F.col("x_hi") - F.col("x_lo")
-    ok = segments.filter((F.col("h") >= patch) & (w >= patch))
+    ok = fitting(segments, keys, F.col("h"), F.col("x_hi") - F.col("x_lo"), patch)
     ys = ok.select(*keys, "x_lo", "x_hi", F.explode(_starts(F.col("h"), patch, stride, False)).alias("y0"))
     xs = F.sequence(F.col("x_lo").cast("int"), (F.col("x_hi") - patch).cast("int"), F.lit(stride))
     out = ys.select(*keys, "y0", F.explode(xs).alias("x0"))
@@ -97,15 +103,18 @@ def ranked_positives(labels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sample_origins(labels: DataFrame, keys: list[str], n: int, fraction: float, patch: int, seed: int = 13,
-                   max_rate: float = 0.001, attempts: int = 32, mask: DataFrame | None = None) -> DataFrame:
+                   max_rate: float = 0.001, attempts: int | None = None, mask: DataFrame | None = None) -> DataFrame:
     """n origins per segment: a share jittered around positive pixels, the rest low-label patches.
 
     Every draw is a hash of (seed, segment, draw), so the result does not depend on partitions.
     Rejected candidates are tried in order and the last attempt is taken as it is; with a
-    mask, a candidate needs a mask mean above one half instead of a low label rate.
+    mask, a candidate needs a mask mean above one half instead of a low label rate. 32 attempts
+    follow the first one, 100 with a mask.
     """
+    attempts = (32 if mask is None else 100) if attempts is None else attempts
     shape = labels.groupBy(*keys).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"),
-                                      F.count_if(F.col("label") > 0.5).alias("positives")).filter((F.col("h") >= patch) & (F.col("w") >= patch))
+                                      F.count_if(F.col("label") > 0.5).alias("positives"))
+    shape = fitting(shape, keys, F.col("h"), F.col("w"), patch)
     draws = shape.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     ids = [F.col(k) for k in keys] + [F.col("draw")]
 
@@ -147,7 +156,7 @@ def covering_tiles(pixels: DataFrame, keys: list[str], sizes: DataFrame, patch:
         flush = F.when(at >= length - patch, F.array((length - patch).cast("int"))).otherwise(F.array().cast("array<int>"))
         return F.array_distinct(F.concat(grid, flush))
 
-    sized = null_safe_join(pixels, sizes.filter((F.col("h") >= patch) & (F.col("w") >= patch)), keys)
+    sized = null_safe_join(pixels, fitting(sizes, keys, F.col("h"), F.col("w"), patch), keys)
     rows = sized.withColumn("y0", F.explode(holders(F.col("y"), F.col("h")))).withColumn("x0", F.explode(holders(F.col("x"), F.col("w"))))
     return rows.drop("h", "w")
 
@@ -392,10 +401,16 @@ def label_iou(a: DataFrame, b: DataFrame, by: list[str], pixel: list[str]) -> Da
 
 
 def relabel(patches: DataFrame, new_labels: DataFrame, keys: list[str], patch: int) -> DataFrame:
-    """Patches with labels cut from a new raster at their stored origins, and the overlap with the old ones."""
+    """Patches with labels cut from a new raster at their stored origins, and the overlap with the old ones.
+
+    A patch that the new raster does not reach fails the job: no patch is dropped.
+    """
     px = new_labels.select(*keys, "y", "x", F.lit(0).alias("c"), F.col("label").cast("double").alias("v"))
     fresh = extract_at(px, patches, keys, patch).withColumnRenamed("image", "new_label")
-    j = null_safe_join(patches, fresh, [*keys, "y0", "x0"])
+    j = null_safe_join(patches, fresh, [*keys, "y0", "x0"], "left")
+    at = F.concat_ws("/", *[F.col(k).cast("string") for k in [*keys, "y0", "x0"]])
+    missing = F.raise_error(F.concat(F.lit("no new label under patch "), at)).cast("array<double>")
+    j = j.withColumn("new_label", F.when(F.col("new_label").isNull(), missing).otherwise(F.col("new_label")))
     both = F.zip_with("label", "new_label", lambda a, b: F.struct((a > 0.5).alias("a"), (b > 0.5).alias("b")))
 
     def n(cond) -> Column:

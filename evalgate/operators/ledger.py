@@ -98,14 +98,14 @@ def lineage(runs: DataFrame, doc: str = "doc") -> DataFrame:
     return runs.select("run_id", "ts", *flat, *nested)
 
 
-def observed_hypotheses(lineage_rows: DataFrame, hypotheses: DataFrame, limit: int = 50) -> DataFrame:
-    """Hypotheses seen in runs but not in the ledger; the newest run of each represents it."""
+def observed_hypotheses(lineage_rows: DataFrame, hypotheses: DataFrame, limit: int | None = None) -> DataFrame:
+    """Hypotheses seen in runs but not in the ledger; the newest run of each represents it. A given limit keeps the newest."""
     new = lineage_rows.filter("hypothesis_id IS NOT NULL AND hypothesis_id <> ''").join(
         hypotheses.select("hypothesis_id"), "hypothesis_id", "left_anti")
     first = new.groupBy("hypothesis_id").agg(F.max_by(F.struct("run_id", "ts", "parent_reason", "mutation_family"), newest()).alias("r"))
     out = first.select("hypothesis_id", F.coalesce("r.parent_reason", "r.mutation_family").alias("title"),
                        F.col("r.run_id").alias("parent_run_id"), F.lit("observed").alias("status"), F.col("r.ts").alias("ts"))
-    return out.orderBy(F.col("ts").desc(), F.col("parent_run_id").desc()).limit(limit).drop("ts")
+    return (out if limit is None else recent(out, ["ts", "parent_run_id"], limit)).drop("ts")
 
 
 # ---------------------------------------------------------------- gates and blockers
@@ -273,7 +273,7 @@ def failure_classes(runs: DataFrame) -> Column:
     )
 
 
-def failure_context(runs: DataFrame, by: list[str], n: int = 24) -> tuple[DataFrame, DataFrame, DataFrame]:
+def failure_context(runs: DataFrame, by: list[str], n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Failure counts, mean quality per family and changed paths of the newest n gated runs."""
     last = top_rows(runs, by, [F.col("ts").desc(), F.col("run_id").desc()], n)
     codes = last.select(*by, F.explode(failure_classes(last)).alias("failure")).groupBy(*by, "failure").agg(F.count(F.lit(1)).alias("runs"))
@@ -497,7 +497,7 @@ def best_base(runs: DataFrame, by: list[str], metric: str, baseline: dict[str, o
     return rows.groupBy(*by).agg(F.max_by(F.struct("run_id", metric), F.struct(F.col(metric) * sign, "ts", "run_id")).alias("r")).select(*by, "r.*")
 
 
-def ranked_bases(runs: DataFrame, by: list[str], k: int = 6, signature: str = "signature") -> DataFrame:
+def ranked_bases(runs: DataFrame, by: list[str], k: int, signature: str = "signature") -> DataFrame:
     """Recent torch bases of robust scopes, newest per signature, eligible first."""
     scope = F.col("research_scope")
     torch = runs.filter(F.col("model_name").contains("torch") & is_robust(F.lit("torch"), scope, scope))
@@ -560,7 +560,7 @@ def validation_matrix(runs: DataFrame, metric: str) -> DataFrame:
         F.col("b.validation_mode").alias("validation_mode"), F.col(f"b.{metric}").alias("best_metric"))
 
 
-def leaderboard(runs: DataFrame, tiles: DataFrame | None, by: list[str], k: int = 20) -> DataFrame:
+def leaderboard(runs: DataFrame, tiles: DataFrame | None, by: list[str], k: int) -> DataFrame:
     """Ranked runs: quality of the best map (else of the run), eligibility and coverage bonuses."""
     from evalgate.operators.quality import metrics_verdict
 
@@ -579,7 +579,7 @@ def leaderboard(runs: DataFrame, tiles: DataFrame | None, by: list[str], k: int
                                                "average_precision", "promotion_status")
 
 
-def metric_trend(runs: DataFrame, by: list[str], k: int = 40) -> DataFrame:
+def metric_trend(runs: DataFrame, by: list[str], k: int) -> DataFrame:
     """Newest k runs per group with their position from the oldest."""
     last = top_rows(runs, by, [F.col("ts").desc(), F.col("run_id").desc()], k, "age")
     pos = F.row_number().over(W.partitionBy(*by).orderBy("ts", "run_id"))
@@ -612,7 +612,7 @@ def blocker_counts(runs: DataFrame, by: list[str]) -> DataFrame:
     return codes.groupBy(*by, "code").agg(F.count(F.lit(1)).alias("runs")).filter("code IS NOT NULL")
 
 
-def top_blockers(counts: DataFrame, by: list[str], k: int = 10) -> DataFrame:
+def top_blockers(counts: DataFrame, by: list[str], k: int) -> DataFrame:
     return top_rows(counts, by, [F.col("runs").desc(), F.col("code")], k)
 
 
@@ -743,7 +743,7 @@ def payload_reasons(doc: Column) -> Column:
 # ---------------------------------------------------------------- backtests and scorecards
 
 
-def backtest_weights(runs: DataFrame, by: list[str], ap: list[float], f05: list[float], cal: list[float], k: int = 10) -> DataFrame:
+def backtest_weights(runs: DataFrame, by: list[str], ap: list[float], f05: list[float], cal: list[float], k: int) -> DataFrame:
     """Mean F1 of the top k and quality of the top 5 for every weight combination.
 
     Each run is spread over the fixed weight grid and only per-partition top k rows of a
@@ -843,7 +843,7 @@ def action_rules(spark) -> DataFrame:
         ACTION_RULES, "action string, ordinal int, path string, factor double, addend double, floor double, ceiling double, word string, torch_only boolean")
 
 
-def action_moves(bases: DataFrame, rules: DataFrame, by: list[str], k: int = 2) -> DataFrame:
+def action_moves(bases: DataFrame, rules: DataFrame, by: list[str], k: int) -> DataFrame:
     """First k real changes per (group, action); bases carry model_name, path, value and the wanted action."""
     j = bases.join(F.broadcast(rules), ["action", "path"]).filter(~F.col("torch_only") | F.col("model_name").contains("torch"))
     changed = j.withColumn("proposed", _proposed()).filter(_changed())

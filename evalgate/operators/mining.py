@@ -113,7 +113,7 @@ def risk_decision(tiles: DataFrame, keep: float = 0.95) -> DataFrame:
     })
 
 
-def mining_plan(tiles: DataFrame, eligibility: DataFrame, by: list[str], key: str, max_tiles: int = 6, ratio: float = 2.0) -> tuple[DataFrame, DataFrame]:
+def mining_plan(tiles: DataFrame, eligibility: DataFrame, by: list[str], key: str, max_tiles: int, ratio: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """Tiles to mine (first ``max_tiles`` per group) and the extra sets each held-out segment may use."""
     decided = risk_decision(candidate_tiles(tiles, by))
     explicit = F.coalesce(F.array_contains(optional(decided, "actions", "array<string>"), "mine_hard_negatives"), F.lit(False))

@@ -43,12 +43,27 @@ def cfg(doc: Column, path: str, kind_name: str = "string", default=None) -> Colu
     return value if default is None else F.coalesce(value, F.lit(default))
 
 
-def config_kv(df: DataFrame, key: str, doc: str, depth: int = 5) -> DataFrame:
+def nesting(doc: Column) -> Column:
+    """Levels of braces in a document, an upper bound of its nested objects."""
+    braces = F.regexp_replace(F.to_json(doc), "[^{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(level: Column, brace: Column) -> Column:
+        now = level["now"] + F.when(brace == "{", 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(level["most"], now).alias("most"))
+
+    return F.aggregate(F.split(braces, "(?!^)"), start, step, lambda level: level["most"])
+
+
+def config_kv(df: DataFrame, key: str, doc: str, depth: int | None = None) -> DataFrame:
     """One row per leaf (dotted path, variant value, kind); lists are leaves.
 
     The levels are chained lateral explodes in one pass: a leaf stays as it is while nested
-    objects open further, so the input is read once whatever the depth.
+    objects open further. There are as many levels as the deepest document has, unless a
+    depth is given.
     """
+    if depth is None:
+        depth = df.select(F.max(nesting(F.col(doc))).alias("n")).first()["n"] or 0
     out = df.select(key, F.lit("").alias("path"), F.col(doc).alias("v"))
     tvf = df.sparkSession.tvf
     for _ in range(depth):

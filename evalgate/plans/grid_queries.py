@@ -402,14 +402,14 @@ def j6(spark, sf):
 m AS (SELECT *, row_number() OVER (PARTITION BY research_scope ORDER BY first_seen, artifact_dir, segment_id) AS mine_order FROM c WHERE rn = 1 AND {_NEEDS} AND NOT dk IN (2, 3, 4))
 SELECT research_scope, mine_order, artifact_dir, segment_id, {_DEC} AS decision FROM m WHERE mine_order <= 6""")
 def j7(spark, sf):
-    plan, _ = J.mining_plan(tile_rows(spark, sf), eligibility(spark, sf), ["research_scope"], "set_id")
+    plan, _ = J.mining_plan(tile_rows(spark, sf), eligibility(spark, sf), ["research_scope"], "set_id", 6)
     return plan.select("research_scope", "mine_order", "artifact_dir", "segment_id", "decision")
 
 
 @query("j7_eligible_sets", f"""WITH {_INV}, h AS (SELECT DISTINCT label::VARCHAR AS heldout_segment FROM embeddings)
 SELECT heldout_segment, count(*) AS eligible_sets, min(set_id) AS first_set FROM ivs, h WHERE status = 'eligible' AND NOT list_contains(provenance, heldout_segment) GROUP BY 1""")
 def j7_sets(spark, sf):
-    return J.mining_plan(tile_rows(spark, sf), eligibility(spark, sf), ["research_scope"], "set_id")[1]
+    return J.mining_plan(tile_rows(spark, sf), eligibility(spark, sf), ["research_scope"], "set_id", 6)[1]
 
 
 @query("j8_cap_recommendation", f"""WITH {sweep_ctes('V_SCORES', _FS)}, {compare_caps_ctes(_FS)}, r AS (SELECT fold, seed, min(cap) FILTER (WHERE r1 >= 0.9 AND r05 >= 0.9) AS rc FROM cmp GROUP BY ALL)

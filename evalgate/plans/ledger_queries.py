@@ -74,7 +74,7 @@ def blocked(spark, sf):
 # ---------------------------------------------------------------- rows and upserts
 
 
-@query("a14_newest_valid_runs", "SELECT run_id, ts, val_f1, fixed_threshold_status FROM (SELECT * FROM V_RUNS ORDER BY ts DESC, run_id DESC LIMIT 300) WHERE fixed_threshold_status IS NOT NULL")
+@query("a14_newest_valid_runs", "SELECT run_id, ts, val_f1, fixed_threshold_status FROM V_RUNS WHERE fixed_threshold_status IS NOT NULL ORDER BY ts DESC, run_id DESC LIMIT 300")
 def a14(spark, sf):
     from evalgate.sources.ledgers import read_runs
 
@@ -152,8 +152,7 @@ def i7(spark, sf):
 
 @query("i7_observed_hypotheses", """WITH h AS (SELECT run_id, ts, concat('hyp_', signature, '_', val_segment) AS hypothesis_id, CASE WHEN run_id%2=0 THEN concat('reason ', val_segment) ELSE 'replication' END AS title FROM V_RUNS WHERE run_id%3>0),
 known AS (SELECT DISTINCT concat('hyp_', o_custkey % 50, '_', 3) AS hypothesis_id FROM orders)
-SELECT hypothesis_id, title, run_id AS parent_run_id, 'observed' AS status FROM (SELECT *, row_number() OVER (PARTITION BY hypothesis_id ORDER BY ts DESC, run_id DESC) AS rn FROM h WHERE hypothesis_id NOT IN (SELECT hypothesis_id FROM known)) WHERE rn = 1
-ORDER BY ts DESC, run_id DESC LIMIT 50""")
+SELECT hypothesis_id, title, run_id AS parent_run_id, 'observed' AS status FROM (SELECT *, row_number() OVER (PARTITION BY hypothesis_id ORDER BY ts DESC, run_id DESC) AS rn FROM h WHERE hypothesis_id NOT IN (SELECT hypothesis_id FROM known)) WHERE rn = 1""")
 def i7_observed(spark, sf):
     doc = views.runs(spark, sf).withColumn("doc", F.parse_json(F.expr(_LINEAGE_DOC)))
     known = views.runs(spark, sf).select(F.concat(F.lit("hyp_"), F.col("signature"), F.lit("_3")).alias("hypothesis_id")).distinct()
@@ -180,7 +179,7 @@ def i8(spark, sf):
 
 @query("i9_failure_counts", f"WITH {LEDGER}, {GATE}, {_FAIL} SELECT research_scope, failure, count(*) AS runs FROM (SELECT research_scope, unnest(fails) AS failure FROM fc WHERE age <= 24) GROUP BY ALL")
 def i9(spark, sf):
-    return L.failure_context(gated(spark, sf), SCOPE)[0]
+    return L.failure_context(gated(spark, sf), SCOPE, 24)[0]
 
 
 _FAMILY_SQL = "CASE " + " ".join(f"WHEN changed_path IN ({', '.join(repr(p) for p in ps)}) THEN '{f}'" for f, ps in MUTATION_FAMILIES.items()) + " ELSE 'other' END"
@@ -188,7 +187,7 @@ _FAMILY_SQL = "CASE " + " ".join(f"WHEN changed_path IN ({', '.join(repr(p) for
 
 @query("i9_family_quality", f"WITH {LEDGER}, {GATE}, {_FAIL} SELECT research_scope, {_FAMILY_SQL} AS family, round(avg(q), 9) AS mean_quality FROM fc WHERE age <= 24 GROUP BY ALL")
 def i9_family(spark, sf):
-    return rounded(L.failure_context(gated(spark, sf), SCOPE)[1])
+    return rounded(L.failure_context(gated(spark, sf), SCOPE, 24)[1])
 
 
 def _sql_value(v):
@@ -243,7 +242,7 @@ scd AS (SELECT *, round(c1+coalesce(c2, 0)+coalesce(c3, 0)+coalesce(c4, 0)+coale
 
 def scored(spark, sf):
     tier = F.expr("CASE base_id%3 WHEN 0 THEN 'cheap' WHEN 1 THEN 'normal' ELSE 'expensive' END")
-    codes, fam, changed = L.failure_context(gated(spark, sf), SCOPE)
+    codes, fam, changed = L.failure_context(gated(spark, sf), SCOPE, 24)
     return L.score_candidates(candidates(spark, sf).withColumn("cost_tier", tier), SCOPE, codes, fam, changed)
 
 
@@ -331,7 +330,7 @@ def i17(spark, sf):
 k AS (SELECT *, row_number() OVER (PARTITION BY validation_mode ORDER BY eligible DESC, {PRIORITY_SQL}, q DESC, run_id) AS base_rank FROM t WHERE rn = 1)
 SELECT validation_mode, base_rank, run_id, signature, CASE WHEN eligible THEN 'promotion-eligible recent base' ELSE 'diagnostic recent base' END AS base_kind, round(q, 9) AS quality FROM k WHERE base_rank <= 6""")
 def i18(spark, sf):
-    return rounded(L.ranked_bases(gated(spark, sf), ["validation_mode"]))
+    return rounded(L.ranked_bases(gated(spark, sf), ["validation_mode"], 6))
 
 
 @query("i19_manual_candidate", f"""WITH {LEDGER}, {GATE}, c AS (SELECT *, row_number() OVER (PARTITION BY research_scope ORDER BY q DESC, ts DESC, run_id DESC) AS rn FROM gq WHERE model_name LIKE '%torch%' AND {MULTI} AND fixed_threshold_status = 'ok'
@@ -372,13 +371,13 @@ k AS (SELECT research_scope, mv.run_id, coalesce(ts2, quality_score) AS sc, coal
 SELECT research_scope, rank, run_id, round(sc, 9) AS quality_score, coverage, round(val_f1, 9) AS val_f1, round(average_precision, 9) AS average_precision, promotion_status FROM k WHERE rank <= 20""")
 def i22(spark, sf):
     tiles = views.table(spark, sf, "lineitem").selectExpr("l_orderkey AS run_id", "l_tax*10 AS quality_score")
-    return rounded(L.leaderboard(blocked(spark, sf), tiles, SCOPE))
+    return rounded(L.leaderboard(blocked(spark, sf), tiles, SCOPE, 20))
 
 
 @query("i23_metric_trend", """WITH t AS (SELECT *, row_number() OVER (PARTITION BY research_scope ORDER BY ts DESC, run_id DESC) AS age FROM V_RUNS)
 SELECT research_scope, row_number() OVER (PARTITION BY research_scope ORDER BY ts, run_id) AS position, run_id, ts, val_f1, average_precision FROM t WHERE age <= 40""")
 def i23(spark, sf):
-    return L.metric_trend(views.runs(spark, sf), SCOPE)
+    return L.metric_trend(views.runs(spark, sf), SCOPE, 40)
 
 
 CRIT = f"""
@@ -495,7 +494,7 @@ SELECT 'all' AS scope, ap_weight, f05_weight, cal_weight, count(*) FILTER (WHERE
  count(*) FILTER (WHERE rn <= 5 AND ratio > 3) AS pred_ratio_gt3_top5 FROM s WHERE rn <= 10 GROUP BY ALL""")
 def i31(spark, sf):
     r = views.runs(spark, sf).withColumn("scope", F.lit("all"))
-    return rounded(L.backtest_weights(r, ["scope"], [0.1, 0.2, 0.3, 0.4], [0.0, 0.05, 0.1, 0.2], [0.0, 0.03, 0.05, 0.1]))
+    return rounded(L.backtest_weights(r, ["scope"], [0.1, 0.2, 0.3, 0.4], [0.0, 0.05, 0.1, 0.2], [0.0, 0.03, 0.05, 0.1], 10))
 
 
 @query("i32_acceptance_gate", """SELECT run_id, CASE WHEN fixed_threshold_status IS NULL THEN 'missing_metrics' WHEN val_f1 < 0.02 THEN 'val_f1_below_floor' WHEN precision_ <= 0 OR recall_ <= 0 THEN 'zero_precision_recall'
@@ -517,7 +516,7 @@ def i33(spark, sf):
 @query("i34_top_blockers", f"""WITH {LEDGER}, {BLOCK}, c AS (SELECT research_scope, code, count(*) AS runs FROM (SELECT research_scope, replace(unnest(blockers), 'w:', '') AS code FROM bq) GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY research_scope ORDER BY runs DESC, code) AS rank FROM c) WHERE rank <= 10""")
 def i34(spark, sf):
-    return L.top_blockers(L.blocker_counts(blocked(spark, sf), SCOPE), SCOPE)
+    return L.top_blockers(L.blocker_counts(blocked(spark, sf), SCOPE), SCOPE, 10)
 
 
 @query("i35_next_move", """WITH e AS (SELECT signature, bool_or(val_f1 < 0.002) AS loo_blocks, CASE WHEN min(average_precision) < 0.001 THEN 'blocker' ELSE 'info' END AS sev, count(*) FILTER (WHERE val_f05 < 0.002) AS reg,
@@ -551,4 +550,4 @@ def i36(spark, sf):
     leaves = F.array(*[F.struct(F.lit(k).alias("path"), F.expr(v.replace("{s}", "STRING")).alias("value")) for k, v in _LEAVES.items()])
     act = F.element_at(F.array(*[F.lit(a) for a in _ACTIONS]), (F.col("run_id") % 6 + 1).cast("int"))
     bases = r.select("run_id", "model_name", act.alias("action"), F.inline(leaves))
-    return L.action_moves(bases, L.action_rules(spark), ["run_id"]).select("run_id", "action", "move_rank", "path", "proposed")
+    return L.action_moves(bases, L.action_rules(spark), ["run_id"], 2).select("run_id", "action", "move_rank", "path", "proposed")

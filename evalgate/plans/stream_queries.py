@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,17 +12,17 @@ from evalgate.operators import predictors as P
 from evalgate.operators import training as T
 from evalgate.operators.metrics import EvalConfig
 from evalgate.plans.registry import query, rounded
+from evalgate.session import shared_folder
 from evalgate.streaming import states as K
 
 
 def _stream_table(df, name: str, mode: str):
     """Run a stream over the files present and return its final table.
 
-    State and progress log go below the session's checkpoint folder when it has one.
+    State and progress log go below the shared folder of the session.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    where = f"{root}/{name}_{uuid.uuid4().hex[:8]}"
+    where = f"{shared_folder(spark)}/{name}_{uuid.uuid4().hex[:8]}"
     K.run_to_table(df, f"{where}/table", mode, f"{where}/log").awaitTermination()
     out = spark.read.parquet(f"{where}/table/state" if mode == "complete" else f"{where}/table")
     return out.select(*df.columns)

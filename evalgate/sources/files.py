@@ -87,12 +87,12 @@ def _stem(path: Column) -> Column:
     return F.regexp_replace(path, r"(\.summary)?\.jsonl?$", "")
 
 
-def read_loo_summaries(spark: SparkSession, root: str, limit: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Newest summaries with a readiness flag, and the rows of their companion JSONL files."""
+def read_loo_summaries(spark: SparkSession, root: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Summaries (a given limit keeps the newest) with a readiness flag, and the rows of their companion JSONL files."""
     raw = spark.read.text(f"{root}/*summary.json", wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified_at"), F.try_parse_json("value").alias("doc"))
     good = raw.filter(F.try_variant_get("doc", "$.promotion_ready", "variant").isNotNull())
-    kept = good.orderBy(F.col("modified_at").desc(), F.col("path").desc()).limit(limit)
+    kept = good if limit is None else good.orderBy(F.col("modified_at").desc(), F.col("path").desc()).limit(limit)
     kept = kept.withColumns({"stem": _stem(F.col("path")), "promotion_ready": F.coalesce(F.try_variant_get("doc", "$.promotion_ready", "boolean"), F.lit(False)),
                              "run_ids": F.try_variant_get("doc", "$.run_ids", "array<string>")})
     rows = spark.read.schema(LOO_SCHEMA).option("pathGlobFilter", "*.jsonl").json(root).withColumn("stem", _stem(F.col("_metadata.file_path")))
@@ -149,18 +149,19 @@ def read_configs(spark: SparkSession, root: str) -> DataFrame:
 # ---------------------------------------------------------------- inventories
 
 
-def dataset_inventory(spark: SparkSession, root: str, limit: int = 80) -> DataFrame:
-    """Newest prepared-data sidecars; unparsable ones are kept with a mark."""
+def dataset_inventory(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
+    """Prepared-data sidecars, newest first; unparsable ones are kept with a mark."""
     raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*metadata.json")
     doc = F.try_parse_json("value")
     rows = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified_at"), doc.alias("doc"),
                       doc.isNull().alias("metadata_error"))
     out = rows.withColumns({"segment_id": F.try_variant_get("doc", "$.segment_id", "string"), "split": F.try_variant_get("doc", "$.split", "string"),
                             "samples": F.try_variant_get("doc", "$.samples", "long")})
-    return out.orderBy(F.col("modified_at").desc(), "path").limit(limit)
+    out = out.orderBy(F.col("modified_at").desc(), "path")
+    return out if limit is None else out.limit(limit)
 
 
-def artifact_inventory(spark: SparkSession, root: str, per_run: int = 24) -> tuple[DataFrame, DataFrame]:
+def artifact_inventory(spark: SparkSession, root: str, per_run: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Files per run folder (the map first, then newest) and the totals of the tree; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "length")
     base = root.rstrip("/").rsplit("/", 1)[-1]
@@ -168,7 +169,8 @@ def artifact_inventory(spark: SparkSession, root: str, per_run: int = 24) -> tup
     rows = files.withColumn("run_dir", run).filter("run_dir <> ''")
     first = F.col("path").endswith("/probability_map.npy")
     rank = F.row_number().over(W.partitionBy("run_dir").orderBy(first.desc(), F.col("modificationTime").desc(), "path"))
-    listed = rows.withColumn("position", rank).filter(F.col("position") <= per_run)
+    listed = rows.withColumn("position", rank)
+    listed = listed if per_run is None else listed.filter(F.col("position") <= per_run)
     totals = rows.agg(F.countDistinct("run_dir").alias("run_directory_count"), F.sum("length").alias("total_bytes"))
     return listed, totals
 

@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 from evalgate.operators.rules import validate_runs
 
 
-def read_runs(raw: DataFrame, limit: int | str | None = 300) -> DataFrame:
-    """Newest runs with decoded metrics; rows that break the metric contract are dropped.
+def read_runs(raw: DataFrame, limit: int | str | None = None) -> DataFrame:
+    """Runs with decoded metrics; rows that break the metric contract are dropped.
 
-    A limit of 0, ``all`` or ``none`` reads every run. The limit applies before validation,
-    and sorts on the small key columns only.
+    A limit keeps the newest valid runs; None, 0, ``all`` or ``none`` keep every run.
     """
     unlimited = limit is None or str(limit).lower() in {"0", "all", "none"}
-    rows = raw if unlimited else raw.orderBy(F.col("ts").desc(), F.col("run_id").desc()).limit(int(limit))
-    parsed = rows.withColumn("metrics", F.try_parse_json("metrics_json"))
-    return validate_runs(parsed).filter("contract_error IS NULL")
+    parsed = raw.withColumn("metrics", F.try_parse_json("metrics_json"))
+    valid = validate_runs(parsed).filter("contract_error IS NULL")
+    return valid if unlimited else valid.orderBy(F.col("ts").desc(), F.col("run_id").desc()).limit(int(limit))
 
 
 def read_ledger(spark: SparkSession, path: str, table: str) -> DataFrame:
