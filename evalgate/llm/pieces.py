@@ -20,6 +20,7 @@ result; other columns are not looked at.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -47,7 +48,10 @@ class Vocabulary:
     scores: list[float]
     plain: list[bool]
     byte: list[int]
-    words: dict[str, list[int]] = field(default_factory=dict)
+    #: Pieces that merging their own text gives; worked out once and sent along.
+    good: frozenset[str] = frozenset()
+    #: Ids of words, as the bytes of 32-bit integers.
+    words: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.id = {p: i for i, p in enumerate(self.pieces) if self.plain[i]}
@@ -64,6 +68,7 @@ class Vocabulary:
         self.turn = re.compile(f"[^{SPACE}](?={SPACE})").search
         self.spine = lru_cache(maxsize=None)(self._spine)
         self.fits = lru_cache(maxsize=REMEMBERED)(self._fits)
+        self.good = self.good or frozenset(p for p in self.rank if self._spine(p) is not None)
         self.output = [bytes([b]) if b >= 0 else p.replace(SPACE, " ").encode() if ok else b"" for p, b, ok in zip(self.pieces, self.byte, self.plain, strict=True)]
 
     @classmethod
@@ -78,7 +83,7 @@ class Vocabulary:
         return cls(pieces, [model.get_score(i) for i in ids], plain, byte)
 
     def __getstate__(self) -> tuple:
-        return self.pieces, self.scores, self.plain, self.byte
+        return self.pieces, self.scores, self.plain, self.byte, self.good
 
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
@@ -120,7 +125,7 @@ class Vocabulary:
         An empty string stands for an edge, whose neighbour is free.
         """
         last = known + [None] * (len(text) + 1 - len(known))
-        rank, spine, fits, longest = self.rank, self.spine, self.fits, self.longest
+        good, fits, longest = self.good, self.fits, self.longest
         latest = max((p for p, piece in enumerate(known) if piece is not None), default=-longest)
         for end in range(len(known), len(text) + 1):
             if end - latest > longest:
@@ -130,26 +135,54 @@ class Vocabulary:
                 if before is None:
                     continue
                 piece = text[begin:end]
-                if (end - begin == 1 or (piece in rank and spine(piece) is not None)) and (not before or fits(before, piece)):
+                if (end - begin == 1 or piece in good) and (not before or fits(before, piece)):
                     last[end] = piece
                     latest = end
                     break
         return last
 
-    def word(self, text: str) -> list[int]:
+    def searched(self, text: str) -> list[str]:
+        """The path of weight 0 through a word, the longest piece first.
+
+        What leads to a place is the encoding of the text before it, so there is one state at each place, and a place
+        without a way on is dead for good.
+        """
+        n, at, before, size = len(text), 0, "", min(self.longest, len(text))
+        good, fits, found, dead = self.good, self.fits, [], set()
+        while at < n:
+            while size:
+                piece = text[at : at + size]
+                if (size == 1 or piece in good) and at + size not in dead and (not before or fits(before, piece)):
+                    break
+                size -= 1
+            if size:
+                found.append(piece)
+                at, before = at + size, piece
+                size = min(self.longest, n - at)
+            else:
+                dead.add(at)
+                size = len(found.pop())
+                at, size, before = at - size, size - 1, found[-1] if found else ""
+        return found
+
+    def word(self, text: str) -> bytes:
         """Ids of a stretch without a space after its first character."""
-        if (ids := self.words.get(text)) is not None:
-            return ids
-        ids = self._traced(self.forward(text, [""]), 0, len(text))
+        ids = self.packed(self.searched(text))
         if len(text) <= 32:
             if len(self.words) >= REMEMBERED:
                 self.words.clear()
             self.words[text] = ids
         return ids
 
-    def ids(self, piece: str) -> list[int]:
-        i = self.id.get(piece)
-        return [i] if i is not None else [self.byte_id[b] for b in piece.encode("utf-8", "replace")]
+    def packed(self, found: list[str]) -> bytes:
+        """Ids of pieces; a character that is none becomes byte pieces."""
+        get, out = self.id.get, array("i")
+        for piece in found:
+            if (i := get(piece)) is not None:
+                out.append(i)
+            else:
+                out.extend([self.byte_id[b] for b in piece.encode("utf-8", "replace")])
+        return out.tobytes()
 
     def spaces(self, count: int) -> list[int]:
         """Pieces of a run of spaces: equal scores, so the leftmost two neighbours that make a piece are merged first."""
@@ -163,8 +196,9 @@ class Vocabulary:
                 at += 1
         return [self.id[SPACE * n] for n in parts]
 
-    def with_runs(self, ids: np.ndarray) -> np.ndarray:
+    def with_runs(self, packed: bytes) -> np.ndarray:
         """Ids with runs of single spaces merged."""
+        ids = np.frombuffer(packed, dtype=np.int32)
         space = ids == self.id[SPACE]
         if not (space[1:] & space[:-1]).any():
             return ids
@@ -175,14 +209,13 @@ class Vocabulary:
             at = hi
         return np.concatenate([*out, ids[at:]])
 
-    def encode_whole(self, normal: str) -> list[int]:
+    def encode_whole(self, normal: str) -> bytes:
         """Ids of a whole normalised text, runs of spaces not yet merged."""
-        word = self.word
-        return [i for w in self.split(normal) for i in word(w)]
+        get, word = self.words.get, self.word
+        return b"".join([get(w) or word(w) for w in self.split(normal)])
 
-    def decode(self, ids: list[int] | np.ndarray) -> str:
-        output = self.output
-        text = b"".join([output[i] for i in ids]).decode("utf-8", "replace")
+    def decode(self, ids: list[int]) -> str:
+        text = b"".join(map(self.output.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
     # chunks of a long document
@@ -196,7 +229,7 @@ class Vocabulary:
         for begin in range(max(0, cut - self.longest), cut):
             for end in range(cut, min(len(joint), begin + self.longest) + 1):
                 piece = joint[begin:end]
-                if len(piece) == 1 or (piece in self.rank and self.spine(piece) is not None):
+                if len(piece) == 1 or piece in self.good:
                     found.append((cut - begin, piece))
         return found
 
@@ -239,7 +272,7 @@ class Vocabulary:
         ends = [(end, last[end]) for end in range(n, min(len(last), n + self.longest)) if last[end]]
         return [(n - (end - len(piece)), piece) for end, piece in ends if end - len(piece) < n]
 
-    def trace(self, before: str, body: str, after: str, entry: State, leave: State) -> list[int]:
+    def trace(self, before: str, body: str, after: str, entry: State, leave: State) -> bytes:
         """Ids of the pieces that begin in a chunk, between its two states."""
         turns, known = self.word_starts(body), self._entered(entry)
         end = len(body) if leave == EDGE else len(body) - leave[0] + len(leave[1])
@@ -250,12 +283,12 @@ class Vocabulary:
         head = self._traced(self.forward(body[:first], known), len(known) - 1, first)
         return head + self.encode_whole(body[first:last]) + self._traced(self.forward(text[last:], [""]), 0, end - last)
 
-    def _traced(self, last: list[str | None], start: int, end: int) -> list[int]:
+    def _traced(self, last: list[str | None], start: int, end: int) -> bytes:
         found = []
         while end > start:
             found.append(last[end])
             end -= len(last[end])
-        return [i for piece in reversed(found) for i in self.ids(piece)]
+        return self.packed(found[::-1])
 
 
 Matrix = frozenset[tuple[State, State]]
@@ -310,7 +343,7 @@ def encoded(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFram
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = shared.value
         for batch in batches:
-            found = [book.with_runs(np.array(book.encode_whole(normal(t)), dtype=np.int32)) for t in batch.column(2).to_pylist()]
+            found = [book.with_runs(book.encode_whole(normal(t))) for t in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(1), _list(found)], names=["doc_id", "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,13 +375,13 @@ def encoded(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFram
         for batch in batches:
             found = []
             for before, body, after, between in zip(*[batch.column(c).to_pylist() for c in ("before", "body", "after", "between")], strict=True):
-                found.append(np.array(book.trace(before, body, after, *_read(between)), dtype=np.int32))
+                found.append(np.frombuffer(book.trace(before, body, after, *_read(between)), dtype=np.int32))
             yield pa.record_batch([*[batch.column(c) for c in ("row", "doc_id", "chunk")], _list(found)], names=["row", "doc_id", "chunk", "ids"])
 
     def run_merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = shared.value
         for batch in batches:
-            found = [book.with_runs(np.array(ids, dtype=np.int32)) for ids in batch.column(1).to_pylist()]
+            found = [book.with_runs(np.array(ids, dtype=np.int32).tobytes()) for ids in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), _list(found)], names=["doc_id", "ids"])
 
     chunks = rows.filter(long).mapInArrow(cut, CUTS).repartition("row", "chunk")
