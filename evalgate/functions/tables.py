@@ -128,7 +128,7 @@ QUALITY_ACTIONS = {
 }
 
 # Fixed value: configuration section that holds planner metadata.
-PLANNER_SECTION = "autoresearch"
+PLANNER_SECTION = "planner"
 
 HELD_OUT_MODES = ["cross-segment", "cross-scroll", "leave-one-segment-out"]
 COST_RANK = {"cheap": 0, "normal": 1, "expensive": 2}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evalgate.functions.columns import falsy_zero, first_reason, floored_ratio, grouped, null_safe_join, reasons
-from evalgate.functions.tables import HELD_OUT_MODES, PLANNER_SECTION
+from evalgate.functions.tables import HELD_OUT_MODES, PLANNER_SECTION, SEARCH_DEFAULTS
 from evalgate.operators.rules import cost_rank, is_robust, lookup, mutation_family, scope_priority, validation_priority
 
 HARD_SEGMENTS = ["20230530172803", "20230522181603"]
@@ -285,68 +285,94 @@ def failure_context(runs: DataFrame, by: list[str], n: int) -> tuple[DataFrame,
 # ---------------------------------------------------------------- proposals
 
 
-# Planner change rules as (ordinal, model, path, factor, addend, floor, ceiling, word, guard low, guard high).
-# A rule applies to values in [guard low, guard high); "toggle" flips a boolean; the new number is
-# value * factor + addend, held between floor and ceiling.
+# Planner change rules as (ordinal, model, path, default, factor, addend, low, high, digits, word, guard low, guard high,
+# other path, what it must hold). The new number is value * factor + addend between low and high, with the default for an absent
+# value; 0 digits stand for whole numbers, whose products are floored. A word is set as it is, "toggle" flips a boolean. A rule
+# applies to values in [guard low, guard high). Another path must be "positive", "absent" or hold a word.
 PLANNER_RULES = [
-    (0, "torch", "training.learning_rate", 0.6, 0.0, 0.001, 0.25, None, None, None),
-    (1, "torch", "training.learning_rate", 1.5, 0.0, 0.001, 0.006, None, None, None),
-    (2, "torch", "training.positive_rate_loss_tolerance", 0.5, 0.0, 0.001, 0.02, None, None, None),
-    (3, "torch", "training.positive_rate_loss_tolerance", 1.5, 0.0, 0.001, 0.02, None, None, None),
-    (4, "torch", "training.positive_rate_loss_tolerance", 0.0, 0.008, 0.001, 0.02, None, None, None),
-    (5, "torch", "training.positive_rate_loss_weight", 1.0, -0.02, 0.0, 0.1, None, None, None),
-    (6, "torch", "training.positive_rate_loss_weight", 1.0, 0.02, 0.0, 0.1, None, None, None),
-    (7, "torch", "training.dice_loss_weight", 1.0, -0.15, 0.0, 0.8, None, None, None),
-    (8, "torch", "training.dice_loss_weight", 1.0, 0.15, 0.0, 0.8, None, None, None),
-    (9, "torch", "training.focal_loss_weight", 0.0, 0.1, 0.0, 0.5, None, None, None),
-    (10, "torch", "training.focal_loss_weight", 0.0, 0.2, 0.0, 0.5, None, None, None),
-    (11, "torch", "training.tversky_loss_weight", 0.0, 0.15, 0.0, 0.5, None, None, None),
-    (12, "torch", "training.tversky_beta", 0.0, 0.8, 0.1, 0.9, None, None, None),
-    (13, "torch", "training.sampling_strategy", 0.0, 0.0, 0.0, 0.0, "hard_mining", None, None),
-    (14, "torch", "training.sampling_curriculum", 0.0, 0.0, 0.0, 0.0, "warmup_then_hard", None, None),
-    (15, "torch", "evaluation.threshold", 0.0, 0.35, 0.05, 0.95, None, None, None),
-    (16, "torch", "evaluation.max_pred_positive_rate_ratio", 0.0, 2.5, 1.5, 3.5, None, 3.0, None),
-    (17, "torch", "evaluation.max_pred_positive_rate_ratio", 0.0, 3.0, 1.5, 3.5, None, None, 3.0),
-    (18, "torch", "evaluation.max_pred_positive_rate_ratio", 0.0, 3.5, 1.5, 3.5, None, 3.0, None),
-    (19, "torch", "evaluation.max_pred_positive_rate_ratio", 0.0, 2.75, 1.5, 3.5, None, None, None),
-    (20, "torch", "balanced_calibration", 0.0, 0.0, 0.0, 0.0, '{"max_pred_positive_rate_ratio":2.75,"positive_rate_loss_tolerance":0.008}', None, None),
-    (21, "torch", "balanced_calibration", 0.0, 0.0, 0.0, 0.0, '{"max_pred_positive_rate_ratio":3.0,"positive_rate_loss_weight":0.1}', None, None),
-    (22, "torch", "model.base_channels", 0.5, 0.0, 4.0, 16.0, None, None, None),
-    (23, "torch", "model.base_channels", 2.0, 0.0, 4.0, 16.0, None, None, None),
-    (24, "torch", "training.epochs", 1.0, -1.0, 2.0, 20.0, None, None, None),
-    (25, "torch", "training.epochs", 1.0, 1.0, 2.0, 8.0, None, None, None),
-    (26, "torch", "training.batch_size", 0.5, 0.0, 2.0, 32.0, None, None, None),
-    (27, "torch", "training.max_train_samples", 0.0, 1024.0, 1.0, 4096.0, None, None, 1.0),
-    (28, "torch", "training.augment_flips", 0.0, 0.0, 0.0, 0.0, "toggle", None, None),
-    (29, "torch", "training.augment_rotation", 0.0, 0.0, 0.0, 0.0, "toggle", None, None),
-    (30, "torch", "evaluation.tta_flips", 0.0, 0.0, 0.0, 0.0, "toggle", None, None),
-    (31, "torch", "training.seed", 1.0, 17.0, 0.0, 1e18, None, None, None),
-    (32, "torch", "dataset.z_offsets", 0.0, 0.0, 0.0, 0.0, "[-4,0,4]", None, None),
-    (33, "torch", "dataset.z_offsets", 0.0, 0.0, 0.0, 0.0, "[-6,-3,0,3,6]", None, None),
-    (0, "numpy", "training.pos_weight", 0.5, 0.0, 0.25, 25.0, None, None, None),
-    (1, "numpy", "training.pos_weight", 1.25, 0.0, 0.25, 8.0, None, None, None),
-    (2, "numpy", "training.learning_rate", 0.6, 0.0, 0.005, 0.25, None, None, None),
-    (3, "numpy", "training.learning_rate", 1.6, 0.0, 0.001, 0.25, None, None, None),
-    (4, "numpy", "training.weight_decay", 0.5, 0.0, 0.0, 0.05, None, None, None),
-    (5, "numpy", "training.weight_decay", 3.0, 0.0, 0.0000001, 0.05, None, None, None),
-    (6, "numpy", "training.epochs", 1.0, -2.0, 2.0, 20.0, None, None, None),
-    (7, "numpy", "training.epochs", 1.0, 3.0, 2.0, 20.0, None, None, None),
-    (8, "numpy", "model.depth", 0.0, 2.0, 1.0, 3.0, None, None, 2.0),
-    (9, "numpy", "model.depth", 0.0, 1.0, 1.0, 3.0, None, 2.0, None),
-    (10, "numpy", "model.depth", 0.0, 3.0, 1.0, 3.0, None, None, 3.0),
-    (11, "numpy", "training.seed", 1.0, 17.0, 0.0, 1e18, None, None, None),
-    (12, "numpy", "model.name", 0.0, 0.0, 0.0, 0.0, "tiny_numpy_mlp", None, None),
-    (13, "mlp", "model.hidden_units", 0.5, 0.0, 8.0, 96.0, None, None, None),
-    (14, "mlp", "model.hidden_units", 2.0, 0.0, 8.0, 96.0, None, None, None),
-    (15, "mlp", "training.max_train_pixels", 2.0, 0.0, 100000.0, 1200000.0, None, None, None),
-    (16, "mlp", "training.max_train_pixels", 0.5, 0.0, 100000.0, 1200000.0, None, None, None),
-    (17, "mlp", "training.sample_positive_fraction", 0.0, 0.25, 0.05, 0.95, None, None, None),
+    (0, "torch", "training.learning_rate", "0.2", 0.6, 0.0, 0.001, 0.25, 6, None, None, None, None, None),
+    (1, "torch", "training.learning_rate", "0.2", 1.5, 0.0, 0.001, 0.006, 6, None, None, None, None, None),
+    (2, "torch", "training.positive_rate_loss_tolerance", "0.02", 0.5, 0.0, 0.001, 0.02, 4, None, None, None, None, None),
+    (3, "torch", "training.positive_rate_loss_tolerance", "0.02", 1.5, 0.0, 0.001, 0.02, 4, None, None, None, None, None),
+    (4, "torch", "training.positive_rate_loss_tolerance", "0.02", 0.0, 0.008, 0.001, 0.02, 4, None, None, None, None, None),
+    (5, "torch", "training.positive_rate_loss_weight", "0.0", 1.0, -0.02, 0.0, 0.1, 4, None, None, None, None, None),
+    (6, "torch", "training.positive_rate_loss_weight", "0.0", 1.0, 0.02, 0.0, 0.1, 4, None, None, None, None, None),
+    (7, "torch", "training.dice_loss_weight", "0.0", 1.0, -0.15, 0.0, 0.8, 4, None, None, None, None, None),
+    (8, "torch", "training.dice_loss_weight", "0.0", 1.0, 0.15, 0.0, 0.8, 4, None, None, None, None, None),
+    (9, "torch", "training.focal_loss_weight", "0.0", 0.0, 0.1, 0.0, 0.5, 4, None, None, None, None, None),
+    (10, "torch", "training.focal_loss_weight", "0.0", 0.0, 0.2, 0.0, 0.5, 4, None, None, None, None, None),
+    (11, "torch", "training.tversky_loss_weight", None, 0.0, 0.15, 0.0, 0.5, 4, None, None, None, None, None),
+    (12, "torch", "training.tversky_beta", None, 0.0, 0.8, 0.1, 0.9, 4, None, None, None, None, None),
+    (13, "torch", "training.sampling_strategy", None, 0.0, 0.0, 0.0, 0.0, 4, "hard_mining", None, None, None, None),
+    (14, "torch", "training.sampling_curriculum", None, 0.0, 0.0, 0.0, 0.0, 4, "warmup_then_hard", None, None, "training.sampling_curriculum", "absent"),
+    (15, "torch", "evaluation.threshold", None, 0.0, 0.35, 0.05, 0.95, 4, None, None, None, None, None),
+    (16, "torch", "evaluation.max_pred_positive_rate_ratio", "3.0", 0.0, 2.5, 1.5, 3.5, 4, None, 3.0, None, None, None),
+    (16, "torch", "evaluation.max_pred_positive_rate_ratio", "3.0", 0.0, 3.0, 1.5, 3.5, 4, None, None, 3.0, None, None),
+    (17, "torch", "evaluation.max_pred_positive_rate_ratio", "3.0", 0.0, 3.0, 1.5, 3.5, 4, None, None, 3.0, None, None),
+    (17, "torch", "evaluation.max_pred_positive_rate_ratio", "3.0", 0.0, 3.5, 1.5, 3.5, 4, None, 3.0, None, None, None),
+    (18, "torch", "evaluation.max_pred_positive_rate_ratio", "3.0", 0.0, 2.75, 1.5, 3.5, 4, None, None, None, None, None),
+    (19, "torch", "balanced_calibration", None, 0.0, 0.0, 0.0, 0.0, 4, '{"max_pred_positive_rate_ratio":2.75,"positive_rate_loss_tolerance":0.008}', None, None, None, None),
+    (20, "torch", "balanced_calibration", None, 0.0, 0.0, 0.0, 0.0, 4, '{"max_pred_positive_rate_ratio":3.0,"positive_rate_loss_weight":0.1}', None, None, None, None),
+    (21, "torch", "model.base_channels", "8", 0.5, 0.0, 4.0, 16.0, 0, None, None, None, None, None),
+    (22, "torch", "model.base_channels", "8", 2.0, 0.0, 4.0, 16.0, 0, None, None, None, None, None),
+    (23, "torch", "training.epochs", "5", 1.0, -1.0, 2.0, 20.0, 0, None, None, None, None, None),
+    (24, "torch", "training.epochs", "5", 1.0, 1.0, 2.0, 8.0, 0, None, None, None, None, None),
+    (25, "torch", "training.batch_size", "8", 0.5, 0.0, 2.0, 32.0, 0, None, None, None, None, None),
+    (26, "torch", "training.max_train_samples", "512", 1.0, 0.0, 1.0, 4096.0, 0, None, 1.0, None, None, None),
+    (26, "torch", "training.max_train_samples", "512", 0.0, 1024.0, 1.0, 4096.0, 0, None, None, 1.0, None, None),
+    (27, "torch", "training.augment_flips", "false", 0.0, 0.0, 0.0, 0.0, 4, "toggle", None, None, None, None),
+    (28, "torch", "training.augment_rotation", "false", 0.0, 0.0, 0.0, 0.0, 4, "toggle", None, None, None, None),
+    (29, "torch", "evaluation.tta_flips", "false", 0.0, 0.0, 0.0, 0.0, 4, "toggle", None, None, None, None),
+    (30, "torch", "training.seed", "1337", 1.0, 17.0, 0.0, 1e18, 0, None, None, None, None, None),
+    (31, "torch", "training.focal_gamma", None, 0.0, 2.0, 0.5, 5.0, 4, None, None, None, "training.focal_loss_weight", "positive"),
+    (32, "torch", "training.focal_gamma", None, 0.0, 3.0, 0.5, 5.0, 4, None, None, None, "training.focal_loss_weight", "positive"),
+    (33, "torch", "training.hard_negative_fraction", None, 0.0, 0.85, 0.1, 0.9, 4, None, None, None, "training.sampling_strategy", "hard_mining"),
+    (34, "torch", "dataset.z_offsets", None, 0.0, 0.0, 0.0, 0.0, 4, "[-4,0,4]", None, None, None, None),
+    (35, "torch", "dataset.z_offsets", None, 0.0, 0.0, 0.0, 0.0, 4, "[-6,-3,0,3,6]", None, None, None, None),
+    (0, "numpy", "training.pos_weight", "2.0", 0.5, 0.0, 0.25, 25.0, 4, None, None, None, None, None),
+    (1, "numpy", "training.pos_weight", "2.0", 1.25, 0.0, 0.25, 8.0, 4, None, None, None, None, None),
+    (2, "numpy", "training.learning_rate", "0.2", 0.6, 0.0, 0.005, 0.25, 5, None, None, None, None, None),
+    (3, "numpy", "training.learning_rate", "0.2", 1.6, 0.0, 0.001, 0.25, 5, None, None, None, None, None),
+    (4, "numpy", "training.weight_decay", "0.0", 0.5, 0.0, 0.0, 0.05, 7, None, None, None, None, None),
+    (5, "numpy", "training.weight_decay", "0.0", 0.0, 0.0003, 0.0000001, 0.05, 7, None, None, 1e-300, None, None),
+    (5, "numpy", "training.weight_decay", "0.0", 3.0, 0.0, 0.0000001, 0.05, 7, None, 1e-300, None, None, None),
+    (6, "numpy", "training.epochs", "5", 1.0, -2.0, 2.0, 20.0, 0, None, None, None, None, None),
+    (7, "numpy", "training.epochs", "5", 1.0, 3.0, 2.0, 20.0, 0, None, None, None, None, None),
+    (8, "numpy", "model.depth", "2", 0.0, 2.0, 1.0, 3.0, 0, None, None, 2.0, None, None),
+    (8, "numpy", "model.depth", "2", 0.0, 1.0, 1.0, 3.0, 0, None, 2.0, 3.0, None, None),
+    (8, "numpy", "model.depth", "2", 0.0, 2.0, 1.0, 3.0, 0, None, 3.0, None, None, None),
+    (9, "numpy", "model.depth", "2", 0.0, 3.0, 1.0, 3.0, 0, None, None, 3.0, None, None),
+    (9, "numpy", "model.depth", "2", 0.0, 1.0, 1.0, 3.0, 0, None, 3.0, None, None, None),
+    (10, "numpy", "training.seed", "1337", 1.0, 17.0, 0.0, 1e18, 0, None, None, None, None, None),
+    (11, "numpy", "model.name", "tiny_numpy_ink_logreg", 0.0, 0.0, 0.0, 0.0, 4, "tiny_numpy_mlp", None, None, None, None),
+    (12, "mlp", "model.hidden_units", "24", 0.5, 0.0, 8.0, 96.0, 0, None, None, None, None, None),
+    (13, "mlp", "model.hidden_units", "24", 2.0, 0.0, 8.0, 96.0, 0, None, None, None, None, None),
+    (14, "mlp", "training.max_train_pixels", "600000", 2.0, 0.0, 100000.0, 1200000.0, 0, None, None, None, None, None),
+    (15, "mlp", "training.max_train_pixels", "600000", 0.5, 0.0, 100000.0, 1200000.0, 0, None, None, None, None, None),
+    (16, "mlp", "training.sample_positive_fraction", None, 0.0, 0.25, 0.05, 0.95, 4, None, None, None, "training.sample_positive_fraction", "not 0.25"),
+    (16, "mlp", "training.sample_positive_fraction", None, 0.0, 0.5, 0.05, 0.95, 4, None, None, None, "training.sample_positive_fraction", "0.25"),
 ]
 
+# Paths that a change sets besides its own, and those that it fills where they are absent.
+ALSO_SET = {
+    '{"max_pred_positive_rate_ratio":2.75,"positive_rate_loss_tolerance":0.008}': {"evaluation.max_pred_positive_rate_ratio": "2.75", "training.positive_rate_loss_tolerance": "0.008"},
+    '{"max_pred_positive_rate_ratio":3.0,"positive_rate_loss_weight":0.1}': {"evaluation.max_pred_positive_rate_ratio": "3.0", "training.positive_rate_loss_weight": "0.1"},
+    "training.tversky_beta": {"training.tversky_alpha": "0.2"},
+}
+ALSO_FILLED = {
+    "hard_mining": {"training.hard_negative_fraction": "0.5"},
+    "training.tversky_loss_weight": {"training.tversky_alpha": "0.3", "training.tversky_beta": "0.7"},
+    "training.tversky_beta": {"training.tversky_loss_weight": "0.15"},
+}
+
 
 def planner_rules(spark) -> DataFrame:
+    """The rules as a table; its size is fixed."""
+    extra = [(ALSO_SET.get(r[9], ALSO_SET.get(r[2], {})), ALSO_FILLED.get(r[9], ALSO_FILLED.get(r[2], {}))) for r in PLANNER_RULES]
     return spark.createDataFrame(
-        PLANNER_RULES, "ordinal int, model string, path string, factor double, addend double, floor double, ceiling double, word string, guard_low double, guard_high double")
+        [(*r, *e) for r, e in zip(PLANNER_RULES, extra)],
+        "ordinal int, model string, path string, default string, factor double, addend double, floor double, ceiling double, digits int, word string, "
+        "guard_low double, guard_high double, other string, holds string, sets map<string,string>, fills map<string,string>")
 
 
 def _number() -> Column:
@@ -367,22 +393,65 @@ def _changed() -> Column:
     return new.isNotNull() & ~F.coalesce(new.try_cast("double") == old.try_cast("double"), new == old)
 
 
-def expand_candidates(bases: DataFrame, rules: DataFrame, by: list[str], tested: DataFrame, pending: DataFrame | None = None) -> DataFrame:
-    """One change per candidate.
+def _leaf(path: Column | str) -> Column:
+    return F.try_element_at("leaves", F.lit(path) if isinstance(path, str) else path)
+
+
+def changed_signature(path: Column, proposed: Column, sets: Column, fills: Column) -> Column:
+    """Search signature of the configuration in ``leaves`` after a change (none for a null path); depth above 3 counts as 3."""
+    def held(w: Column) -> Column:
+        own = F.coalesce(F.try_element_at(sets, w["p"]), _leaf(w["p"]), F.try_element_at(fills, w["p"]), w["d"])
+        text = F.when(w["p"].eqNullSafe(path), proposed).otherwise(own)
+        number = F.round(text.try_cast("double"), 10)
+        return F.coalesce(F.when((w["p"] == "model.depth") & (number > 3), "3.0"), number.cast("string"), text)
+
+    wanted = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(d).alias("d")) for p, d in SEARCH_DEFAULTS.items()])
+    return F.sha2(F.array_join(F.transform(wanted, held), "|"), 256)
+
+
+def base_documents(bases: DataFrame, by: list[str]) -> DataFrame:
+    """One row per base with its leaves as a map, from flattened configurations (base_id, model_name, path, value as text)."""
+    found = F.map_from_entries(F.collect_list(F.when(F.col("path") != "model.name", F.struct("path", "value"))))
+    return bases.groupBy(*by, "base_id", "model_name").agg(F.map_concat(found, F.create_map(F.lit("model.name"), "model_name")).alias("leaves"))
 
-    ``bases`` are flattened configs (base_id, model_name, path, value as text) and ``rules`` the
-    planner table, whose size is fixed. Rules meet bases by an equi-join on the path; no-ops and
-    (path, value) changes already tested or pending in the group are removed by an anti join.
+
+def search_signatures(docs: DataFrame, by: list[str]) -> DataFrame:
+    """Signatures of the configurations as they are, for the novelty test."""
+    none = F.create_map().cast("map<string,string>")
+    return docs.select(*by, changed_signature(F.lit(None).cast("string"), F.lit(None).cast("string"), none, none).alias("candidate_signature")).distinct()
+
+
+def expand_candidates(docs: DataFrame, rules: DataFrame, by: list[str], tested: DataFrame) -> DataFrame:
+    """One change per candidate of every base (``base_documents``), with the signature of the changed configuration.
+
+    Rules meet bases by the kind of model, so that an absent path counts with its default. No-ops, repeated changes
+    and changes whose signature the group has tested are left out.
     """
-    joined = bases.join(F.broadcast(rules), "path")
-    number = _number()
     name = F.col("model_name")
-    fits = (F.when(F.col("model") == "torch", name.contains("torch")).when(F.col("model") == "mlp", name == "tiny_numpy_mlp")
-            .otherwise(~name.contains("torch")))
+    kinds = F.when(name.contains("torch"), F.array(F.lit("torch"))).when(name == "tiny_numpy_mlp", F.array(F.lit("numpy"), F.lit("mlp"))).otherwise(F.array(F.lit("numpy")))
+    # the rules are a table of fixed size
+    each = docs.withColumn("model", F.explode(kinds)).join(F.broadcast(rules), "model")
+    each = each.withColumn("real", _leaf(F.col("path"))).withColumn("value", F.coalesce("real", "default"))
+    number, other, holds = _number(), _leaf(F.col("other")), F.col("holds")
+    met = (F.when(holds.isNull(), True).when(holds == "positive", other.try_cast("double") > 0).when(holds == "absent", F.coalesce(other, F.lit("")).isin("", "null"))
+           .when(holds == "not 0.25", ~F.coalesce(other.try_cast("double") == 0.25, F.lit(False))).otherwise(F.coalesce(other.try_cast("double") == holds.try_cast("double"), other == holds)))
     guarded = F.coalesce(number >= F.col("guard_low"), F.col("guard_low").isNull()) & F.coalesce(number < F.col("guard_high"), F.col("guard_high").isNull())
-    out = joined.filter(fits & guarded).withColumn("proposed", _proposed()).filter(_changed())
-    seen = tested if pending is None else tested.unionByName(pending)
-    return out.join(seen.select(*by, "path", "proposed"), [*by, "path", "proposed"], "left_anti")
+    whole = F.col("digits") == 0
+    product = F.when(F.col("factor") == 0, 0.0).otherwise(F.when(whole, F.floor(number * F.col("factor"))).otherwise(number * F.col("factor")))
+    moved = F.least(F.greatest(product + F.col("addend"), F.col("floor")), F.col("ceiling"))
+    text = F.when(whole, moved.cast("long").cast("string")).otherwise(
+        F.round(F.expr("CASE digits WHEN 4 THEN round(moved, 4) WHEN 5 THEN round(moved, 5) WHEN 6 THEN round(moved, 6) ELSE round(moved, 7) END"), 7).cast("string"))
+    flipped = F.when(F.lower("value") == "true", "false").otherwise("true")
+    out = each.filter(F.coalesce(met, F.lit(False)) & guarded).withColumn("moved", moved)
+    out = out.withColumn("proposed", F.when(F.col("word") == "toggle", flipped).otherwise(F.coalesce("word", text)))
+    same = F.coalesce(F.col("proposed").try_cast("double") == F.col("real").try_cast("double"), F.col("proposed") == F.col("real"), F.lit(False))
+    in_place = (F.size("sets") > 0) & F.col("word").isNotNull() & F.forall(F.map_entries("sets"), lambda e: F.coalesce(
+        _leaf(e["key"]).try_cast("double") == e["value"].try_cast("double"), F.lit(False)))
+    out = out.filter(F.col("proposed").isNotNull() & ~same & ~in_place)
+    out = top_rows(out, [*by, "base_id", "path", "proposed"], [F.col("ordinal")], 1, "_repeat").drop("_repeat")
+    out = out.withColumn("candidate_signature", changed_signature(F.col("path"), F.col("proposed"), F.col("sets"), F.col("fills")))
+    out = out.join(tested.select(*by, "candidate_signature"), [*by, "candidate_signature"], "left_anti")
+    return out.select(*by, "base_id", "model_name", "ordinal", "model", "path", F.col("real").alias("value"), "proposed", "candidate_signature")
 
 
 # Relevance of a mutation family to a hard fold near prevalence.

@@ -139,7 +139,7 @@ def i6(spark, sf):
     return L.upsert_diagnoses(base.select(*cols), new)
 
 
-_LINEAGE_DOC = """concat('{"autoresearch":{', CASE WHEN run_id%3>0 THEN concat('"hypothesis_id":"hyp_', signature, '_', val_segment, '",') ELSE '' END, '"proposal_id":"p', run_id, '","changed_path":"training.seed","proposal_score":', val_f1,
+_LINEAGE_DOC = """concat('{"planner":{', CASE WHEN run_id%3>0 THEN concat('"hypothesis_id":"hyp_', signature, '_', val_segment, '",') ELSE '' END, '"proposal_id":"p', run_id, '","changed_path":"training.seed","proposal_score":', val_f1,
  CASE WHEN run_id%2=0 THEN concat(',"parent_reason":"reason ', val_segment, '"') ELSE '' END, ',"mutation_family":"replication","score_reasons":["a","b"]}}')"""
 
 
@@ -191,29 +191,64 @@ def i9_family(spark, sf):
 
 
 def _sql_value(v):
-    return "NULL" if v is None else repr(v) if isinstance(v, str) else f"{v:.8f}::DOUBLE" if isinstance(v, float) else str(v)
+    return "NULL" if v is None else repr(v) if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v)
 
 
 _PLAN_SQL = "(VALUES " + ", ".join("(" + ", ".join(_sql_value(v) for v in rule) + ")" for rule in L.PLANNER_RULES) + \
-    ") r(ordinal, model, path, factor, addend, floor, ceiling, word, guard_low, guard_high)"
+    ") r(ordinal, model, path, standard, factor, addend, low, high, digits, word, guard_low, guard_high, other, holds)"
 _BASE_PATHS = {"training.learning_rate": "CAST(val_f1 AS {s})", "training.epochs": "CAST(run_id%9 AS {s})", "evaluation.threshold": "'0.35'",
                "training.sampling_strategy": "CASE WHEN run_id%2=0 THEN 'hard_mining' ELSE 'random' END", "training.pos_weight": "CASE WHEN run_id%3=0 THEN 'auto' ELSE '2.0' END",
-               "evaluation.max_pred_positive_rate_ratio": "CASE WHEN run_id%4=0 THEN '2.5' ELSE '3.0' END", "training.augment_flips": "CASE WHEN run_id%5=0 THEN 'true' ELSE 'false' END"}
+               "evaluation.max_pred_positive_rate_ratio": "CASE WHEN run_id%4=0 THEN '2.5' ELSE '3.0' END", "training.augment_flips": "CASE WHEN run_id%5=0 THEN 'true' ELSE 'false' END",
+               "training.weight_decay": "CASE WHEN run_id%3=0 THEN '0.0' ELSE '0.001' END", "model.depth": "CAST(1+run_id%4 AS {s})", "model.base_channels": "CAST(7+run_id%5 AS {s})",
+               "training.sampling_curriculum": "CASE WHEN run_id%3=0 THEN 'other' ELSE '' END", "training.focal_loss_weight": "CASE WHEN run_id%2=0 THEN '0.1' ELSE '0.0' END",
+               "training.sample_positive_fraction": "CASE WHEN run_id%2=0 THEN '0.25' ELSE '0.3' END"}
+
+
+def _leaf_sql(of: str) -> str:
+    """Text of a leaf of the base in ``hd`` by its path."""
+    cases = " ".join(f"WHEN '{p}' THEN lv{i}" for i, p in enumerate(_BASE_PATHS))
+    return f"CASE {of} {cases} WHEN 'model.name' THEN model_name END"
+
+
+def _canonical_sql(changed: bool) -> str:
+    """All searched paths of a base as one text, after a change or as they are."""
+    def case(table: dict, p: str) -> list[str]:
+        return [f"WHEN word = '{k}' OR path = '{k}' THEN '{v[p]}'" for k, v in table.items() if p in v]
+
+    terms = []
+    for p, d in L.SEARCH_DEFAULTS.items():
+        own = [f"lv{list(_BASE_PATHS).index(p)}"] if p in _BASE_PATHS else ["model_name"] if p == "model.name" else []
+        sets, fills = (case(L.ALSO_SET, p), case(L.ALSO_FILLED, p)) if changed else ([], [])
+        held = ", ".join([*([f"CASE {' '.join(sets)} END"] if sets else []), *own, *([f"CASE {' '.join(fills)} END"] if fills else []), f"'{d}'"])
+        text = f"CASE WHEN path = '{p}' THEN proposed ELSE coalesce({held}) END" if changed else f"coalesce({held})"
+        number = f"round(try_cast({text} AS DOUBLE), 10)"
+        terms.append(f"coalesce(CAST({f'least({number}, 3.0)' if p == 'model.depth' else number} AS VARCHAR), {text})")
+    return f"md5(concat_ws('|', {', '.join(terms)}))"
+
+
 _BASE_CTE = f"""
-bs AS (SELECT run_id AS base_id, research_scope, model_name, unnest([{', '.join(repr(k) for k in _BASE_PATHS)}]) AS path, unnest([{', '.join(v.replace('{s}', 'VARCHAR') for v in _BASE_PATHS.values())}]) AS value FROM V_RUNS),
-ca0 AS (SELECT bs.*, ordinal, model, CASE WHEN word = 'toggle' THEN CASE WHEN value = 'true' THEN 'false' ELSE 'true' END ELSE coalesce(word, CASE WHEN factor = 0 OR coalesce(try_cast(value AS DOUBLE), CASE WHEN lower(value) = 'auto' THEN 2.0 END) IS NOT NULL THEN CAST(round(least(greatest(coalesce(coalesce(try_cast(value AS DOUBLE), CASE WHEN lower(value) = 'auto' THEN 2.0 END), 0)*factor+addend, floor), ceiling), 7) AS VARCHAR) END) END AS proposed
-  FROM bs JOIN {_PLAN_SQL} USING (path) WHERE CASE model WHEN 'torch' THEN model_name LIKE '%torch%' WHEN 'mlp' THEN model_name = 'tiny_numpy_mlp' ELSE model_name NOT LIKE '%torch%' END
-  AND coalesce(coalesce(try_cast(value AS DOUBLE), CASE WHEN lower(value) = 'auto' THEN 2.0 END) >= guard_low, guard_low IS NULL) AND coalesce(coalesce(try_cast(value AS DOUBLE), CASE WHEN lower(value) = 'auto' THEN 2.0 END) < guard_high, guard_high IS NULL)),
-ca AS (SELECT * FROM ca0 WHERE proposed IS NOT NULL AND NOT coalesce(try_cast(proposed AS DOUBLE) = try_cast(value AS DOUBLE), proposed = value)
-  AND NOT EXISTS (SELECT 1 FROM V_RUNS t WHERE t.research_scope = ca0.research_scope AND ca0.path = 'training.epochs' AND ca0.proposed = CAST(CAST(t.train_segment AS DOUBLE) AS VARCHAR)))"""
+hd AS (SELECT run_id AS base_id, research_scope, model_name, {', '.join(f"{v.replace('{s}', 'VARCHAR')} AS lv{i}" for i, v in enumerate(_BASE_PATHS.values()))} FROM V_RUNS),
+te AS (SELECT DISTINCT research_scope, {_canonical_sql(False)} AS sig FROM hd),
+hk AS (SELECT *, unnest(CASE WHEN model_name LIKE '%torch%' THEN ['torch'] WHEN model_name = 'tiny_numpy_mlp' THEN ['numpy', 'mlp'] ELSE ['numpy'] END) AS model FROM hd),
+ca1 AS (SELECT hk.*, r.* EXCLUDE (model), {_leaf_sql('r.path')} AS value, {_leaf_sql('r.other')} AS held FROM hk JOIN {_PLAN_SQL} USING (model)),
+ca2 AS (SELECT *, coalesce(try_cast(coalesce(value, standard) AS DOUBLE), CASE WHEN lower(coalesce(value, standard)) = 'auto' THEN 2.0 END) AS num FROM ca1),
+ca3 AS (SELECT *, least(greatest(CASE WHEN factor = 0 THEN 0 WHEN digits = 0 THEN floor(num*factor) ELSE num*factor END + addend, low), high) AS moved,
+  factor <> 0 AND num IS NULL AS unknown FROM ca2 WHERE coalesce(num >= guard_low, guard_low IS NULL) AND coalesce(num < guard_high, guard_high IS NULL)
+  AND CASE WHEN holds IS NULL THEN TRUE WHEN holds = 'positive' THEN try_cast(held AS DOUBLE) > 0 WHEN holds = 'absent' THEN coalesce(held, '') IN ('', 'null')
+   WHEN holds = 'not 0.25' THEN coalesce(try_cast(held AS DOUBLE) <> 0.25, TRUE) WHEN holds = '0.25' THEN try_cast(held AS DOUBLE) = 0.25 ELSE held = holds END),
+ca4 AS (SELECT *, CASE WHEN word = 'toggle' THEN CASE WHEN coalesce(value, standard) = 'true' THEN 'false' ELSE 'true' END WHEN word IS NOT NULL THEN word WHEN unknown THEN NULL
+  WHEN digits = 0 THEN CAST(CAST(moved AS BIGINT) AS VARCHAR) ELSE CAST(round(moved, CAST(digits AS INT)) AS VARCHAR) END AS proposed FROM ca3),
+ca5 AS (SELECT *, row_number() OVER (PARTITION BY base_id, path, proposed ORDER BY ordinal) AS again FROM ca4
+  WHERE proposed IS NOT NULL AND NOT coalesce(try_cast(proposed AS DOUBLE) = try_cast(value AS DOUBLE), proposed = value, FALSE)),
+ca6 AS (SELECT *, {_canonical_sql(True)} AS sig FROM ca5 WHERE again = 1),
+ca AS (SELECT base_id, research_scope, path, value, ordinal, proposed, sig FROM ca6 ANTI JOIN te USING (research_scope, sig))"""
 
 
 def candidates(spark, sf):
     r = views.runs(spark, sf)
     leaves = F.array(*[F.struct(F.lit(k).alias("path"), F.expr(v.replace("{s}", "STRING")).alias("value")) for k, v in _BASE_PATHS.items()])
-    bases = r.select(F.col("run_id").alias("base_id"), "research_scope", "model_name", F.inline(leaves))
-    tested = r.select("research_scope", F.lit("training.epochs").alias("path"), F.col("train_segment").cast("double").cast("string").alias("proposed")).distinct()
-    return L.expand_candidates(bases, L.planner_rules(spark), SCOPE, tested)
+    docs = L.base_documents(r.select(F.col("run_id").alias("base_id"), "research_scope", "model_name", F.inline(leaves)), SCOPE)
+    return L.expand_candidates(docs, L.planner_rules(spark), SCOPE, L.search_signatures(docs, SCOPE))
 
 
 @query("i10_candidates", f"WITH {_BASE_CTE} SELECT base_id, research_scope, path, value, ordinal, round(try_cast(proposed AS DOUBLE), 6) AS number, CASE WHEN try_cast(proposed AS DOUBLE) IS NULL THEN proposed END AS word FROM ca")
@@ -232,12 +267,12 @@ sc0 AS (SELECT ca.*, {_FAMILY_SQL.replace('changed_path', 'path')} AS family, CA
 sc1 AS (SELECT s.*, prior, dup, CASE cost_tier WHEN 'cheap' THEN 1.0 WHEN 'normal' THEN 0.4 ELSE -1.0 END AS c1,
   CASE WHEN hb THEN CASE WHEN s.family IN ('loss_calibration', 'data_sampling', 'z_context', 'balanced_calibration') THEN 1.5 ELSE -0.2 END END AS c2,
   CASE WHEN cal THEN CASE WHEN s.family IN ('loss_calibration', 'balanced_calibration', 'inference_calibration') THEN 1.2 ELSE 0.0 END END AS c3, CASE WHEN near AND path = 'evaluation.threshold' THEN -2.5 END AS c4,
-  CASE WHEN dup THEN -1.0 WHEN prior IS NOT NULL THEN -0.25 END AS c6 FROM sc0 s LEFT JOIN cf USING (research_scope) LEFT JOIN fm ON fm.research_scope = s.research_scope AND fm.family = s.family
+  CASE WHEN dup THEN -1.0 WHEN prior IS NOT NULL THEN -0.25 END AS c6, CASE WHEN s.family = 'replication' AND hb IS NOT NULL THEN -0.4 END AS c7 FROM sc0 s LEFT JOIN cf USING (research_scope) LEFT JOIN fm ON fm.research_scope = s.research_scope AND fm.family = s.family
   LEFT JOIN dp USING (research_scope, path)),
-scd AS (SELECT *, round(c1+coalesce(c2, 0)+coalesce(c3, 0)+coalesce(c4, 0)+coalesce(greatest(-1.0, least(1.0, prior)), 0)+coalesce(c6, 0), 6) AS score,
+scd AS (SELECT *, round(c1+coalesce(c2, 0)+coalesce(c3, 0)+coalesce(c4, 0)+coalesce(greatest(-1.0, least(1.0, prior)), 0)+coalesce(c6, 0)+coalesce(c7, 0), 6) AS score,
   concat_ws(',', 'cost_' || cost_tier, CASE WHEN c2 > 0 THEN 'hard_fold_relevant' END, CASE WHEN c2 <= 0 THEN 'weak_hard_fold_relevance' END, CASE WHEN c3 > 0 THEN 'calibration_relevant' END,
    CASE WHEN c4 IS NOT NULL THEN 'threshold_only_low_value_when_ap_near_prevalence' END, CASE WHEN prior IS NOT NULL THEN 'prior_family_performance' END, CASE WHEN dup THEN 'near_duplicate_changed_path' END,
-   CASE WHEN dup IS NULL AND prior IS NOT NULL THEN 'recent_family_penalty' END) AS why FROM sc1)"""
+   CASE WHEN dup IS NULL AND prior IS NOT NULL THEN 'recent_family_penalty' END, CASE WHEN c7 IS NOT NULL THEN 'replication_low_value_for_active_failures' END) AS why FROM sc1)"""
 
 
 def scored(spark, sf):
@@ -252,13 +287,15 @@ def i11(spark, sf):
     return s.select("base_id", "path", "ordinal", "family", "score", F.array_join("score_reasons", ",").alias("score_reasons"))
 
 
-@query("i12_selected_proposals", f"""WITH {LEDGER}, {GATE}, {_FAIL}, {_BASE_CTE}, {_SCORED}, z AS (SELECT *, base_id*100+ordinal AS ord, CASE cost_tier WHEN 'cheap' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END AS cr, concat(path, '=', proposed) AS sig FROM scd
+@query("i12_selected_proposals", f"""WITH {LEDGER}, {GATE}, {_FAIL}, {_BASE_CTE}, {_SCORED}, z AS (SELECT *, base_id*100+ordinal AS ord, CASE cost_tier WHEN 'cheap' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END AS cr, sig FROM scd
   WHERE family IN ('optimizer', 'data_sampling', 'loss_calibration')),
 f AS (SELECT *, row_number() OVER (PARTITION BY research_scope, family ORDER BY score DESC, cr, ord) AS fr FROM z), s AS (SELECT *, row_number() OVER (PARTITION BY research_scope, sig ORDER BY score DESC, cr, ord) AS sr FROM f WHERE fr = 1)
-SELECT research_scope, proposal_rank, base_id, path, proposed FROM (SELECT *, row_number() OVER (PARTITION BY research_scope ORDER BY score DESC, cr, ord) AS proposal_rank FROM s WHERE sr = 1) WHERE proposal_rank <= 3""")
+SELECT research_scope, proposal_rank, base_id, path, round(try_cast(proposed AS DOUBLE), 6) AS number, CASE WHEN try_cast(proposed AS DOUBLE) IS NULL THEN proposed END AS word FROM (SELECT *, row_number() OVER (PARTITION BY research_scope ORDER BY score DESC, cr, ord) AS proposal_rank FROM s WHERE sr = 1) WHERE proposal_rank <= 3""")
 def i12(spark, sf):
-    s = scored(spark, sf).withColumn("candidate_signature", F.concat_ws("=", "path", "proposed")).withColumn("ordinal", F.col("base_id") * 100 + F.col("ordinal"))
-    return L.select_proposals(s, SCOPE, 3, ["optimizer", "data_sampling", "loss_calibration"]).select("research_scope", "proposal_rank", "base_id", "path", "proposed")
+    s = scored(spark, sf).withColumn("ordinal", F.col("base_id") * 100 + F.col("ordinal"))
+    return L.select_proposals(s, SCOPE, 3, ["optimizer", "data_sampling", "loss_calibration"]).select(
+        "research_scope", "proposal_rank", "base_id", "path", F.round(F.col("proposed").try_cast("double"), 6).alias("number"),
+        F.when(F.col("proposed").try_cast("double").isNull(), F.col("proposed")).alias("word"))
 
 
 @query("i13_quality_planner", f"WITH {LEDGER}, {GATE} SELECT run_id, round(q, 9) AS quality FROM gq")

@@ -18,7 +18,7 @@ _CONFIG = """concat('{"model":{"name":"', model_name, '","depth":', run_id%5, '}
  ',"seeds":', CASE run_id%5 WHEN 0 THEN '[]' WHEN 1 THEN '[1,2]' ELSE 'null' END, ',"max_train_samples":', (run_id*13)%3000,
  ',"max_train_pixels":', ((run_id*17)%9)*100000, '},"evaluation":{"threshold":', CASE WHEN run_id%6=0 THEN '1.5' ELSE '0.5' END,
  ',"tta_flips":', CASE WHEN run_id%9=0 THEN 'true' ELSE 'false' END, ',"max_pred_positive_rate_ratio":', CASE run_id%4 WHEN 0 THEN 'null' ELSE '2.5' END,
- ',"min_pred_positive_rate_ratio":', CASE WHEN run_id%10=0 THEN '3.0' ELSE '0.1' END, '},"autoresearch":{',
+ ',"min_pred_positive_rate_ratio":', CASE WHEN run_id%10=0 THEN '3.0' ELSE '0.1' END, '},"planner":{',
  CASE run_id%3 WHEN 0 THEN '"run_profile":"exploration",' WHEN 1 THEN '"intent":"promotion_validation",' ELSE '' END,
  CASE WHEN run_id%2=0 THEN concat('"heldout_segment":"', val_segment, '",') ELSE '' END, '"scope_policy":"', research_scope, '"}}')"""
 CONFIG_CTE = f"cf AS (SELECT *, CAST({_CONFIG} AS JSON) AS doc FROM V_RUNS)"
@@ -92,11 +92,11 @@ def b3(spark, sf):
 
 
 @query("b4_nested_get", f"""WITH {CONFIG_CTE} SELECT run_id, coalesce(doc->>'$.model.name', '?') AS name, coalesce(CAST(doc->>'$.training.epochs' AS INT), 5) AS epochs,
- coalesce(doc->>'$.autoresearch.heldout_segment', 'none') AS heldout, coalesce(CAST(doc->>'$.evaluation.max_pred_positive_rate_ratio' AS DOUBLE), 3.5) AS cap FROM cf""")
+ coalesce(doc->>'$.planner.heldout_segment', 'none') AS heldout, coalesce(CAST(doc->>'$.evaluation.max_pred_positive_rate_ratio' AS DOUBLE), 3.5) AS cap FROM cf""")
 def b4(spark, sf):
     d = F.col("doc")
     return configs(spark, sf).select("run_id", B.cfg(d, "model.name", default="?").alias("name"), B.cfg(d, "training.epochs", "int", 5).alias("epochs"),
-                                     B.cfg(d, "autoresearch.heldout_segment", default="none").alias("heldout"),
+                                     B.cfg(d, "planner.heldout_segment", default="none").alias("heldout"),
                                      B.cfg(d, "evaluation.max_pred_positive_rate_ratio", "double", 3.5).alias("cap"))
 
 
@@ -118,10 +118,10 @@ def b6(spark, sf):
 
 
 _PROFILE_SQL = """
-p AS (SELECT run_id, coalesce(nullif(doc->>'$.autoresearch.run_profile', ''), CASE WHEN doc->>'$.autoresearch.intent' IN ('cron_exploration', 'promotion_action') THEN 'exploration'
-  WHEN doc->>'$.autoresearch.intent' IN ('promotion_validation', 'seed_repeat_leave_one_out') THEN 'promotion' END) AS run_profile, (doc->>'$.model.name') LIKE '%torch%' AS torch,
+p AS (SELECT run_id, coalesce(nullif(doc->>'$.planner.run_profile', ''), CASE WHEN doc->>'$.planner.intent' IN ('cron_exploration', 'promotion_action') THEN 'exploration'
+  WHEN doc->>'$.planner.intent' IN ('promotion_validation', 'seed_repeat_leave_one_out') THEN 'promotion' END) AS run_profile, (doc->>'$.model.name') LIKE '%torch%' AS torch,
   CAST(doc->>'$.training.epochs' AS INT) AS ep, json_array_length(doc, '$.training.seeds') AS ns, CAST(doc->>'$.training.max_train_samples' AS INT) AS sm,
-  coalesce(nullif(CAST(doc->>'$.training.max_train_pixels' AS INT), 0), 600000) AS px, coalesce(doc->>'$.autoresearch.heldout_segment', '') AS h FROM cf)"""
+  coalesce(nullif(CAST(doc->>'$.training.max_train_pixels' AS INT), 0), 600000) AS px, coalesce(doc->>'$.planner.heldout_segment', '') AS h FROM cf)"""
 
 
 @query("b7_profile_violations", f"""WITH {CONFIG_CTE}, {_PROFILE_SQL} SELECT run_id, run_profile, CASE WHEN run_profile = 'exploration' AND ep > 8 THEN 'epochs_above_cap'

@@ -284,3 +284,42 @@ def test_recompute_caps_keeps_failures(spark):
     assert out[("a", 2.0)].val_f1 == pytest.approx(.27) and out[("a", 2.0)].f1_retained_vs_original == pytest.approx(.9)
     assert out[("a", 1.5)].error == "no_threshold_row_under_prratio1p5" and out[("a", 1.5)].returncode == 1
     assert out[("b", 2.0)].error == "missing_artifact_metrics" and out[("c", 2.0)].error == "boom"
+
+
+def _expanded(spark, leaves, model, tested=None):
+    from evalgate.operators import ledger as L
+
+    rows = [("s", 1, model, p, v) for p, v in {"model.name": model, **leaves}.items()]
+    docs = L.base_documents(spark.createDataFrame(rows, "scope string, base_id int, model_name string, path string, value string"), ["scope"])
+    seen = L.search_signatures(docs, ["scope"])
+    if tested:
+        other = [("s", 2, model, p, v) for p, v in {"model.name": model, **tested}.items()]
+        more = L.base_documents(spark.createDataFrame(other, "scope string, base_id int, model_name string, path string, value string"), ["scope"])
+        seen = seen.union(L.search_signatures(more, ["scope"]))
+    out = {}
+    for r in L.expand_candidates(docs, L.planner_rules(spark), ["scope"], seen).collect():
+        out.setdefault(r["path"], []).append((r["ordinal"], r["proposed"]))
+    return {p: [v for _, v in sorted(found)] for p, found in out.items()}
+
+
+def test_planner_values_by_hand(spark):
+    """Expected values written out from the rules, not from the rule table."""
+    numpy = _expanded(spark, {"model.depth": "3", "training.weight_decay": "0.0"}, "tiny_numpy_ink_logreg")
+    assert numpy["model.depth"] == ["2", "1"] and [float(v) for v in numpy["training.weight_decay"]] == [0.0003]
+    assert numpy["training.epochs"] == ["3", "8"] and numpy["training.seed"] == ["1354"] and numpy["model.name"] == ["tiny_numpy_mlp"]
+    assert _expanded(spark, {"model.depth": "1"}, "tiny_numpy_ink_logreg")["model.depth"] == ["2", "3"]
+    torch = _expanded(spark, {"model.base_channels": "9", "training.sampling_curriculum": "other", "training.focal_loss_weight": "0.1",
+                              "training.sampling_strategy": "hard_mining", "evaluation.max_pred_positive_rate_ratio": "2.5"}, "tiny_torch_unet")
+    assert torch["model.base_channels"] == ["4", "16"] and "training.sampling_curriculum" not in torch and "training.sampling_strategy" not in torch
+    assert torch["training.focal_gamma"] == ["2.0", "3.0"] and torch["training.hard_negative_fraction"] == ["0.85"] and torch["training.focal_loss_weight"] == ["0.2"]
+    assert torch["evaluation.max_pred_positive_rate_ratio"] == ["3.0", "2.75"] and torch["training.augment_flips"] == ["true"] and len(torch["balanced_calibration"]) == 2
+    mlp = _expanded(spark, {"training.sample_positive_fraction": "0.25", "model.hidden_units": "9"}, "tiny_numpy_mlp")
+    assert mlp["training.sample_positive_fraction"] == ["0.5"] and mlp["model.hidden_units"] == ["8", "18"] and "model.name" not in mlp
+
+
+def test_planner_novelty_is_the_signature_of_the_changed_config(spark):
+    """A tested configuration blocks the change that leads to it, not the same change of another base."""
+    same = _expanded(spark, {"training.learning_rate": "0.1"}, "tiny_numpy_ink_logreg", {"training.learning_rate": "0.1", "training.epochs": "3"})
+    assert same["training.epochs"] == ["8"]
+    other = _expanded(spark, {"training.learning_rate": "0.1"}, "tiny_numpy_ink_logreg", {"training.learning_rate": "0.2", "training.epochs": "3"})
+    assert other["training.epochs"] == ["3", "8"]
