@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 16_384
 SPACE = "▁"
-REMEMBERED = 300_000
+#: Words, and pairs of pieces, that a worker remembers; words in two generations.
+REMEMBERED = 200_000
 CUTS = "row long, doc_id long, chunk int, chunks int, before string, body string, after string"
 State = tuple[int, str]
 #: Before the first and after the last character there is one state.
@@ -66,9 +67,15 @@ class Vocabulary:
         alone = "" if any("\n" in p for p in many) else "\n"
         self.split = re.compile(f"{SPACE}[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|{alone}" if alone else "")).findall
         self.turn = re.compile(f"[^{SPACE}](?={SPACE})").search
-        self.spine = lru_cache(maxsize=None)(self._spine)
         self.fits = lru_cache(maxsize=REMEMBERED)(self._fits)
-        self.good = self.good or frozenset(p for p in self.rank if self._spine(p) is not None)
+        self.older: dict[str, bytes] = {}
+        self.good = self.good or frozenset(p for p in self.rank if self.merged(p) == [p])
+        self.number = {p: self.id[p] for p in self.good} | {p: i for p, i in self.id.items() if len(p) == 1}
+        self.pairs: dict[int, bool] = {}
+        #: Length of the longest piece that begins with three characters.
+        self.ahead: dict[str, int] = {}
+        for p in self.good:
+            self.ahead[p[:3]] = max(self.ahead.get(p[:3], 0), len(p))
         self.output = [bytes([b]) if b >= 0 else p.replace(SPACE, " ").encode() if ok else b"" for p, b, ok in zip(self.pieces, self.byte, self.plain, strict=True)]
 
     @classmethod
@@ -90,33 +97,21 @@ class Vocabulary:
 
     def merged(self, text: str) -> list[str]:
         """What the merges make of a short text: the best-scored neighbours first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.rank[j], -i) for i in range(len(parts) - 1) if (j := parts[i] + parts[i + 1]) in self.rank), default=None)
+        parts, rank = list(text), self.rank.get
+        while True:
+            best, at, before = None, 0, parts[0]
+            for i in range(1, len(parts)):
+                after = parts[i]
+                score = rank(before + after)
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
+                before = after
             if best is None:
                 return parts
-            at = -best[1]
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _spine(self, piece: str) -> tuple[frozenset[str], frozenset[str]] | None:
-        """Parts at the left and at the right end of a piece while it is merged; None if merging doesn't give the piece."""
-        parts, left, right = list(piece), {piece[0]}, {piece[-1]}
-        while len(parts) > 1:
-            best = max(((self.rank[j], -i) for i in range(len(parts) - 1) if (j := parts[i] + parts[i + 1]) in self.rank), default=None)
-            if best is None:
-                return None
-            at = -best[1]
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            left.add(parts[0])
-            right.add(parts[-1])
-        return frozenset(left), frozenset(right)
+            parts[at - 1 : at + 1] = [parts[at - 1] + parts[at]]
 
     def _fits(self, a: str, b: str) -> bool:
         """Weight 0 of an edge: merging the joint text gives these two pieces."""
-        rights, lefts = self.spine(a)[1], self.spine(b)[0]
-        if not any(x + y in self.rank for x in rights for y in lefts):
-            return True
         return self.merged(a + b) == [a, b]
 
     def forward(self, text: str, known: list[str | None]) -> list[str | None]:
@@ -141,35 +136,57 @@ class Vocabulary:
                     break
         return last
 
-    def searched(self, text: str) -> list[str]:
-        """The path of weight 0 through a word, the longest piece first.
+    def searched(self, text: str) -> bytes:
+        """Ids along the path of weight 0 through a word, the longest piece first.
 
         What leads to a place is the encoding of the text before it, so there is one state at each place, and a place
-        without a way on is dead for good.
+        without a way on is dead for good. A character that is no piece fits any neighbour.
         """
-        n, at, before, size = len(text), 0, "", min(self.longest, len(text))
-        good, fits, found, dead = self.good, self.fits, [], set()
+        n, at, before = len(text), 0, -1
+        known, pairs, ahead, dead = self.number.get, self.pairs, self.ahead, set()
+        steps: list[tuple[int, int]] = []
+        size = min(ahead.get(text[:3], 2), n)
         while at < n:
             while size:
-                piece = text[at : at + size]
-                if (size == 1 or piece in good) and at + size not in dead and (not before or fits(before, piece)):
-                    break
+                piece = known(text[at : at + size], -1)
+                if (piece >= 0 or size == 1) and not (dead and at + size in dead):
+                    if before < 0 or piece < 0:
+                        break
+                    if (fit := pairs.get(before << 20 | piece)) is None:
+                        fit = self._pair(before, piece)
+                    if fit:
+                        break
                 size -= 1
             if size:
-                found.append(piece)
+                steps.append((piece, size))
                 at, before = at + size, piece
-                size = min(self.longest, n - at)
+                size = min(ahead.get(text[at : at + 3], 2), n - at)
             else:
                 dead.add(at)
-                size = len(found.pop())
-                at, size, before = at - size, size - 1, found[-1] if found else ""
-        return found
+                size = steps.pop()[1]
+                at, size, before = at - size, size - 1, steps[-1][0] if steps else -1
+        if min(steps)[0] >= 0:
+            return array("i", [piece for piece, _ in steps]).tobytes()
+        found, at = [], 0
+        for _, size in steps:
+            found.append(text[at : at + size])
+            at += size
+        return self.packed(found)
+
+    def _pair(self, before: int, piece: int) -> bool:
+        """Weight of the edge between two pieces, remembered."""
+        if len(self.pairs) >= 2 * REMEMBERED:
+            self.pairs.clear()
+        fit = self.pairs[before << 20 | piece] = self._fits(self.pieces[before], self.pieces[piece])
+        return fit
 
     def word(self, text: str) -> bytes:
-        """Ids of a stretch without a space after its first character."""
-        ids = self.packed(self.searched(text))
+        """Ids of a stretch without a space after its first character; the latest words are remembered."""
+        if (ids := self.older.get(text)) is None:
+            ids = self.searched(text) if text else b""
         if len(text) <= 32:
             if len(self.words) >= REMEMBERED:
+                self.older = dict(self.words)
                 self.words.clear()
             self.words[text] = ids
         return ids
@@ -332,6 +349,13 @@ def _list(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32)))
 
 
+def _arrays(lists: pa.ListArray) -> Iterator[np.ndarray]:
+    """Rows of a list column, one at a time; a null row is empty."""
+    values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    for lo, hi, there in zip(ends, ends[1:], lists.is_valid().to_pylist(), strict=False):
+        yield values[lo:hi] if there else values[:0]
+
+
 def encoded(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, ids) of every row."""
     spark = docs.sparkSession
@@ -381,7 +405,7 @@ def encoded(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFram
     def run_merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = shared.value
         for batch in batches:
-            found = [book.with_runs(np.array(ids, dtype=np.int32).tobytes()) for ids in batch.column(1).to_pylist()]
+            found = [book.with_runs(ids.tobytes()) for ids in _arrays(batch.column(1))]
             yield pa.record_batch([batch.column(0), _list(found)], names=["doc_id", "ids"])
 
     chunks = rows.filter(long).mapInArrow(cut, CUTS).repartition("row", "chunk")
@@ -410,7 +434,7 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [shared.value.decode(ids or []) for ids in batch.column(1).to_pylist()]
+            texts = [shared.value.decode(ids.tolist()) for ids in _arrays(batch.column(1))]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
