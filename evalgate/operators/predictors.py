@@ -75,17 +75,3 @@ class DiceAccumulator:
         if self.counts is None:
             raise ValueError("no batch has been added")
         return self.counts.withColumn("dice", dice_value(F.col("tp"), F.col("fp"), F.col("fn")))
-
-
-def metric_udaf(fn: Callable[[np.ndarray, np.ndarray], float]) -> Callable[..., Column]:
-    """Grouped-aggregate pandas UDF around a custom metric.
-
-    Spark hands a whole group to one call, so use it only on groups of bounded size (a patch,
-    a tile); whole maps go through the built-in metrics.
-    """
-
-    @F.pandas_udf("double")
-    def metric(prob: pd.Series, label: pd.Series) -> float:
-        return float(fn(prob.to_numpy(), label.to_numpy()))
-
-    return metric
