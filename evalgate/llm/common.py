@@ -12,12 +12,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes 65-90 to 97-122; UTF-8 continuation bytes are above 127, so whole texts can be mapped as bytes.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SALTS = 64
+#: Rows of an Arrow batch of whole texts.
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def long_rows(df: DataFrame) -> DataFrame:
+    """Whole texts go to Python in small Arrow batches: a worker's memory follows the texts, not a count of rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def salt_of(col: str) -> Column:
     """One of SALTS numbers, fixed by the value of a column."""
     return F.pmod(F.xxhash64(F.col(col)), F.lit(SALTS)).cast("int")

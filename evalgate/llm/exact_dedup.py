@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalgate.llm.common import LOWER, SALTS, checkpointed
+from evalgate.llm.common import LOWER, SALTS, checkpointed, long_rows
 
 KICKS = 200
 SLOTS = 4
@@ -150,7 +150,7 @@ def digests(docs: DataFrame) -> DataFrame:
             found = [hashlib.sha256((t or b"").translate(LOWER)).digest() for t in texts]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "digest"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ROWS)
+    return long_rows(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ROWS)
 
 
 def _entries(index: CuckooFilter) -> pa.RecordBatch:

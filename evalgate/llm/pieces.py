@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalgate.llm.common import long_rows
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 16_384
 SPACE = "▁"
@@ -361,7 +363,7 @@ def encoded(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFram
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary.load(model))
     reach = shared.value.longest
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = long_rows(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     long = F.coalesce(F.length("text"), F.lit(0)) >= chunk
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

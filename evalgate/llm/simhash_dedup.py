@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalgate.llm.common import LOWER, checkpointed, components, salted_lookup
+from evalgate.llm.common import LOWER, checkpointed, components, long_rows, salted_lookup
 
 SEED = 42
 PIVOTS = 16
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             found = np.array([fingerprint(t or b"", width) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.record_batch([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return long_rows(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 def partial_distances(fps: np.ndarray) -> np.ndarray:

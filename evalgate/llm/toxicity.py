@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalgate.llm.common import LOWER, WORD, checkpointed
+from evalgate.llm.common import LOWER, WORD, checkpointed, long_rows
 
 #: Most labelled rows of each label that the dictionaries, and again the calibration, are fitted on.
 SAMPLE = 6_000
@@ -37,7 +37,7 @@ LEAST_RATIO = 6.0
 FRAME = bytes(20)
 WINDOW_BYTES = 64
 CUTS = (3, 4, 5, 6)
-CACHE = 400_000
+CACHE = 200_000
 SHARES = ", ".join(f"c{c} long" for c in CUTS)
 
 
@@ -135,7 +135,7 @@ def measured(docs: DataFrame, books: tuple[bytes, bytes]) -> DataFrame:
                     rows[i] = len(found), found.max(), *[(found >= c).sum() for c in CUTS]
             yield pa.record_batch([batch.column(0), *[pa.array(c) for c in rows.T]], names=["doc_id", "n_windows", "most", *[f"c{c}" for c in CUTS]])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, n_windows long, most long, {SHARES}")
+    return long_rows(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, n_windows long, most long, {SHARES}")
 
 
 def inputs() -> list[Column]:
