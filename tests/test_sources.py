@@ -102,7 +102,8 @@ def test_loo_summaries_with_companions(spark, tmp_path):
     (tmp_path / "other.summary.json").write_text('{"x": 1}')
     (tmp_path / "r9.jsonl").write_text('{"heldout_segment": "a", "seed": 1, "returncode": 0, "val_f1": 0.5}\n')
     (tmp_path / "r0.jsonl").write_text('{"heldout_segment": "z"}\n')
-    kept, rows = S.read_loo_summaries(spark, str(tmp_path))
+    assert S.read_loo_summaries(spark, str(tmp_path))[0].count() == 10
+    kept, rows = S.read_loo_summaries(spark, str(tmp_path), limit=8)
     got = [r.run_ids[0] for r in kept.orderBy(F.col("modified_at").desc()).collect()]
     assert got == [f"run{i}" for i in range(9, 1, -1)]
     assert [r.heldout_segment for r in rows.collect()] == ["a"]
