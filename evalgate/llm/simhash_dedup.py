@@ -12,7 +12,8 @@ share a value within one bit of both, so each member names its neighbours over t
 (65 at most) are linked in a star. That is exact and linear in the members. Equal fingerprints are one node from the start.
 
 Defined results: null texts count as empty; texts without words have fingerprint zero; an empty table gives an empty result;
-repeated rows are linked like any copies; a null doc_id takes part as the smallest id; other columns are not looked at.
+repeated rows are linked like any copies; a null doc_id takes part as the smallest id; different texts under one doc_id (or under
+none) are linked by their fingerprints only; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -183,9 +184,11 @@ def links(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest reachable doc_id)."""
     rows = checkpointed(fingerprints(docs, width))
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    labels = components(nodes.select("node"), links(nodes))
-    facts = nodes.join(labels, "node").select("fp", F.col("label").alias("component_id"))
+    # a fingerprint is its own node: doc_ids repeat, and null ones are all NO_ID
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"))).withColumn("node", F.col("fp"))
+    labels = checkpointed(components(nodes.select("node"), links(nodes)).join(nodes.select("node", "least"), "node"))
+    smallest = labels.groupBy("label").agg(F.min("least").alias("component_id"))
+    facts = salted_lookup(labels.select(F.col("node").alias("fp"), "label"), "label", "fp", smallest).select("fp", "component_id")
     found = salted_lookup(rows, "fp", "doc_id", facts)
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return found.select(known("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), known("component_id"))

@@ -64,6 +64,14 @@ def test_links_of_crowded_cells_are_exact(spark):
     assert rows_of(found) == sorted(((i, int(c)) for i, c in enumerate(label)), key=repr)
 
 
+def test_texts_without_an_id_and_of_one_id_are_apart(spark):
+    far = [" ".join(f"{name}{i * k % 101}" for i in range(120)) for k, name in enumerate(("red", "blue", "green", "grey"), 3)]
+    rows = [(None, far[0]), (None, far[1]), (None, far[1]), (1, far[0]), (2, far[1]), (3, far[2]), (3, far[3]), (4, far[2]), (5, far[3])]
+    want = brute(rows)
+    assert len({(r[1], r[2]) for r in want}) == 4
+    assert rows_of(simhash_dedup.near_duplicates(frame(spark, rows))) == want
+
+
 def test_partial_distances_add_up():
     fps = np.random.default_rng(1).integers(0, 2**63, 50).astype(np.uint64)
     whole = np.bitwise_count(fps[:, None] ^ simhash_dedup.REFERENCES[None])
