@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalgate.llm.common import LOWER, SALTS, checkpointed, long_rows
+from evalgate.llm.common import LOWER, SALTS, checkpointed, long_rows, salted_lookup
 
 KICKS = 200
 SLOTS = 4
@@ -253,15 +253,10 @@ def entries(index: DataFrame) -> DataFrame:
 def lookup(index: DataFrame, rows: DataFrame) -> DataFrame:
     """Each row of (doc_id, digest) with keep_id and group_size of its live digest, null if there is none.
 
-    Rows of one digest are dealt over salts; an entry goes only to the salts its group uses, and to all of them for rows
-    that the index did not see.
+    Rows of one digest are dealt over salts; an entry goes only to the salts of the rows looked up, whether or not the index
+    has seen these rows.
     """
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    spread = entries(index).select(
-        "digest", "keep_id", "group_size", F.explode(F.filter(every, lambda s: F.call_function("getbit", F.col("salts"), s) == 1)).alias("salt")
-    )
-    return salted.join(spread, ["digest", "salt"], "left").drop("salt")
+    return salted_lookup(rows, "digest", "doc_id", entries(index).drop("salts"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

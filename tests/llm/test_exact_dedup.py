@@ -46,6 +46,20 @@ def test_insert_delete_lookup(spark):
     assert found == want
 
 
+def test_lookup_of_rows_the_index_has_not_seen(spark):
+    digests = lambda ids, texts: exact_dedup.digests(frame(spark, [(d, f"text {t}") for d, t in zip(ids, texts, strict=True)]))
+    index = exact_dedup.build(digests(range(100), range(100)), 4)
+    asked = exact_dedup.checkpointed(digests([*range(5000, 5200), None], [*range(200), 7]))
+    hits = lambda index: {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.lookup(index, asked).collect()}
+    none = (None, None)
+    assert hits(index) == {5000 + i: (i, 1) if i < 100 else none for i in range(200)} | {None: (7, 1)}
+    index = exact_dedup.insert(index, digests(range(1050, 1150), range(50, 150)), 4)
+    live = {i: (i if i < 50 else 1000 + i, 2 if 50 <= i < 100 else 1) for i in range(150)}
+    assert hits(index) == {5000 + i: live.get(i, none) for i in range(200)} | {None: (7, 1)}
+    index = exact_dedup.delete(index, digests(range(60), range(60)), 4)
+    assert hits(index) == {5000 + i: live[i] if 60 <= i < 150 else none for i in range(200)} | {None: none}
+
+
 def test_filter_grows_and_survives_packing():
     index, keys = CuckooFilter(2), [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
     for i, key in enumerate(keys):
