@@ -38,8 +38,9 @@ GRAM = 24
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text for each partition of triggers and each block of documents.
 SHARE = 16 << 20
-#: Windows of a text that are parsed at once; strings do not care where a text is cut.
-CHUNK = 1 << 20
+#: Windows of a text that are parsed at once; strings do not care where a text is cut. The grams of a chunk, SPAN - 1 more than
+#: its windows, are numbered in 20 bits.
+CHUNK = (1 << 20) - 64
 #: Suffixes that are sorted at once.
 SORTED = 1 << 20
 NO_ID = -(2**63)

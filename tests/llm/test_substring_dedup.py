@@ -66,6 +66,14 @@ def test_long_texts_are_cut_anywhere():
         substring_dedup.CHUNK = old
 
 
+def test_strings_at_the_edge_of_a_chunk(spark):
+    text = "".join(random.Random(8).choices("abcdefghijklmnop", k=(1 << 20) + 500))
+    edges = [(1 << 20) - 2, (1 << 20) - 66]
+    rows = [(i, f"{i}XX{text[at : at + 50]}YY{i}") for i, at in enumerate(edges, 1)] + [(9, text)]
+    found = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in substring_dedup.without_repeats(frame(spark, rows)).collect()}
+    assert found == {1: (0, 0), 2: (0, 0), 9: (100, 2)}
+
+
 def test_documents_empty_and_clashing_columns(spark):
     table = documents("sf0.001")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
