@@ -2,7 +2,7 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each result as Parquet in the shared folder of
 spark.checkpoint.dir and reads it again for the next stage. All stages but the last return the columns of documents.
-Repeated rows of one doc_id share the decisions on that doc_id.
+Stages that drop rows number them first and decide on each row by itself, so rows without a doc_id or of one doc_id are told apart.
 """
 
 from __future__ import annotations
@@ -14,38 +14,54 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalgate.llm import exact_dedup, mixing, pieces, simhash_dedup, toxicity
-from evalgate.llm.common import table
+from evalgate.llm.common import numbered, table
 from evalgate.session import checkpointed, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-#: Most ids that are broadcast to the documents; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Most dropped rows that are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
-def _without(docs: DataFrame, decisions: DataFrame, stays: Column) -> DataFrame:
-    """Documents that a decision lets stay; rows of one doc_id (or of none) stay together if any of them stays."""
-    dropped = decisions.groupBy(F.col("doc_id").alias("__id")).agg(F.max(stays).alias("__stays")).filter("not __stays").select("__id")
-    dropped = checkpointed(dropped)
-    if dropped.count() <= BROADCAST_IDS:
+def _without(keyed: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """The numbered rows but for the dropped numbers, each row by itself."""
+    dropped = checkpointed(dropped.select(row))
+    if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["__id"]), "left_anti")
+    return keyed.join(dropped, row, "left_anti").drop(row)
+
+
+def _by_row(keyed: DataFrame, row: str) -> DataFrame:
+    """What a dedup operator sees: the row's number in place of doc_id."""
+    return keyed.select(F.col(row).alias("doc_id"), "text")
+
+
+def _not_chosen(keyed: DataFrame, row: str, groups: DataFrame, chosen: Callable[[Column], Column]) -> DataFrame:
+    """Rows of `groups` (row, group) but the chosen one of each group, by doc_id (null is the smallest) and then by number."""
+    members = checkpointed(groups.join(keyed.select(row, F.col("doc_id").cast("long").alias("id")), row).select(row, "group", "id"))
+    stays = members.groupBy("group").agg(chosen(F.struct("id", row)).alias("best")).select(F.col("best").getField(row).alias(row))
+    return members.join(stays, row, "left_anti")
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression-distance score accepts."""
-    return _without(docs, toxicity.scored(docs, table(spark, sf_dir, "labels")), F.col("predicted") == 0)
+    keyed, row = numbered(docs)
+    return _without(keyed, row, toxicity.scored(keyed, table(spark, sf_dir, "labels"), row=row).filter("predicted <> 0"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id."""
-    return _without(docs, exact_dedup.deduplicate(docs), F.col("kept"))
+    keyed, row = numbered(docs)
+    groups = exact_dedup.deduplicate(_by_row(keyed, row)).select(F.col("doc_id").alias(row), F.col("keep_id").alias("group"))
+    return _without(keyed, row, _not_chosen(keyed, row, groups, F.max))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints: the one with the smallest doc_id."""
-    return _without(docs, simhash_dedup.near_duplicates(docs), F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keyed, row = numbered(docs)
+    groups = simhash_dedup.near_duplicates(_by_row(keyed, row)).select(F.col("doc_id").alias(row), F.col("component_id").alias("group"))
+    return _without(keyed, row, _not_chosen(keyed, row, groups, F.min))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgate.session import checkpointed
+from evalgate.session import checkpointed, shared_folder
 
 #: The words of every contract: runs of anything but space and the five ASCII control spaces.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +28,15 @@ def long_rows(df: DataFrame) -> DataFrame:
     return df
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number of their own and the name of its column. Written once, so that every later read finds the same numbers."""
+    row, place = "__row", f"{shared_folder(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
+    while row in docs.columns:
+        row += "_"
+    docs.withColumn(row, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(place)
+    return docs.sparkSession.read.parquet(place), row
+
+
 def salt_of(col: str) -> Column:
     """One of SALTS numbers, fixed by the value of a column."""
     return F.pmod(F.xxhash64(F.col(col)), F.lit(SALTS)).cast("int")

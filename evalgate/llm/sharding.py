@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalgate.llm.common import checkpointed
+from evalgate.llm.common import checkpointed, numbered
 
 LIMIT = 1 << 20
 KEY_BITS = 60
@@ -46,10 +46,16 @@ def split(sums: DataFrame, above: int, depth: int, limit: int) -> DataFrame:
 
 def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """One row per document: doc_id, n_bytes, shard (its hash prefix), depth, shard_bytes, shard_rows."""
-    row = F.monotonically_increasing_id().cast("string")
+    rows = placed_rows(docs, F.monotonically_increasing_id(), limit)
+    shards = rows.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
+    return rows.join(shards, "shard").select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_rows")
+
+
+def placed_rows(docs: DataFrame, row: Column, limit: int) -> DataFrame:
+    """(row, doc_id, n_bytes, shard, depth) of every row; `row` numbers the rows."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")
-    pending = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("n_bytes"), F.concat(_bits(key), _bits(row)).alias("bits")))
+    pending = checkpointed(docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), size.alias("n_bytes"), F.concat(_bits(key), _bits(row.cast("string"))).alias("bits")))
     total = pending.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
     above, depth, done = 0, 2 + max(0, (total // limit).bit_length()), []
     while True:
@@ -64,12 +70,12 @@ def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
             break
         pending = checkpointed(placed.filter("local IS NULL").drop("local"))
         above, depth = depth + 1, min(depth + DEEPER, KEY_BITS + ROW_BITS)
-    rows = checkpointed(reduce(DataFrame.union, done).select("doc_id", "n_bytes", F.expr("substring(bits, 1, local)").alias("shard"), F.col("local").cast("int").alias("depth")))
-    shards = rows.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
-    return rows.join(shards, "shard").select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_rows")
+    shard = F.expr("substring(bits, 1, local)").alias("shard")
+    return checkpointed(reduce(DataFrame.union, done).select("row", "doc_id", "n_bytes", shard, F.col("local").cast("int").alias("depth")))
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Write the documents, one folder for each shard."""
-    places = sharded(docs, limit).select("doc_id", "shard").distinct()
-    docs.join(places, "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write the documents, one folder for each shard; every row goes to the shard it was placed in."""
+    keyed, row = numbered(docs)
+    places = placed_rows(keyed, F.col(row), limit).select(F.col("row").alias(row), "shard")
+    keyed.join(places, row).drop(row).repartition("shard").write.partitionBy("shard").parquet(path)

@@ -122,8 +122,8 @@ def windows(text: bytes) -> list[bytes]:
     return [w[i : i + WINDOW_BYTES] for w in words for i in range(0, len(w), WINDOW_BYTES)]
 
 
-def measured(docs: DataFrame, books: tuple[bytes, bytes]) -> DataFrame:
-    """(doc_id, windows, largest distance, windows at or above each of CUTS) of every whole text."""
+def measured(docs: DataFrame, books: tuple[bytes, bytes], row: list[str]) -> DataFrame:
+    """(doc_id, row columns, windows, largest distance, windows at or above each of CUTS) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(*books)
@@ -133,9 +133,11 @@ def measured(docs: DataFrame, books: tuple[bytes, bytes]) -> DataFrame:
                 found = distance.of(windows(text or b""))
                 if len(found):
                     rows[i] = len(found), found.max(), *[(found >= c).sum() for c in CUTS]
-            yield pa.record_batch([batch.column(0), *[pa.array(c) for c in rows.T]], names=["doc_id", "n_windows", "most", *[f"c{c}" for c in CUTS]])
+            names = ["doc_id", *row, "n_windows", "most", *[f"c{c}" for c in CUTS]]
+            yield pa.record_batch([batch.column(0), *batch.columns[2:], *[pa.array(c) for c in rows.T]], names=names)
 
-    return long_rows(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, n_windows long, most long, {SHARES}")
+    schema = ", ".join(["doc_id long", *[f"`{c}` long" for c in row], "n_windows long", "most long", SHARES])
+    return long_rows(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *row).mapInArrow(run, schema)
 
 
 def inputs() -> list[Column]:
@@ -160,18 +162,19 @@ def calibrated(rows: np.ndarray, toxic: np.ndarray, rounds: int = 60, ridge: flo
     return weights.tolist(), float(w[0] - weights @ mean)
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted."""
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted, after doc_id the column `row` of row numbers if one is named."""
+    row = [row] if row else []
     out = F.coalesce(held_out(), F.lit(False)).alias("held_out")
-    nothing = docs.select(F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", out, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    nothing = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row).select("doc_id", *row, out, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     books = trained(docs, labels, sample)
     if books is None:
         return nothing
-    rows = checkpointed(measured(docs, books))
+    rows = checkpointed(measured(docs, books, row))
     known = rows.join(F.broadcast(labelled(docs, labels, 1, sample)), "doc_id").select("toxic", *[c.alias(f"x{i}") for i, c in enumerate(inputs())])
     seen = known.toPandas()
     if seen.toxic.nunique() < 2:
         return nothing
     weights, start = calibrated(seen.drop(columns="toxic").to_numpy(), seen.toxic.to_numpy())
     line = sum((c * w for c, w in zip(inputs(), weights, strict=True)), F.lit(start))
-    return rows.select("doc_id", out, (1 / (1 + F.exp(-line))).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return rows.select("doc_id", *row, out, (1 / (1 + F.exp(-line))).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -1,5 +1,7 @@
 """Each stage against a plain version of its operator's contract, on odd rows and on a real table."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from evalgate.llm import mixing, toxicity
 
@@ -44,6 +46,23 @@ def test_stages_bear_odd_rows_and_empty_tables(spark):
     assert rows_of(docs.select("doc_id"))
 
 
+def test_rows_of_one_id_or_none_are_told_apart(spark, tmp_path):
+    plain, rude = "plain words of document {} about nothing at all", "you idiot {} moron scum trash"
+    known = [(i, plain.format(i)) for i in range(200)] + [(1000 + i, rude.format(i)) for i in range(200)]
+    more = [(d, t.format(n)) for d in (None, 7000) for t, n in ((plain, 7), (rude, 3), (rude, 4))]
+    spark.createDataFrame([(d, 1, int(d >= 1000)) for d, _ in known], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = corpus_pipeline.without_toxic(spark, frame(spark, known + more), str(tmp_path))
+    assert rows_of(clean.filter("doc_id IS NULL OR doc_id = 7000").select("doc_id", "text")) == [(7000, plain.format(7)), (None, plain.format(7))]
+    texts = [" ".join(f"{name}{i * k % 101}" for i in range(120)) for k, name in enumerate(("red", "blue"), 3)]
+    docs = frame(spark, [(None, texts[0])] * 3 + [(None, texts[1]), (4, texts[1]), (4, texts[1]), (4, "alone"), (4, "ALONE"), (5, "other")])
+    for stage, want in (
+        (corpus_pipeline.without_copies, [(4, "alone"), (4, texts[1]), (5, "other"), (None, texts[0])]),
+        (corpus_pipeline.without_near_copies, [(4, "alone"), (5, "other"), (None, texts[0]), (None, texts[1])]),
+    ):
+        out = stage(spark, docs, SF)
+        assert rows_of(out.select("doc_id", F.lower("text"))) == sorted(want, key=repr) and out.columns == docs.columns
+
+
 def test_toxic_documents_go(spark):
     rows = [(i, f"plain words of document {i} about nothing at all") for i in range(200)] + [(1000 + i, f"you idiot {i} moron scum trash") for i in range(200)]
     labels = spark.createDataFrame([(d, 1, int(d >= 1000)) for d, _ in rows], "doc_id long, quality int, toxic int")

@@ -1,6 +1,8 @@
 import hashlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from evalgate.llm import sharding
 
 from .helpers import frame, odd_rows, rows_of
@@ -46,3 +48,11 @@ def test_written_shards(spark, tmp_path):
     sharding.write(frame(spark, rows), str(tmp_path / "out"), 3000)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["doc_id"] for r in back.collect()) == list(range(100)) and len(list((tmp_path / "out").glob("shard=*"))) > 5
+
+
+def test_rows_of_one_id_or_none_are_written_once(spark, tmp_path):
+    rows = [(None, f"no id {i} " * 30) for i in range(40)] + [(7, f"same id {i} " * 30) for i in range(40)] + [(8, "twice")] * 2
+    sharding.write(frame(spark, rows), str(tmp_path / "out"), 3000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert rows_of(back.select("doc_id", "text")) == sorted(rows, key=repr) and "__row" not in back.columns
+    assert all(r["n"] <= 3000 for r in back.groupBy(F.regexp_extract(F.input_file_name(), "shard=([^/]*)", 1)).agg(F.sum(F.octet_length("text")).alias("n")).collect())
