@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalgate.llm import disclosure, exact_dedup, html_text, mixing, pieces, quality_forest, sharding, simhash_dedup, substring_dedup, toxicity
+from evalgate.llm import disclosure, exact_dedup, html_text, merkle, mixing, pieces, quality_forest, sharding, simhash_dedup, substring_dedup, toxicity
 from evalgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,48 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+def _merkle_sql(levels: int = 14, top: int = 4) -> str:
+    """Trees with up to 3^levels leaves a source and 3^top sources, a level a step; a tree of one node stays as it is."""
+    field = lambda c, v=None: f"coalesce(concat(octet_length(encode(CAST({v or c} AS VARCHAR))), ':', {v or c}), '-')"
+    before = ", ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    crc = (
+        "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), lambda s, b: "
+        "list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))"
+    )
+    tampered = f"CASE WHEN xor({crc}, 4294967295::BIGINT) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END"
+    steps = [
+        f"""l AS (SELECT doc_id, source, sha256(concat({before}, {field("text")})) AS leaf, sha256(concat({before}, {field("text", tampered)})) AS fold FROM documents)""",
+        """s0 AS (SELECT *, leaf AS d, '' AS proof, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                  count(*) OVER (PARTITION BY source) AS n FROM l)""",
+    ]
+
+    def climb(was: str, now: str, group: str) -> list[str]:
+        # the runs of one level, then every row's siblings in its run; a row repeats for each leaf below a node
+        return [
+            f"n{now} AS (SELECT DISTINCT {group}, pos, d FROM {was} WHERE n > 1)",
+            f"""r{now} AS (SELECT {group}, pos // 3 AS run, list(d ORDER BY pos) AS ds, sha256(string_agg(d, '' ORDER BY pos)) AS h FROM n{now} GROUP BY {group}, pos // 3)""",
+            f"""{now} AS (SELECT w.* EXCLUDE (d, proof, pos, n, fold), coalesce(r.h, w.d) AS d, w.pos // 3 AS pos, (w.n + 2) // 3 AS n,
+                   CASE WHEN w.n > 1 THEN concat(proof, array_to_string(ds[1:w.pos % 3], ''), array_to_string(ds[w.pos % 3 + 2:3], '')) ELSE proof END AS proof,
+                   CASE WHEN w.n > 1 THEN sha256(concat(array_to_string(ds[1:w.pos % 3], ''), fold, array_to_string(ds[w.pos % 3 + 2:3], ''))) ELSE fold END AS fold
+                 FROM {was} w LEFT JOIN r{now} r ON w.n > 1 AND w.{group} IS NOT DISTINCT FROM r.{group} AND w.pos // 3 = r.run)""",
+        ]
+
+    for k in range(levels):
+        steps += climb(f"s{k}", f"s{k + 1}", "source")
+    steps.append(
+        f"""t0 AS (SELECT * EXCLUDE (pos, n), d AS subroot, 1 AS one, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS pos,
+               (SELECT count(*) FROM (SELECT DISTINCT source FROM l)) AS n FROM s{levels})"""
+    )
+    for k in range(top):
+        steps += climb(f"t{k}", f"t{k + 1}", "one")
+    return (
+        "WITH " + ",\n".join(steps) + f"""
+        SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = d AS verified FROM t{top}"""
+    )
+
+
+@query("op11_merkle_proofs", _merkle_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
