@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalgate.llm import disclosure, exact_dedup, html_text, merkle, mixing, pieces, quality_forest, sharding, simhash_dedup, substring_dedup, toxicity
+from evalgate.llm import alignment, disclosure, exact_dedup, html_text, merkle, mixing, pieces, quality_forest, sharding, simhash_dedup, substring_dedup, toxicity
 from evalgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,8 @@ def _merkle_sql(levels: int = 14, top: int = 4) -> str:
 @query("op11_merkle_proofs", _merkle_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"))
