@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalgate.session import checkpointed, shared_folder
@@ -37,6 +37,13 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.sparkSession.read.parquet(place), row
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder as zstd Parquet and read again: like a checkpoint, but with known sizes."""
+    place = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
 def salt_of(col: str) -> Column:
     """One of SALTS numbers, fixed by the value of a column."""
     return F.pmod(F.xxhash64(F.col(col)), F.lit(SALTS)).cast("int")
@@ -62,6 +69,22 @@ def salted_lookup(rows: DataFrame, key: str, salted_by: str, facts: DataFrame) -
     return salted.join(spread, [key, "salt"], "left").drop("salt")
 
 
+def placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with their place (0, 1, ...) in the given order; equal rows take their places in any order.
+
+    Rows are range-partitioned and numbered inside each partition; the partitions' own counts, one row each, give the offsets.
+    """
+    number = F.monotonically_increasing_id()
+    nulls_first = [F.asc_nulls_first(c) for c in order]
+    tie = F.rand(11).alias("__tie")
+    spread = rows.select("*", tie).repartitionByRange(*nulls_first, "__tie").sortWithinPartitions(*nulls_first, "__tie").drop("__tie")
+    seen = checkpointed(spread.withColumn("__number", number).withColumn("__part", F.shiftright("__number", 33)))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = seen.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    place = F.col("__start") + F.col("__number") - F.shiftleft("__part", 33)
+    return seen.join(starts, "__part").withColumn("place", place).drop("__number", "__start")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node: (node, label). `edges` are (a, b) rows of node ids, in one direction.
 

@@ -20,10 +20,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalgate.llm.common import checkpointed, salted_lookup
+from evalgate.llm.common import checkpointed, placed, salted_lookup
 
 ARITY = 3
 LEVELS = 64
@@ -56,22 +56,6 @@ def leaves(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), leaf_of().alias("leaf"), leaf_of(text=without).alias("tampered"))
 
 
-def placed(rows: DataFrame, order: list[str]) -> DataFrame:
-    """The rows with their place (0, 1, ...) in the given order; equal rows take their places in any order.
-
-    Rows are range-partitioned and numbered inside each partition; the partitions' own counts, one row each, give the offsets.
-    """
-    number = F.monotonically_increasing_id()
-    nulls_first = [F.asc_nulls_first(c) for c in order]
-    tie = F.rand(11).alias("__tie")
-    spread = rows.select("*", tie).repartitionByRange(*nulls_first, "__tie").sortWithinPartitions(*nulls_first, "__tie").drop("__tie")
-    seen = checkpointed(spread.withColumn("__number", number).withColumn("__part", F.shiftright("__number", 33)))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = seen.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    place = F.col("__start") + F.col("__number") - F.shiftleft("__part", 33)
-    return seen.join(starts, "__part").withColumn("place", place).drop("__number", "__start")
-
-
 def in_trees(rows: DataFrame) -> DataFrame:
     """Leaves with the node number, tree (place of the source's first leaf), position in the tree and size of the tree."""
     ranked = checkpointed(placed(rows, ["source", "doc_id", "leaf"]))

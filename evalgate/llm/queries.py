@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalgate.llm import alignment, disclosure, exact_dedup, html_text, merkle, mixing, pieces, quality_forest, sharding, simhash_dedup, substring_dedup, toxicity
+from evalgate.llm import alignment, disclosure, exact_dedup, html_text, merkle, mixing, ngram_join, pieces, quality_forest, sharding, simhash_dedup, substring_dedup, toxicity
 from evalgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_token_alignment")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignments(table(spark, sf_dir, "documents"))
+
+
+@query("op12_ngram_join")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
