@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,8 +35,10 @@ from evalgate.llm.common import checkpointed, long_rows, shared_folder
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Links of a chunk, and bytes of text encoded at once; a longer text is encoded alone.
-CHUNK = 1_000_000
+CHUNK = 250_000
 SLICE = 400_000
+# Fixed value: how byte-level files split a text before merging.
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SAVED = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, places array<int>, place int, a int, b int, n long"
 DOC = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -65,19 +66,17 @@ def byte_letters() -> dict[str, int]:
 class Tokenizers:
     """Both tokenizers with the bytes of their ids and the texts that groups are written with."""
 
-    def __init__(self, byte_level: str, pieces: bytes) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, byte_level: dict, pieces: bytes) -> None:
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.first = Tokenizer.from_str(byte_level)
-        self.first.encode_special_tokens = True
         self.second = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         letters = byte_letters()
-        vocabulary = self.first.get_vocab()
+        vocabulary = byte_level["model"]["vocab"]
         named: list[bytes] = [b""] * (max(vocabulary.values()) + 1)
         for name, number in vocabulary.items():
-            named[number] = bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode()
+            named[number] = bytes(letters[c] for c in name)
+        self.first = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks={t: i for i, t in enumerate(named) if t}, special_tokens={})
         ids = range(self.second.get_piece_size())
         texts = [self.second.id_to_piece(i) for i in ids]
         self.a = Side.of(named)
@@ -87,14 +86,25 @@ class Tokenizers:
         self.marks, self.from_b = pa.array([m.encode() for m in marks], pa.large_binary()), 2 * len(named)
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        first = self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [e.ids for e in first], self.second.encode(texts, num_threads=1)
+        return [self.first.encode_ordinary(" " + t) for t in texts], self.second.encode(texts, num_threads=1)
 
 
 @lru_cache(maxsize=2)
 def tokenizers(byte_level: str, pieces: bytes) -> Tokenizers:
     """One pair of tokenizers for a worker, however many tasks it runs."""
-    return Tokenizers(byte_level, pieces)
+    return Tokenizers(json.loads(byte_level), pieces)
+
+
+def byte_level_file(path: str) -> str:
+    """The text of a byte-level BPE file whose merges are applied in the order of their ids, without a normaliser or other words."""
+    with open(path, encoding="utf-8") as file:
+        text = file.read()
+    model = json.loads(text)
+    split, vocabulary, merges = model["pre_tokenizer"], model["model"]["vocab"], model["model"]["merges"]
+    made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+    if split["type"] != "ByteLevel" or not split.get("use_regex", True) or model["normalizer"] or made != sorted(made):
+        raise ValueError(f"{path} is not a plain byte-level file with merges in the order of ids")
+    return text
 
 
 def _flat(lists: list[list[int]], side: Side) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -205,8 +215,8 @@ _TYPES = {f.split()[0]: {"long": pa.int64(), "int": pa.int32(), "string": pa.str
 
 def chunks(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES, chunk: int = CHUNK) -> DataFrame:
     """All chunks, written once: document rows (place is null) and pair rows (place, a, b and n are set)."""
-    with open(byte_level, encoding="utf-8") as one, open(pieces, "rb") as two:
-        files = docs.sparkSession.sparkContext.broadcast((json.dumps(json.load(one)), two.read()))
+    with open(pieces, "rb") as file:
+        files = docs.sparkSession.sparkContext.broadcast((byte_level_file(byte_level), file.read()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, number = tokenizers(*files.value), TaskContext.get().partitionId() << 32
@@ -222,6 +232,7 @@ def chunks(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES,
                 if held >= chunk:
                     yield from _chunk_rows(number, ids, found)
                     ids, found, held, number = [], [], 0, number + 1
+                    pa.default_memory_pool().release_unused()
         if found:
             yield from _chunk_rows(number, ids, found)
 

@@ -81,3 +81,16 @@ def test_documents_equal_brute_force_in_any_chunks(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert rows_of(alignment.alignments(docs)) == want
     assert rows_of(alignment.alignments(docs.repartition(3), chunk=5_000)) == want
+
+
+def test_every_character_is_split_as_by_the_file(spark):
+    """The encoder built from the file gives the library's own ids around every code point and in long runs."""
+    first = Tokenizer.from_file(BYTE_LEVEL)
+    first.encode_special_tokens = True
+    book = alignment.tokenizers(alignment.byte_level_file(BYTE_LEVEL), open(PIECES, "rb").read())
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [f" a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)} .{chr(c)}\n{chr(c)}" for c in points[::7] + points[:70_000]]
+    texts += [" " + " " * 300_000 + "x", " " + "ab" * 200_000, " " + "\n \t" * 50_000, " " + "don't'll" * 999]
+    for lo in range(0, len(texts), 20_000):
+        part = texts[lo : lo + 20_000]
+        assert [e.ids for e in first.encode_batch_fast(part, add_special_tokens=False)] == [book.first.encode_ordinary(t) for t in part]
