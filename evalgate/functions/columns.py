@@ -17,6 +17,16 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+#: Rows of a table that is sent to every executor; larger ones are joined as the planner sees fit.
+BROADCAST_ROWS = 100_000
+
+
+def bounded_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Null-safe join with a table that is already computed (checkpointed or read): broadcast once its rows are counted to be few."""
+    few = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return null_safe_join(left, F.broadcast(right) if few else right, keys, how)
+
+
 def grouped(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
     """Give a global evaluation a constant group so every operator has at least one key."""
     if by:

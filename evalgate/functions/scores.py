@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The evaluation grid is 48 even thresholds plus 160 score quantiles.
@@ -46,17 +46,25 @@ def ece_bin(prob: Column, bins: int = 15) -> Column:
     return F.when((prob >= edges[0]) & (prob <= edges[-1]), index)
 
 
-def score_cell(prob: Column) -> Column:
-    """Monotone integer cell of a score; scaling by powers of two keeps it exact.
+#: Cells of a score; a cell is placed by the mass of scores, so none holds much more than its share.
+CELLS = 256
 
-    1024 linear cells on [2^-10, 1] and 1024 more for each further 2^-10 towards 0, so
-    maps whose scores crowd near zero still spread over many cells.
-    """
+
+def cell_borders(values: DataFrame, column: str = "prob", cells: int = CELLS) -> list[float]:
+    """Distinct borders that cut the rows into cells of about equal mass, from one mergeable summary."""
+    cuts = [k / cells for k in range(1, cells)]
+    found = values.agg(F.percentile_approx(F.col(column).cast("double"), cuts, cells * 16).alias("q")).first()["q"]
+    return sorted({float(v) for v in found or [] if v == v})
+
+
+def score_cell(prob: Column, borders: list[float]) -> Column:
+    """Monotone cell number of a score: the borders at or below it, found by halving."""
     p = prob.cast("double")
-    return (
-        F.when(p >= 2.0**-10, 2048 + F.floor(F.least(p, F.lit(2.0)) * 2.0**10))
-        .when(p >= 2.0**-20, 1024 + F.floor(p * 2.0**20))
-        .when(p >= 2.0**-30, F.floor(p * 2.0**30))
-        .otherwise(0)
-        .cast("int")
-    )
+
+    def between(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        return F.when(p >= borders[middle], between(middle + 1, hi)).otherwise(between(lo, middle))
+
+    return between(0, len(borders))

@@ -132,3 +132,9 @@ PLANNER_SECTION = "planner"
 
 HELD_OUT_MODES = ["cross-segment", "cross-scroll", "leave-one-segment-out"]
 COST_RANK = {"cheap": 0, "normal": 1, "expensive": 2}
+
+# Paths that differ between the folds and seeds of one configuration.
+FOLD_PATHS = [
+    "resolved_data", "validation_setup", "dataset.train_npz", "dataset.val_npz", "dataset.validation_mode", "training.seed",
+    f"{PLANNER_SECTION}.heldout_segment", f"{PLANNER_SECTION}.seed_repeat", f"{PLANNER_SECTION}.fold_map",
+]

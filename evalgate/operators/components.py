@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalgate.functions.columns import grouped, null_safe_join
-from evalgate.session import checkpointed
+from evalgate.functions.ordering import salted_join
+from evalgate.session import checkpointed, written
 
 ROW = 2**31
 
@@ -102,17 +103,21 @@ def border_edges(labels: DataFrame, by: list[str], tile: int) -> DataFrame:
 
 
 def close_labels(edges: DataFrame, by: list[str]) -> DataFrame:
-    """(by, node, root): smallest reachable node; rounds stop when no label changes."""
-    both = checkpointed(edges.unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = checkpointed(both.groupBy(*by, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    """(by, node, root): smallest reachable node; rounds stop when no label changes.
+
+    In a giant component most nodes soon share one root. Nodes look up the label of their label by that root, so its rows are
+    dealt over salts; a node's own neighbours are few (the border of a tile).
+    """
+    both = written(edges.unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    roots = written(both.groupBy(*by, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         near = null_safe_join(both, roots.select(*by, F.col("node").alias("b"), F.col("root").alias("_r")), [*by, "b"])
         low = near.groupBy(*by, F.col("a").alias("node")).agg(F.min("_r").alias("_low"))
         hooked = null_safe_join(roots, low, [*by, "node"]).withColumn("_new", F.least("root", "_low"))
         jump = roots.select(*by, F.col("node").alias("_new"), F.col("root").alias("_jump"))
-        stepped = null_safe_join(hooked, jump, [*by, "_new"], "left").select(
+        stepped = salted_join(hooked, jump, [*by, "_new"], ["node"]).select(
             *by, "node", F.coalesce(F.least("_new", "_jump"), "_new").alias("root"), F.col("root").alias("_old"))
-        stepped = checkpointed(stepped)
+        stepped = written(stepped)
         if stepped.filter(F.col("root") != F.col("_old")).limit(1).count() == 0:
             return roots
         roots = stepped.drop("_old")

@@ -37,6 +37,18 @@ def build_folds(patches: DataFrame, segment: str = "segment") -> DataFrame:
     return a.join(b, F.col("heldout_segment") != F.col("train_segment"))
 
 
+def fold_sizes(patches: DataFrame, segment: str = "segment") -> DataFrame:
+    """Leave-one-segment-out folds, a row each: own samples and those of all other segments (total less own).
+
+    A segment without others has no fold. The train side of a fold is `fold_train_patches`, so pairs of segments are never listed.
+    """
+    sizes = patches.groupBy(segment).agg(F.count(F.lit(1)).alias("val_samples"))
+    # the totals are a scalar subquery: one row that Spark sends along with the projection
+    total = sizes.agg(F.sum("val_samples")).scalar()
+    others = sizes.agg(F.count(F.lit(1))).scalar() - 1
+    return sizes.select(F.col(segment).alias("heldout_segment"), "val_samples", (total - F.col("val_samples")).alias("train_samples"), others.alias("train_segments")).filter("train_segments > 0")
+
+
 def fold_train_patches(patches: DataFrame, heldout, segment: str = "segment") -> DataFrame:
     """Training patches of one fold: a filter that reaches the scan, no join."""
     return patches.filter(F.col(segment) != F.lit(heldout))

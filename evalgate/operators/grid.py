@@ -333,6 +333,69 @@ def pixel_features(pixels: DataFrame, patch: list[str], depth: int = 3, channels
     return out
 
 
+def feature_names(channels: int = 1, depth: int = 3) -> list[str]:
+    """Names of the features of a pixel with so many channels; a single channel has no number."""
+    of_channel = ["v"] + ["mean4", "residual"] * (depth >= 2) + ["gx", "gy", "grad2", "laplacian"] * (depth >= 3)
+    own = [f"{n}_{c}" if channels > 1 else n for c in range(channels) for n in of_channel]
+    across = ["depth_mean", "depth_center_diff", "depth_std", "depth_span"] if channels > 1 and depth >= 2 else []
+    return ["bias", *own, *across]
+
+
+def patch_features(patches: DataFrame, keys: list[str], channels: int = 1, depth: int = 3) -> DataFrame:
+    """`pixel_features` of patches that are flat arrays ``image`` (channel by channel, ``h`` x ``w``): a row per pixel, all channels in it.
+
+    A stencil reads its neighbours from the patch's own array, so there is no shuffle. Pixels come as (keys, y, x, features).
+    """
+    h, w, image = F.col("h"), F.col("w"), F.col("image")
+    at = lambda c, y, x: F.get(image, (c * h * w + y * w + x).cast("int"))
+
+    def around(c: int, y: Column, x: Column) -> Column:
+        before = lambda i, n: F.when(i == 0, n - 1).otherwise(i - 1)
+        after = lambda i, n: F.when(i == n - 1, 0).otherwise(i + 1)
+        return F.struct(at(c, y, x).alias("v"), at(c, before(y, h), x).alias("up"), at(c, after(y, h), x).alias("down"),
+                        at(c, y, before(x, w)).alias("left"), at(c, y, after(x, w)).alias("right"))
+
+    def derived(p: Column, c: int) -> dict[str, Column]:
+        q = p[f"c{c}"]
+        out = {"v": q["v"]}
+        if depth >= 2:
+            mean4 = (q["up"] + q["down"] + q["left"] + q["right"]) / 4.0
+            out |= {"mean4": mean4, "residual": q["v"] - mean4}
+        if depth >= 3:
+            def slope(i: Column, n: Column, b: Column, a: Column) -> Column:
+                # a patch of one row or column has no slope
+                return F.when(n == 1, None).when(i == 0, a - q["v"]).when(i == n - 1, q["v"] - b).otherwise((a - b) / 2.0)
+
+            gy, gx = slope(p["y"], h, q["up"], q["down"]), slope(p["x"], w, q["left"], q["right"])
+            out |= {"gx": gx, "gy": gy, "grad2": gx * gx + gy * gy, "laplacian": q["up"] + q["down"] + q["left"] + q["right"] - 4.0 * q["v"]}
+        return {f"{n}_{c}" if channels > 1 else n: e for n, e in out.items()}
+
+    def pixel(p: Column) -> Column:
+        found = {"bias": F.lit(1.0)}
+        for c in range(channels):
+            found |= derived(p, c)
+        if channels > 1 and depth >= 2:
+            values = [p[f"c{c}"]["v"] for c in range(channels)]
+            mean = sum(values[1:], values[0]) / float(channels)
+            square = sum(((v - mean) * (v - mean) for v in values[1:]), (values[0] - mean) * (values[0] - mean)) / float(channels)
+            found |= {"depth_mean": mean, "depth_center_diff": values[channels // 2] - mean, "depth_std": F.sqrt(square), "depth_span": values[-1] - values[0]}
+        return F.struct(p["y"].cast("int").alias("y"), p["x"].cast("int").alias("x"), *[found[n].alias(n) for n in feature_names(channels, depth)])
+
+    def neighbours(k: Column) -> Column:
+        y, x = F.floor(k / w), k % w
+        return F.struct(y.alias("y"), x.alias("x"), *[around(c, y, x).alias(f"c{c}") for c in range(channels)])
+
+    places = F.sequence(F.lit(0), (h * w - 1).cast("int"))
+    return patches.select(*keys, F.inline(F.transform(F.transform(places, neighbours), pixel)))
+
+
+def patch_texture(patches: DataFrame, keys: list[str], channels: int = 1) -> DataFrame:
+    """`texture` of patches that are flat arrays: mean squared gradient of the centre channel, without a shuffle of pixels."""
+    size = F.col("h") * F.col("w")
+    middle = F.slice("image", (F.lit(channels // 2) * size + 1).cast("int"), size.cast("int"))
+    return patch_features(patches.withColumn("image", middle), keys, 1, 3).groupBy(*keys).agg(F.avg("grad2").alias("texture"))
+
+
 def standardize(train: DataFrame, val: DataFrame, by: list[str], features: list[str]) -> tuple[DataFrame, DataFrame]:
     """Both sets scaled by the train mean and population deviation of each group."""
     stats = train.groupBy(*by).agg(*[F.avg(f).alias(f"_m_{f}") for f in features],

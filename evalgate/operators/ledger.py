@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from evalgate.functions.columns import falsy_zero, first_reason, floored_ratio, grouped, null_safe_join, reasons
+from evalgate.functions.columns import bounded_join, falsy_zero, first_reason, floored_ratio, grouped, null_safe_join, reasons
 from evalgate.functions.tables import HELD_OUT_MODES, PLANNER_SECTION, SEARCH_DEFAULTS
 from evalgate.operators.rules import cost_rank, is_robust, lookup, mutation_family, scope_priority, validation_priority
+from evalgate.session import checkpointed
 
 HARD_SEGMENTS = ["20230530172803", "20230522181603"]
 
@@ -815,21 +816,32 @@ def payload_reasons(doc: Column) -> Column:
 def backtest_weights(runs: DataFrame, by: list[str], ap: list[float], f05: list[float], cal: list[float], k: int) -> DataFrame:
     """Mean F1 of the top k and quality of the top 5 for every weight combination.
 
-    Each run is spread over the fixed weight grid and only per-partition top k rows of a
-    combination reach the shuffle.
+    The top rows under the middle weights give every combination a floor: it has that many runs scoring no less, so a run
+    below the floors of all combinations is in no top list. Only the few runs that pass a floor are spread over the grid.
     """
     grid = [(a, f, c) for a in ap for f in f05 for c in cal]
-    combos = F.array(*[F.struct(F.lit(a).alias("ap_weight"), F.lit(f).alias("f05_weight"), F.lit(c).alias("cal_weight")) for a, f, c in grid])
+    most = max(k, 5)
     ratio, _ = _rates(runs)
     off = F.coalesce(F.least(F.abs(ratio - 1.0), F.lit(0.5)), F.lit(0.0))
     proxy = ((falsy_zero(F.col("val_f1")) > 0) & (falsy_zero(F.col("average_precision")) > 0) & (F.lower("fixed_threshold_status") == "ok")
              & ratio.between(0.1, 3.5) & ~_not_positive())
     slim = runs.select(*by, "run_id", "ts", falsy_zero(F.col("val_f1")).alias("f1"), falsy_zero(F.col("average_precision")).alias("ap"),
                        falsy_zero(F.col("val_f05")).alias("f05"), off.alias("off"), _true(proxy).alias("proxy"), F.coalesce(ratio, F.lit(0.0)).alias("ratio"))
-    rows = slim.select("*", F.inline(combos))
-    score = F.round(F.col("f1") + F.col("ap_weight") * F.col("ap") + F.col("f05_weight") * F.col("f05") - F.col("cal_weight") * F.col("off"), 12)
+
+    def score(a: float | Column, f: float | Column, c: float | Column) -> Column:
+        return F.col("f1") + a * F.col("ap") + f * F.col("f05") - c * F.col("off")
+
+    middle = score(*[sum(w) / len(w) for w in (ap, f05, cal)])
+    seeds = top_rows(slim, by, [middle.desc()], most)
+    enough = F.count(F.lit(1)) >= most
+    floors = checkpointed(seeds.groupBy(*by).agg(*[F.when(enough, F.min(score(*w)) - 1e-9).otherwise(float("-inf")).alias(f"_f{i}") for i, w in enumerate(grid)]))
+    above = F.greatest(*[score(*w) - F.col(f"_f{i}") for i, w in enumerate(grid)]) >= 0
+    passing = bounded_join(slim, floors, by).filter(above).drop(*[f"_f{i}" for i in range(len(grid))])
+    combos = F.array(*[F.struct(F.lit(a).alias("ap_weight"), F.lit(f).alias("f05_weight"), F.lit(c).alias("cal_weight")) for a, f, c in grid])
+    rows = passing.select("*", F.inline(combos))
     keys = [*by, "ap_weight", "f05_weight", "cal_weight"]
-    top = top_rows(rows.withColumn("score", score), keys, [F.col("score").desc(), F.col("ts"), F.col("run_id")], max(k, 5))
+    ranked = rows.withColumn("score", F.round(score(F.col("ap_weight"), F.col("f05_weight"), F.col("cal_weight")), 12))
+    top = top_rows(ranked, keys, [F.col("score").desc(), F.col("ts"), F.col("run_id")], most)
     in_k, in_5 = F.col("rank") <= k, F.col("rank") <= 5
     return top.groupBy(*keys).agg(
         F.count_if(in_k).alias("top_k"), F.avg(F.when(in_k, F.col("f1"))).alias("mean_top_val_f1"),

@@ -3,8 +3,8 @@
 Scale notes. Every operator first collapses pixels to ``(by, prob)`` counts or to
 partial sums, so the shuffle carries pre-aggregated rows. Ranks and running counts are
 taken in two levels: a count per (group, score cell), a running sum over those few cells,
-and a window inside one cell. One hot group therefore spreads over thousands of cells and
-is never sorted by a single task.
+and a window inside one cell. Cells are placed by the mass of scores, so one hot group spreads
+over hundreds of cells of about equal size and is never sorted by a single task.
 """
 
 from __future__ import annotations
@@ -15,17 +15,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from evalgate.functions.columns import first_reason, floored_ratio, grouped, null_safe_join, reasons
+from evalgate.functions.columns import BROADCAST_ROWS, first_reason, floored_ratio, grouped, null_safe_join, reasons
+from evalgate.functions.ordering import salted_join
 from evalgate.functions.scores import (
     EVEN_THRESHOLDS,
     QUANTILE_STEPS,
     QUANTILES,
     SWEEP_METRICS,
+    cell_borders,
     confusion_columns,
     ece_bin,
     is_positive,
     score_cell,
 )
+from evalgate.session import checkpointed
 
 # Positive-rate caps reported by the threshold risk summary.
 RISK_CAPS = [2.0, 2.5, 3.0, 3.5]
@@ -100,11 +103,17 @@ def value_counts(scores: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def counted(scores: DataFrame, by: list[str]) -> DataFrame:
+    """`value_counts` with the sum of labels, worked out once: everything but the order of mixed ties follows from it."""
+    return checkpointed(scores.groupBy(*by, "prob").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(is_positive(F.col("label"))).alias("pos"), F.sum(F.col("label").cast("double")).alias("label_sum")))
+
+
 def running_counts(values: DataFrame, by: list[str], then: list[str] | None = None) -> DataFrame:
     """Add counts down to and including each row (``ge_n``, ``ge_pos``), group totals (``all_n``,
     ``all_pos``) and the next higher score (``hi_prob``); rows are ordered by prob descending,
-    then by ``then``."""
-    values = values.withColumn("_cell", score_cell(F.col("prob")))
+    then by ``then``. `values` is read three times, so costly ones should be checkpointed."""
+    values = values.withColumn("_cell", score_cell(F.col("prob"), cell_borders(values)))
     cells = values.groupBy(*by, "_cell").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_pos"), F.min("prob").alias("_min"))
     group = W.partitionBy(*by)
     above = group.orderBy(F.col("_cell").desc()).rowsBetween(W.unboundedPreceding, -1)
@@ -128,35 +137,45 @@ def running_counts(values: DataFrame, by: list[str], then: list[str] | None = No
     )
 
 
+#: Positives of one score that are summed term by term; longer runs are ranked as rows.
+TERMS = 256
+
+
 def average_precision(scores: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Mean precision at the rank of each positive; 0 when a group has none.
+    """Mean precision at the rank of each positive; 0 when a group has none. Ranks follow (prob desc, order asc)."""
+    scores, by = grouped(scores, by)
+    return _average_precision(scores, running_counts(checkpointed(value_counts(scores, by)), by), by, order)
+
 
-    Ranks follow (prob desc, order asc). Equal scores are split into 64 ranges of the first
-    order column, so even a group with a single score value is ranked by many tasks.
+def _average_precision(scores: DataFrame, cum: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Average precision from running counts and, for ties of both labels only, from the rows.
+
+    A score whose rows are all positive has known hits and ranks, one that has no positive adds nothing. Rows of the other
+    scores are ranked after a range partitioning by (score, order), which cuts a score's rows by count however they crowd.
     """
-    scores, by = grouped(scores, by)
     extra = [c for c in order if c not in by]
+    long = (F.col("pos") > 0) & ((F.col("pos") < F.col("n")) | (F.col("n") > TERMS))
+    before_n, before_pos = F.col("ge_n") - F.col("n"), F.col("ge_pos") - F.col("pos")
+    terms = F.aggregate(F.sequence(F.lit(1), F.when(long, 1).otherwise(F.col("n").cast("int"))), F.lit(0.0), lambda s, k: s + (before_pos + k) / (before_n + k))
+    part = F.when(F.col("pos") == 0, 0.0).when(~long, F.when(F.col("n") == 1, (before_pos + 1) / (before_n + 1)).otherwise(terms)).otherwise(0.0)
+    whole = cum.groupBy(*by).agg(F.max("all_pos").alias("positives"), F.sum(part).alias("_sum"))
+    mixed = checkpointed(cum.filter(long).select(*by, "prob", before_n.alias("_before_n"), before_pos.alias("_before_pos")))
     rows = scores.select(*by, "prob", *extra, is_positive(F.col("label")).cast("long").alias("pos"))
-    first = F.col(order[0]).cast("double")
-    span = scores.agg(F.min(first).alias("lo"), (F.max(first) - F.min(first) + 1.0).alias("width"))
-    low, width = span.select("lo").scalar(), span.select("width").scalar()
-    rows = rows.withColumn("_range", F.floor((first - low) / width * 64).cast("int"))
-    blocks = rows.groupBy(*by, "prob", "_range").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"))
-    blocks = running_counts(blocks, by, ["_range"]).select(
-        *by, "prob", "_range", "all_pos",
-        (F.col("ge_n") - F.col("n")).alias("_before_n"), (F.col("ge_pos") - F.col("pos")).alias("_before_pos"),
-    )
-    inside = W.partitionBy(*by, "prob", "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    ranked = null_safe_join(rows, blocks, [*by, "prob", "_range"]).select(
-        *by, "pos", "all_pos",
-        (F.count(F.lit(1)).over(inside) + F.col("_before_n")).alias("rank"),
-        (F.sum("pos").over(inside) + F.col("_before_pos")).alias("hits"),
-    )
-    total = F.sum(F.when(F.col("pos") == 1, F.col("hits") / F.col("rank")).otherwise(0.0))
-    return ranked.groupBy(*by).agg(
-        F.max("all_pos").alias("positives"),
-        F.when(F.max("all_pos") > 0, total / F.max("all_pos")).otherwise(0.0).alias("average_precision"),
-    )
+    keys = [*by, "prob"]
+    few = mixed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    tied = null_safe_join(rows, F.broadcast(mixed), keys) if few else salted_join(rows, mixed, keys, extra or by, "inner")
+    ranged = checkpointed(tied.repartitionByRange(*keys, *extra).withColumn("_range", F.spark_partition_id()))
+    blocks = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.sum("pos").alias("_p"))
+    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off_n"), F.coalesce(F.sum("_p").over(earlier), F.lit(0)).alias("_off_p"))
+    inside = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    ranked = null_safe_join(ranged, blocks, [*keys, "_range"]).select(
+        *by, "pos", (F.count(F.lit(1)).over(inside) + F.col("_off_n") + F.col("_before_n")).alias("rank"),
+        (F.sum("pos").over(inside) + F.col("_off_p") + F.col("_before_pos")).alias("hits"))
+    ties = ranked.filter("pos = 1").groupBy(*by).agg(F.sum(F.col("hits") / F.col("rank")).alias("_ties"))
+    total = F.col("_sum") + F.coalesce("_ties", F.lit(0.0))
+    return null_safe_join(whole, ties, by, "left").select(
+        *by, "positives", F.when(F.col("positives") > 0, total / F.col("positives")).otherwise(0.0).alias("average_precision"))
 
 
 # ---------------------------------------------------------------- calibration and score statistics
@@ -247,7 +266,7 @@ def quantiles(cum: DataFrame, by: list[str], probs: list[float], distinct: bool
 
 def score_stats(scores: DataFrame, by: list[str]) -> DataFrame:
     scores, by = grouped(scores, by)
-    values = value_counts(scores, by)
+    values = checkpointed(value_counts(scores, by))
     base = values.groupBy(*by).agg(
         F.min("prob").alias("prob_min"),
         (F.sum(F.col("prob") * F.col("n")) / F.sum("n")).alias("prob_mean"),
@@ -297,7 +316,7 @@ def _sweep_rows(counts: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def default_sweep(values: DataFrame, by: list[str], fixed: float = 0.5) -> DataFrame:
+def default_sweep(values: DataFrame, by: list[str], fixed: float = 0.5, cum: DataFrame | None = None) -> DataFrame:
     """Sweep over the default grid from value counts.
 
     Quantile thresholds carry their own counts. Each score emits the distinct thresholds from
@@ -306,7 +325,8 @@ def default_sweep(values: DataFrame, by: list[str], fixed: float = 0.5) -> DataF
     """
     cols = [*by, "threshold", "ge_n", "ge_pos", "all_n", "all_pos"]
     grid = [*EVEN_THRESHOLDS, fixed]
-    at_quantiles = quantiles(running_counts(values, by), by, QUANTILES, distinct=True).select(*cols)
+    cum = running_counts(values, by) if cum is None else cum
+    at_quantiles = quantiles(cum, by, QUANTILES, distinct=True).select(*cols)
     at_fixed = _fixed_counts(values, by, grid).select(*cols)
     at_quantiles = at_quantiles.filter(~F.col("threshold").isin(grid)).groupBy(*by, "threshold").agg(*[F.max(c).alias(c) for c in cols[-4:]])
     return _sweep_rows(at_quantiles.unionByName(at_fixed), by)
@@ -315,7 +335,19 @@ def default_sweep(values: DataFrame, by: list[str], fixed: float = 0.5) -> DataF
 def threshold_grid(scores: DataFrame, by: list[str], fixed: float = 0.5) -> DataFrame:
     """Distinct thresholds per group: even points, score quantiles and the fixed one."""
     scores, by = grouped(scores, by)
-    return default_sweep(value_counts(scores, by), by, fixed).select(*by, "threshold")
+    return default_sweep(checkpointed(value_counts(scores, by)), by, fixed).select(*by, "threshold")
+
+
+def approximate_grid(scores: DataFrame, by: list[str], fixed: float = 0.5, accuracy: int = 10_000) -> DataFrame:
+    """`threshold_grid` with quantiles from a mergeable summary: one aggregate, whose size per group doesn't grow with its scores.
+
+    A quantile threshold is a score of the group whose rank is off by the group's rows over ``accuracy`` at most; the exact grid
+    interpolates between neighbours, this one doesn't.
+    """
+    scores, by = grouped(scores, by)
+    summary = scores.groupBy(*by).agg(F.percentile_approx(F.col("prob").cast("double"), QUANTILES, accuracy).alias("q"))
+    points = F.array(*[F.lit(t) for t in [*EVEN_THRESHOLDS, fixed]])
+    return summary.select(*by, F.explode(F.array_distinct(F.concat(points, "q"))).alias("threshold"))
 
 
 def threshold_sweep(scores: DataFrame, by: list[str], grid: DataFrame | None = None, fixed: float = 0.5) -> DataFrame:
@@ -325,7 +357,7 @@ def threshold_sweep(scores: DataFrame, by: list[str], grid: DataFrame | None = N
     running sum and never a pixels x thresholds join.
     """
     scores, by = grouped(scores, by)
-    values = value_counts(scores, by)
+    values = checkpointed(value_counts(scores, by))
     if grid is None:
         return default_sweep(values, by, fixed)
     markers = grid.select(*by, F.col("threshold").cast("double").alias("prob"), F.lit(0).cast("long").alias("n"),
@@ -407,8 +439,7 @@ def fixed_status_columns(fixed_f1: Column, fixed_rate: Column, fixed_p: Column,
 
 def fixed_status(scores: DataFrame, by: list[str], cfg: EvalConfig) -> DataFrame:
     scores, by = grouped(scores, by)
-    values = value_counts(scores, by)
-    rows = default_sweep(values, by, cfg.fixed_threshold)
+    rows = checkpointed(default_sweep(checkpointed(value_counts(scores, by)), by, cfg.fixed_threshold))
     best = selected_columns(select_threshold(rows, by, cfg), by).select(*by, "val_f1")
     fixed = rows.filter(F.col("threshold") == cfg.fixed_threshold)
     joined = null_safe_join(fixed, best, by)
@@ -471,16 +502,20 @@ def threshold_risk(rows: DataFrame, selected: DataFrame, by: list[str], cfg: Eva
 
 def evaluate(scores: DataFrame, by: list[str], order: list[str], cfg: EvalConfig | None = None,
              with_risk: bool = False) -> DataFrame:
-    """The full evaluation record of every group."""
+    """The full evaluation record of every group.
+
+    Scores are read twice: once to be counted by value, and once more for ties of both labels. Running counts and sweep rows
+    are worked out once; every part of the record is an aggregate of one of the three tables.
+    """
     cfg = cfg or EvalConfig()
     scores, by = grouped(scores, by)
-    values = value_counts(scores, by)
-    rows = default_sweep(values, by, cfg.fixed_threshold)
+    values = counted(scores, by)
+    cum = checkpointed(running_counts(values.drop("label_sum"), by))
+    rows = checkpointed(default_sweep(values, by, cfg.fixed_threshold, cum))
     selected = select_threshold(rows, by, cfg)
-    fixed = rows.filter(F.col("threshold") == cfg.fixed_threshold).select(
-        *by, F.col("f1").alias("fixed_f1"), F.col("precision").alias("fixed_threshold_precision"),
-        F.col("recall").alias("fixed_threshold_recall"), F.col("pred_positive_rate").alias("fixed_rate"),
-    )
+    at_fixed = F.col("threshold") == cfg.fixed_threshold
+    fixed = rows.groupBy(*by).agg(*[F.max(F.when(at_fixed, F.col(c))).alias(name) for c, name in (
+        ("f1", "fixed_f1"), ("precision", "fixed_threshold_precision"), ("recall", "fixed_threshold_recall"), ("pred_positive_rate", "fixed_rate"))])
     out = null_safe_join(selected_columns(selected, by), fixed, by)
     if cfg.dice_fixed_f1:
         alt = dice(scores, cfg.fixed_threshold, by).select(*by, F.col("dice").alias("fixed_dice"))
@@ -491,13 +526,9 @@ def evaluate(scores: DataFrame, by: list[str], order: list[str], cfg: EvalConfig
         out = out.withColumn(name, col)
     out = out.withColumnRenamed("fixed_f1", "fixed_threshold_f1").drop("fixed_rate")
     for part in (
-        average_precision(scores, by, order).select(*by, "average_precision"),
-        calibration_error(scores, by, cfg.bins),
-        scores.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("pixels"), F.min("prob").alias("prob_min"), F.avg("prob").alias("prob_mean"),
-            F.max("prob").alias("prob_max"), *[c.alias(k) for k, c in _loss_terms().items()],
-        ),
-        quantiles(running_counts(values, by), by, [0.95]).select(*by, F.col("threshold").alias("prob_p95")),
+        _average_precision(scores, cum, by, order).select(*by, "average_precision"),
+        _value_statistics(values, by, cfg.bins),
+        quantiles(cum, by, [0.95]).select(*by, F.col("threshold").alias("prob_p95")),
     ):
         out = null_safe_join(out, part, by)
     out = out.withColumn(
@@ -511,6 +542,22 @@ def evaluate(scores: DataFrame, by: list[str], order: list[str], cfg: EvalConfig
     return out
 
 
+def _value_statistics(values: DataFrame, by: list[str], bins: int) -> DataFrame:
+    """Calibration error, losses and score statistics from counted values: sums per bin, then per group."""
+    p, n, pos, y = F.col("prob").cast("double"), F.col("n"), F.col("pos"), F.col("label_sum")
+    brier = n * p * p - 2.0 * p * pos + pos
+    loss = y * F.ln(p + LOG_LOSS_EPS) + (n - y) * F.ln(1.0 - p + LOG_LOSS_EPS)
+    per_bin = values.groupBy(*by, ece_bin(F.col("prob"), bins).alias("bin")).agg(
+        F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(p * n).alias("conf"), F.sum(brier).alias("brier"), F.sum(loss).alias("loss"),
+        F.min("prob").alias("lo"), F.max("prob").alias("hi"))
+    gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("conf") / F.col("n") - F.col("pos") / F.col("n")) * F.col("n"))
+    total = F.sum("n")
+    return per_bin.groupBy(*by).agg(
+        (F.coalesce(F.sum(gap), F.lit(0.0)) / total).alias("expected_calibration_error"), total.alias("pixels"), F.min("lo").alias("prob_min"),
+        (F.sum("conf") / total).alias("prob_mean"), F.max("hi").alias("prob_max"), (F.sum("brier") / total).alias("brier_score"),
+        (-F.sum("loss") / total).alias("log_loss"))
+
+
 # ---------------------------------------------------------------- loss diagnostics
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalgate.functions.columns import first_reason, reasons, safe_ratio
+from evalgate.functions.ordering import placed
 from evalgate.operators.grid import covering_tiles, extract_at, map_sizes
 from evalgate.operators.ledger import optional, top_rows
 
@@ -63,6 +64,26 @@ def fold_eligibility(inventory: DataFrame, folds: DataFrame, key: str) -> DataFr
     return j.select(key, "heldout_segment", why.isNull().alias("eligible"), why.alias("reason"))
 
 
+def fold_sets(inventory: DataFrame, folds: DataFrame, key: str) -> DataFrame:
+    """A row per held-out segment: how many sets it may use, how many its provenance or their status forbids, and the first usable one.
+
+    Only the exceptions are rows: (set, segment) of eligible sets whose provenance names the segment. Counts are totals less
+    exceptions. The first usable set is the first of all or the successor of a forbidden one, whichever is free and earliest.
+    """
+    held = folds.select("heldout_segment").distinct()
+    sets = placed(inventory.filter("status = 'eligible'").select(key, "provenance"), [key])
+    eligible = sets.agg(F.count(F.lit(1))).scalar()
+    total = inventory.agg(F.count(F.lit(1))).scalar()
+    forbidden = sets.select("place", F.explode("provenance").alias("heldout_segment")).distinct()
+    counts = forbidden.groupBy("heldout_segment").agg(F.count(F.lit(1)).alias("_bad"))
+    tried = held.withColumn("place", F.lit(0).cast("long")).union(forbidden.select("heldout_segment", (F.col("place") + 1).alias("place")).join(held, "heldout_segment"))
+    free = tried.join(forbidden, ["heldout_segment", "place"], "left_anti").groupBy("heldout_segment").agg(F.min("place").alias("place"))
+    first = free.join(sets.select("place", F.col(key).alias("first_set")), "place", "left").drop("place")
+    j = held.join(counts, "heldout_segment", "left").join(first, "heldout_segment", "left")
+    bad = F.coalesce("_bad", F.lit(0))
+    return j.select("heldout_segment", (eligible - bad).alias("eligible_sets"), bad.alias("own_sets"), (total - eligible).alias("rejected_sets"), "first_set")
+
+
 def candidate_tiles(tiles: DataFrame, by: list[str]) -> DataFrame:
     """One tile per (artifact, segment): the first, or the first with a risk summary; first-seen order kept."""
     rest = [c for c in tiles.columns if c not in {*by, "artifact_dir", "segment_id"}]
@@ -113,15 +134,14 @@ def risk_decision(tiles: DataFrame, keep: float = 0.95) -> DataFrame:
     })
 
 
-def mining_plan(tiles: DataFrame, eligibility: DataFrame, by: list[str], key: str, max_tiles: int, ratio: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """Tiles to mine (first ``max_tiles`` per group) and the extra sets each held-out segment may use."""
+def mining_plan(tiles: DataFrame, sets: DataFrame, by: list[str], max_tiles: int, ratio: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """Tiles to mine (first ``max_tiles`` per group) and the extra sets each held-out segment may use (of ``fold_sets``)."""
     decided = risk_decision(candidate_tiles(tiles, by))
     explicit = F.coalesce(F.array_contains(optional(decided, "actions", "array<string>"), "mine_hard_negatives"), F.lit(False))
     compare = (F.col("decision") == "run_cap_comparison") & optional(decided, "has_threshold_rows", "boolean", False)
     mine = needs_mining(decided, ratio) & (explicit | ~((F.col("decision") == "tighten_positive_rate_cap") | compare))
     chosen = top_rows(decided.filter(mine), by, [F.col("first_seen"), F.col("artifact_dir"), F.col("segment_id")], max_tiles, "mine_order")
-    extra = eligibility.filter("eligible").groupBy("heldout_segment").agg(F.count(F.lit(1)).alias("eligible_sets"), F.min(key).alias("first_set"))
-    return chosen, extra
+    return chosen, sets.filter("eligible_sets > 0").select("heldout_segment", "eligible_sets", "first_set")
 
 
 def cap_recommendation(recommended: DataFrame, by: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evalgate.functions.columns import first_reason, reasons
 from evalgate.functions.tables import (
     COST_RANK,
+    FOLD_PATHS,
     MUTATION_FAMILIES,
     OPTIONAL_METRICS,
     PARAM_BOUNDS,
@@ -108,6 +109,31 @@ def search_signature(kv: DataFrame, key: str) -> DataFrame:
     return kv.groupBy(key).agg(F.sha2(canonical, 256).alias("search_signature"))
 
 
+def search_key(doc: Column) -> Column:
+    """`search_signature` of a document as a projection: the searched paths are fixed, so nothing is opened or grouped."""
+    found = F.array(*[F.struct(F.try_variant_get(doc, f"$.{p}", "variant").alias("v"), F.lit(d).alias("d"), F.lit(p == "model.depth").alias("cut")) for p, d in SEARCH_DEFAULTS.items()])
+    kinds = F.transform(found, lambda e: F.struct(e["v"].alias("v"), e["d"].alias("d"), e["cut"].alias("cut"), kind(e["v"]).alias("k")))
+
+    def part(e: Column) -> Column:
+        deep = e["cut"] & (e["k"] == "number") & (F.try_variant_get(e["v"], "$", "double") > 3)
+        return F.when(e["v"].isNull(), e["d"]).when(deep, "3.0").otherwise(F.coalesce(leaf_text(e["v"], e["k"]), F.lit("null")))
+
+    return F.sha2(F.array_join(F.transform(kinds, part), "|"), 256)
+
+
+def loo_signature(kv: DataFrame, key: str) -> DataFrame:
+    """sha256 of the sorted leaves without what differs between the folds and seeds of one configuration; one per group.
+
+    Needs leaves at any depth (``config_kv``). A cut path goes with all that is below it; other leaves count however deep.
+    """
+    cut = F.lit(False)
+    for path in FOLD_PATHS:
+        cut = cut | (F.col("path") == path) | F.startswith(F.col("path"), F.lit(f"{path}."))
+    typed = F.struct("path", F.concat("kind", F.lit(":"), leaf_text(F.col("v"), F.col("kind"))).alias("value"))
+    kept = F.sort_array(F.collect_list(F.when(~cut, typed)))
+    return kv.groupBy(key).agg(F.sha2(F.to_json(kept), 256).alias("loo_signature"))
+
+
 def profile_violations(doc: Column, max_epochs: int = 8, sample_cap: int = 1024, pixel_cap: int = 600000) -> dict[str, Column]:
     """Resolved run profile and the first limit it breaks."""
     explicit = F.nullif(cfg(doc, f"{PLANNER_SECTION}.run_profile"), F.lit(""))

@@ -43,37 +43,54 @@ def hard_mining_sample(patches: DataFrame, n: int, seed: int, ids: list[str], by
                        hard_fraction: float = 0.5, min_ink: float = 0.001, max_ink: float = 0.0) -> DataFrame:
     """Positives weighted by ink, hard negatives from the most textured pool, random negatives, back-fill.
 
-    Needs ``ink_fraction`` and ``texture``. Each stage ranks candidate rows and the next stage
-    works on what is left, so nothing is collected.
+    Needs ``ink_fraction`` and ``texture``. One window keeps the first rows of four orders per group: n positives by weighted
+    hash, 3 n negatives by texture, and 2 n rows of each hash order, enough since the stages before take n rows at most. The
+    stages then work on those few rows alone; counts of a group travel as one more row of it, so nothing is joined. Where the
+    limits overlap, a patch above ``min_ink`` is a positive only.
     """
-    rows = patches.withColumns({"_pos": F.col("ink_fraction") > min_ink, "_neg": F.col("ink_fraction") <= max_ink})
-    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"), F.count_if("_pos").alias("_np"), F.count_if("_neg").alias("_nn"))
-    take_p = F.least(F.col("_np"), F.lit(int(round(n * positive_fraction))))
-    counts = counts.withColumn("_tp", take_p).withColumn("_tn", n - F.col("_tp"))
-    counts = counts.withColumn("_th", F.least(F.col("_nn"), F.bround(F.col("_tn") * hard_fraction).cast("long")))
-    counts = counts.withColumn("_tr", F.greatest(F.lit(0), F.col("_tn") - F.col("_th")))
-    rows = null_safe_join(rows, counts, by)
+    positive = F.col("ink_fraction") > min_ink
+    negative = (F.col("ink_fraction") <= max_ink) & ~positive
     idc = [F.col(i) for i in ids]
-
-    def rank(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
-        r = F.row_number().over(W.partitionBy(*by).orderBy(*order, *ids))
-        return df.withColumn("_r", r).filter(F.col("_r") <= limit)
-
-    weight = -F.ln(hash_uniform(f"{seed}:positive", *idc)) / F.col("ink_fraction")
-    everything = rows.filter(F.col("_all") <= n).withColumn("stage", F.lit("all"))
-    big = rows.filter(F.col("_all") > n)
-    positives = rank(big.filter("_pos"), [weight], n).filter("_r <= _tp").withColumn("stage", F.lit("positive"))
-    pool = rank(big.filter("_neg"), [F.col("texture").desc()], 3 * n).filter(F.col("_r") <= 3 * F.col("_th"))
-    hard = rank(pool.drop("_r"), [hash_order(f"{seed}:hard", *idc)], n).filter("_r <= _th").withColumn("stage", F.lit("hard_negative"))
-    left = big.filter("_neg").join(hard.select(*by, *ids), [*by, *ids], "left_anti")
-    rand = rank(left, [hash_order(f"{seed}:random", *idc)], n).filter("_r <= _tr").withColumn("stage", F.lit("random_negative"))
-    chosen = positives.unionByName(hard).unionByName(rand)
-    missing = null_safe_join(big.select(*by).distinct(), chosen.groupBy(*by).agg(F.count(F.lit(1)).alias("_got")), by, "left")
-    rest = big.join(chosen.select(*by, *ids), [*by, *ids], "left_anti")
-    rest = null_safe_join(rest, missing, by).withColumn("_need", n - F.coalesce("_got", F.lit(0)))
-    fill = rank(rest, [hash_order(f"{seed}:fill", *idc)], n).filter(F.col("_r") <= F.col("_need")).withColumn("stage", F.lit("fill"))
-    cols = [*patches.columns, "stage"]
-    return everything.select(*cols).unionByName(chosen.select(*cols)).unionByName(fill.select(*cols))
+    row = F.struct(*patches.columns)
+    drawn = lambda name: F.conv(F.substring(hash_order(f"{seed}:{name}", *idc), 1, 15), 16, 10).cast("double")
+    # one order key per list, smallest first; null leaves a row out of a list
+    orders = {
+        "positive": F.when(positive, -F.ln(hash_uniform(f"{seed}:positive", *idc)) / F.col("ink_fraction")),
+        "pool": F.when(negative, -F.col("texture").cast("double")), "random": F.when(negative, drawn("random")), "fill": drawn("fill"),
+    }
+    most = {"positive": n, "pool": 3 * n, "random": 2 * n, "fill": 2 * n}
+    lists = F.array(*[F.struct(F.lit(k).alias("_list"), o.alias("_key")) for k, o in orders.items()])
+    # numbered before the rows are spread over the lists, so that the copies of a row share its number
+    numbered = patches.select(*by, row.alias("_row"), F.struct(*ids).alias("_ids"), lists.alias("_lists"), F.monotonically_increasing_id().alias("_no"))
+    flat = numbered.select(*by, "_no", "_row", "_ids", F.inline("_lists"))
+    first = W.partitionBy(*by, "_list").orderBy("_key", "_ids", "_no")
+    limit = F.create_map(*[F.lit(x) for kv in most.items() for x in kv])[F.col("_list")]
+    kept = flat.filter("_key IS NOT NULL").withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= 3 * n).filter(F.col("_rank") <= limit)
+    ranks = kept.groupBy(*by, "_no").agg(F.first("_row").alias("_row"), F.first("_ids").alias("_ids"), *[F.max(F.when(F.col("_list") == k, F.col("_rank"))).alias(f"_{k}") for k in orders])
+    counts = patches.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"), F.count_if(positive).alias("_np"), F.count_if(negative).alias("_nn"))
+    group = W.partitionBy(*by)
+    rows = ranks.unionByName(counts, allowMissingColumns=True).withColumns({c: F.max(c).over(group) for c in ("_all", "_np", "_nn")}).filter("_no IS NOT NULL")
+    rows = rows.withColumn("_tp", F.least(F.col("_np"), F.lit(int(round(n * positive_fraction)))))
+    rows = rows.withColumn("_th", F.least(F.col("_nn"), F.bround((n - F.col("_tp")) * hard_fraction).cast("long")))
+    rows = rows.withColumn("_tr", F.greatest(F.lit(0), n - F.col("_tp") - F.col("_th")))
+
+    def earliest(mask: Column, order: list[Column]) -> Column:
+        """Rank of the masked rows among themselves."""
+        return F.when(mask, F.row_number().over(group.orderBy(F.when(mask, 0).otherwise(1), *order)))
+
+    of_row = [F.col(f"_ids.{i}") for i in ids]
+    in_pool = F.coalesce(F.col("_pool") <= 3 * F.col("_th"), F.lit(False))
+    hashed = hash_order(f"{seed}:hard", *of_row)
+    rows = rows.withColumn("_hard", F.coalesce(earliest(in_pool, [hashed, F.col("_ids"), F.col("_no")]) <= F.col("_th"), F.lit(False)))
+    free = F.col("_random").isNotNull() & ~F.col("_hard")
+    rows = rows.withColumn("_some", F.coalesce(earliest(free, [F.col("_random")]) <= F.col("_tr"), F.lit(False)))
+    rows = rows.withColumn("_picked", F.coalesce(F.col("_positive") <= F.col("_tp"), F.lit(False)))
+    rows = rows.withColumn("_chosen", F.col("_picked") | F.col("_hard") | F.col("_some")).withColumn("_got", F.count_if("_chosen").over(group))
+    spare = ~F.col("_chosen") & F.col("_fill").isNotNull()
+    rows = rows.withColumn("_back", F.coalesce(earliest(spare, [F.col("_fill")]) <= n - F.col("_got"), F.lit(False)))
+    stage = (F.when(F.col("_all") <= n, "all").when(F.col("_picked"), "positive").when(F.col("_hard"), "hard_negative")
+             .when(F.col("_some"), "random_negative").when(F.col("_back"), "fill"))
+    return rows.withColumn("stage", stage).filter("stage IS NOT NULL").select("_row.*", "stage")
 
 
 def curriculum(configs: DataFrame, keys: list[str]) -> DataFrame:

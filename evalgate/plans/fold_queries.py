@@ -87,6 +87,13 @@ def g1(spark, sf):
     return G.build_folds(views.bigmap(spark, sf))
 
 
+@query("g1_fold_sizes", """
+WITH s AS (SELECT segment, count(*) AS n FROM V_BIGMAP GROUP BY 1)
+SELECT a.segment AS heldout_segment, a.n AS val_samples, CAST(sum(b.n) AS BIGINT) AS train_samples, count(*) AS train_segments FROM s a JOIN s b ON a.segment <> b.segment GROUP BY 1, 2""")
+def g1_sizes(spark, sf):
+    return G.fold_sizes(views.bigmap(spark, sf))
+
+
 @query("g2_fold_audit", """
 SELECT fold AS fold_id, count(*) FILTER (WHERE label > 0.5) AS positive_pixels, count(*) AS total_pixels,
  round(count(*) FILTER (WHERE label > 0.5)/count(*), 9) AS positive_rate, count(*) FILTER (WHERE label > 0.5) >= 1000 AS usable

@@ -185,9 +185,15 @@ ft AS (SELECT vec_id, segment, y, x, v, (u+d+l+r)/4.0 AS mean4, v-(u+d+l+r)/4.0
   CASE WHEN u0 IS NULL THEN d0-v WHEN d0 IS NULL THEN v-u0 ELSE (d0-u0)/2.0 END AS gy, u+d+l+r-4.0*v AS laplacian FROM f1)"""
 
 
+def flat_patches(spark, sf):
+    """Embeddings as patches of one channel of 8 x 8 pixels."""
+    e = views.table(spark, sf, "embeddings")
+    return e.select("vec_id", F.col("embedding").cast("array<double>").alias("image"), F.lit(8).alias("h"), F.lit(8).alias("w"))
+
+
 @query("c10_pixel_features", f"WITH {_FEAT} SELECT vec_id, y, x, {rnd('v, mean4, residual, gx, gy, laplacian')}, round(gx*gx+gy*gy, 9) AS grad2, 1.0 AS bias FROM ft")
 def c10(spark, sf):
-    return rounded(C.pixel_features(px(spark, sf), ["vec_id"], 3).select("vec_id", "y", "x", "v", "mean4", "residual", "gx", "gy", "laplacian", "grad2", "bias"))
+    return rounded(C.patch_features(flat_patches(spark, sf), ["vec_id"]).select("vec_id", "y", "x", "v", "mean4", "residual", "gx", "gy", "laplacian", "grad2", "bias"))
 
 
 @query("c10_channel_features", """WITH p AS (SELECT vec_id, k//16 AS c, (k%16)//4 AS y, k%4 AS x, v FROM V_PX)
@@ -243,7 +249,7 @@ def c16(spark, sf):
 
 @query("c17_texture", f"WITH {_FEAT} SELECT vec_id, round(avg(gx*gx+gy*gy), 9) AS texture FROM ft GROUP BY 1")
 def c17(spark, sf):
-    return rounded(C.texture(px(spark, sf).drop("c", "segment"), ["vec_id"]))
+    return rounded(C.patch_texture(flat_patches(spark, sf), ["vec_id"]))
 
 
 # ---------------------------------------------------------------- sampling
@@ -256,13 +262,22 @@ def d1(spark, sf):
 
 def ink_patches(spark, sf):
     p = patches(spark, sf).select("vec_id", "segment", C.positive_rate().alias("ink_fraction"))
-    return p.join(C.texture(px(spark, sf).drop("c", "segment"), ["vec_id"]), "vec_id")
-
-
-@query("d2_hard_mining_sample")
+    return p.join(C.patch_texture(flat_patches(spark, sf), ["vec_id"]), "vec_id")
+
+
+@query("d2_hard_mining_sample", f"""WITH {_FEAT}, ink AS (SELECT vec_id, segment, avg(CASE WHEN v > 0.1::FLOAT THEN 1.0 ELSE 0.0 END) AS ink_fraction FROM (SELECT vec_id, label AS segment, unnest(embedding) AS v FROM embeddings) GROUP BY ALL),
+p AS (SELECT vec_id, segment, ink_fraction, texture, {", ".join(f"('0x' || substr(md5(concat('11:{n}|', vec_id)), 1, 15))::BIGINT AS h_{n}" for n in ("random", "fill"))}, md5(concat('11:hard|', vec_id)) AS h_hard,
+  -ln((('0x' || substr(md5(concat('11:positive|', vec_id)), 1, 8))::BIGINT + 0.5)/4294967296.0)/ink_fraction AS w FROM ink JOIN (SELECT vec_id, avg(gx*gx+gy*gy) AS texture FROM ft GROUP BY 1) USING (vec_id)),
+k AS (SELECT *, 120-tp AS tn, least(nn, CAST(round_even((120-tp)*0.6, 0) AS BIGINT)) AS th FROM (SELECT count(*) AS al, least(count(*) FILTER (WHERE ink_fraction > 0.2), 54) AS tp, count(*) FILTER (WHERE ink_fraction <= 0.15) AS nn FROM p)),
+po AS (SELECT vec_id, 'positive' AS stage FROM (SELECT vec_id, row_number() OVER (ORDER BY w, vec_id) AS r FROM p WHERE ink_fraction > 0.2), k WHERE r <= tp),
+ha AS (SELECT vec_id, 'hard_negative' AS stage FROM (SELECT vec_id, row_number() OVER (ORDER BY h_hard, vec_id) AS r FROM (SELECT *, row_number() OVER (ORDER BY texture DESC, vec_id) AS t FROM p WHERE ink_fraction <= 0.15), k WHERE t <= 3*th), k WHERE r <= th),
+ra AS (SELECT vec_id, 'random_negative' AS stage FROM (SELECT vec_id, row_number() OVER (ORDER BY h_random, vec_id) AS r FROM p WHERE ink_fraction <= 0.15 AND vec_id NOT IN (SELECT vec_id FROM ha)), k WHERE r <= tn-th),
+c AS (SELECT * FROM po UNION ALL SELECT * FROM ha UNION ALL SELECT * FROM ra),
+b AS (SELECT vec_id, 'fill' AS stage FROM (SELECT vec_id, row_number() OVER (ORDER BY h_fill, vec_id) AS r FROM p WHERE vec_id NOT IN (SELECT vec_id FROM c)) WHERE r <= 120-(SELECT count(*) FROM c))
+SELECT vec_id, segment, round(ink_fraction, 9) AS ink_fraction, round(texture, 9) AS texture, 'all' AS scope, CASE WHEN al <= 120 THEN 'all' ELSE stage END AS stage FROM p JOIN (SELECT * FROM c UNION ALL SELECT * FROM b) USING (vec_id), k""")
 def d2(spark, sf):
     p = ink_patches(spark, sf).withColumn("scope", F.lit("all"))
-    return D.hard_mining_sample(p, 120, 11, ["vec_id"], ["scope"], 0.45, 0.6, 0.2, 0.15)
+    return rounded(D.hard_mining_sample(p, 120, 11, ["vec_id"], ["scope"], 0.45, 0.6, 0.2, 0.15))
 
 
 @query("d3_curriculum", """WITH c AS (SELECT o_custkey % 200 AS k, max(CASE o_custkey%200%4 WHEN 0 THEN 'warmup_then_hard' WHEN 1 THEN 'uniform_to_hard_mining' WHEN 2 THEN 'random' END) AS cur, max(CASE WHEN o_custkey%200%4 = 3 THEN o_custkey%3 END) AS sw, max(o_custkey%200%7+1) AS ep FROM orders GROUP BY 1)
@@ -361,6 +376,18 @@ def j3(spark, sf):
     return eligibility(spark, sf)
 
 
+def fold_sets(spark, sf):
+    folds = views.table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("heldout_segment"))
+    return J.fold_sets(inventory(spark, sf), folds, "set_id")
+
+
+@query("j3_fold_sets", f"""WITH {_INV}, h AS (SELECT DISTINCT label::VARCHAR AS heldout_segment FROM embeddings)
+SELECT heldout_segment, count(*) FILTER (WHERE status = 'eligible' AND NOT list_contains(provenance, heldout_segment)) AS eligible_sets, count(*) FILTER (WHERE status = 'eligible' AND list_contains(provenance, heldout_segment)) AS own_sets,
+ count(*) FILTER (WHERE status <> 'eligible') AS rejected_sets, min(set_id) FILTER (WHERE status = 'eligible' AND NOT list_contains(provenance, heldout_segment)) AS first_set FROM ivs, h GROUP BY 1""")
+def j3_sets(spark, sf):
+    return fold_sets(spark, sf)
+
+
 _RISK_SPARK = """CASE WHEN run_id%10 > 0 THEN named_struct('selected_f1', CASE WHEN run_id%13 > 0 THEN val_f1 END, 'selected_f05', val_f05, 'selected_ratio', pred_positive_rate/val_positive_rate, 'cap_binding', run_id%17 = 0,
  'f1_2', val_f1*(0.9D+0.01D*(run_id%11)), 'f05_2', val_f05*(0.9D+0.01D*(run_id%12)), 'f1_25', val_f1*(0.92D+0.01D*(run_id%9)), 'f05_25', CASE WHEN run_id%4 > 0 THEN val_f05*0.96D END, 'f1_3', val_f1*0.97D, 'f05_3', val_f05*(0.93D+0.01D*(run_id%5))) END"""
 _TILE_CTE = """
@@ -402,14 +429,14 @@ def j6(spark, sf):
 m AS (SELECT *, row_number() OVER (PARTITION BY research_scope ORDER BY first_seen, artifact_dir, segment_id) AS mine_order FROM c WHERE rn = 1 AND {_NEEDS} AND NOT dk IN (2, 3, 4))
 SELECT research_scope, mine_order, artifact_dir, segment_id, {_DEC} AS decision FROM m WHERE mine_order <= 6""")
 def j7(spark, sf):
-    plan, _ = J.mining_plan(tile_rows(spark, sf), eligibility(spark, sf), ["research_scope"], "set_id", 6)
+    plan, _ = J.mining_plan(tile_rows(spark, sf), fold_sets(spark, sf), ["research_scope"], 6)
     return plan.select("research_scope", "mine_order", "artifact_dir", "segment_id", "decision")
 
 
 @query("j7_eligible_sets", f"""WITH {_INV}, h AS (SELECT DISTINCT label::VARCHAR AS heldout_segment FROM embeddings)
 SELECT heldout_segment, count(*) AS eligible_sets, min(set_id) AS first_set FROM ivs, h WHERE status = 'eligible' AND NOT list_contains(provenance, heldout_segment) GROUP BY 1""")
 def j7_sets(spark, sf):
-    return J.mining_plan(tile_rows(spark, sf), eligibility(spark, sf), ["research_scope"], "set_id", 6)[1]
+    return J.mining_plan(tile_rows(spark, sf), fold_sets(spark, sf), ["research_scope"], 6)[1]
 
 
 @query("j8_cap_recommendation", f"""WITH {sweep_ctes('V_SCORES', _FS)}, {compare_caps_ctes(_FS)}, r AS (SELECT fold, seed, min(cap) FILTER (WHERE r1 >= 0.9 AND r05 >= 0.9) AS rc FROM cmp GROUP BY ALL)

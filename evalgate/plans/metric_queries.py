@@ -185,6 +185,27 @@ def e8(spark, sf):
     return rounded(M.threshold_grid(views.scores(spark, sf), GROUP))
 
 
+@query("e8_approximate_grid", """SELECT run_id, fold, seed, count(*) AS n, true AS in_bound FROM V_SCORES GROUP BY ALL""")
+def e8_approximate(spark, sf):
+    """Whether every score quantile of the approximate grid has a rank within the stated bound."""
+    s, by, accuracy = views.scores(spark, sf), ["run_id", "fold", "seed"], 50
+    grid = M.approximate_grid(s, by, 0.5, accuracy).groupBy(*by).agg(F.sort_array(F.collect_list("threshold")).alias("grid"))
+    scores = s.groupBy(*by).agg(F.sort_array(F.collect_list("prob")).alias("p"))
+    rows = scores.join(grid, by).withColumn("n", F.size("p").cast("long"))
+
+    def near(q: float):
+        """Some threshold has a rank within n / accuracy of q n."""
+        slack = F.col("n") / accuracy + 1
+        below = lambda t: F.size(F.filter("p", lambda v: v < t))
+        upto = lambda t: F.size(F.filter("p", lambda v: v <= t))
+        return F.exists("grid", lambda t: (below(t) <= q * F.col("n") + slack) & (upto(t) >= q * F.col("n") - slack))
+
+    checked = F.lit(True)
+    for q in QUANTILES[::16]:
+        checked = checked & near(q)
+    return rows.select(*by, "n", checked.alias("in_bound"))
+
+
 @query("e9_threshold_sweep", f"WITH {sweep_ctes()} SELECT run_id, fold, seed, {rnd('threshold, val_positive_rate,' + _SWEEP_COLS)} FROM sweep")
 def e9(spark, sf):
     return rounded(M.threshold_sweep(views.scores(spark, sf), GROUP))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evalgate import views
 from evalgate.functions.columns import same_tail, safe_double, safe_ratio
-from evalgate.functions.tables import MUTATION_FAMILIES, PARAM_BOUNDS, REQUIRED_METRICS
+from evalgate.functions.tables import MUTATION_FAMILIES, PARAM_BOUNDS, PLANNER_SECTION, REQUIRED_METRICS
 from evalgate.operators import rules as B
 from evalgate.plans.registry import query, rounded
 from evalgate.session import checkpointed
@@ -243,8 +243,18 @@ def b16(spark, sf):
   doc->>'$.training.max_train_samples', doc->>'$.training.max_train_pixels', doc->>'$.evaluation.threshold', doc->>'$.evaluation.tta_flips', coalesce(doc->>'$.evaluation.max_pred_positive_rate_ratio', 'null')) AS k FROM cf),
 f AS (SELECT k, min(run_id) AS class_run FROM d GROUP BY 1) SELECT run_id, class_run FROM d JOIN f USING (k)""")
 def b17(spark, sf):
-    kv = B.config_kv(configs(spark, sf), "run_id", "doc", depth=2)
-    return _classes(B.search_signature(kv, "run_id"), "search_signature")
+    return _classes(configs(spark, sf).select("run_id", B.search_key(F.col("doc")).alias("search_signature")), "search_signature")
+
+
+@query("i26_loo_signature", """WITH d AS (SELECT run_id, concat_ws('|', model_name, research_scope, val_segment, run_id%3) AS k FROM V_RUNS), f AS (SELECT k, min(run_id) AS class_run FROM d GROUP BY 1)
+SELECT run_id, class_run FROM d JOIN f USING (k)""")
+def i26_signature(spark, sf):
+    """Runs of one configuration: folds, seeds and resolved inputs differ, a leaf four levels down counts."""
+    planner = PLANNER_SECTION
+    doc = f"""concat('{{"model":{{"name":"', model_name, '","seed":1}},"training":{{"seed":', run_id, ',"extra":{{"a":{{"b":', run_id%3, '}}}}}},"resolved_data":{{"x":{{"y":', run_id, '}}}},"{planner}":{{"heldout_segment":"', train_segment,
+      '","fold_map":"m', run_id%7, '.json","scope":"', research_scope, '"}},"dataset":', CASE WHEN run_id%2=0 THEN concat('{{"segment":', val_segment, ',"train_npz":"t', run_id, '"}}') ELSE concat('{{"validation_mode":"', validation_mode, '","segment":', val_segment, '.0}}') END, '}}')"""
+    r = views.runs(spark, sf).withColumn("doc", F.parse_json(F.expr(doc)))
+    return _classes(B.loo_signature(B.config_kv(r, "run_id", "doc", depth=5), "run_id"), "loo_signature")
 
 
 @query("b19_path_tail", """WITH t AS (SELECT run_id, concat(CASE WHEN run_id%2=0 THEN './' ELSE '' END, 'a/', run_id%4, '/fold.json') AS l, concat('/data/a/', run_id%3, '/fold.json') AS r FROM V_RUNS)

@@ -39,13 +39,71 @@ def training_pixels(spark, sf):
     return C.pixel_features(m, ["map_id"], 2).withColumn("segment", (F.col("map_id") % 5).cast("int"))
 
 
-@query("e16_logreg_scores")
+_FEATURES = """f AS (SELECT map_id % 5 AS segment, map_id, y, x, label, prob AS v, (up+down+lf+rt)/4.0 AS mean4 FROM (SELECT a.*, u.prob AS up, d.prob AS down, l.prob AS lf, r.prob AS rt FROM V_MAP a
+  JOIN V_MAP u ON u.map_id = a.map_id AND u.x = a.x AND u.y = (a.y+7)%8 JOIN V_MAP d ON d.map_id = a.map_id AND d.x = a.x AND d.y = (a.y+1)%8
+  JOIN V_MAP l ON l.map_id = a.map_id AND l.y = a.y AND l.x = (a.x+7)%8 JOIN V_MAP r ON r.map_id = a.map_id AND r.y = a.y AND r.x = (a.x+1)%8)),
+t AS (SELECT *, [v, 1.0, mean4, v-mean4] AS xs FROM f)"""
+
+
+def descent_sql(rows: str, key: str, features: int, bias: int, epochs: int, leave_out: bool = False) -> str:
+    """Gradient descent unrolled: tables m0.. hold the weights `w` of every model; `rows` has (segment, label, xs)."""
+    on = f"{rows}.segment <> m.{key}" if leave_out else f"{rows}.segment = m.{key}"
+    pairs = f"{rows} JOIN (SELECT DISTINCT segment AS {key} FROM {rows}) m ON {on}"
+    steps = [f"""m0 AS (SELECT {key}, n, NULL::DOUBLE AS loss, list_transform(range({features}), lambda i: CASE WHEN i = {bias} THEN ln(p/(1-p)) ELSE 0.0 END) AS w
+      FROM (SELECT m.{key}, count(*) AS n, least(greatest(avg(CAST(label > 0.5 AS INT)), 1e-4), 1-1e-4) AS p FROM {pairs} GROUP BY 1))"""]
+    for k in range(epochs):
+        steps += [f"""p{k} AS (SELECT m.{key}, m.n, m.w, {rows}.xs, CAST(label > 0.5 AS INT) AS yy, CASE WHEN label > 0.5 THEN 2.0 ELSE 1.0 END AS sw,
+          1/(1+exp(-least(greatest(list_dot_product({rows}.xs, m.w), -30.0), 30.0))) AS p FROM {rows} JOIN m{k} m ON {on})""",
+          f"""g{k} AS (SELECT {key}, i, sum((p-yy)*sw*xs[i+1]) AS g, any_value(w[i+1]) AS old, any_value(n) AS n FROM p{k}, (SELECT unnest(range({features})) AS i) GROUP BY ALL)""",
+          f"""m{k + 1} AS (SELECT {key}, any_value(n) AS n, any_value(loss) AS loss, list(old-0.2*g/n ORDER BY i) AS w FROM g{k} JOIN
+          (SELECT {key}, -avg(sw*(yy*ln(p+1e-7)+(1-yy)*ln(1-p+1e-7))) AS loss FROM p{k} GROUP BY 1) USING ({key}) GROUP BY 1)"""]
+    return ",\n".join(steps)
+
+
+_SCORED = "1/(1+exp(-least(greatest(list_dot_product(t.xs, m.w), -30.0), 30.0)))"
+
+
+@query("e16_logreg_scores", f"WITH {_FEATURES}, {descent_sql('t', 'grp', 4, 1, 4)} SELECT segment, map_id, y, x, label, round({_SCORED}, 9) AS prob FROM t JOIN m4 m ON t.segment = m.grp")
 def e16(spark, sf):
     data = T.checkpointed(training_pixels(spark, sf))
     model = T.train_logreg(data, ["segment"])
     return rounded(T.score_logreg(data, model, ["segment"]).select("segment", "map_id", "y", "x", "label", "prob"))
 
 
+def channel_patches(spark, sf):
+    """Embeddings as patches of four channels of 4 x 4 pixels, with a label per pixel and a segment."""
+    e = views.table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("segment"), F.col("embedding").cast("array<double>").alias("image"), F.lit(4).alias("h"), F.lit(4).alias("w"))
+    features = C.patch_features(e, ["vec_id", "segment"], 4, 2)
+    return features.withColumn("label", (F.col("v_2") + F.col("v_1") > 0.02).cast("int"))
+
+
+_CHANNELS = """e AS (SELECT vec_id, label AS segment, CAST(embedding AS DOUBLE[]) AS a, y, x FROM embeddings, (SELECT unnest(range(4)) AS y), (SELECT unnest(range(4)) AS x)),
+c AS (SELECT *, list_transform(range(4), lambda c: a[c*16+y*4+x+1]) AS v, list_transform(range(4), lambda c: (a[c*16+((y+3)%4)*4+x+1]+a[c*16+((y+1)%4)*4+x+1]+a[c*16+y*4+(x+3)%4+1]+a[c*16+y*4+(x+1)%4+1])/4.0) AS m FROM e),
+t AS (SELECT vec_id, segment, y, x, CAST(v[3]+v[2] > 0.02 AS INT) AS label, list_concat([1.0], list_concat(flatten(list_transform(range(4), lambda c: [v[c+1], m[c+1], v[c+1]-m[c+1]])),
+  [list_avg(v), v[3]-list_avg(v), list_stddev_pop(v), v[4]-v[1]])) AS xs FROM c)"""
+
+
+@query("c10_channel_patches", f"WITH {_CHANNELS} SELECT vec_id, y, x, label, round(list_sum(list_transform(xs, lambda q, i: q*i)), 9) AS weighed, round(xs[15], 9) AS depth_center_diff, round(xs[16], 9) AS depth_std FROM t")
+def c10_patches(spark, sf):
+    weighed = sum((F.col(n) * (i + 1.0) for i, n in enumerate(C.feature_names(4, 2))), F.lit(0.0))
+    return rounded(channel_patches(spark, sf).select("vec_id", "y", "x", "label", weighed.alias("weighed"), "depth_center_diff", "depth_std"))
+
+
+@query("e16_channel_models", f"WITH {_CHANNELS}, {descent_sql('t', 'grp', 17, 0, 2)} SELECT grp AS segment, n, round(loss, 7) AS train_loss, i AS feature, round(w[i+1], 7) AS weight FROM m2, (SELECT unnest(range(17)) AS i)")
+def e16_channels(spark, sf):
+    names = C.feature_names(4, 2)
+    model = T.train_logreg(T.checkpointed(channel_patches(spark, sf)), ["segment"], T.LogregConfig(features=names, epochs=2))
+    weights = F.posexplode(F.array(*[f"w_{n}" for n in names])).alias("feature", "weight")
+    return rounded(model.select("segment", "n", "train_loss", weights), 7)
+
+
+@query("g5_loo_models", f"WITH {_CHANNELS}, {descent_sql('t', 'held', 17, 0, 2, True)} SELECT held AS heldout_segment, n, round(loss, 7) AS train_loss, i AS feature, round(w[i+1], 7) AS weight FROM m2, (SELECT unnest(range(17)) AS i)")
+def g5_models(spark, sf):
+    names = C.feature_names(4, 2)
+    model = T.train_leave_out(T.checkpointed(channel_patches(spark, sf)), "segment", T.LogregConfig(features=names, epochs=2))
+    weights = F.posexplode(F.array(*[f"w_{n}" for n in names])).alias("feature", "weight")
+    return rounded(model.select("heldout_segment", "n", "train_loss", weights), 7)
+
 
 @query("e16_logreg_one_step", """
 WITH f AS (SELECT map_id % 5 AS segment, prob AS v, label FROM V_MAP), pr AS (SELECT segment, count(*) AS n, least(greatest(avg(label), 1e-4), 1-1e-4) AS p, sum(label) AS pos FROM f GROUP BY 1),
@@ -88,7 +146,10 @@ def k1(spark, sf):
     scores = lines.selectExpr(
         "l_suppkey AS run_id", "l_linenumber AS fold", "(l_quantity/50.0)*0.6 + l_discount*4.0 AS prob",
         "CASE WHEN l_quantity + l_discount*100.0 + l_tax*100.0 >= 52.0 THEN 1 ELSE 0 END AS label")
-    return rounded(_stream_table(K.stream_dice(scores, 0.5, ["run_id", "fold"]), "dice", "complete").select("run_id", "fold", "dice"))
+    where = f"{shared_folder(spark)}/dice_{uuid.uuid4().hex[:8]}"
+    state = K.DiceState(f"{where}/state", 0.5, ["run_id", "fold"])
+    state.follow(scores, f"{where}/log").awaitTermination()
+    return rounded(state.read(spark).select("run_id", "fold", "dice"))
 
 
 _CODE = """CASE WHEN line LIKE '%NO_PROGRESS_CAUSE code=mem_guard%' THEN 'mem_guard' WHEN line LIKE '%SKIP load_guard%' THEN 'load_guard' WHEN line LIKE '%deduped%' THEN 'deduped_existing_run' WHEN line LIKE '%exit_code=124%' THEN 'timeout' END"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,17 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage through a zstd Parquet table in the shared folder.
+
+    For rounds that feed on each other: a checkpoint keeps the size estimate of the plan it cut, and estimates of joins multiply
+    from round to round without end; a table has the size of its files.
+    """
+    place = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import json
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StringType
 
+from evalgate.sources import versions
+
 LOO_SCHEMA = ("label string, heldout_segment string, seed long, returncode int, run_id string, artifact_dir string, val_f1 double, val_f05 double, "
               "average_precision double, precision double, recall double, best_threshold double, val_positive_rate double, pred_positive_rate double, "
               "ap_prevalence_lift double, fixed_threshold_f1 double, fixed_threshold_status string, fixed_threshold_failure_reason string, "
@@ -179,36 +180,27 @@ def artifact_inventory(spark: SparkSession, root: str, per_run: int | None = Non
 
 
 def write_outputs(spark: SparkSession, prob_map: DataFrame, metrics: DataFrame, threshold_rows: DataFrame, path: str, overwrite: bool = False) -> dict[str, str]:
-    """Probability map, metrics and threshold rows as one set: all three appear or none.
+    """Probability map, metrics and threshold rows as one set: all three appear, by one commit, or none.
 
-    The parts are written below a staging folder on the same file system and renamed when the
-    last one has succeeded.
+    An earlier set is refused unless told otherwise, and stays the current one until the commit. Returns the paths of the parts.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
-
-    def at(p: str):
-        return jvm.org.apache.hadoop.fs.Path(p)
-
-    names = ["probability_map", "metrics", "metrics_by_threshold"]
-    targets = {n: f"{path.rstrip('/')}/{n}" for n in names}
-    present = [p for p in targets.values() if fs.exists(at(p))]
-    if present and not overwrite:
-        raise FileExistsError("refusing to overwrite: " + ", ".join(present))
-    staging = f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
-    try:
-        prob_map.write.parquet(f"{staging}/probability_map")
-        metrics.write.json(f"{staging}/metrics")
-        threshold_rows.select(*[c.split()[0] for c in THRESHOLD_SCHEMA.split(", ")]).write.option("header", "true").csv(f"{staging}/metrics_by_threshold")
-        for n, target in targets.items():
-            if overwrite and fs.exists(at(target)):
-                fs.delete(at(target), True)
-            if not fs.rename(at(f"{staging}/{n}"), at(target)):
-                raise OSError(f"could not move {n} into place")
-    finally:
-        fs.delete(at(staging), True)
-    return targets
+    if not overwrite and versions.last_commit(spark, path) is not None:
+        raise FileExistsError(f"refusing to overwrite: {path}")
+    ordered = threshold_rows.select(*[c.split()[0] for c in THRESHOLD_SCHEMA.split(", ")])
+    parts = {
+        "probability_map": (prob_map, lambda d, p: d.write.parquet(p)), "metrics": (metrics, lambda d, p: d.write.json(p)),
+        "metrics_by_threshold": (ordered, lambda d, p: d.write.option("header", "true").csv(p)),
+    }
+    folder = versions.stage(parts, path)
+    versions.commit(spark, path, folder, list(parts))
+    return {name: f"{folder}/{name}" for name in parts}
+
+
+def read_outputs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The three parts of the current set below a path."""
+    folder = versions.current_folder(spark, path)
+    return {"probability_map": spark.read.parquet(f"{folder}/probability_map"), "metrics": spark.read.json(f"{folder}/metrics"),
+            "metrics_by_threshold": read_threshold_rows(spark, f"{folder}/metrics_by_threshold")}
 
 
 def write_loo_rows(rows: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evalgate.functions.columns import first_reason
 from evalgate.operators.metrics import dice_value
+from evalgate.sources import versions
 
 # Labels of the no-progress causes.
 CAUSES = {
@@ -87,6 +88,73 @@ def dedupe_batch(df: DataFrame, key: str, event_time: str, tie: str) -> DataFram
     return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(event_time, tie)).alias("r")).select(key, "r.*").select(*df.columns)
 
 
+#: Batches whose counts are put together into a new base.
+COMPACT = 16
+
+
+def dice_deltas(batch: DataFrame, threshold: float, by: list[str]) -> DataFrame:
+    """Counts that one batch adds: a row per group seen in it."""
+    return stream_dice(batch, threshold, by).drop("dice")
+
+
+class DiceState:
+    """Dice counts of a stream as a base and the deltas of the batches after it, all read through their commits.
+
+    A batch writes only the groups it touched and is committed by its number; a number that is committed already is left
+    alone, so running a batch again changes nothing. Every ``compact`` batches base and deltas are summed into a new base. The
+    state can be read at any time: a reader sees the commits that are complete.
+    """
+
+    def __init__(self, path: str, threshold: float, by: list[str], compact: int = COMPACT) -> None:
+        self.path, self.threshold, self.by, self.compact = path.rstrip("/"), threshold, by, compact
+
+    def _bases(self) -> str:
+        return f"{self.path}/base"
+
+    def _deltas(self) -> str:
+        return f"{self.path}/deltas"
+
+    def _pending(self, spark: SparkSession) -> tuple[Row | None, list[Row]]:
+        """The last base and the commits after it, one for each batch."""
+        base = versions.last_commit(spark, self._bases())
+        later = versions.commits(spark, self._deltas()).filter(F.col("covers") > (base["covers"] if base else -1))
+        each = later.groupBy("covers").agg(F.min_by("folder", "version").alias("folder"))
+        # at most as many rows as batches since the last base
+        return base, each.orderBy("covers").collect()
+
+    def counts(self, spark: SparkSession) -> DataFrame | None:
+        base, later = self._pending(spark)
+        folders = ([base["folder"]] if base else []) + [row["folder"] for row in later]
+        if not folders:
+            return None
+        rows = spark.read.parquet(*[f"{f}/counts" for f in folders])
+        return rows.groupBy(*self.by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """Counts and Dice of every group as far as batches are committed."""
+        rows = self.counts(spark)
+        if rows is None:
+            raise FileNotFoundError(f"no batch committed below {self.path}")
+        return rows.withColumn("dice", dice_value(F.col("tp"), F.col("fp"), F.col("fn")))
+
+    def add(self, batch: DataFrame, number: int) -> None:
+        """Fold one batch in, unless its number is committed."""
+        spark = batch.sparkSession
+        base, later = self._pending(spark)
+        if (base and base["covers"] >= number) or any(row["covers"] == number for row in later):
+            return
+        save = lambda d, p: d.write.parquet(p)
+        folder = versions.stage({"counts": (dice_deltas(batch, self.threshold, self.by), save)}, self._deltas())
+        versions.commit(spark, self._deltas(), folder, ["counts"], number)
+        if len(later) + 1 >= self.compact:
+            folder = versions.stage({"counts": (self.counts(spark), save)}, self._bases())
+            versions.commit(spark, self._bases(), folder, ["counts"], number)
+
+    def follow(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        """Fold the files present in, batch by batch."""
+        return stream.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run_to_table(df: DataFrame, path: str, mode: str, checkpoint: str) -> StreamingQuery:
     """Drive a stream over the files present into parquet below ``path``.
 

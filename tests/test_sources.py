@@ -160,11 +160,13 @@ def test_outputs_are_all_or_nothing(spark, tmp_path):
     metrics = spark.createDataFrame([(0.5,)], "val_f1 double")
     rows = spark.createDataFrame([(0.5, 0.1, 0.2, 0.3, 0.4, 0.5)], S.THRESHOLD_SCHEMA)
     out = str(tmp_path / "out")
-    S.write_outputs(spark, probs, metrics, rows, out)
-    assert S.read_threshold_rows(spark, f"{out}/metrics_by_threshold").count() == 1
+    paths = S.write_outputs(spark, probs, metrics, rows, out)
+    assert S.read_threshold_rows(spark, paths["metrics_by_threshold"]).count() == 1
+    assert S.read_outputs(spark, out)["probability_map"].count() == 1
     with pytest.raises(FileExistsError):
         S.write_outputs(spark, probs, metrics, rows, out)
     other = str(tmp_path / "other")
     with pytest.raises(PySparkException):
         S.write_outputs(spark, probs, metrics.select(F.raise_error(F.lit("boom")).alias("x")), rows, other)
-    assert not [n for n in os.listdir(other)] if os.path.exists(other) else True
+    with pytest.raises(FileNotFoundError):
+        S.read_outputs(spark, other)
