@@ -15,18 +15,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from evalgate.functions.columns import BROADCAST_ROWS, first_reason, floored_ratio, grouped, null_safe_join, reasons
-from evalgate.functions.ordering import salted_join
+from evalgate.functions.columns import first_reason, floored_ratio, grouped, null_safe_join, reasons
 from evalgate.functions.scores import (
     EVEN_THRESHOLDS,
     QUANTILE_STEPS,
     QUANTILES,
     SWEEP_METRICS,
     cell_borders,
+    cell_of,
     confusion_columns,
     ece_bin,
+    f_scores,
     is_positive,
-    score_cell,
 )
 from evalgate.session import checkpointed
 
@@ -109,11 +109,11 @@ def counted(scores: DataFrame, by: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_if(is_positive(F.col("label"))).alias("pos"), F.sum(F.col("label").cast("double")).alias("label_sum")))
 
 
-def running_counts(values: DataFrame, by: list[str], then: list[str] | None = None) -> DataFrame:
+def running_counts(values: DataFrame, by: list[str], then: list[str] | None = None, borders: list[float] | None = None) -> DataFrame:
     """Add counts down to and including each row (``ge_n``, ``ge_pos``), group totals (``all_n``,
     ``all_pos``) and the next higher score (``hi_prob``); rows are ordered by prob descending,
-    then by ``then``. `values` is read three times, so costly ones should be checkpointed."""
-    values = values.withColumn("_cell", score_cell(F.col("prob"), cell_borders(values)))
+    then by ``then``. Cells have the given borders, or those of the values themselves."""
+    values = values.withColumn("_cell", cell_of(F.col("prob"), cell_borders(values, "prob")[0] if borders is None else borders))
     cells = values.groupBy(*by, "_cell").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_pos"), F.min("prob").alias("_min"))
     group = W.partitionBy(*by)
     above = group.orderBy(F.col("_cell").desc()).rowsBetween(W.unboundedPreceding, -1)
@@ -142,36 +142,26 @@ TERMS = 256
 
 
 def average_precision(scores: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Mean precision at the rank of each positive; 0 when a group has none. Ranks follow (prob desc, order asc)."""
-    scores, by = grouped(scores, by)
-    return _average_precision(scores, running_counts(checkpointed(value_counts(scores, by)), by), by, order)
-
-
-def _average_precision(scores: DataFrame, cum: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Average precision from running counts and, for ties of both labels only, from the rows.
+    """Mean precision at the rank of each positive; 0 when a group has none. Ranks follow (prob desc, order asc).
 
-    A score whose rows are all positive has known hits and ranks, one that has no positive adds nothing. Rows of the other
-    scores are ranked after a range partitioning by (score, order), which cuts a score's rows by count however they crowd.
+    Equal scores are cut into ranges of the first order column, by the mass of its values. A range whose rows are all positive
+    has known hits and ranks, one without a positive adds nothing; only rows of mixed ranges are ranked one by one.
     """
+    scores, by = grouped(scores, by)
     extra = [c for c in order if c not in by]
-    long = (F.col("pos") > 0) & ((F.col("pos") < F.col("n")) | (F.col("n") > TERMS))
+    borders, ids = cell_borders(scores, "prob", order[0])
+    rows = scores.select(*by, "prob", *extra, is_positive(F.col("label")).cast("long").alias("pos")).withColumn("_range", cell_of(F.col(order[0]), ids))
+    blocks = rows.groupBy(*by, "prob", "_range").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"))
+    cum = running_counts(blocks, by, ["_range"], borders)
     before_n, before_pos = F.col("ge_n") - F.col("n"), F.col("ge_pos") - F.col("pos")
+    long = (F.col("pos") > 0) & ((F.col("pos") < F.col("n")) | (F.col("n") > TERMS))
     terms = F.aggregate(F.sequence(F.lit(1), F.when(long, 1).otherwise(F.col("n").cast("int"))), F.lit(0.0), lambda s, k: s + (before_pos + k) / (before_n + k))
-    part = F.when(F.col("pos") == 0, 0.0).when(~long, F.when(F.col("n") == 1, (before_pos + 1) / (before_n + 1)).otherwise(terms)).otherwise(0.0)
+    part = F.when((F.col("pos") == 0) | long, 0.0).when(F.col("n") == 1, (before_pos + 1) / (before_n + 1)).otherwise(terms)
     whole = cum.groupBy(*by).agg(F.max("all_pos").alias("positives"), F.sum(part).alias("_sum"))
-    mixed = checkpointed(cum.filter(long).select(*by, "prob", before_n.alias("_before_n"), before_pos.alias("_before_pos")))
-    rows = scores.select(*by, "prob", *extra, is_positive(F.col("label")).cast("long").alias("pos"))
-    keys = [*by, "prob"]
-    few = mixed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    tied = null_safe_join(rows, F.broadcast(mixed), keys) if few else salted_join(rows, mixed, keys, extra or by, "inner")
-    ranged = checkpointed(tied.repartitionByRange(*keys, *extra).withColumn("_range", F.spark_partition_id()))
-    blocks = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.sum("pos").alias("_p"))
-    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.select(*keys, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off_n"), F.coalesce(F.sum("_p").over(earlier), F.lit(0)).alias("_off_p"))
-    inside = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    ranked = null_safe_join(ranged, blocks, [*keys, "_range"]).select(
-        *by, "pos", (F.count(F.lit(1)).over(inside) + F.col("_off_n") + F.col("_before_n")).alias("rank"),
-        (F.sum("pos").over(inside) + F.col("_off_p") + F.col("_before_pos")).alias("hits"))
+    mixed = cum.filter(long).select(*by, "prob", "_range", before_n.alias("_before_n"), before_pos.alias("_before_pos"))
+    inside = W.partitionBy(*by, "prob", "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    ranked = null_safe_join(rows, mixed, [*by, "prob", "_range"]).select(
+        *by, "pos", (F.count(F.lit(1)).over(inside) + F.col("_before_n")).alias("rank"), (F.sum("pos").over(inside) + F.col("_before_pos")).alias("hits"))
     ties = ranked.filter("pos = 1").groupBy(*by).agg(F.sum(F.col("hits") / F.col("rank")).alias("_ties"))
     total = F.col("_sum") + F.coalesce("_ties", F.lit(0.0))
     return null_safe_join(whole, ties, by, "left").select(
@@ -266,13 +256,13 @@ def quantiles(cum: DataFrame, by: list[str], probs: list[float], distinct: bool
 
 def score_stats(scores: DataFrame, by: list[str]) -> DataFrame:
     scores, by = grouped(scores, by)
-    values = checkpointed(value_counts(scores, by))
+    values = value_counts(scores, by)
     base = values.groupBy(*by).agg(
         F.min("prob").alias("prob_min"),
         (F.sum(F.col("prob") * F.col("n")) / F.sum("n")).alias("prob_mean"),
         F.max("prob").alias("prob_max"),
     )
-    p95 = quantiles(running_counts(values, by), by, [0.95]).select(*by, F.col("threshold").alias("prob_p95"))
+    p95 = quantiles(running_counts(values, by, borders=cell_borders(scores, "prob")[0]), by, [0.95]).select(*by, F.col("threshold").alias("prob_p95"))
     return null_safe_join(base, p95, by)
 
 
@@ -308,12 +298,13 @@ def _fixed_counts(values: DataFrame, by: list[str], thresholds: list[float]) ->
 
 
 def _sweep_rows(counts: DataFrame, by: list[str]) -> DataFrame:
-    tp, fp = F.col("ge_pos"), F.col("ge_n") - F.col("ge_pos")
-    cols = confusion_columns(tp, fp, F.col("all_pos") - tp, F.col("all_n"))
-    return counts.select(
-        *by, "threshold", *[c.alias(k) for k, c in cols.items()],
-        (F.col("all_pos") / F.col("all_n")).alias("val_positive_rate"),
-    )
+    """Metrics at each threshold; precision and recall are columns of their own first, so that F scores don't repeat them."""
+    plain = counts.select(*by, "threshold", *[F.col(c).cast("double").alias(f"_{c}") for c in ("ge_pos", "ge_n", "all_pos", "all_n")])
+    rates = plain.select(
+        *by, "threshold", (F.col("_ge_pos") / F.greatest("_ge_n", F.lit(1.0))).alias("precision"), (F.col("_ge_pos") / F.greatest("_all_pos", F.lit(1.0))).alias("recall"),
+        (F.col("_ge_n") / F.col("_all_n")).alias("pred_positive_rate"), (F.col("_all_pos") / F.col("_all_n")).alias("val_positive_rate"))
+    f05, f1 = f_scores(F.col("precision"), F.col("recall"))
+    return rates.select(*by, "threshold", "precision", "recall", f05.alias("f05"), f1.alias("f1"), "pred_positive_rate", "val_positive_rate")
 
 
 def default_sweep(values: DataFrame, by: list[str], fixed: float = 0.5, cum: DataFrame | None = None) -> DataFrame:
@@ -332,10 +323,15 @@ def default_sweep(values: DataFrame, by: list[str], fixed: float = 0.5, cum: Dat
     return _sweep_rows(at_quantiles.unionByName(at_fixed), by)
 
 
+def _sweep_of(scores: DataFrame, by: list[str], fixed: float) -> DataFrame:
+    values = value_counts(scores, by)
+    return default_sweep(values, by, fixed, running_counts(values, by, borders=cell_borders(scores, "prob")[0]))
+
+
 def threshold_grid(scores: DataFrame, by: list[str], fixed: float = 0.5) -> DataFrame:
     """Distinct thresholds per group: even points, score quantiles and the fixed one."""
     scores, by = grouped(scores, by)
-    return default_sweep(checkpointed(value_counts(scores, by)), by, fixed).select(*by, "threshold")
+    return _sweep_of(scores, by, fixed).select(*by, "threshold")
 
 
 def approximate_grid(scores: DataFrame, by: list[str], fixed: float = 0.5, accuracy: int = 10_000) -> DataFrame:
@@ -357,13 +353,13 @@ def threshold_sweep(scores: DataFrame, by: list[str], grid: DataFrame | None = N
     running sum and never a pixels x thresholds join.
     """
     scores, by = grouped(scores, by)
-    values = checkpointed(value_counts(scores, by))
     if grid is None:
-        return default_sweep(values, by, fixed)
+        return _sweep_of(scores, by, fixed)
+    values = value_counts(scores, by)
     markers = grid.select(*by, F.col("threshold").cast("double").alias("prob"), F.lit(0).cast("long").alias("n"),
                           F.lit(0).cast("long").alias("pos"), F.lit(1).alias("_marker")).distinct()
     merged = values.withColumn("prob", F.col("prob").cast("double")).withColumn("_marker", F.lit(0)).unionByName(markers)
-    cum = running_counts(merged, by, ["_marker"]).filter("_marker = 1 AND all_n > 0")
+    cum = running_counts(merged, by, ["_marker"], cell_borders(scores, "prob")[0]).filter("_marker = 1 AND all_n > 0")
     return _sweep_rows(cum.withColumnRenamed("prob", "threshold"), by)
 
 
@@ -439,7 +435,7 @@ def fixed_status_columns(fixed_f1: Column, fixed_rate: Column, fixed_p: Column,
 
 def fixed_status(scores: DataFrame, by: list[str], cfg: EvalConfig) -> DataFrame:
     scores, by = grouped(scores, by)
-    rows = checkpointed(default_sweep(checkpointed(value_counts(scores, by)), by, cfg.fixed_threshold))
+    rows = _sweep_of(scores, by, cfg.fixed_threshold)
     best = selected_columns(select_threshold(rows, by, cfg), by).select(*by, "val_f1")
     fixed = rows.filter(F.col("threshold") == cfg.fixed_threshold)
     joined = null_safe_join(fixed, best, by)
@@ -510,7 +506,7 @@ def evaluate(scores: DataFrame, by: list[str], order: list[str], cfg: EvalConfig
     cfg = cfg or EvalConfig()
     scores, by = grouped(scores, by)
     values = counted(scores, by)
-    cum = checkpointed(running_counts(values.drop("label_sum"), by))
+    cum = checkpointed(running_counts(values.drop("label_sum"), by, borders=cell_borders(values, "prob")[0]))
     rows = checkpointed(default_sweep(values, by, cfg.fixed_threshold, cum))
     selected = select_threshold(rows, by, cfg)
     at_fixed = F.col("threshold") == cfg.fixed_threshold
@@ -526,7 +522,7 @@ def evaluate(scores: DataFrame, by: list[str], order: list[str], cfg: EvalConfig
         out = out.withColumn(name, col)
     out = out.withColumnRenamed("fixed_f1", "fixed_threshold_f1").drop("fixed_rate")
     for part in (
-        _average_precision(scores, cum, by, order).select(*by, "average_precision"),
+        average_precision(scores, by, order).select(*by, "average_precision"),
         _value_statistics(values, by, cfg.bins),
         quantiles(cum, by, [0.95]).select(*by, F.col("threshold").alias("prob_p95")),
     ):

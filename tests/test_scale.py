@@ -232,3 +232,33 @@ def test_a_failed_overwrite_leaves_the_old_set(spark, tmp_path, monkeypatch):
     assert seen() == 0.1
     S.write_outputs(spark, probs, metrics(0.4), rows, path, overwrite=True)
     assert seen() == 0.4 and S.read_outputs(spark, path)["metrics_by_threshold"].count() == 1
+
+
+def test_cells_are_placed_by_mass(spark):
+    """Scores that crowd near zero and beyond 1: no cell holds over twice the mean, and borders keep the order."""
+    from evalgate.functions.scores import cell_borders, cell_of
+
+    rng = np.random.default_rng(3)
+    values = np.unique(np.concatenate([rng.random(20_000) ** 40, 3 + rng.random(5_000) * 1e-9, -rng.random(5_000)]))
+    df = spark.createDataFrame([(float(v), float(v) ** 2) for v in values], "prob double, other double").repartition(5)
+    borders, others = cell_borders(df, "prob", "other", cells=64, cell_rows=100)
+    cells = [r.c for r in df.select("prob", cell_of(F.col("prob"), borders).alias("c")).orderBy("prob").collect()]
+    assert cells == sorted(cells) and max(np.bincount(cells)) < 2 * len(values) / 64 and 32 < len(others) < 64
+    assert len(cell_borders(df, "prob")[0]) < 8 and cell_borders(df.limit(0), "prob") == [[]]
+
+
+def test_average_precision_of_crowded_scores(spark):
+    """Long runs of one label, mixed ties and single scores equal the plain ranking."""
+    rng = np.random.default_rng(6)
+    prob = np.concatenate([np.full(700, 0.9), np.full(900, 0.5), rng.random(300), np.full(400, 0.1)])
+    label = np.concatenate([np.ones(700), rng.integers(0, 2, 900), rng.integers(0, 2, 300), np.zeros(400)])
+    group = np.where(np.arange(len(prob)) % 3 == 0, "a", "b")
+    rows = [(str(g), float(p), int(y), i) for i, (g, p, y) in enumerate(zip(group, prob, label, strict=True))]
+    got = {r.g: r.average_precision for r in M.average_precision(spark.createDataFrame(rows, "g string, prob double, label int, id long").repartition(7), ["g"], ["id"]).collect()}
+    for g in ("a", "b"):
+        ranked = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[3]))
+        hits, total = 0, 0.0
+        for k, r in enumerate(ranked, 1):
+            hits += r[2]
+            total += hits / k if r[2] else 0
+        assert got[g] == pytest.approx(total / hits)
