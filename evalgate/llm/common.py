@@ -28,15 +28,26 @@ def long_rows(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_name(base: str, *taken: DataFrame) -> str:
+    """A column name that none of the tables has, whatever its case."""
+    used = {c.lower() for df in taken for c in df.columns}
+    while base.lower() in used:
+        base += "_"
+    return base
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """The rows with a number of their own and the name of its column. Written once, so that every later read finds the same numbers."""
-    row, place = "__row", f"{shared_folder(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
-    while row in docs.columns:
-        row += "_"
+    row, place = free_name("__row", docs), f"{shared_folder(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
     docs.withColumn(row, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(place)
     return docs.sparkSession.read.parquet(place), row
 
 
+def row_number(row: str | None) -> Column:
+    """The column that numbers the rows, or numbers of this reading."""
+    return F.monotonically_increasing_id() if row is None else F.col(row)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared folder as zstd Parquet and read again: like a checkpoint, but with known sizes."""
     place = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
@@ -89,16 +100,16 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node: (node, label). `edges` are (a, b) rows of node ids, in one direction.
 
     Each round takes the smallest label among the neighbours and then the label of that label (pointer jumping), so
-    the rounds grow with the logarithm of the longest chain. Labels are checkpointed; rounds go on until nothing changes.
+    the rounds grow with the logarithm of the longest chain. Labels are written out; rounds go on until nothing changes.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     inner = both.select(F.col("a").alias("node")).distinct()
-    labels = checkpointed(inner.select("node", F.col("node").alias("label")))
+    labels = written(inner.select("node", F.col("node").alias("label")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         hooked = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         roots = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        jumped = checkpointed(salted_lookup(hooked, "label", "node", roots).select("node", "old", F.least("label", "jump").alias("label")))
+        jumped = written(salted_lookup(hooked, "label", "node", roots).select("node", "old", F.least("label", "jump").alias("label")))
         changed = jumped.filter("label <> old").limit(1).count()
         labels = jumped.select("node", "label")
         if not changed:

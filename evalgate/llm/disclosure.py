@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalgate.llm.common import checkpointed
+from evalgate.llm.common import checkpointed, free_name, numbered, row_number
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: Kind, what a text must contain, and the pattern. A match of e-mail may begin where the last one ended.
@@ -95,10 +95,10 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def found(docs: DataFrame) -> DataFrame:
+def found(docs: DataFrame, row: str | None = None) -> DataFrame:
     """(row, doc_id, spans, near) of every row; near has value, kind and the text on either side of every base span."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = docs.select(row_number(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     spans = rows.withColumn("spans", base_spans(F.col("text")))
 
     def around(s: Column) -> Column:
@@ -143,10 +143,10 @@ def _sized(terms: DataFrame) -> DataFrame:
     return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
 
 
-def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def term_spans(docs: DataFrame, terms: DataFrame, row: str | None = None) -> DataFrame:
     """(row, spans, sure): spans of disclosing terms in every document, and those of nearly certain ones."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    rows = docs.select(row_number(row).alias("row"), text.alias("text"))
     hits = rows.withColumn("term", F.explode(terms_of(F.col("text")))).join(_sized(terms), "term")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})\Q"), F.col("term"), F.lit(r"\E(?!\p{L})"))
     each = hits.select("row", "posterior", positions(F.col("text"), pattern, len(PATTERNS)).alias("spans"))
@@ -154,10 +154,10 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return each.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("terms"), F.flatten(F.collect_list(sure)).alias("sure"))
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
+def with_spans(docs: DataFrame, row: str | None = None) -> DataFrame:
     """(row, doc_id, spans, terms, sure) of every document."""
-    rows = checkpointed(found(docs))
-    extra = term_spans(docs, disclosing(rows, docs))
+    rows = checkpointed(found(docs, row))
+    extra = term_spans(docs, disclosing(rows, docs), row)
     empty = F.array().cast(SPAN)
     return rows.drop("near").join(extra, "row", "left").withColumns({c: F.array_sort(F.coalesce(c, empty)) for c in ("terms", "sure")})
 
@@ -183,16 +183,17 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced: [KIND] for entities and generalised terms, nothing for nearly certain terms."""
-    rows = with_spans(docs).select("row", F.array_sort(F.concat("spans", "terms")).alias("__spans"), F.col("sure").alias("__sure"))
+    keyed, row = numbered(docs)
+    spans, sure = free_name("__spans", keyed), free_name("__sure", keyed)
+    rows = with_spans(keyed, row).select(F.col("row").alias(row), F.array_sort(F.concat("spans", "terms")).alias(spans), F.col("sure").alias(sure))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def put(done: Column, s: Column) -> Column:
-        put_in = F.when(F.exists("__sure", lambda x: x == s), F.lit("")).otherwise(F.get(names, s["kind"]))
+        put_in = F.when(F.exists(sure, lambda x: x == s), F.lit("")).otherwise(F.get(names, s["kind"]))
         text = F.concat(done["out"], F.substr("text", done["at"] + 1, s["start"] - done["at"]), put_in)
         inside = s["start"] < done["at"]
         return F.struct(F.when(inside, F.greatest(done["at"], s["end"])).otherwise(s["end"]).alias("at"), F.when(inside, done["out"]).otherwise(text).alias("out"))
 
-    new = F.aggregate("__spans", start, put, lambda done: F.concat(done["out"], F.substr("text", done["at"] + 1, F.length("text"))))
-    keyed = docs.select("*", F.monotonically_increasing_id().alias("__row")).join(rows.withColumnRenamed("row", "__row"), "__row")
-    return keyed.withColumn("text", new).select(*docs.columns)
+    new = F.aggregate(spans, start, put, lambda done: F.concat(done["out"], F.substr("text", done["at"] + 1, F.length("text"))))
+    return keyed.join(rows, row).withColumn("text", new).select(*docs.columns)

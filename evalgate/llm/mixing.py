@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalgate.llm.common import WORD, checkpointed
+from evalgate.llm.common import WORD, checkpointed, free_name, numbered, row_number
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -29,10 +29,10 @@ ROUNDS = 24
 SEED = 7
 
 
-def with_sizes(docs: DataFrame) -> DataFrame:
+def with_sizes(docs: DataFrame, row: str | None = None) -> DataFrame:
     """(row, doc_id, source, size): size counts words of the whole text; row tells repeated rows apart."""
     return docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        row_number(row).alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -134,12 +134,12 @@ def slots(counts: DataFrame) -> DataFrame:
     return each.select("shard", "sid", "slot", F.expr("slot div blocks").alias("pass"), permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("sid")).alias("block"))
 
 
-def mixture(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mixture(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, row: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix: (rows with sizes, sources with targets, taken parts).
 
     A taken part is (shard, sid, slot, pass, block, row, first, words): words first.. of a document in one slot of a shard.
     """
-    sized = checkpointed(with_sizes(docs))
+    sized = checkpointed(with_sizes(docs, row))
     sources = checkpointed(targets(sized, block))
     taken = slots(shard_counts(sources, shard_slots)).join(pieces(packed(sized, sources), block), ["sid", "block"])
     return sized, sources, taken
@@ -161,9 +161,11 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SL
 
     A document taken whole keeps its text; otherwise text holds the taken words, joined by one space, and n_chars their length.
     """
-    _, _, taken = mixture(docs, block, shard_slots)
-    parts = taken.groupBy("row", "pass").agg(F.sum("words").alias("__words"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("__parts")).drop("pass")
-    rows = docs.select("*", F.monotonically_increasing_id().alias("row"))
+    keyed, row = numbered(docs)
+    n_words, listed = free_name("__words", keyed), free_name("__parts", keyed)
+    _, _, taken = mixture(keyed, block, shard_slots, row)
+    sums = taken.groupBy("row", "pass").agg(F.sum("words").alias(n_words), F.sort_array(F.collect_list(F.struct("first", "words"))).alias(listed))
+    parts = sums.select(F.col("row").alias(row), n_words, listed)
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     # the words are the start of a fold, so that they are found once however many parts there are
     start = F.struct(words.alias("w"), F.array().cast("array<string>").alias("out"))
@@ -172,7 +174,7 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SL
         mine = F.slice(done["w"], (p["first"] + 1).cast("int"), p["words"].cast("int"))
         return F.struct(done["w"].alias("w"), F.concat(done["out"], mine).alias("out"))
 
-    cut = F.array_join(F.aggregate("__parts", start, add, lambda done: done["out"]), " ")
-    text = F.when(F.col("__words") == F.regexp_count("text", F.lit(WORD)), F.col("text")).otherwise(cut)
-    out = rows.join(parts, "row").withColumn("text", text).drop("row", "__words", "__parts")
+    cut = F.array_join(F.aggregate(listed, start, add, lambda done: done["out"]), " ")
+    text = F.when(F.col(n_words) == F.regexp_count("text", F.lit(WORD)), F.col("text")).otherwise(cut)
+    out = keyed.join(parts, row).withColumn("text", text).drop(row, n_words, listed)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

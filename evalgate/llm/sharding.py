@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalgate.llm.common import checkpointed, numbered
+from evalgate.llm.common import checkpointed, free_name, numbered
 
 LIMIT = 1 << 20
 KEY_BITS = 60
@@ -75,7 +75,11 @@ def placed_rows(docs: DataFrame, row: Column, limit: int) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Write the documents, one folder for each shard; every row goes to the shard it was placed in."""
+    """Write the documents, one folder for each shard; every row goes to the shard it was placed in.
+
+    The folders are named by `shard`, or by that name with underscores where the documents have such a column.
+    """
     keyed, row = numbered(docs)
-    places = placed_rows(keyed, F.col(row), limit).select(F.col("row").alias(row), "shard")
-    keyed.join(places, row).drop(row).repartition("shard").write.partitionBy("shard").parquet(path)
+    shard = free_name("shard", docs)
+    places = placed_rows(keyed, F.col(row), limit).select(F.col("row").alias(row), F.col("shard").alias(shard))
+    keyed.join(places, row).drop(row).repartition(shard).write.partitionBy(shard).parquet(path)

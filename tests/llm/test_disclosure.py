@@ -68,3 +68,12 @@ def test_terms_that_reveal_an_entity(spark):
     texts = {r["doc_id"]: r["text"] for r in disclosure.sanitised(frame(spark, rows)).collect()}
     assert "[EMAIL]" in texts[0] and "Zanzibarius" not in texts[0] and texts[2000] in ("Nobody but  knows", "Nobody but [TERM] knows")
     assert texts[10] == "please contact [EMAIL] about number 0"
+
+
+def test_sanitised_with_clashing_columns(spark):
+    docs = frame(spark, odd_rows() + [(40, "write to ann@example.org or call +49 30 1234 5678 90")])
+    plain = sorted((r["doc_id"] or -1, r["text"] or "") for r in disclosure.sanitised(docs).collect())
+    more = docs.selectExpr("*", "1 AS row", "2 AS __row", "3 AS __SPANS", "4 AS __sure", "5 AS near")
+    out = disclosure.sanitised(more)
+    assert out.columns == more.columns
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in out.collect()) == plain

@@ -82,3 +82,12 @@ def test_mixed_texts_hold_the_taken_words(spark):
     words = sum(len(WORD.findall(r["text"])) for r in mixing.mixed_texts(docs).collect())
     assert words == sum(r[4] for r in mixing.mixed_documents(docs).collect())
     assert mixing.mixed_texts(docs).columns == docs.columns
+
+
+def test_clashing_columns_lose_no_row(spark):
+    docs = frame(spark, odd_rows())
+    plain = sorted((r["doc_id"] or -1, r["text"]) for r in mixing.mixed_texts(docs).collect())
+    more = docs.selectExpr("*", "1 AS row", "2 AS pass", "3 AS __words", "4 AS __ROW", "5 AS __parts", "6 AS slot")
+    out = mixing.mixed_texts(more)
+    assert out.columns == more.columns
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in out.collect()) == plain

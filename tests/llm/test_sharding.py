@@ -56,3 +56,10 @@ def test_rows_of_one_id_or_none_are_written_once(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert rows_of(back.select("doc_id", "text")) == sorted(rows, key=repr) and "__row" not in back.columns
     assert all(r["n"] <= 3000 for r in back.groupBy(F.regexp_extract(F.input_file_name(), "shard=([^/]*)", 1)).agg(F.sum(F.octet_length("text")).alias("n")).collect())
+
+
+def test_write_with_a_shard_column(spark, tmp_path):
+    docs = frame(spark, odd_rows()).selectExpr("*", "'x' AS shard", "1 AS __row")
+    sharding.write(docs, str(tmp_path / "out"), 20_000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == docs.count() and {r["shard"] for r in back.collect()} == {"x"} and "shard_" in back.columns
