@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalgate.functions.columns import floored_ratio, null_safe_join, reasons, safe_ratio
 
+# Names of compared metrics and warnings, and the direction that is better.
 SUMMARY_METRICS = [
     "folds_successful", "folds_failed", "mean_val_f1", "median_over_seeds_median_val_f1", "mean_average_precision",
     "median_average_precision", "worst_fold_val_f1", "worst_seed_median_val_f1",
@@ -18,6 +19,10 @@ MAP_METRICS = [
     "expected_calibration_error", "prob_mean", "prob_p95", "prob_max", "selected_threshold", "selected_precision",
     "selected_recall", "selected_f05", "selected_f1", "selected_pred_positive_rate", "selected_pred_to_val_ratio",
 ]
+SUMMARY_WARNINGS = [
+    "positive_rate_alarm_count", "zero_precision_or_recall_count", "fixed_threshold_not_ok_count", "threshold_edge_case_count",
+    "weak_ap_prevalence_lift_count", "warning_count",
+]
 LOWER_IS_BETTER = ["brier_score", "expected_calibration_error", "pred_to_val_ratio", "selected_pred_to_val_ratio"]
 HIGHER_IS_BETTER = ["val_f1", "val_f05", "average_precision", "ap_prevalence_lift", "fixed_threshold_f1", "selected_f1", "selected_f05"]
 
@@ -35,6 +40,36 @@ def compare_loo(candidate: DataFrame, baseline: DataFrame, keys: list[str]) -> D
     return c.join(b, [*keys, "metric"]).withColumn("delta", F.col("candidate") - F.col("baseline"))
 
 
+def compare_warnings(candidate: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
+    """Numbers of each kind of warning on both sides; a side without the group counts none."""
+    c = candidate.select(*keys, F.stack(F.lit(len(SUMMARY_WARNINGS)), *[x for w in SUMMARY_WARNINGS for x in (F.lit(w), F.col(w).cast("long"))]).alias("warning", "candidate"))
+    b = baseline.select(*keys, F.stack(F.lit(len(SUMMARY_WARNINGS)), *[x for w in SUMMARY_WARNINGS for x in (F.lit(w), F.col(w).cast("long"))]).alias("warning", "baseline"))
+    j = null_safe_join_full(c, b, [*keys, "warning"])
+    counts = {n: F.coalesce(n, F.lit(0)) for n in ("candidate", "baseline")}
+    return j.withColumns(counts).withColumn("delta", F.col("candidate") - F.col("baseline"))
+
+
+def null_safe_join_full(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Full join where NULL keys match each other and the keys appear once, from either side."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(renamed[f"_r_{k}"])
+    rest = [c for c in left.columns if c not in keys] + [c for c in right.columns if c not in keys]
+    return left.join(renamed, cond, "full").select(*[F.coalesce(k, f"_r_{k}").alias(k) for k in keys], *rest)
+
+
+def worst_fold_change(candidate: DataFrame, baseline: DataFrame, keys: list[str], item: str, value: str) -> DataFrame:
+    """The fold with the lowest value on either side and whether it is the same one; of equal values the first fold."""
+
+    def worst(df: DataFrame, name: str) -> DataFrame:
+        low = F.min_by(F.struct(F.col(item).alias("id"), F.col(value).alias("value")), F.struct(value, item))
+        return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(low.alias("w")).select(*keys, F.col("w.id").alias(f"{name}_worst_fold_id"), F.col("w.value").alias(f"{name}_worst_value"))
+
+    j = candidate.transform(worst, "candidate").join(baseline.transform(worst, "baseline"), keys)
+    return j.withColumn("same_fold", F.col("candidate_worst_fold_id") == F.col("baseline_worst_fold_id"))
+
+
 def fold_deltas(candidate: DataFrame, baseline: DataFrame, keys: list[str], item: str, value: str) -> DataFrame:
     c = candidate.select(*keys, item, F.col(value).alias("candidate"))
     b = baseline.select(*keys, item, F.col(value).alias("baseline"))
@@ -75,6 +110,23 @@ def paired_compare(candidate: DataFrame, baseline: DataFrame, keys: list[str], i
     return agg.withColumn("sign_test_two_sided_p", sign_test(F.col("wins"), F.col("losses")))
 
 
+def paired_values(fold_rows: DataFrame, seed_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metric, item, value) of the three pairings: F1 and AP by fold, median F1 by seed."""
+    fold = F.col("heldout_segment").cast("string").alias("item")
+    by_fold = [fold_rows.select(*keys, F.lit(f"per_fold_{m}").alias("metric"), fold, F.col(m).cast("double").alias("value")) for m in ("val_f1", "average_precision")]
+    by_seed = seed_rows.select(*keys, F.lit("per_seed_median_val_f1").alias("metric"), F.col("seed").cast("string").alias("item"), F.col("median_val_f1").cast("double").alias("value"))
+    return by_fold[0].unionByName(by_fold[1]).unionByName(by_seed)
+
+
+def paired_items(candidate: DataFrame, baseline: DataFrame, keys: list[str], item: str, value: str) -> DataFrame:
+    """A row per item of a comparison: on which side it is, and the delta where both have a value."""
+    c = candidate.select(*keys, item, F.col(value).alias("candidate"), F.lit(True).alias("_c"))
+    b = baseline.select(*keys, item, F.col(value).alias("baseline"), F.lit(True).alias("_b"))
+    j = null_safe_join_full(c, b, [*keys, item])
+    side = F.when(F.col("_b").isNull(), "candidate_only").when(F.col("_c").isNull(), "baseline_only").otherwise("common")
+    return j.select(*keys, item, side.alias("side"), "candidate", "baseline", (F.col("candidate") - F.col("baseline")).alias("delta"))
+
+
 def loo_gates(summary: DataFrame, keys: list[str], min_median: float | None = None, min_ap: float | None = None,
               min_worst: float | None = None, max_fixed_bad: int | None = None) -> DataFrame:
     """Gate rows (ordinal, label, passed, detail) per summary."""

@@ -168,28 +168,44 @@ def map_sizes(pixels: DataFrame, keys: list[str]) -> DataFrame:
 def extract_patches(pixels: DataFrame, keys: list[str], patch: int, stride: int, sizes: DataFrame | None = None) -> DataFrame:
     """Flat [C, H, W] array per covering origin; a patch is the largest thing one row holds."""
     sizes = map_sizes(pixels, keys) if sizes is None else sizes
-    tiles = covering_tiles(pixels, keys, sizes, patch, stride)
-    return _to_arrays(tiles, keys)
+    return extract_at(pixels, tile_origins(sizes, keys, patch, stride), keys, patch)
 
 
-def _to_arrays(tiles: DataFrame, keys: list[str]) -> DataFrame:
-    cells = F.sort_array(F.collect_list(F.struct("c", "y", "x", "v")))
-    return tiles.groupBy(*keys, "y0", "x0").agg(F.transform(cells, lambda s: s["v"]).alias("image"))
+def pixel_blocks(pixels: DataFrame, keys: list[str], side: int) -> DataFrame:
+    """Blocks of side x side pixels as one row each: (keys, _yc, _xc, cells), cells being (c, y, x, v) in order."""
+    cells = F.sort_array(F.collect_list(F.struct("c", "y", "x", "v"))).alias("cells")
+    at = [F.floor(F.col(axis) / side).alias(f"_{axis}c") for axis in ("y", "x")]
+    return pixels.groupBy(*keys, *at).agg(cells)
 
 
 def pixels_at(pixels: DataFrame, origins: DataFrame, keys: list[str], patch: int) -> DataFrame:
     """Pixels inside each given origin's patch: an equi-join on the at most four grid cells it touches."""
+    px = pixels.withColumns({"_yc": F.floor(F.col("y") / patch), "_xc": F.floor(F.col("x") / patch)})
+    inside = (F.col("y").between(F.col("y0"), F.col("y0") + patch - 1)) & (F.col("x").between(F.col("x0"), F.col("x0") + patch - 1))
+    return null_safe_join(px, block_spots(origins, keys, patch), [*keys, "_yc", "_xc"]).filter(inside).drop("_yc", "_xc")
+
+
+def block_spots(origins: DataFrame, keys: list[str], patch: int) -> DataFrame:
+    """Each distinct origin with the at most four blocks that its patch touches."""
     spots = origins.select(*keys, "y0", "x0").distinct()
     for axis in ("y", "x"):
         cells = F.array_distinct(F.array(F.floor(F.col(f"{axis}0") / patch), F.floor((F.col(f"{axis}0") + patch - 1) / patch)))
         spots = spots.withColumn(f"_{axis}c", F.explode(cells))
-    px = pixels.withColumns({"_yc": F.floor(F.col("y") / patch), "_xc": F.floor(F.col("x") / patch)})
-    inside = (F.col("y").between(F.col("y0"), F.col("y0") + patch - 1)) & (F.col("x").between(F.col("x0"), F.col("x0") + patch - 1))
-    return null_safe_join(px, spots, [*keys, "_yc", "_xc"]).filter(inside).drop("_yc", "_xc")
+    return spots
 
 
 def extract_at(pixels: DataFrame, origins: DataFrame, keys: list[str], patch: int) -> DataFrame:
-    return _to_arrays(pixels_at(pixels, origins, keys, patch), keys)
+    """Flat [C, H, W] array per given origin.
+
+    Pixels are shuffled once, into blocks of the patch's size; a patch takes its part of the at most four blocks that it
+    touches as arrays, however many patches overlap there. Each block is a key of its own, so a giant map is many tasks.
+    """
+    parts = null_safe_join(block_spots(origins, keys, patch), pixel_blocks(pixels, keys, patch), [*keys, "_yc", "_xc"])
+    y0, x0 = F.col("y0"), F.col("x0")
+    mine = F.filter("cells", lambda s: s["y"].between(y0, y0 + patch - 1) & s["x"].between(x0, x0 + patch - 1))
+    cut = parts.select(*keys, "y0", "x0", mine.alias("part")).filter(F.size("part") > 0)
+    cells = F.sort_array(F.flatten(F.collect_list("part")))
+    return cut.groupBy(*keys, "y0", "x0").agg(F.transform(cells, lambda s: s["v"]).alias("image"))
 
 
 # ---------------------------------------------------------------- stitching

@@ -897,35 +897,67 @@ def next_move(evidence: DataFrame, by: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- action-targeted moves
 
-# Change rules of the automatic actions: (action, ordinal, path, factor, addend, floor, ceiling, word, torch only).
+# Change rules of the automatic actions: (action, ordinal, path, factor, addend, floor, ceiling, word, models).
 ACTION_RULES = [
-    ("calibrate_probability_scale", 0, "training.positive_rate_loss_weight", 1.0, 0.02, 0.02, 0.1, None, True),
-    ("calibrate_probability_scale", 1, "training.positive_rate_loss_tolerance", 0.5, 0.0, 0.001, 0.02, None, True),
-    ("calibrate_probability_scale", 2, "training.pos_weight", 0.85, 0.0, 0.25, 25.0, None, True),
-    ("calibrate_probability_scale", 3, "evaluation.threshold", 0.0, 0.35, 0.05, 0.95, None, False),
-    ("calibrate_probability_scale", 4, "training.seed", 1.0, 17.0, 0.0, 1e18, None, False),
-    ("calibrate_positive_rate", 0, "training.positive_rate_loss_weight", 1.0, -0.02, 0.0, 0.1, None, True),
-    ("calibrate_positive_rate", 1, "training.positive_rate_loss_weight", 1.0, 0.02, 0.0, 0.1, None, True),
-    ("calibrate_positive_rate", 2, "training.pos_weight", 0.8, 0.0, 0.25, 25.0, None, False),
-    ("hard_fold_low_ap_near_prevalence", 0, "training.patch_sampling", 0.0, 0.0, 0.0, 0.0, "hard_mining", True),
-    ("hard_fold_low_ap_near_prevalence", 1, "evaluation.max_pred_positive_rate_ratio", 0.0, 2.75, 1.5, 3.5, None, True),
-    ("hard_fold_low_ap_near_prevalence", 2, "dataset.z_offsets", 0.0, 0.0, 0.0, 0.0, "[-4,0,4]", True),
-    ("hard_fold_low_ap_near_prevalence", 3, "dataset.z_offsets", 0.0, 0.0, 0.0, 0.0, "[-6,-3,0,3,6]", True),
-    ("improve_ranking_signal", 0, "training.epochs", 1.0, 1.0, 2.0, 8.0, None, True),
-    ("improve_ranking_signal", 1, "training.learning_rate", 0.6, 0.0, 0.001, 0.25, None, True),
-    ("mine_hard_negatives", 0, "training.sampling_strategy", 0.0, 0.0, 0.0, 0.0, "hard_mining", True),
-    ("repair_precision_recall", 0, "training.pos_weight", 0.75, 0.0, 0.25, 25.0, None, False),
-    ("repair_precision_recall", 1, "training.dice_loss_weight", 1.0, 0.15, 0.0, 0.8, None, True),
+    ("calibrate_probability_scale", 0, "training.positive_rate_loss_weight", 1.0, 0.02, 0.02, 0.1, None, "torch"),
+    ("calibrate_probability_scale", 1, "training.positive_rate_loss_tolerance", 0.5, 0.0, 0.001, 0.02, None, "torch"),
+    ("calibrate_probability_scale", 2, "training.pos_weight", 0.85, 0.0, 0.25, 25.0, None, "torch"),
+    ("calibrate_probability_scale", 3, "evaluation.threshold", 0.0, 0.33, 0.05, 0.95, None, "array"),
+    ("calibrate_probability_scale", 4, "evaluation.threshold", 0.0, 0.35, 0.05, 0.95, None, "any"),
+    ("calibrate_probability_scale", 5, "training.seed", 1.0, 17.0, 0.0, 1e18, None, "any"),
+    ("calibrate_probability_scale", 6, "training.seed", 1.0, 31.0, 0.0, 1e18, None, "any"),
+    ("calibrate_probability_scale", 7, "training.seed", 1.0, 53.0, 0.0, 1e18, None, "any"),
+    ("calibrate_positive_rate", 0, "training.positive_rate_loss_weight", 1.0, -0.02, 0.0, 0.1, None, "torch"),
+    ("calibrate_positive_rate", 1, "training.positive_rate_loss_weight", 1.0, 0.02, 0.0, 0.1, None, "torch"),
+    ("calibrate_positive_rate", 2, "training.pos_weight", 0.8, 0.0, 0.25, 25.0, None, "any"),
+    ("hard_fold_low_ap_near_prevalence", 0, "training.patch_sampling", 0.0, 0.0, 0.0, 0.0, "hard_mining", "torch"),
+    ("hard_fold_low_ap_near_prevalence", 5, "evaluation.max_pred_positive_rate_ratio", 0.0, 2.75, 1.5, 3.5, None, "torch"),
+    ("hard_fold_low_ap_near_prevalence", 6, "dataset.z_offsets", 0.0, 0.0, 0.0, 0.0, "[-4,0,4]", "torch"),
+    ("hard_fold_low_ap_near_prevalence", 7, "dataset.z_offsets", 0.0, 0.0, 0.0, 0.0, "[-6,-3,0,3,6]", "torch"),
+    ("improve_ranking_signal", 0, "training.epochs", 1.0, 1.0, 2.0, 8.0, None, "torch"),
+    ("improve_ranking_signal", 1, "training.learning_rate", 0.6, 0.0, 0.001, 0.25, None, "torch"),
+    ("mine_hard_negatives", 0, "training.sampling_strategy", 0.0, 0.0, 0.0, 0.0, "hard_mining", "torch"),
+    ("repair_precision_recall", 0, "training.pos_weight", 0.75, 0.0, 0.25, 25.0, None, "any"),
+    ("repair_precision_recall", 1, "training.dice_loss_weight", 1.0, 0.15, 0.0, 0.8, None, "torch"),
+]
+
+# Changes of several leaves at once, torch models only: (action, ordinal, path of the move, {leaf: value}).
+_HARD = {"training.patch_sampling": "hard_mining", "training.hard_negative_fraction": "0.75"}
+_RATE = {"training.positive_patch_fraction": "0.3", "training.positive_rate_loss_target": "auto_train"}
+COMPOUND_RULES = [
+    ("hard_fold_low_ap_near_prevalence", 1, "hard_fold_sampling_calibration", {**_HARD, "training.positive_patch_fraction": "0.3"}),
+    ("hard_fold_low_ap_near_prevalence", 2, "hard_fold_sampling_calibration", {**_HARD, "training.positive_patch_fraction": "0.25"}),
+    ("hard_fold_low_ap_near_prevalence", 3, "hard_fold_sampling_calibration",
+     {**_HARD, **_RATE, "training.positive_rate_loss_weight": "0.05", "training.positive_rate_loss_tolerance": "0.015", "evaluation.max_pred_positive_rate_ratio": "2.75"}),
+    ("hard_fold_low_ap_near_prevalence", 4, "hard_fold_sampling_calibration",
+     {**_HARD, **_RATE, "training.positive_rate_loss_weight": "0.08", "training.positive_rate_loss_tolerance": "0.012", "evaluation.max_pred_positive_rate_ratio": "2.5"}),
 ]
 
 
 def action_rules(spark) -> DataFrame:
     return spark.createDataFrame(
-        ACTION_RULES, "action string, ordinal int, path string, factor double, addend double, floor double, ceiling double, word string, torch_only boolean")
+        ACTION_RULES, "action string, ordinal int, path string, factor double, addend double, floor double, ceiling double, word string, models string")
+
 
+def compound_rules(spark) -> DataFrame:
+    """A row per leaf of each compound change, with the whole change as sorted ``leaf=value`` text."""
+    rows = [(a, o, m, leaf, want, ";".join(f"{k}={v}" for k, v in sorted(sets.items()))) for a, o, m, sets in COMPOUND_RULES for leaf, want in sets.items()]
+    return spark.createDataFrame(rows, "action string, ordinal int, move string, path string, want string, proposed string")
 
-def action_moves(bases: DataFrame, rules: DataFrame, by: list[str], k: int) -> DataFrame:
-    """First k real changes per (group, action); bases carry model_name, path, value and the wanted action."""
-    j = bases.join(F.broadcast(rules), ["action", "path"]).filter(~F.col("torch_only") | F.col("model_name").contains("torch"))
-    changed = j.withColumn("proposed", _proposed()).filter(_changed())
-    return top_rows(changed, [*by, "action"], [F.col("ordinal")], k, "move_rank")
+
+def action_moves(bases: DataFrame, rules: DataFrame, by: list[str], k: int, compounds: DataFrame | None = None) -> DataFrame:
+    """First k real changes per (group, action); bases carry model_name, path, value and the wanted action.
+
+    A compound change is real if any of its leaves differs or is absent.
+    """
+    torch = F.coalesce(F.col("model_name").contains("torch"), F.lit(False))
+    fits = (F.col("models") == "any") | (torch & (F.col("models") == "torch")) | (~torch & (F.col("models") == "array"))
+    changed = bases.join(F.broadcast(rules), ["action", "path"]).filter(fits).withColumn("proposed", _proposed()).filter(_changed())
+    moves = changed.select(*by, "action", "ordinal", "path", "value", "proposed")
+    if compounds is not None:
+        wanted = bases.filter(torch).select(*by, "action").distinct().join(F.broadcast(compounds), "action")
+        same = F.coalesce(F.col("want").try_cast("double") == F.col("value").try_cast("double"), F.col("want") == F.col("value"), F.lit(False))
+        held = null_safe_join(wanted, bases.select(*by, "action", "path", "value"), [*by, "action", "path"], "left")
+        whole = held.groupBy(*by, "action", "ordinal", F.col("move").alias("path"), "proposed").agg(F.every(same).alias("_same")).filter("NOT _same")
+        moves = moves.unionByName(whole.drop("_same").withColumn("value", F.lit(None).cast("string")))
+    return top_rows(moves, [*by, "action"], [F.col("ordinal")], k, "move_rank")

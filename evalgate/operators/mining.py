@@ -11,19 +11,42 @@ from evalgate.operators.grid import covering_tiles, extract_at, map_sizes
 from evalgate.operators.ledger import optional, top_rows
 
 
-def mine_tiles(scores: DataFrame, keys: list[str], patch: int, stride: int, threshold: float, n: int, max_rate: float = 0.001) -> DataFrame:
-    """Top n false-positive tiles per map by (fp rate, mean score, y, x) descending."""
+def false_positive_tiles(scores: DataFrame, keys: list[str], patch: int, stride: int, threshold: float, max_rate: float = 0.001) -> DataFrame:
+    """Covering tiles with false positives and hardly a label: label_rate, fp_rate and prob_mean of each."""
     tiles = covering_tiles(scores.select(*keys, "y", "x", "prob", "label"), keys, map_sizes(scores, keys), patch, stride)
     truth = F.col("label") > 0.5
     agg = tiles.groupBy(*keys, "y0", "x0").agg(
         F.avg(truth.cast("double")).alias("label_rate"), F.avg(((F.col("prob") >= threshold) & ~truth).cast("double")).alias("fp_rate"),
         F.avg("prob").alias("prob_mean"))
-    found = agg.filter((F.col("label_rate") <= max_rate) & (F.col("fp_rate") > 0))
+    return agg.filter((F.col("label_rate") <= max_rate) & (F.col("fp_rate") > 0))
+
+
+def mine_tiles(scores: DataFrame, keys: list[str], patch: int, stride: int, threshold: float, n: int, max_rate: float = 0.001) -> DataFrame:
+    """Top n false-positive tiles per map by (fp rate, mean score, y, x) descending."""
+    return best_tiles(false_positive_tiles(scores, keys, patch, stride, threshold, max_rate), keys, n)
+
+
+def best_tiles(found: DataFrame, keys: list[str], n: int) -> DataFrame:
     # tile means are sums over pixels in any order; rank at 12 digits so equal tiles stay equal
     order = [F.round("fp_rate", 12).desc(), F.round("prob_mean", 12).desc(), F.col("y0").desc(), F.col("x0").desc()]
     return top_rows(found, keys, order, n, "mine_rank")
 
 
+def mining_statistics(scores: DataFrame, keys: list[str], patch: int, stride: int, threshold: float, n: int, max_rate: float = 0.001) -> DataFrame:
+    """Record of a mining run per map: settings, candidate tiles, mined samples and their label, score and false-positive rates.
+
+    Tiles are of one size, so the labels' rate over all mined pixels is the mean of the tiles' rates. A map without candidates
+    has zeros.
+    """
+    found = false_positive_tiles(scores, keys, patch, stride, threshold, max_rate)
+    totals = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("candidate_patches"))
+    mined = best_tiles(found, keys, n).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("samples"), F.avg("label_rate").alias("positive_rate"), F.max("fp_rate").alias("max_fp_rate"), F.avg("prob_mean").alias("mean_probability"))
+    out = scores.select(*keys).distinct().join(totals, keys, "left").join(mined, keys, "left")
+    named = {"patch_size": patch, "stride": stride, "max_patches": n, "threshold": float(threshold), "max_label_positive_rate": float(max_rate)}
+    return out.fillna(0).select(*keys, *[F.lit(v).alias(k) for k, v in named.items()], "candidate_patches", "samples", "positive_rate", "max_fp_rate", "mean_probability")
+
+
 def mined_patches(pixels: DataFrame, mined: DataFrame, keys: list[str], patch: int) -> DataFrame:
     """Image arrays of the mined origins."""
     return extract_at(pixels, mined, keys, patch)
@@ -84,6 +107,25 @@ def fold_sets(inventory: DataFrame, folds: DataFrame, key: str) -> DataFrame:
     return j.select("heldout_segment", (eligible - bad).alias("eligible_sets"), bad.alias("own_sets"), (total - eligible).alias("rejected_sets"), "first_set")
 
 
+def rejected_sets(inventory: DataFrame, folds: DataFrame, key: str) -> DataFrame:
+    """(set, held-out segment, reason) of what a plan may not use: a segment of NULL stands for all of them."""
+    by_status = inventory.filter("status <> 'eligible'").select(key, F.lit(None).cast("string").alias("heldout_segment"), F.col("status").alias("reason"))
+    held = folds.select("heldout_segment").distinct()
+    own = inventory.filter("status = 'eligible'").select(key, F.explode("provenance").alias("heldout_segment")).distinct().join(held, "heldout_segment")
+    return by_status.unionByName(own.withColumn("reason", F.lit("provenance_includes_heldout_segment")))
+
+
+def plan_preconditions(inventory: DataFrame, folds: DataFrame) -> DataFrame:
+    """A row per held-out segment: the value that a configuration must hold out, and whether any set was mined from it.
+
+    A plan's configuration must equal the segment and must not be in the list of all segments of any set; the list is the
+    distinct provenance, which is joined and not carried along.
+    """
+    forbidden = inventory.select(F.explode("provenance").alias("heldout_segment")).distinct().withColumn("_in", F.lit(True))
+    held = folds.select("heldout_segment").distinct()
+    return held.join(forbidden, "heldout_segment", "left").select("heldout_segment", F.col("_in").isNotNull().alias("in_forbidden_segments"), F.col("_in").isNull().alias("precondition_holds"))
+
+
 def candidate_tiles(tiles: DataFrame, by: list[str]) -> DataFrame:
     """One tile per (artifact, segment): the first, or the first with a risk summary; first-seen order kept."""
     rest = [c for c in tiles.columns if c not in {*by, "artifact_dir", "segment_id"}]
@@ -150,3 +192,10 @@ def cap_recommendation(recommended: DataFrame, by: list[str]) -> DataFrame:
     return recommended.groupBy(*by).agg(
         F.count(F.lit(1)).alias("artifacts"), blocked.alias("blockers"),
         F.when(blocked == 0, F.max("recommended_cap")).alias("target_cap"))
+
+
+def cap_blockers(recommended: DataFrame, by: list[str]) -> DataFrame:
+    """A row per artifact that blocks its group's recommendation, with the reason; ``error`` names a comparison that failed."""
+    error = optional(recommended, "error", "string")
+    reason = F.when(error.isNotNull(), "cap_comparison_error").otherwise("no_cap_preserves_retention")
+    return recommended.filter(F.col("recommended_cap").isNull() | error.isNotNull()).select(*by, reason.alias("reason"), error.alias("error"))

@@ -429,6 +429,52 @@ def h2(spark, sf):
     return rounded(H.paired_compare(shifted(f, "label", 1), f, ["label"], "heldout_segment", "val_f1"))
 
 
+_PAIRS = f"""{FULL}, u AS (SELECT label, 'per_fold_val_f1' AS metric, heldout_segment AS item, f1 AS v FROM pfold UNION ALL SELECT label, 'per_fold_average_precision', heldout_segment, ap FROM pfold
+ UNION ALL SELECT label, 'per_seed_median_val_f1', CAST(seed AS VARCHAR), med FROM pseed),
+d AS (SELECT coalesce(b.label, c.label - 1) AS label, coalesce(b.metric, c.metric) AS metric, coalesce(b.item, c.item) AS item, c.v AS cv, b.v AS bv, c.v - b.v AS d, b.label IS NOT NULL AS ib, c.label IS NOT NULL AS ic
+  FROM u b FULL JOIN u c ON c.label - 1 = b.label AND c.metric = b.metric AND c.item = b.item)"""
+
+
+def paired_sides(spark, sf):
+    rows = views.loo(spark, sf)
+    values = H.paired_values(G.fold_means(rows, ["label"]), G.seed_stats(rows, ["label"]), ["label"])
+    return shifted(values, "label", 1), values
+
+
+@query("h2_paired_comparisons", _PAIRS + """, a AS (SELECT label, metric, count(d) AS paired_count, count(*) FILTER (WHERE ib AND ic) AS common, count(*) FILTER (WHERE NOT ib) AS candidate_only, count(*) FILTER (WHERE NOT ic) AS baseline_only,
+  avg(d) AS mean_delta, median(d) AS median_delta, min(d) AS min_delta, max(d) AS max_delta, count(*) FILTER (WHERE d > 0) AS wins, count(*) FILTER (WHERE d < 0) AS losses,
+  count(*) FILTER (WHERE d = 0) AS ties FROM d GROUP BY ALL)
+SELECT * REPLACE (round(mean_delta, 9) AS mean_delta, round(median_delta, 9) AS median_delta, round(min_delta, 9) AS min_delta, round(max_delta, 9) AS max_delta),
+ CASE WHEN wins+losses > 0 THEN round(least(1.0, 2.0*list_sum(list_transform(range(0, least(wins, losses)+1),
+   lambda k: factorial((wins+losses)::INT)::DOUBLE/(factorial(k::INT)::DOUBLE*factorial((wins+losses-k)::INT)::DOUBLE)))/pow(2.0, wins+losses)), 9) END AS sign_test_two_sided_p FROM a""")
+def h2_metrics(spark, sf):
+    return rounded(H.paired_compare(*paired_sides(spark, sf), ["label", "metric"], "item", "value"))
+
+
+@query("h2_paired_items", _PAIRS + """ SELECT label, metric, item, CASE WHEN NOT ib THEN 'candidate_only' WHEN NOT ic THEN 'baseline_only' ELSE 'common' END AS side,
+ round(cv, 9) AS candidate, round(bv, 9) AS baseline, round(d, 9) AS delta FROM d""")
+def h2_items(spark, sf):
+    return rounded(H.paired_items(*paired_sides(spark, sf), ["label", "metric"], "item", "value"))
+
+
+_WARNED = ", ".join(f"coalesce({w}, 0) AS {w}" for w in H.SUMMARY_WARNINGS)
+
+
+@query("h1_warning_counts", f"""{FULL}, u AS (UNPIVOT (SELECT label, {_WARNED} FROM summary) ON COLUMNS(* EXCLUDE label) INTO NAME warning VALUE v)
+SELECT coalesce(b.label, c.label - 1) AS label, coalesce(b.warning, c.warning) AS warning, coalesce(c.v, 0) AS candidate, coalesce(b.v, 0) AS baseline, coalesce(c.v, 0) - coalesce(b.v, 0) AS delta
+ FROM u b FULL JOIN u c ON c.label - 1 = b.label AND c.warning = b.warning""")
+def h1_warnings(spark, sf):
+    s = summary(spark, sf)
+    return H.compare_warnings(shifted(s, "label", 1), s, ["label"])
+
+
+@query("h1_worst_folds", f"""{FULL}, o AS (SELECT label, arg_min(heldout_segment, (f1, heldout_segment)) AS id, min(f1) AS v FROM pfold WHERE f1 IS NOT NULL GROUP BY 1)
+SELECT b.label, c.id AS candidate_worst_fold_id, round(c.v, 9) AS candidate_worst_value, b.id AS baseline_worst_fold_id, round(b.v, 9) AS baseline_worst_value, c.id = b.id AS same_fold FROM o b JOIN o c ON c.label - 1 = b.label""")
+def h1_worst(spark, sf):
+    f = G.fold_means(views.loo(spark, sf), ["label"])
+    return rounded(H.worst_fold_change(shifted(f, "label", 1), f, ["label"], "heldout_segment", "val_f1"))
+
+
 @query("h3_gates", f"""{FULL}, s AS (SELECT * REPLACE (coalesce(positive_rate_alarm_count, 0) AS positive_rate_alarm_count, coalesce(zero_precision_or_recall_count, 0) AS zero_precision_or_recall_count,
   coalesce(fixed_threshold_not_ok_count, 0) AS fixed_threshold_not_ok_count) FROM summary)
 SELECT label, 0 AS ordinal, 'all folds succeeded' AS gate, folds_failed = 0 AS passed, concat('folds_failed=', folds_failed) AS detail FROM s

@@ -338,6 +338,15 @@ def j1(spark, sf):
     return rounded(mined(spark, sf))
 
 
+@query("j1_mining_statistics", _MINE + """, a AS (SELECT segment, count(*) AS c, count(*) FILTER (WHERE mine_rank <= 12) AS n, avg(label_rate) FILTER (WHERE mine_rank <= 12) AS lr, max(fp_rate) FILTER (WHERE mine_rank <= 12) AS fp,
+  avg(prob_mean) FILTER (WHERE mine_rank <= 12) AS pm FROM m GROUP BY 1)
+SELECT segment, 10 AS patch_size, 7 AS stride, 12 AS max_patches, 0.6::DOUBLE AS threshold, 0.01::DOUBLE AS max_label_positive_rate, coalesce(c, 0) AS candidate_patches, coalesce(n, 0) AS samples,
+ round(coalesce(lr, 0), 9) AS positive_rate, round(coalesce(fp, 0), 9) AS max_fp_rate, round(coalesce(pm, 0), 9) AS mean_probability FROM (SELECT DISTINCT segment FROM V_BIGMAP) LEFT JOIN a USING (segment)""")
+def j1_statistics(spark, sf):
+    s = views.bigmap(spark, sf).withColumn("label", F.when(F.col("prob") > 0.85, 1).otherwise(0))
+    return rounded(J.mining_statistics(s, SEG, 10, 7, 0.6, 12, 0.01))
+
+
 @query("j1_mined_patches", _MINE + " SELECT m.segment, y0, x0, string_agg(printf('%.6f', prob), ',' ORDER BY y, x) AS image FROM m JOIN V_BIGMAP b ON b.segment = m.segment AND y BETWEEN y0 AND y0+9 AND x BETWEEN x0 AND x0+9 WHERE mine_rank <= 12 GROUP BY ALL")
 def j1_patches(spark, sf):
     return J.mined_patches(big_pixels(spark, sf), mined(spark, sf), SEG, 10).select("segment", "y0", "x0", _array_text("image"))
@@ -388,6 +397,21 @@ def j3_sets(spark, sf):
     return fold_sets(spark, sf)
 
 
+@query("j7_rejected_sets", f"""WITH {_INV}, h AS (SELECT DISTINCT label::VARCHAR AS heldout_segment FROM embeddings)
+SELECT set_id, NULL::VARCHAR AS heldout_segment, status AS reason FROM ivs WHERE status <> 'eligible'
+UNION ALL SELECT set_id, heldout_segment, 'provenance_includes_heldout_segment' FROM ivs, h WHERE status = 'eligible' AND list_contains(provenance, heldout_segment)""")
+def j7_rejected(spark, sf):
+    folds = views.table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("heldout_segment"))
+    return J.rejected_sets(inventory(spark, sf), folds, "set_id")
+
+
+@query("j7_preconditions", f"""WITH {_INV}, h AS (SELECT DISTINCT label::VARCHAR AS heldout_segment FROM embeddings), fs AS (SELECT DISTINCT unnest(provenance) AS s FROM ivs)
+SELECT heldout_segment, heldout_segment IN (SELECT s FROM fs) AS in_forbidden_segments, heldout_segment NOT IN (SELECT s FROM fs) AS precondition_holds FROM h""")
+def j7_preconditions(spark, sf):
+    folds = views.table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("heldout_segment"))
+    return J.plan_preconditions(inventory(spark, sf), folds)
+
+
 _RISK_SPARK = """CASE WHEN run_id%10 > 0 THEN named_struct('selected_f1', CASE WHEN run_id%13 > 0 THEN val_f1 END, 'selected_f05', val_f05, 'selected_ratio', pred_positive_rate/val_positive_rate, 'cap_binding', run_id%17 = 0,
  'f1_2', val_f1*(0.9D+0.01D*(run_id%11)), 'f05_2', val_f05*(0.9D+0.01D*(run_id%12)), 'f1_25', val_f1*(0.92D+0.01D*(run_id%9)), 'f05_25', CASE WHEN run_id%4 > 0 THEN val_f05*0.96D END, 'f1_3', val_f1*0.97D, 'f05_3', val_f05*(0.93D+0.01D*(run_id%5))) END"""
 _TILE_CTE = """
@@ -439,6 +463,16 @@ def j7_sets(spark, sf):
     return J.mining_plan(tile_rows(spark, sf), fold_sets(spark, sf), ["research_scope"], 6)[1]
 
 
+@query("j8_cap_blockers", f"""WITH {sweep_ctes('V_SCORES', _FS)}, {compare_caps_ctes(_FS)}, r AS (SELECT fold, seed, min(cap) FILTER (WHERE r1 >= 0.9 AND r05 >= 0.9) AS rc FROM cmp GROUP BY ALL)
+SELECT fold, seed, CASE WHEN fold % 3 = 0 THEN 'cap_comparison_error' ELSE 'no_cap_preserves_retention' END AS reason, CASE WHEN fold % 3 = 0 THEN 'no metrics' END AS error FROM r WHERE rc IS NULL OR fold % 3 = 0""")
+def j8_blockers(spark, sf):
+    """Comparisons of every third fold count as failed, as their reports would say."""
+    from evalgate.operators.caps import recommended_cap
+
+    found = recommended_cap(fold_seed_caps(spark, sf), ["fold", "seed"])
+    return J.cap_blockers(found.withColumn("error", F.expr("CASE WHEN fold % 3 = 0 THEN 'no metrics' END")), ["fold", "seed"])
+
+
 @query("j8_cap_recommendation", f"""WITH {sweep_ctes('V_SCORES', _FS)}, {compare_caps_ctes(_FS)}, r AS (SELECT fold, seed, min(cap) FILTER (WHERE r1 >= 0.9 AND r05 >= 0.9) AS rc FROM cmp GROUP BY ALL)
 SELECT fold, count(*) AS artifacts, count(*) FILTER (WHERE rc IS NULL) AS blockers, CASE WHEN count(*) FILTER (WHERE rc IS NULL) = 0 THEN max(rc) END AS target_cap FROM r GROUP BY 1""")
 def j8(spark, sf):

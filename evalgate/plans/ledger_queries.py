@@ -571,20 +571,40 @@ def i35(spark, sf):
 
 
 _RULE_SQL = "(VALUES " + ", ".join(
-    f"('{a}', {o}, '{p}', {f}::DOUBLE, {d}::DOUBLE, {lo}::DOUBLE, {hi:f}::DOUBLE, {'NULL' if w is None else repr(w)}, {str(t).lower()})" for a, o, p, f, d, lo, hi, w, t in L.ACTION_RULES) + ") r(action, ordinal, path, factor, addend, floor, ceiling, word, torch_only)"
+    f"('{a}', {o}, '{p}', {f}::DOUBLE, {d}::DOUBLE, {lo}::DOUBLE, {hi:f}::DOUBLE, {'NULL' if w is None else repr(w)}, '{m}')" for a, o, p, f, d, lo, hi, w, m in L.ACTION_RULES) + ") r(action, ordinal, path, factor, addend, floor, ceiling, word, models)"
+_COMPOUND_SQL = "(VALUES " + ", ".join(
+    f"('{a}', {o}, '{m}', '{leaf}', '{want}', '{';'.join(f'{k}={v}' for k, v in sorted(sets.items()))}')" for a, o, m, sets in L.COMPOUND_RULES for leaf, want in sets.items()) + ") r(action, ordinal, move, leaf, want, proposed)"
 _LEAVES = {"training.positive_rate_loss_weight": "CAST(pred_positive_rate AS {s})", "training.positive_rate_loss_tolerance": "'0.01'", "training.pos_weight": "CAST(run_id%30 AS {s})", "evaluation.threshold": "'0.5'",
            "training.seed": "'1337'", "training.patch_sampling": "CASE WHEN run_id%2=0 THEN 'hard_mining' ELSE 'random' END", "evaluation.max_pred_positive_rate_ratio": "'2.75'", "dataset.z_offsets": "CASE WHEN run_id%4=0 THEN '[-4,0,4]' ELSE 'null' END",
-           "training.epochs": "CAST(run_id%9 AS {s})", "training.learning_rate": "'0.001'", "training.sampling_strategy": "'random'", "training.dice_loss_weight": "CAST(val_f1 AS {s})"}
+           "training.epochs": "CAST(run_id%9 AS {s})", "training.learning_rate": "'0.001'", "training.sampling_strategy": "'random'", "training.dice_loss_weight": "CAST(val_f1 AS {s})",
+           "training.positive_patch_fraction": "CASE WHEN run_id%5=0 THEN '0.30' ELSE '0.25' END", "training.hard_negative_fraction": "CASE WHEN run_id%7=0 THEN 'null' ELSE '0.75' END"}
 _ACTIONS = ["calibrate_probability_scale", "calibrate_positive_rate", "hard_fold_low_ap_near_prevalence", "improve_ranking_signal", "mine_hard_negatives", "repair_precision_recall"]
 
 
-@query("i36_action_moves", f"""WITH bs AS (SELECT run_id, model_name, ({_ACTIONS!r})[1+run_id%6] AS action, unnest([{', '.join(repr(k) for k in _LEAVES)}]) AS path, unnest([{', '.join(v.replace('{s}', 'VARCHAR') for v in _LEAVES.values())}]) AS value FROM V_RUNS),
-m AS (SELECT bs.*, ordinal, coalesce(word, CASE WHEN factor = 0 OR try_cast(value AS DOUBLE) IS NOT NULL THEN CAST(round(least(greatest(coalesce(try_cast(value AS DOUBLE), 0)*factor+addend, floor), ceiling), 7) AS VARCHAR) END) AS proposed FROM bs JOIN {_RULE_SQL} USING (action, path) WHERE NOT torch_only OR model_name LIKE '%torch%'),
-k AS (SELECT *, row_number() OVER (PARTITION BY run_id, action ORDER BY ordinal) AS move_rank FROM m WHERE proposed IS NOT NULL AND NOT coalesce(try_cast(proposed AS DOUBLE) = try_cast(value AS DOUBLE), proposed = value))
-SELECT run_id, action, move_rank, path, coalesce(CAST(round(try_cast(proposed AS DOUBLE), 6) AS VARCHAR), proposed) AS proposed FROM k WHERE move_rank <= 2""")
-def i36(spark, sf):
+_MOVES = f"""WITH bs AS (SELECT run_id, model_name, ({_ACTIONS!r})[1+run_id%6] AS action, unnest([{', '.join(repr(k) for k in _LEAVES)}]) AS path, unnest([{', '.join(v.replace('{s}', 'VARCHAR') for v in _LEAVES.values())}]) AS value FROM V_RUNS),
+m AS (SELECT bs.*, ordinal, coalesce(word, CASE WHEN factor = 0 OR try_cast(value AS DOUBLE) IS NOT NULL THEN CAST(round(least(greatest(coalesce(try_cast(value AS DOUBLE), 0)*factor+addend, floor), ceiling), 7) AS VARCHAR) END) AS proposed FROM bs JOIN {_RULE_SQL} USING (action, path)
+  WHERE models = 'any' OR models = CASE WHEN model_name LIKE '%torch%' THEN 'torch' ELSE 'array' END),
+c AS (SELECT g.run_id, g.action, r.ordinal, r.move AS path, r.proposed FROM (SELECT DISTINCT run_id, action FROM bs WHERE model_name LIKE '%torch%') g JOIN {_COMPOUND_SQL} ON r.action = g.action
+  LEFT JOIN bs ON bs.run_id = g.run_id AND bs.action = g.action AND bs.path = r.leaf GROUP BY ALL HAVING NOT bool_and(coalesce(try_cast(r.want AS DOUBLE) = try_cast(value AS DOUBLE), r.want = value, false))),
+k AS (SELECT *, row_number() OVER (PARTITION BY run_id, action ORDER BY ordinal) AS move_rank FROM (
+  SELECT run_id, action, ordinal, path, coalesce(CAST(round(try_cast(proposed AS DOUBLE), 6) AS VARCHAR), proposed) AS proposed FROM m WHERE proposed IS NOT NULL AND NOT coalesce(try_cast(proposed AS DOUBLE) = try_cast(value AS DOUBLE), proposed = value)
+  UNION ALL SELECT * FROM c))
+SELECT run_id, action, move_rank, path, proposed FROM k"""
+
+
+def moves(spark, sf, k: int):
     r = views.runs(spark, sf)
     leaves = F.array(*[F.struct(F.lit(k).alias("path"), F.expr(v.replace("{s}", "STRING")).alias("value")) for k, v in _LEAVES.items()])
     act = F.element_at(F.array(*[F.lit(a) for a in _ACTIONS]), (F.col("run_id") % 6 + 1).cast("int"))
     bases = r.select("run_id", "model_name", act.alias("action"), F.inline(leaves))
-    return L.action_moves(bases, L.action_rules(spark), ["run_id"], 2).select("run_id", "action", "move_rank", "path", "proposed")
+    return L.action_moves(bases, L.action_rules(spark), ["run_id"], k, L.compound_rules(spark)).select("run_id", "action", "move_rank", "path", "proposed")
+
+
+@query("i36_action_moves", _MOVES + " WHERE move_rank <= 2")
+def i36(spark, sf):
+    return moves(spark, sf, 2)
+
+
+@query("i36_all_moves", _MOVES + " WHERE move_rank <= 8")
+def i36_all(spark, sf):
+    return moves(spark, sf, 8)

@@ -47,13 +47,17 @@ SELECT vec_id AS map_id, y, x, least(greatest(v + 0.5, 0.0), 1.0) AS prob,
        CASE WHEN lead(v, 1, 0.0) OVER (PARTITION BY vec_id ORDER BY k) + v > 0.12 THEN 1 ELSE 0 END AS label
 FROM {px}"""
 
+# maps of four tiles a row; the last row is filled up with empty tiles, so that every embedding is in its map
 _BIGMAP = """
 SELECT p.segment, CAST(floor(r.rk/4) AS INT)*8 + p.y AS y, CAST(r.rk%4 AS INT)*8 + p.x AS x,
        least(greatest(p.v + 0.5, 0.0), 1.0) AS prob, CASE WHEN p.v > 0.1 THEN 1 ELSE 0 END AS label
-FROM {px} p JOIN (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rk,
-                         count(*) OVER (PARTITION BY label) AS n FROM {embeddings}) r
+FROM {px} p JOIN (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rk FROM {embeddings}) r
   ON p.vec_id = r.vec_id
-WHERE r.rk < floor(r.n/4)*4"""
+UNION ALL
+SELECT f.segment, CAST(floor(f.rk/4) AS INT)*8 + CAST(floor(q.k/8) AS INT) AS y, CAST(f.rk%4 AS INT)*8 + CAST(q.k%8 AS INT) AS x, CAST(0 AS DOUBLE) AS prob, 0 AS label
+FROM (SELECT s.segment, s.n + a.i AS rk FROM (SELECT label AS segment, count(*) AS n FROM {embeddings} GROUP BY label) s
+      CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) a WHERE s.n + a.i < ceil(s.n/4.0)*4) f
+CROSS JOIN {pixels} q"""
 
 _LOG = """
 SELECT event_id, concat('[2026-05-29T', lpad(CAST(event_id%24 AS {string}),2,'0'), ':00:00] ',
@@ -110,7 +114,7 @@ def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bigmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
-        _BIGMAP.format(px="{px}", embeddings="{embeddings}"),
+        _BIGMAP.format(px="{px}", embeddings="{embeddings}", pixels="(SELECT explode(sequence(0, 63)) AS k)"),
         px=px(spark, sf_dir),
         embeddings=table(spark, sf_dir, "embeddings"),
     )
@@ -158,7 +162,7 @@ SQL_VIEWS = {
     "V_RUNS": _RUNS.format(orders="orders"),
     "V_PX": _PX_SQL,
     "V_MAP": _MAP.format(px="V_PX"),
-    "V_BIGMAP": _BIGMAP.format(px="V_PX", embeddings="embeddings"),
+    "V_BIGMAP": _BIGMAP.format(px="V_PX", embeddings="embeddings", pixels="(SELECT unnest(range(64)) AS k)"),
     "V_LOG": _LOG.format(string="VARCHAR", events="events"),
     "V_DOCS": _DOCS.format(documents="documents", labels="labels"),
     "V_LOO": _LOO_SQL,

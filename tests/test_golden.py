@@ -323,3 +323,20 @@ def test_planner_novelty_is_the_signature_of_the_changed_config(spark):
     assert same["training.epochs"] == ["8"]
     other = _expanded(spark, {"training.learning_rate": "0.1"}, "tiny_numpy_ink_logreg", {"training.learning_rate": "0.2", "training.epochs": "3"})
     assert other["training.epochs"] == ["3", "8"]
+
+
+def test_compound_moves_by_hand(spark):
+    from evalgate.operators import ledger as L
+
+    hard = "hard_fold_low_ap_near_prevalence"
+    leaves = {"training.patch_sampling": "hard_mining", "training.hard_negative_fraction": "0.75", "training.positive_patch_fraction": "0.30", "dataset.z_offsets": "[-4,0,4]", "evaluation.max_pred_positive_rate_ratio": "2.5"}
+    rows = [(1, "tiny_torch_unet", hard, p, v) for p, v in leaves.items()] + [(2, "tiny_numpy_mlp", hard, p, v) for p, v in leaves.items()]
+    rows += [(3, "tiny_numpy_mlp", "calibrate_probability_scale", "evaluation.threshold", "0.33"), (3, "tiny_numpy_mlp", "calibrate_probability_scale", "training.seed", "100")]
+    bases = spark.createDataFrame(rows, "run_id int, model_name string, action string, path string, value string")
+    got = [(r.run_id, r.path, r.proposed) for r in L.action_moves(bases, L.action_rules(spark), ["run_id"], 9, L.compound_rules(spark)).orderBy("run_id", "move_rank").collect()]
+    fraction = "training.hard_negative_fraction=0.75;training.patch_sampling=hard_mining;training.positive_patch_fraction="
+    assert got[0] == (1, "hard_fold_sampling_calibration", fraction + "0.25")
+    assert [g[1] for g in got[1:5]] == ["hard_fold_sampling_calibration"] * 2 + ["evaluation.max_pred_positive_rate_ratio", "dataset.z_offsets"]
+    assert got[1][2].startswith("evaluation.max_pred_positive_rate_ratio=2.75;") and got[2][2].startswith("evaluation.max_pred_positive_rate_ratio=2.5;")
+    assert got[4] == (1, "dataset.z_offsets", "[-6,-3,0,3,6]")
+    assert [(g[0], g[1], float(g[2])) for g in got[5:]] == [(3, "evaluation.threshold", 0.35), (3, "training.seed", 117.0), (3, "training.seed", 131.0), (3, "training.seed", 153.0)]

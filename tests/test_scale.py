@@ -262,3 +262,34 @@ def test_average_precision_of_crowded_scores(spark):
             hits += r[2]
             total += hits / k if r[2] else 0
         assert got[g] == pytest.approx(total / hits)
+
+
+def test_patches_over_blocks_equal_slices_of_the_map(spark):
+    """Two channels, a map that no block divides, overlapping origins at the edges."""
+    rng = np.random.default_rng(8)
+    image = rng.random((2, 23, 31))
+    rows = [("m", c, y, x, float(image[c, y, x])) for c in range(2) for y in range(23) for x in range(31)]
+    pixels = spark.createDataFrame(rows, "map string, c int, y int, x int, v double").repartition(6)
+    got = {(r.y0, r.x0): np.array(r.image) for r in C.extract_patches(pixels, ["map"], 10, 7).collect()}
+    ys, xs = sorted({*range(0, 14, 7), 13}), sorted({*range(0, 22, 7), 21})
+    assert set(got) == {(y, x) for y in ys for x in xs}
+    assert all(np.array_equal(v, image[:, y : y + 10, x : x + 10].ravel()) for (y, x), v in got.items())
+
+
+def test_comparison_of_warnings_and_items(spark):
+    from evalgate.operators import compare as H
+
+    zero = dict.fromkeys(H.SUMMARY_WARNINGS, 0)
+    cols = "label int, " + ", ".join(f"{w} long" for w in H.SUMMARY_WARNINGS)
+    base = spark.createDataFrame([(1, *(zero | {"warning_count": 3}).values()), (2, *zero.values())], cols)
+    cand = spark.createDataFrame([(1, *(zero | {"warning_count": 1, "positive_rate_alarm_count": 2}).values()), (3, *(zero | {"warning_count": 4}).values())], cols)
+    got = {(r.label, r.warning): (r.candidate, r.baseline, r.delta) for r in H.compare_warnings(cand, base, ["label"]).collect()}
+    assert got[(1, "warning_count")] == (1, 3, -2) and got[(1, "positive_rate_alarm_count")] == (2, 0, 2) and got[(3, "warning_count")] == (4, 0, 4)
+    assert len(got) == 3 * len(H.SUMMARY_WARNINGS)
+    a = spark.createDataFrame([("g", "a", 0.5), ("g", "b", None), ("g", "c", 0.1)], "k string, item string, v double")
+    b = spark.createDataFrame([("g", "b", 0.2), ("g", "c", 0.3), ("g", "d", 0.4)], "k string, item string, v double")
+    sides = {r.item: (r.side, r.delta) for r in H.paired_items(a, b, ["k"], "item", "v").collect()}
+    assert {k: v[0] for k, v in sides.items()} == {"a": "candidate_only", "b": "common", "c": "common", "d": "baseline_only"}
+    assert sides["b"][1] is None and sides["c"][1] == pytest.approx(-0.2)
+    worst = H.worst_fold_change(a, b, ["k"], "item", "v").first()
+    assert (worst.candidate_worst_fold_id, worst.baseline_worst_fold_id, worst.same_fold) == ("c", "b", False)
