@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalgate.functions.columns import first_reason, grouped, null_safe_join, reasons
+from evalgate.session import checkpointed
 
 # The known hard segment and its floors.
 HARD_FOLD_ID = "20230530172803"
@@ -133,8 +134,12 @@ def loo_levels(rows: DataFrame, by: list[str]) -> DataFrame:
 def loo_summarize(rows: DataFrame, by: list[str], min_seeds: int = 3, expected_folds: list[str] | None = None,
                   expected_seeds: list | None = None, expected_tasks: int | None = None,
                   max_tasks: int | None = None, hard_fold_id: str = HARD_FOLD_ID) -> DataFrame:
-    """One summary row per group; ready means some success and no warning of any kind."""
+    """One summary row per group; ready means some success and no warning of any kind.
+
+    LOO rows are short but may be costly (an evaluation each), so they are worked out once for all parts of the summary.
+    """
     rows, by = grouped(rows, by)
+    rows = checkpointed(rows)
     totals = row_alarms(rows).groupBy(*by).agg(
         F.count(F.lit(1)).alias("folds_requested"), F.count_if("ok").alias("folds_successful"),
         F.count_if(~F.col("ok")).alias("folds_failed"),
@@ -153,7 +158,7 @@ def loo_summarize(rows: DataFrame, by: list[str], min_seeds: int = 3, expected_f
         F.max(F.when(is_all, F.col("seeds"))).alias("distinct_successful_seeds"),
         *[F.coalesce(F.max(F.when(is_all, F.col(a))), F.lit(0)).alias(f"{a}_count") for a in ALARMS],
     ).withColumn("worst_fold_val_f1", F.col("min_val_f1"))
-    warned = loo_warnings(rows, by, min_seeds, expected_folds, expected_seeds, expected_tasks, max_tasks, hard_fold_id)
+    warned = _warnings_of(rows, by, min_seeds, expected_folds, expected_seeds, expected_tasks, max_tasks, hard_fold_id)
     warned = warned.groupBy(*by).agg(F.count(F.lit(1)).alias("warning_count"))
     out = totals
     for part in (stats, warned):
@@ -212,6 +217,11 @@ def loo_warnings(rows: DataFrame, by: list[str], min_seeds: int = 3, expected_fo
                  max_tasks: int | None = None, hard_fold_id: str = HARD_FOLD_ID) -> DataFrame:
     """Promotion warnings, one row each, ordered by (rule, heldout_segment, seed)."""
     rows, by = grouped(rows, by)
+    return _warnings_of(checkpointed(rows), by, min_seeds, expected_folds, expected_seeds, expected_tasks, max_tasks, hard_fold_id)
+
+
+def _warnings_of(rows: DataFrame, by: list[str], min_seeds: int, expected_folds: list[str] | None, expected_seeds: list | None,
+                 expected_tasks: int | None, max_tasks: int | None, hard_fold_id: str) -> DataFrame:
     flagged = row_alarms(rows)
     fold, seed = F.col("heldout_segment").cast("string"), F.col("seed").cast("string")
 
