@@ -103,18 +103,29 @@ def ranked_positives(labels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sample_origins(labels: DataFrame, keys: list[str], n: int, fraction: float, patch: int, seed: int = 13,
-                   max_rate: float = 0.001, attempts: int | None = None, mask: DataFrame | None = None) -> DataFrame:
+                   max_rate: float = 0.001, attempts: int | None = None, mask: DataFrame | None = None, regions: DataFrame | None = None) -> DataFrame:
     """n origins per segment: a share jittered around positive pixels, the rest low-label patches.
 
+    With ``regions`` (keys, x_lo, x_hi; x_hi beyond the map is cut) patches and positive pixels are those inside a segment's
+    range of columns; a segment without a region has no draws, and a region narrower than the patch fails the job.
+
     Every draw is a hash of (seed, segment, draw), so the result does not depend on partitions.
     Rejected candidates are tried in order and the last attempt is taken as it is; with a
     mask, a candidate needs a mask mean above one half instead of a low label rate. 32 attempts
     follow the first one, 100 with a mask.
     """
     attempts = (32 if mask is None else 100) if attempts is None else attempts
-    shape = labels.groupBy(*keys).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"),
-                                      F.count_if(F.col("label") > 0.5).alias("positives"))
-    shape = fitting(shape, keys, F.col("h"), F.col("w"), patch)
+    bounds = map_sizes(labels, keys)
+    if regions is None:
+        bounds = bounds.withColumns({"_lo": F.lit(0), "_hi": F.col("w")})
+    else:
+        bounds = null_safe_join(bounds, regions.select(*keys, F.col("x_lo").cast("int").alias("_lo"), F.col("x_hi").cast("int").alias("_hi")), keys)
+        bounds = bounds.withColumn("_hi", F.least("_hi", "w"))
+        labels = null_safe_join(labels, bounds.select(*keys, "_lo", "_hi"), keys).withColumn("_inside", (F.col("x") >= F.col("_lo")) & (F.col("x") < F.col("_hi"))).drop("_lo", "_hi")
+    inside = labels if regions is None else labels.filter("_inside")
+    positives = inside.filter(F.col("label") > 0.5).groupBy(*keys).agg(F.count(F.lit(1)).alias("positives"))
+    shape = null_safe_join(bounds, positives, keys, "left").fillna(0, ["positives"])
+    shape = fitting(shape, keys, F.col("h"), F.col("_hi") - F.col("_lo"), patch)
     draws = shape.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     ids = [F.col(k) for k in keys] + [F.col("draw")]
 
@@ -123,17 +134,17 @@ def sample_origins(labels: DataFrame, keys: list[str], n: int, fraction: float,
 
     draws = draws.withColumn("near", (F.col("positives") > 0) & (u("kind") < fraction))
     near = draws.filter("near").withColumn("rank", F.floor(u("pick") * F.col("positives")).cast("long") + 1)
-    near = near.join(ranked_positives(labels, keys).select(*keys, "rank", "y", "x"), [*keys, "rank"])
+    near = near.join(ranked_positives(inside, keys).select(*keys, "rank", "y", "x"), [*keys, "rank"])
 
-    def clipped(at: Column, tag: str, size: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(at - F.floor(u(tag) * patch), size - patch)).cast("int")
+    def clipped(at: Column, tag: str, low: Column, high: Column) -> Column:
+        return F.greatest(low, F.least(at - F.floor(u(tag) * patch), high - patch)).cast("int")
 
-    near = near.select(*keys, "draw", clipped(F.col("y"), "jy", F.col("h")).alias("y0"), clipped(F.col("x"), "jx", F.col("w")).alias("x0"),
+    near = near.select(*keys, "draw", clipped(F.col("y"), "jy", F.lit(0), F.col("h")).alias("y0"), clipped(F.col("x"), "jx", F.col("_lo"), F.col("_hi")).alias("x0"),
                        F.lit("positive").alias("source"))
     tries = draws.filter("NOT near").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts))))
     at = F.col("attempt")
     tries = tries.select(*keys, "draw", "attempt", F.floor(u("ty", at) * (F.col("h") - patch + 1)).cast("int").alias("y0"),
-                         F.floor(u("tx", at) * (F.col("w") - patch + 1)).cast("int").alias("x0"))
+                         (F.col("_lo") + F.floor(u("tx", at) * (F.col("_hi") - F.col("_lo") - patch + 1))).cast("int").alias("x0"))
     area = summed_area(labels if mask is None else mask, keys, "label" if mask is None else "mask")
     means = patch_sums(area, tries, keys, ["draw", "attempt"], patch).withColumn("rate", F.col("patch_sum") / (patch * patch))
     good = (F.col("rate") <= max_rate) if mask is None else (F.col("rate") > 0.5)

@@ -98,11 +98,31 @@ def c2(spark, sf):
     return C.tiled_origins(s, SEG, 10, 7, 20, 3)
 
 
-@query("c3_sampled_origins")
+def _origins_sql(lo: str, hi: str) -> str:
+    """Draws repeated from their hashes: patches of 8 in the columns lo .. hi - 1."""
+    u = lambda tag, more="": f"((('0x' || substr(md5(concat_ws('|', '13:{tag}', d.segment, d.draw{more})), 1, 8))::BIGINT + 0.5)/4294967296.0)"
+    return f"""WITH sz AS (SELECT segment, max(y)+1 AS h, max(x)+1 AS w, {lo} AS lo, least({hi}, max(x)+1) AS hi FROM V_BIGMAP GROUP BY 1),
+ps AS (SELECT b.segment, y, x, row_number() OVER (PARTITION BY b.segment ORDER BY y, x) AS rank, count(*) OVER (PARTITION BY b.segment) AS n FROM V_BIGMAP b JOIN sz USING (segment) WHERE label > 0.5 AND x >= lo AND x < hi),
+d AS (SELECT sz.*, unnest(range(50)) AS draw, coalesce(n, 0) AS n FROM sz LEFT JOIN (SELECT DISTINCT segment, n FROM ps) USING (segment)),
+nr AS (SELECT d.*, ps.y, ps.x FROM d JOIN ps ON ps.segment = d.segment AND ps.rank = CAST(floor({u('pick')}*d.n) AS BIGINT)+1 WHERE d.n > 0 AND {u('kind')} < 0.5),
+tr AS (SELECT d.*, a, CAST(floor({u('ty', ', a')}*(h-7)) AS INT) AS y0, lo+CAST(floor({u('tx', ', a')}*(hi-lo-7)) AS INT) AS x0 FROM d, (SELECT unnest(range(33)) AS a) WHERE NOT (d.n > 0 AND {u('kind')} < 0.5)),
+rt AS (SELECT tr.segment, draw, a, y0, x0, avg(label) AS rate FROM tr JOIN V_BIGMAP b ON b.segment = tr.segment AND b.y BETWEEN y0 AND y0+7 AND b.x BETWEEN x0 AND x0+7 GROUP BY ALL)
+SELECT segment, draw, CAST(greatest(0, least(y-floor({u('jy')}*8), h-8)) AS INT) AS y0, CAST(greatest(lo, least(x-floor({u('jx')}*8), hi-8)) AS INT) AS x0, 'positive' AS source FROM nr d
+UNION ALL SELECT segment, draw, arg_min(y0, CASE WHEN rate <= 0.15 THEN a WHEN a = 32 THEN 33 END), arg_min(x0, CASE WHEN rate <= 0.15 THEN a WHEN a = 32 THEN 33 END), 'background' FROM rt GROUP BY 1, 2"""
+
+
+@query("c3_sampled_origins", _origins_sql("0", "1000000"))
 def c3(spark, sf):
     return C.sample_origins(views.bigmap(spark, sf), SEG, 50, 0.5, 8, 13, max_rate=0.15)
 
 
+@query("c3_region_origins", _origins_sql("segment % 3 * 4", "segment % 3 * 4 + 14"))
+def c3_region(spark, sf):
+    m = views.bigmap(spark, sf)
+    regions = m.select("segment").distinct().selectExpr("segment", "segment % 3 * 4 AS x_lo", "segment % 3 * 4 + 14 AS x_hi")
+    return C.sample_origins(m, SEG, 50, 0.5, 8, 13, max_rate=0.15, regions=regions)
+
+
 def _array_text(col: str, digits: int = 6):
     return F.array_join(F.transform(col, lambda v: F.format_string(f"%.{digits}f", v.cast("double"))), ",").alias(col)
 
