@@ -112,7 +112,9 @@ def search_signature(kv: DataFrame, key: str) -> DataFrame:
 def search_key(doc: Column) -> Column:
     """`search_signature` of a document as a projection: the searched paths are fixed, so nothing is opened or grouped."""
     found = F.array(*[F.struct(F.try_variant_get(doc, f"$.{p}", "variant").alias("v"), F.lit(d).alias("d"), F.lit(p == "model.depth").alias("cut")) for p, d in SEARCH_DEFAULTS.items()])
-    kinds = F.transform(found, lambda e: F.struct(e["v"].alias("v"), e["d"].alias("d"), e["cut"].alias("cut"), kind(e["v"]).alias("k")))
+    # a step each for schema and kind: inside a lambda a repeated expression is worked out again
+    schemas = F.transform(found, lambda e: F.struct(e["v"].alias("v"), e["d"].alias("d"), e["cut"].alias("cut"), F.schema_of_variant(e["v"]).alias("s")))
+    kinds = F.transform(schemas, lambda e: F.struct(e["v"].alias("v"), e["d"].alias("d"), e["cut"].alias("cut"), _kind_of(e["s"]).alias("k")))
 
     def part(e: Column) -> Column:
         deep = e["cut"] & (e["k"] == "number") & (F.try_variant_get(e["v"], "$", "double") > 3)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalgate.functions.scores import score_cell
+from evalgate.functions.scores import cell_borders, cell_of
 from evalgate.operators import folds as G
 from evalgate.operators import grid as C
 from evalgate.operators import ledger as L
@@ -33,8 +33,11 @@ def test_hot_group_average_precision(spark, kind):
 
 def test_score_cells_are_monotone(spark):
     v = sorted({0.0, 1.0, 1.5, 2.0 ** -10, 2.0 ** -20, 2.0 ** -30, *(2.0 ** -k * f for k in range(40) for f in (.999999, 1, 1.1, 1.6))})
-    got = [r.c for r in spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, p double").withColumn("c", score_cell(F.col("p"))).orderBy("i").collect()]
-    assert got == sorted(got)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, p double")
+    for most in (16, 256):
+        borders = cell_borders(df, "p", cells=most, cell_rows=1)[0]
+        got = [r.c for r in df.withColumn("c", cell_of(F.col("p"), borders)).orderBy("i").collect()]
+        assert got == sorted(got) and len(set(got)) > most // 2
 
 
 def test_samples_do_not_depend_on_partitions(spark):
