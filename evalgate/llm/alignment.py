@@ -121,11 +121,10 @@ def _data(taken: pa.Array) -> memoryview:
     return memoryview(buffer).cast("B") if buffer is not None else memoryview(b"")
 
 
-def _given_back(lists: list[list[int]], side: Side, want: list[bytes]) -> list[bool]:
+def _given_back(flat: tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray], side: Side, want: list[bytes]) -> list[bool]:
     """Whether the bytes of each document's tokens are the text's."""
-    ids, _, _, stops = _flat(lists, side)
-    data, lo, same = _data(side.tokens.take(ids)), 0, []
-    for hi, text in zip(stops.tolist(), want, strict=True):
+    data, lo, same = _data(side.tokens.take(flat[0])), 0, []
+    for hi, text in zip(flat[3].tolist(), want, strict=True):
         same.append(data[lo:hi] == text)
         lo = hi
     return same
@@ -146,27 +145,31 @@ class Aligned:
 
 def aligned(texts: list[str], book: Tokenizers) -> Aligned:
     want = [b" " + t.encode() if t else b"" for t in texts]
-    a, b = book.encode(texts)
-    keep = [bool(t) and x and y for t, x, y in zip(texts, _given_back(a, book.a, want), _given_back(b, book.b, want), strict=True)]
-    a, b = ([ids if k else [] for ids, k in zip(lists, keep, strict=True)] for lists in (a, b))
-    ids_a, doc_a, ends_a, stops = _flat(a, book.a)
-    ids_b, doc_b, ends_b, _ = _flat(b, book.b)
+    encoded = [[ids if t else [] for ids, t in zip(lists, texts, strict=True)] for lists in book.encode(texts)]
+    sides = (book.a, book.b)
+    flat = [_flat(lists, side) for lists, side in zip(encoded, sides, strict=True)]
+    keep = [bool(t) and x and y for t, x, y in zip(texts, *[_given_back(f, side, want) for f, side in zip(flat, sides, strict=True)], strict=True)]
+    if not all(k or not t for k, t in zip(keep, texts, strict=True)):
+        # rare: a text that one side doesn't give back has no tokens on either
+        flat = [_flat([ids if k else [] for ids, k in zip(lists, keep, strict=True)], side) for lists, side in zip(encoded, sides, strict=True)]
+    (ids_a, doc_a, ends_a, stops), (ids_b, doc_b, ends_b, _) = flat
     count = len(texts)
     before = np.concatenate([[0], stops[:-1]]) if count else stops
     # tokens that end together: a hash join on the document and the byte end in it
     left = pa.table({"doc": doc_a, "end": ends_a - before[doc_a], "a": ids_a})
     right = pa.table({"doc": doc_b, "end": ends_b - before[doc_b], "b": ids_b})
     links = left.join(right, keys=["doc", "end"], join_type="inner", use_threads=False).sort_by([("doc", "ascending"), ("end", "ascending")])
-    cuts = links.group_by(["doc", "end"], use_threads=False).aggregate([])
-    of_doc = lambda t: np.bincount(t.column("doc").to_numpy(), minlength=count)
-    groups = _written(ids_a.to_numpy(), ends_a, ids_b.to_numpy(), ends_b, np.sort(before[cuts.column("doc").to_numpy()] + cuts.column("end").to_numpy()), stops, book)
+    of_link = links.column("doc").to_numpy()
+    cuts, first = np.unique(before[of_link] + links.column("end").to_numpy(), return_index=True)
+    of_doc = lambda docs: np.bincount(docs, minlength=count)
+    groups = _written(ids_a.to_numpy(), ends_a, ids_b.to_numpy(), ends_b, cuts, stops, book)
     n_a, n_b = (np.bincount(d, minlength=count) for d in (doc_a, doc_b))
     sizes, data, lo, digests = np.cumsum(n_a + n_b), _data(groups), 0, []
     offsets = np.concatenate([[0], np.frombuffer(groups.buffers()[1], dtype=np.int64)[1 : len(groups) + 1]])
     for hi, k in zip(offsets[sizes].tolist(), keep, strict=True):
         digests.append(hashlib.sha256(data[lo:hi]).hexdigest() if k else "")
         lo = hi
-    return Aligned(n_a, n_b, of_doc(cuts), of_doc(links), digests, links.column("a").to_numpy(), links.column("b").to_numpy())
+    return Aligned(n_a, n_b, of_doc(of_link[first]), of_doc(of_link), digests, links.column("a").to_numpy(), links.column("b").to_numpy())
 
 
 def _written(a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray, cuts: np.ndarray, stops: np.ndarray, book: Tokenizers) -> pa.Array:
