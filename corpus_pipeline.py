@@ -3,6 +3,11 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each result as Parquet in the shared folder of
 spark.checkpoint.dir and reads it again for the next stage. All stages but the last return the columns of documents.
 Stages that drop rows number them first and decide on each row by itself, so rows without a doc_id or of one doc_id are told apart.
+
+Defined results, stage by stage those of its operator: null texts count as empty, are kept by the filtering stages (as one group of
+copies) and leave in the mix, which takes words; rows without a doc_id and rows that repeat one are rows of their own; empty and
+very long texts are read whole; an empty table passes every stage; columns beyond those of documents are carried along under their
+names, also where an operator uses such a name itself.
 """
 
 from __future__ import annotations
