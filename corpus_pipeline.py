@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalgate.llm import exact_dedup, mixing, pieces, simhash_dedup, toxicity
-from evalgate.llm.common import numbered, table
+from evalgate.llm.common import free_name, numbered, table
 from evalgate.session import checkpointed, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -70,8 +70,12 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts in the shares of their sources' weights; a document comes once for each pass that takes words of it."""
-    return mixing.mixed_texts(docs)
+    """The texts in the shares of their sources' weights; a document comes once for each pass that takes words of it.
+
+    The stage's documents are a written table, whose scan numbers its rows alike every time.
+    """
+    row = free_name("__row", docs)
+    return mixing.mixed_texts(docs.withColumn(row, F.monotonically_increasing_id()), row=row)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

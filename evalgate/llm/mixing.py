@@ -156,12 +156,12 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHAR
     )
 
 
-def mixed_texts(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+def mixed_texts(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, row: str | None = None) -> DataFrame:
     """The mixed corpus with the columns of `docs`: a row for each document and pass that takes words of it.
 
-    A document taken whole keeps its text; otherwise text holds the taken words, joined by one space, and n_chars their length.
+    A document taken whole keeps its text; otherwise text holds the taken words, joined by one space, and n_chars their length. `row` names a column that numbers the rows and is dropped; without one the rows are numbered in a written copy.
     """
-    keyed, row = numbered(docs)
+    keyed, row = numbered(docs) if row is None else (docs, row)
     n_words, listed = free_name("__words", keyed), free_name("__parts", keyed)
     _, _, taken = mixture(keyed, block, shard_slots, row)
     sums = taken.groupBy("row", "pass").agg(F.sum("words").alias(n_words), F.sort_array(F.collect_list(F.struct("first", "words"))).alias(listed))
