@@ -35,8 +35,8 @@ from evalgate.llm.common import checkpointed, long_rows, shared_folder
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Links of a chunk, and bytes of text encoded at once; a longer text is encoded alone.
-CHUNK = 250_000
-SLICE = 400_000
+CHUNK = 100_000
+SLICE = 200_000
 # Fixed value: how byte-level files split a text before merging.
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SAVED = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, places array<int>, place int, a int, b int, n long"
