@@ -8,6 +8,8 @@ partition before the shuffle, so a hot group never travels whole.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -709,15 +711,29 @@ def link_loo(runs: DataFrame, summaries: DataFrame) -> DataFrame:
     """Newest LOO summary of each run: by listed run id first, else equal normalised config and fold-map tail.
 
     ``summaries`` has summary_id, ts, run_ids, loo_signature, fold_map; ``runs`` has run_id,
-    loo_signature, fold_map. Both links are equi-joins.
+    loo_signature, fold_map. Both links are equi-joins; by configuration only the newest summary of each
+    fold map and each fold map of the runs meet.
     """
-    from evalgate.functions.columns import same_tail
-
+    point, order = F.struct("summary_id", "summary_ts", "promotion_ready"), F.struct("summary_ts", "summary_id")
     cols = ["summary_id", F.col("ts").alias("summary_ts"), "promotion_ready"]
     by_id = runs.select("run_id").join(summaries.select(F.explode("run_ids").alias("run_id"), *cols), "run_id").withColumn("link", F.lit("run_id"))
-    s = summaries.select("loo_signature", F.col("fold_map").alias("_fm"), *cols)
-    clash = F.coalesce((F.col("_fm") != "") & (F.col("fold_map") != "") & ~same_tail(F.col("_fm"), F.col("fold_map")), F.lit(False))
-    by_cfg = runs.select("run_id", "loo_signature", "fold_map").join(s, "loo_signature").filter(~clash).select(
+    kinds = summaries.select("loo_signature", F.col("fold_map").alias("_fm"), *cols).groupBy("loo_signature", "_fm").agg(F.max_by(point, order).alias("s"))
+    kinds = kinds.select("loo_signature", "_fm", "s.*", _tail(F.col("_fm")).alias("_tail"))
+    wanted = runs.select("loo_signature", "fold_map").distinct().withColumn("_own", _tail(F.col("fold_map")))
+
+    def newest_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.max_by(point, order).alias("s")).select(*keys, "s.*")
+
+    # a missing map fits every map; of two maps one must end with the other: equi-joins on the ends of the longer one
+    ends = _ends(wanted.filter("_own <> ''"), "_own", kinds, "_tail").withColumnRenamed("_end", "_tail").join(
+        newest_of(kinds.filter("_tail <> ''"), ["loo_signature", "_tail"]), ["loo_signature", "_tail"])
+    longer = newest_of(_ends(kinds.filter("_tail <> ''"), "_tail", wanted, "_own").withColumnRenamed("_end", "_own"), ["loo_signature", "_own"])
+    found = [wanted.filter("coalesce(fold_map, '') = ''").join(newest_of(kinds, ["loo_signature"]), "loo_signature"),
+             wanted.join(newest_of(kinds.filter("coalesce(_fm, '') = ''"), ["loo_signature"]), "loo_signature"),
+             ends, wanted.join(longer, ["loo_signature", "_own"])]
+    shared = ["loo_signature", "fold_map", "summary_id", "summary_ts", "promotion_ready"]
+    fits = newest_of(reduce(DataFrame.unionByName, [f.select(*shared) for f in found]), ["loo_signature", "fold_map"])
+    by_cfg = null_safe_join(runs.select("run_id", "loo_signature", "fold_map"), fits, ["loo_signature", "fold_map"]).select(
         "run_id", "summary_id", "summary_ts", "promotion_ready").withColumn("link", F.lit("config"))
     both = by_id.unionByName(by_cfg)
     pick = F.max_by(F.struct("summary_id", "link", "promotion_ready"), F.struct("summary_ts", "summary_id", F.col("link") == "run_id"))
@@ -746,6 +762,18 @@ def tile_readiness(tiles: DataFrame, key: str) -> DataFrame:
 def weak_tile_status(weak_rows: DataFrame, tiles: DataFrame, by: list[str]) -> DataFrame:
     """done / warning / missing for the map of each weak-fold row."""
     t = tiles.select("artifact_dir", F.col("segment_id").alias("heldout_segment"), F.lit(True).alias("_found"),
+def _tail(path: Column) -> Column:
+    """A path without leading ``./``; NULL for a missing or empty one."""
+    return F.when(path != "", F.regexp_replace(path, r"^(\./)+", ""))
+
+
+def _ends(rows: DataFrame, path: str, others: DataFrame, other: str) -> DataFrame:
+    """Rows with those ends of a path that are as long as some path of the same signature among the others."""
+    lengths = others.filter(F.col(other) != "").groupBy("loo_signature").agg(F.collect_set(F.length(other)).alias("_lengths"))
+    fits = rows.join(lengths, "loo_signature").withColumn("_length", F.explode("_lengths")).filter(F.col("_length") <= F.length(path))
+    return fits.withColumn("_end", F.expr(f"right({path}, _length)")).drop("_lengths", "_length")
+
+
                      ((F.col("region_type") == "whole_segment") & F.col("checks_eligible")).alias("_ok"))
     t = t.groupBy("artifact_dir", "heldout_segment").agg(F.max("_found").alias("_found"), F.max("_ok").alias("_ok"))
     j = weak_rows.join(t, ["artifact_dir", "heldout_segment"], "left")
