@@ -976,16 +976,25 @@ def compound_rules(spark) -> DataFrame:
 def action_moves(bases: DataFrame, rules: DataFrame, by: list[str], k: int, compounds: DataFrame | None = None) -> DataFrame:
     """First k real changes per (group, action); bases carry model_name, path, value and the wanted action.
 
-    A compound change is real if any of its leaves differs or is absent.
+    A compound change is real if any of its leaves differs or is absent. The leaves that compounds name are gathered once per
+    group; the bases never meet themselves.
     """
     torch = F.coalesce(F.col("model_name").contains("torch"), F.lit(False))
     fits = (F.col("models") == "any") | (torch & (F.col("models") == "torch")) | (~torch & (F.col("models") == "array"))
     changed = bases.join(F.broadcast(rules), ["action", "path"]).filter(fits).withColumn("proposed", _proposed()).filter(_changed())
     moves = changed.select(*by, "action", "ordinal", "path", "value", "proposed")
     if compounds is not None:
-        wanted = bases.filter(torch).select(*by, "action").distinct().join(F.broadcast(compounds), "action")
-        same = F.coalesce(F.col("want").try_cast("double") == F.col("value").try_cast("double"), F.col("want") == F.col("value"), F.lit(False))
-        held = null_safe_join(wanted, bases.select(*by, "action", "path", "value"), [*by, "action", "path"], "left")
-        whole = held.groupBy(*by, "action", "ordinal", F.col("move").alias("path"), "proposed").agg(F.every(same).alias("_same")).filter("NOT _same")
-        moves = moves.unionByName(whole.drop("_same").withColumn("value", F.lit(None).cast("string")))
+        whole_moves = compounds.groupBy("action", "ordinal", "move", "proposed").agg(F.collect_list(F.struct("path", "want")).alias("_wants"))
+        leaf = F.broadcast(compounds.select("action", "path").distinct().withColumn("_named", F.lit(True)))
+        held = bases.filter(torch).join(F.broadcast(compounds.select("action").distinct()), "action", "left_semi").join(leaf, ["action", "path"], "left")
+        held = held.groupBy(*by, "action").agg(F.collect_list(F.when(F.col("_named"), F.struct("path", "value"))).alias("_held"))
+
+        def kept(w: Column) -> Column:
+            own = F.filter("_held", lambda h: h["path"] == w["path"])
+            return (F.size(own) > 0) & F.forall(own, lambda h: F.coalesce(
+                number_of(w["want"]) == number_of(h["value"]), w["want"] == h["value"], F.lit(False)))
+
+        whole = held.join(F.broadcast(whole_moves), "action").filter(~F.forall("_wants", kept))
+        whole = whole.select(*by, "action", "ordinal", F.col("move").alias("path"), "proposed")
+        moves = moves.unionByName(whole.withColumn("value", F.lit(None).cast("string")))
     return top_rows(moves, [*by, "action"], [F.col("ordinal")], k, "move_rank")
