@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from evalgate.functions.columns import bounded_join, falsy_zero, first_reason, floored_ratio, grouped, null_safe_join, reasons
+from evalgate.functions.columns import bounded_join, falsy_zero, first_reason, floored_ratio, grouped, is_few, null_safe_join, number_of, reasons
 from evalgate.functions.tables import HELD_OUT_MODES, PLANNER_SECTION, SEARCH_DEFAULTS
 from evalgate.operators.rules import cost_rank, is_robust, lookup, mutation_family, scope_priority, validation_priority
 from evalgate.session import checkpointed
@@ -380,7 +380,7 @@ def planner_rules(spark) -> DataFrame:
 
 def _number() -> Column:
     """Numeric value of a leaf; an automatic weight counts as its default of 2."""
-    return F.coalesce(F.col("value").try_cast("double"), F.when(F.lower("value") == "auto", 2.0))
+    return F.coalesce(number_of(F.col("value")), F.when(F.lower("value") == "auto", 2.0))
 
 
 def _proposed() -> Column:
@@ -393,23 +393,44 @@ def _proposed() -> Column:
 
 def _changed() -> Column:
     new, old = F.col("proposed"), F.col("value")
-    return new.isNotNull() & ~F.coalesce(new.try_cast("double") == old.try_cast("double"), new == old)
+    return new.isNotNull() & ~F.coalesce(number_of(new) == number_of(old), new == old)
 
 
 def _leaf(path: Column | str) -> Column:
     return F.try_element_at("leaves", F.lit(path) if isinstance(path, str) else path)
 
 
+def canonical(text: Column, path: Column | str) -> Column:
+    """Text of a leaf as the search signature holds it; depth above 3 counts as 3."""
+    number = F.round(number_of(text), 10)
+    deep = (F.lit(path) if isinstance(path, str) else path) == "model.depth"
+    return F.coalesce(F.when(deep & (number > 3), "3.0"), number.cast("string"), text)
+
+
+def searched_leaves() -> Column:
+    """Canonical texts of the searched paths of the configuration in ``leaves``, absent ones by their default."""
+    return F.array(*[F.coalesce(canonical(_leaf(p), p), canonical(F.lit(d), p)) for p, d in SEARCH_DEFAULTS.items()])
+
+
+def _signature(texts: Column) -> Column:
+    return F.sha2(F.array_join(texts, "|"), 256)
+
+
 def changed_signature(path: Column, proposed: Column, sets: Column, fills: Column) -> Column:
-    """Search signature of the configuration in ``leaves`` after a change (none for a null path); depth above 3 counts as 3."""
-    def held(w: Column) -> Column:
-        own = F.coalesce(F.try_element_at(sets, w["p"]), _leaf(w["p"]), F.try_element_at(fills, w["p"]), w["d"])
-        text = F.when(w["p"].eqNullSafe(path), proposed).otherwise(own)
-        number = F.round(text.try_cast("double"), 10)
-        return F.coalesce(F.when((w["p"] == "model.depth") & (number > 3), "3.0"), number.cast("string"), text)
+    """Search signature of the configuration in ``leaves`` after a change; ``searched`` holds its ``searched_leaves``.
+
+    A change of one path replaces one text; only changes that set or fill others look at every path.
+    """
+    names, texts, new = F.array(*[F.lit(p) for p in SEARCH_DEFAULTS]), F.col("searched"), canonical(proposed, path)
+    place, n = F.array_position(names, path).cast("int"), len(SEARCH_DEFAULTS)
+    one = F.when(place == 0, texts).otherwise(F.concat(F.slice(texts, 1, place - 1), F.array(new), F.slice(texts, place + 1, n)))
+
+    def held(p: Column, i: Column) -> Column:
+        old = F.get(texts, i)
+        return F.when(p == path, new).otherwise(F.coalesce(
+            canonical(F.try_element_at(sets, p), p), F.when(_leaf(p).isNotNull(), old), canonical(F.try_element_at(fills, p), p), old))
 
-    wanted = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(d).alias("d")) for p, d in SEARCH_DEFAULTS.items()])
-    return F.sha2(F.array_join(F.transform(wanted, held), "|"), 256)
+    return _signature(F.when((F.size(sets) == 0) & (F.size(fills) == 0), one).otherwise(F.transform(names, held)))
 
 
 def base_documents(bases: DataFrame, by: list[str]) -> DataFrame:
@@ -420,8 +441,7 @@ def base_documents(bases: DataFrame, by: list[str]) -> DataFrame:
 
 def search_signatures(docs: DataFrame, by: list[str]) -> DataFrame:
     """Signatures of the configurations as they are, for the novelty test."""
-    none = F.create_map().cast("map<string,string>")
-    return docs.select(*by, changed_signature(F.lit(None).cast("string"), F.lit(None).cast("string"), none, none).alias("candidate_signature")).distinct()
+    return docs.select(*by, _signature(searched_leaves()).alias("candidate_signature")).distinct()
 
 
 def expand_candidates(docs: DataFrame, rules: DataFrame, by: list[str], tested: DataFrame) -> DataFrame:
@@ -433,11 +453,11 @@ def expand_candidates(docs: DataFrame, rules: DataFrame, by: list[str], tested:
     name = F.col("model_name")
     kinds = F.when(name.contains("torch"), F.array(F.lit("torch"))).when(name == "tiny_numpy_mlp", F.array(F.lit("numpy"), F.lit("mlp"))).otherwise(F.array(F.lit("numpy")))
     # the rules are a table of fixed size
-    each = docs.withColumn("model", F.explode(kinds)).join(F.broadcast(rules), "model")
+    each = docs.withColumn("searched", searched_leaves()).withColumn("model", F.explode(kinds)).join(F.broadcast(rules), "model")
     each = each.withColumn("real", _leaf(F.col("path"))).withColumn("value", F.coalesce("real", "default"))
     number, other, holds = _number(), _leaf(F.col("other")), F.col("holds")
-    met = (F.when(holds.isNull(), True).when(holds == "positive", other.try_cast("double") > 0).when(holds == "absent", F.coalesce(other, F.lit("")).isin("", "null"))
-           .when(holds == "not 0.25", ~F.coalesce(other.try_cast("double") == 0.25, F.lit(False))).otherwise(F.coalesce(other.try_cast("double") == holds.try_cast("double"), other == holds)))
+    met = (F.when(holds.isNull(), True).when(holds == "positive", number_of(other) > 0).when(holds == "absent", F.coalesce(other, F.lit("")).isin("", "null"))
+           .when(holds == "not 0.25", ~F.coalesce(number_of(other) == 0.25, F.lit(False))).otherwise(F.coalesce(number_of(other) == number_of(holds), other == holds)))
     guarded = F.coalesce(number >= F.col("guard_low"), F.col("guard_low").isNull()) & F.coalesce(number < F.col("guard_high"), F.col("guard_high").isNull())
     whole = F.col("digits") == 0
     product = F.when(F.col("factor") == 0, 0.0).otherwise(F.when(whole, F.floor(number * F.col("factor"))).otherwise(number * F.col("factor")))
@@ -447,14 +467,16 @@ def expand_candidates(docs: DataFrame, rules: DataFrame, by: list[str], tested:
     flipped = F.when(F.lower("value") == "true", "false").otherwise("true")
     out = each.filter(F.coalesce(met, F.lit(False)) & guarded).withColumn("moved", moved)
     out = out.withColumn("proposed", F.when(F.col("word") == "toggle", flipped).otherwise(F.coalesce("word", text)))
-    same = F.coalesce(F.col("proposed").try_cast("double") == F.col("real").try_cast("double"), F.col("proposed") == F.col("real"), F.lit(False))
+    same = F.coalesce(number_of(F.col("proposed")) == number_of(F.col("real")), F.col("proposed") == F.col("real"), F.lit(False))
     in_place = (F.size("sets") > 0) & F.col("word").isNotNull() & F.forall(F.map_entries("sets"), lambda e: F.coalesce(
-        _leaf(e["key"]).try_cast("double") == e["value"].try_cast("double"), F.lit(False)))
+        number_of(_leaf(e["key"])) == number_of(e["value"]), F.lit(False)))
     out = out.filter(F.col("proposed").isNotNull() & ~same & ~in_place)
-    out = top_rows(out, [*by, "base_id", "path", "proposed"], [F.col("ordinal")], 1, "_repeat").drop("_repeat")
-    out = out.withColumn("candidate_signature", changed_signature(F.col("path"), F.col("proposed"), F.col("sets"), F.col("fills")))
-    out = out.join(tested.select(*by, "candidate_signature"), [*by, "candidate_signature"], "left_anti")
-    return out.select(*by, "base_id", "model_name", "ordinal", "model", "path", F.col("real").alias("value"), "proposed", "candidate_signature")
+    out = out.select(*by, "base_id", "model_name", "ordinal", "model", "path", F.col("real").alias("value"), "proposed",
+                     changed_signature(F.col("path"), F.col("proposed"), F.col("sets"), F.col("fills")).alias("candidate_signature"))
+    # the keys include those that the documents are partitioned by, so the candidates of a base are not shuffled again
+    out = top_rows(out, [*by, "base_id", "model_name", "path", "proposed"], [F.col("ordinal")], 1, "_repeat").drop("_repeat")
+    known = checkpointed(tested.select(*by, "candidate_signature").distinct())
+    return out.join(F.broadcast(known) if is_few(known) else known, [*by, "candidate_signature"], "left_anti").select(*out.columns)
 
 
 # Relevance of a mutation family to a hard fold near prevalence.
@@ -472,9 +494,9 @@ def score_candidates(candidates: DataFrame, by: list[str], counts: DataFrame, fa
         flag("calibration_high", "calibration_low", "fixed_threshold_weak").alias("_cal"),
         flag("ap_near_prevalence").alias("_near"), F.lit(True).alias("_any"))
     c = candidates.withColumn("family", mutation_family(F.col("path")))
-    c = null_safe_join(c, ctx, by, "left").fillna(False, ["_hard_ap", "_hard", "_cal", "_near", "_any"])
-    c = null_safe_join(c, families.withColumnRenamed("mean_quality", "_prior"), [*by, "family"], "left")
-    c = null_safe_join(c, changed.select(*by, F.col("changed_path").alias("path"), F.lit(True).alias("_dup")), [*by, "path"], "left")
+    c = bounded_join(c, checkpointed(ctx), by, "left").fillna(False, ["_hard_ap", "_hard", "_cal", "_near", "_any"])
+    c = bounded_join(c, checkpointed(families.withColumnRenamed("mean_quality", "_prior")), [*by, "family"], "left")
+    c = bounded_join(c, checkpointed(changed.select(*by, F.col("changed_path").alias("path"), F.lit(True).alias("_dup"))), [*by, "path"], "left")
     fam = F.col("family")
     cost = F.when(F.col("cost_tier") == "cheap", 1.0).when(F.col("cost_tier") == "normal", 0.4).otherwise(-1.0)
     relevant = fam.isin("loss_calibration", "data_sampling", "z_context", "balanced_calibration")
@@ -740,6 +762,18 @@ def link_loo(runs: DataFrame, summaries: DataFrame) -> DataFrame:
     return both.groupBy("run_id").agg(pick.alias("s")).select("run_id", "s.*")
 
 
+def _tail(path: Column) -> Column:
+    """A path without leading ``./``; NULL for a missing or empty one."""
+    return F.when(path != "", F.regexp_replace(path, r"^(\./)+", ""))
+
+
+def _ends(rows: DataFrame, path: str, others: DataFrame, other: str) -> DataFrame:
+    """Rows with those ends of a path that are as long as some path of the same signature among the others."""
+    lengths = others.filter(F.col(other) != "").groupBy("loo_signature").agg(F.collect_set(F.length(other)).alias("_lengths"))
+    fits = rows.join(lengths, "loo_signature").withColumn("_length", F.explode("_lengths")).filter(F.col("_length") <= F.length(path))
+    return fits.withColumn("_end", F.expr(f"right({path}, _length)")).drop("_lengths", "_length")
+
+
 def blocks_promotion(status: Column, verdict: Column, has_metrics: Column) -> Column:
     s = F.lower(F.coalesce(status, F.lit("")))
     return ((s != "") & (s != "ok")) | (_true(verdict.isin("fail", "review")) & has_metrics)
@@ -762,18 +796,6 @@ def tile_readiness(tiles: DataFrame, key: str) -> DataFrame:
 def weak_tile_status(weak_rows: DataFrame, tiles: DataFrame, by: list[str]) -> DataFrame:
     """done / warning / missing for the map of each weak-fold row."""
     t = tiles.select("artifact_dir", F.col("segment_id").alias("heldout_segment"), F.lit(True).alias("_found"),
-def _tail(path: Column) -> Column:
-    """A path without leading ``./``; NULL for a missing or empty one."""
-    return F.when(path != "", F.regexp_replace(path, r"^(\./)+", ""))
-
-
-def _ends(rows: DataFrame, path: str, others: DataFrame, other: str) -> DataFrame:
-    """Rows with those ends of a path that are as long as some path of the same signature among the others."""
-    lengths = others.filter(F.col(other) != "").groupBy("loo_signature").agg(F.collect_set(F.length(other)).alias("_lengths"))
-    fits = rows.join(lengths, "loo_signature").withColumn("_length", F.explode("_lengths")).filter(F.col("_length") <= F.length(path))
-    return fits.withColumn("_end", F.expr(f"right({path}, _length)")).drop("_lengths", "_length")
-
-
                      ((F.col("region_type") == "whole_segment") & F.col("checks_eligible")).alias("_ok"))
     t = t.groupBy("artifact_dir", "heldout_segment").agg(F.max("_found").alias("_found"), F.max("_ok").alias("_ok"))
     j = weak_rows.join(t, ["artifact_dir", "heldout_segment"], "left")
