@@ -357,9 +357,8 @@ rc AS (SELECT label, heldout_segment, seed, cap, CASE WHEN was_ok AND NOT hit TH
 
 
 def recomputed(spark, sf):
-    by = ["run_id", "fold", "seed"]
-    rows = M.threshold_sweep(views.scores(spark, sf), by)
-    rows = rows.withColumnRenamed("run_id", "label").withColumn("heldout_segment", F.col("fold").cast("string")).drop("fold")
+    by = ["run_id", "heldout_segment", "seed"]
+    rows = M.sweep_steps(views.scores(spark, sf).withColumn("heldout_segment", F.col("fold").cast("string")), by).withColumnRenamed("run_id", "label")
     return C.recompute_caps(views.loo(spark, sf), rows, ["label", "heldout_segment", "seed"], SMALL_CAPS)
 
 

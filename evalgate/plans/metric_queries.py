@@ -230,7 +230,7 @@ _SEL_SQL = ", ".join(f"round({c.split(' AS ')[0].strip()}, 9) AS {c.split(' AS '
 
 @query("e10_operating_point", f"WITH {sweep_ctes()}, {selection_ctes()} SELECT run_id, fold, seed, threshold_selection, {_SEL_SQL} FROM selected")
 def e10(spark, sf):
-    rows = M.threshold_sweep(views.scores(spark, sf), GROUP)
+    rows = M.sweep_steps(views.scores(spark, sf), GROUP)
     return rounded(M.selected_columns(M.select_threshold(rows, GROUP, CAP), GROUP))
 
 
@@ -255,7 +255,7 @@ SELECT sel.run_id, sel.fold, sel.seed, caps.cap, caps.cap = 2.5 AS configured, c
 FROM selected sel CROSS JOIN caps JOIN un ON un.run_id = sel.run_id AND un.fold = sel.fold AND un.seed = sel.seed AND un.rn = 1
 LEFT JOIN el ON el.run_id = sel.run_id AND el.fold = sel.fold AND el.seed = sel.seed AND el.cap = caps.cap AND el.rn = 1""")
 def e12(spark, sf):
-    rows = M.threshold_sweep(views.scores(spark, sf), GROUP)
+    rows = M.sweep_steps(views.scores(spark, sf), GROUP)
     return rounded(M.threshold_risk(rows, M.select_threshold(rows, GROUP, CAP), GROUP, CAP))
 
 
