@@ -318,29 +318,30 @@ def _with_metrics(counts: DataFrame, kept: list[str]) -> DataFrame:
     return rates.select(*kept, "precision", "recall", f05.alias("f05"), f1.alias("f1"), "pred_positive_rate", "val_positive_rate")
 
 
+def _first_quantile(rank: Column) -> Column:
+    """Index of the first quantile at or above a rank of the group; evenly spaced, so a guess by arithmetic is at most one off."""
+    gap = (QUANTILES[-1] - QUANTILES[0]) / (QUANTILE_STEPS - 1)
+    guess = F.ceil((rank / F.col("_steps") - QUANTILES[0]) / gap) - 1
+    start = F.when(F.col("_steps") > 0, F.least(F.greatest(guess, F.lit(0)), F.lit(QUANTILE_STEPS))).otherwise(0).cast("int")
+    below = [F.when(F.col("_steps") * F.get(F.array(*[F.lit(q) for q in QUANTILES]), start + i) < rank, 1).otherwise(0) for i in range(3)]
+    return start + below[0] + below[1] + below[2]
+
+
 def _quantile_thresholds(fixed: Column) -> Column:
     """Thresholds of the row of a score: ``fixed`` ones, and the quantiles above the next lower score up to this one.
 
     An interpolated quantile lies between the last rank of the lower score and this one. Rounding may put it on either: a score
-    looks at both of its gaps, so that each threshold belongs to one row.
+    looks at both of its gaps, so that each threshold belongs to one row. Of the upper gap only the first quantile can round to it.
     """
-    below, steps, top = F.col("_below"), F.col("_steps"), QUANTILE_STEPS - 1
-    gap = (QUANTILES[-1] - QUANTILES[0]) / top
-    # evenly spaced: the indexes follow by arithmetic, one spare on each side
-    first = F.floor(((below - 1) / steps - QUANTILES[0]) / gap) - 1
-    last = F.ceil(((below + F.col("n")) / steps - QUANTILES[0]) / gap) + 1
-    lo = F.when(F.col("all_n") > 1, F.least(F.greatest(first, F.lit(0)), F.lit(top))).otherwise(0)
-    hi = F.when(F.col("all_n") > 1, F.greatest(F.least(last, F.lit(top)), lo)).otherwise(top)
-    places = F.transform(F.slice(F.array(*[F.lit(q) for q in QUANTILES]), lo.cast("int") + 1, (hi - lo).cast("int") + 1), lambda q: steps * q)
-    prob, low, high = F.col("prob"), F.col("lo_prob"), F.col("hi_prob")
-
-    def value(at: Column) -> Column:
-        rank = F.floor(at)
-        up = prob + (high - prob) * (at - rank)
-        return (F.when(rank == below - 1, low + (prob - low) * (at - rank))
-                .when((rank >= below) & (rank < below + F.col("n")) & (high.isNull() | (rank + 1 < below + F.col("n")) | (up == prob)), prob))
-
-    return F.array_distinct(F.concat(fixed, F.filter(F.transform(places, value), lambda v: v.isNotNull() & (low.isNull() | (v > low)))))
+    table, none = F.array(*[F.lit(q) for q in QUANTILES]), F.array().cast("array<double>")
+    prob, low, high, steps = F.col("prob"), F.col("lo_prob"), F.col("hi_prob"), F.col("_steps")
+    last = F.col("_below") + F.col("n") - 1
+    at = steps * F.get(table, F.col("_own"))
+    on = (at < last) | ((at < last + 1) & (high.isNull() | (prob + (high - prob) * (at - last) == prob)))
+    own = F.when(on & prob.isNotNull(), F.array(prob)).otherwise(none)
+    gap = F.transform(F.slice(table, F.col("_gap") + 1, F.col("_own") - F.col("_gap")), lambda q: low + (prob - low) * (steps * q - (F.col("_below") - 1)))
+    gap = F.when(low.isNull() | prob.isNull(), none).otherwise(F.filter(gap, lambda v: v > low))
+    return F.array_distinct(F.concat(fixed, gap, own))
 
 
 def default_steps(cum: DataFrame, by: list[str], fixed: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -353,11 +354,14 @@ def default_steps(cum: DataFrame, by: list[str], fixed: float = 0.5, keep: tuple
     grid, size = F.array(*[F.lit(c) for c in cuts]), len(cuts)
     rows = cum.withColumns({"_below": F.col("all_n") - F.col("ge_n"), "_steps": (F.col("all_n") - 1).cast("double"),
                             "_to": cell_of(F.col("prob"), cuts), "_from": cell_of(F.col("lo_prob"), cuts)})
+    rows = rows.withColumn("_own", _first_quantile(F.col("_below")))
+    rows = rows.withColumn("_gap", F.when(F.col("lo_prob").isNull(), F.col("_own")).otherwise(F.least("_own", _first_quantile(F.col("_below") - 1))))
     none = F.array().cast("array<double>")
     rows = rows.select(*by, *keep, "ge_n", "ge_pos", "all_n", "all_pos",
                        _quantile_thresholds(F.slice(grid, F.col("_from") + 1, F.col("_to") - F.col("_from"))).alias("thresholds"),
                        F.when(F.col("hi_prob").isNull(), F.slice(grid, F.col("_to") + 1, size - F.col("_to"))).otherwise(none).alias("beyond"))
-    return _with_metrics(rows, [*by, *keep, "thresholds", "beyond"])
+    lowest = [F.array_min("thresholds").alias("lowest"), F.get("beyond", 0).alias("lowest_beyond")]
+    return _with_metrics(rows.select("*", *lowest), [*by, *keep, "thresholds", "beyond", "lowest", "lowest_beyond"])
 
 
 def sweep_steps(scores: DataFrame, by: list[str], fixed: float = 0.5) -> DataFrame:
@@ -372,7 +376,8 @@ def _points(rows: DataFrame) -> list[dict[str, Column]]:
     if "thresholds" not in rows.columns:
         return [plain | {"threshold": F.col("threshold"), "count": F.lit(1), "all": F.array("threshold")}]
     zero = {c: F.lit(0.0) for c in SWEEP_METRICS} | {"val_positive_rate": F.col("val_positive_rate")}
-    return [p | {"threshold": F.array_min(a), "count": F.size(a), "all": F.col(a)} for p, a in ((plain, "thresholds"), (zero, "beyond"))]
+    return [p | {"threshold": F.col(low), "count": F.size(a), "all": F.col(a)}
+            for p, a, low in ((plain, "thresholds", "lowest"), (zero, "beyond", "lowest_beyond"))]
 
 
 def _best_point(rows: DataFrame, key, allowed=lambda p: F.lit(True)) -> Column:
@@ -575,7 +580,8 @@ def evaluate(scores: DataFrame, by: list[str], order: list[str], cfg: EvalConfig
     scores, by = grouped(scores, by)
     values = counted(scores, by)
     cum = _counted_down(scores, values, by)
-    rows = default_steps(cum.withColumn("_p95", _interpolated(0.95)), by, cfg.fixed_threshold, ("prob", "n", "pos", "label_sum", "_p95"))
+    cum = cum.withColumns({"_p95": _interpolated(0.95), "_bin": ece_bin(F.col("prob"), cfg.bins)})
+    rows = default_steps(cum, by, cfg.fixed_threshold, ("prob", "n", "pos", "label_sum", "_p95", "_bin"))
     out = rows.groupBy(*by).agg(*_selection(rows, cfg), _at_fixed(rows, cfg.fixed_threshold).alias("fixed"), F.max("_p95").alias("prob_p95"),
                                 *[c.alias(k) for k, c in _value_statistics(cfg.bins).items()]).withColumns(_chosen(cfg))
     fixed_f1 = F.col("fixed.f1")
@@ -613,11 +619,11 @@ _STATISTICS = ["expected_calibration_error", "pixels", "prob_min", "prob_mean",
 
 
 def _value_statistics(bins: int) -> dict[str, Column]:
-    """Aggregates of counted values: calibration error, losses and score statistics."""
+    """Aggregates of counted values with their ``_bin``: calibration error, losses and score statistics."""
     p, n, pos, y = F.col("prob").cast("double"), F.col("n"), F.col("pos"), F.col("label_sum")
     brier = n * p * p - 2.0 * p * pos + pos
     loss = y * F.ln(p + LOG_LOSS_EPS) + (n - y) * F.ln(1.0 - p + LOG_LOSS_EPS)
-    total, place = F.sum("n"), ece_bin(F.col("prob"), bins)
+    total, place = F.sum("n"), F.col("_bin")
 
     def gap(b: int) -> Column:
         held, conf, hits = (F.sum(F.when(place == b, c)) for c in (n, p * n, pos))
