@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalgate.functions.columns import floored_ratio, null_safe_join, reasons, safe_ratio
+from evalgate.functions.columns import fixed_text, floored_ratio, null_safe_join, reasons, safe_ratio
 
 # Names of compared metrics and warnings, and the direction that is better.
 SUMMARY_METRICS = [
@@ -139,7 +139,7 @@ def loo_gates(summary: DataFrame, keys: list[str], min_median: float | None = No
         return F.concat(F.lit("count="), F.col(col).cast("string"))
 
     def floor(ordinal: int, label: str, col: str, limit: float) -> Column:
-        value = F.coalesce(F.format_string("%.6f", col), F.lit("None"))
+        value = F.coalesce(fixed_text(F.col(col)), F.lit("None"))
         return gate(ordinal, label, F.col(col) >= limit, F.concat(F.lit("value="), value, F.lit(f", floor={limit}")))
 
     gates = [

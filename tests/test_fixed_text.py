@@ -35,3 +35,14 @@ def test_patches_with_ties_equal_their_sql(spark, tmp_path, name):
     con = duck(str(tmp_path / "none"))
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{part}')")
     assert normal(QUERIES[name](spark, str(tmp_path)).toPandas()) == normal(con.execute(ORACLES[name]).df())
+
+
+def test_gates_and_warnings_print_like_their_sql(spark):
+    """A tie, a value just below a tie and a missing one."""
+    from evalgate.operators import compare as H
+
+    cols = "label int, folds_failed long, positive_rate_alarm_count long, zero_precision_or_recall_count long, fixed_threshold_not_ok_count long, m double, mean_average_precision double, worst_fold_val_f1 double"
+    rows = [(1, 0, 0, 0, 0, 57 / 128, 0.1234565, None)]
+    s = spark.createDataFrame(rows, cols).withColumnRenamed("m", "median_over_seeds_median_val_f1")
+    got = {r.ordinal: (r.passed, r.detail) for r in H.loo_gates(s, ["label"], 0.3, 0.35, 0.2, 2).collect()}
+    assert got[3] == (True, "value=0.445312, floor=0.3") and got[4] == (False, "value=0.123456, floor=0.35") and got[5] == (False, "value=None, floor=0.2")
