@@ -111,9 +111,22 @@ def counted(scores: DataFrame, by: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_if(is_positive(F.col("label"))).alias("pos"), F.sum(F.col("label").cast("double")).alias("label_sum"))
 
 
+#: Buckets of group hashes that are counted first, to find the few that can hold a large group.
+HOT_BUCKETS = 65_536
+
+
 def hot_groups(rows: DataFrame, by: list[str]) -> DataFrame | None:
-    """Groups with more rows than one task should sort, or None; the input bounds their number (rows / CELL_ROWS)."""
-    hot = checkpointed(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CELL_ROWS).select(*by))
+    """Groups with more rows than one task should sort, or None; the input bounds their number (rows / CELL_ROWS).
+
+    A large group lies in a large bucket of hashes. Buckets are few and counted map-side, so groups are shuffled only
+    if one of theirs is large.
+    """
+    bucket = F.pmod(F.xxhash64(*by), F.lit(HOT_BUCKETS))
+    large = checkpointed(rows.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CELL_ROWS).select("_bucket"))
+    if large.isEmpty():
+        return None
+    found = rows.select(*by, bucket.alias("_bucket")).join(F.broadcast(large), "_bucket", "left_semi")
+    hot = checkpointed(found.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CELL_ROWS).select(*by))
     return None if hot.isEmpty() else hot
 
 
@@ -179,22 +192,44 @@ def average_precision(scores: DataFrame, by: list[str], order: list[str]) -> Dat
     A group that one task can sort is ranked by one window, with one shuffle of its rows. Larger ones are never sorted whole.
     """
     scores, by = grouped(scores, by)
+    cold, large = _by_size(scores, by)
+    out = _ranked_precision(cold, by, order).select(*by, "positives", "average_precision")
+    return out if large is None else out.unionByName(_ranged_precision(large, by, order))
+
+
+def evaluated(scores: DataFrame, threshold: float, by: list[str], order: list[str]) -> DataFrame:
+    """`confusion` at one threshold with `average_precision` (and `positives`) beside it: small groups are shuffled once for both."""
+    scores, by = grouped(scores, by)
+    cold, large = _by_size(scores, by)
+    pred = F.col("prob") >= threshold
+    out = _ranked_precision(cold, by, order, pred)
+    if large is not None:
+        counts = confusion(large, threshold, by).select(*by, "n", "tp", "fp", "fn")
+        out = out.unionByName(null_safe_join(_ranged_precision(large, by, order), counts, by))
+    cols = confusion_columns(F.col("tp"), F.col("fp"), F.col("fn"), F.col("n"))
+    return out.select(*by, "n", "tp", "fp", "fn", *[c.alias(k) for k, c in cols.items()], "positives", "average_precision")
+
+
+def _by_size(scores: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the groups that one task can sort, and those of larger ones if there are any."""
     hot = hot_groups(scores, by)
     if hot is None:
-        return _ranked_precision(scores, by, order)
+        return scores, None
     marked = bounded_join(scores, hot.withColumn("_hot", F.lit(True)), by, "left")
-    cold, large = marked.filter(F.col("_hot").isNull()).drop("_hot"), marked.filter("_hot").drop("_hot")
-    return _ranked_precision(cold, by, order).unionByName(_ranged_precision(large, by, order))
+    return marked.filter(F.col("_hot").isNull()).drop("_hot"), marked.filter("_hot").drop("_hot")
 
 
-def _ranked_precision(scores: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+def _ranked_precision(scores: DataFrame, by: list[str], order: list[str], pred: Column | None = None) -> DataFrame:
     ranks = W.partitionBy(*by).orderBy(F.col("prob").desc(), *order)
     down = ranks.rowsBetween(W.unboundedPreceding, 0)
     extra = [c for c in order if c not in by]
     ranked = scores.select(*by, "prob", *extra, is_positive(F.col("label")).cast("long").alias("pos")).select(
-        *by, "pos", F.row_number().over(ranks).alias("rank"), F.sum("pos").over(down).alias("hits"))
-    found = ranked.groupBy(*by).agg(F.sum("pos").alias("positives"), F.sum(F.when(F.col("pos") == 1, F.col("hits") / F.col("rank"))).alias("_sum"))
-    return found.select(*by, "positives", F.when(F.col("positives") > 0, F.col("_sum") / F.col("positives")).otherwise(0.0).alias("average_precision"))
+        *by, "pos", (F.lit(True) if pred is None else pred).alias("_pred"), F.row_number().over(ranks).alias("rank"), F.sum("pos").over(down).alias("hits"))
+    truth = F.col("pos") == 1
+    found = ranked.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_pred") & truth).alias("tp"), F.count_if(F.col("_pred") & ~truth).alias("fp"),
+        F.count_if(~F.col("_pred") & truth).alias("fn"), F.sum("pos").alias("positives"), F.sum(F.when(truth, F.col("hits") / F.col("rank"))).alias("_sum"))
+    return found.select(*by, "n", "tp", "fp", "fn", "positives", F.when(F.col("positives") > 0, F.col("_sum") / F.col("positives")).otherwise(0.0).alias("average_precision"))
 
 
 def _ranged_precision(scores: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -262,6 +297,14 @@ def ap_lift(ap: DataFrame, scores: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def ranked_lift(scores: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """`ap_lift` straight from the scores, from one pass over them."""
+    scores, by = grouped(scores, by)
+    rate = (F.col("positives") / F.col("n")).alias("val_positive_rate")
+    return evaluated(scores, 0.5, by, order).select(*by, "positives", "average_precision", rate).withColumn(
+        "ap_prevalence_lift", floored_ratio(F.col("average_precision"), F.col("val_positive_rate"), 1e-12))
+
+
 def quantiles(cum: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
     """Exact linear-interpolation quantiles from running counts: ``(by, q_index, threshold, ge_n, ge_pos)``.
 

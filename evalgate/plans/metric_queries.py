@@ -170,8 +170,7 @@ def e5(spark, sf):
 SELECT run_id, fold, seed, positives, round(average_precision, 9) AS average_precision, round(r, 9) AS val_positive_rate,
  round(average_precision/greatest(r, 1e-12), 9) AS ap_prevalence_lift FROM ap JOIN rate USING (run_id, fold, seed)""")
 def e6(spark, sf):
-    s = views.scores(spark, sf)
-    return rounded(M.ap_lift(M.average_precision(s, GROUP, ORDER), s, GROUP))
+    return rounded(M.ranked_lift(views.scores(spark, sf), GROUP, ORDER))
 
 
 @query("e7_score_stats", """SELECT fold, round(min(prob), 9) AS prob_min, round(avg(prob), 9) AS prob_mean,
