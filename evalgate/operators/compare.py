@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalgate.functions.columns import fixed_text, floored_ratio, null_safe_join, reasons, safe_ratio
+from evalgate.functions.columns import fixed_text, floored_ratio, null_safe_join, reasons, safe_ratio, steady_mean
 
 # Names of compared metrics and warnings, and the direction that is better.
 SUMMARY_METRICS = [
@@ -102,7 +102,7 @@ def paired_compare(candidate: DataFrame, baseline: DataFrame, keys: list[str], i
         F.count_if(F.col("_in_c").isNotNull() & F.col("_in_b").isNotNull()).alias("common"),
         F.count_if(F.col("_in_b").isNull()).alias("candidate_only"),
         F.count_if(F.col("_in_c").isNull()).alias("baseline_only"),
-        F.avg("_d").alias("mean_delta"), F.median("_d").alias("median_delta"),
+        steady_mean(F.col("_d")).alias("mean_delta"), F.median("_d").alias("median_delta"),
         F.min("_d").alias("min_delta"), F.max("_d").alias("max_delta"),
         F.count_if(F.col("_d") > 0).alias("wins"), F.count_if(F.col("_d") < 0).alias("losses"),
         F.count_if(F.col("_d") == 0).alias("ties"),

@@ -11,6 +11,7 @@ from evalgate.operators import folds as G
 from evalgate.operators import metrics as M
 from evalgate.plans.metric_queries import rnd, sweep_ctes
 from evalgate.plans.registry import query, rounded
+from evalgate.session import written
 
 HARD = "3"
 FOLDS = [str(i) for i in range(1, 9)]
@@ -73,8 +74,13 @@ NUM = ("median_val_f1, mean_val_f1, min_val_f1, max_val_f1, mean_average_precisi
 SMALL_CAPS = [2.0, 2.5, 3.0]
 
 
-def summary(spark, sf):
-    return G.loo_summarize(views.loo(spark, sf), ["label"], 3, FOLDS, SEEDS, hard_fold_id=HARD)
+def summary(spark, sf, rows=None):
+    return G.loo_summarize(views.loo(spark, sf) if rows is None else rows, ["label"], 3, FOLDS, SEEDS, hard_fold_id=HARD)
+
+
+def loo_once(spark, sf):
+    """LOO rows for queries that use them more than once: each is an evaluation, so they are worked out and written once."""
+    return written(views.loo(spark, sf))
 
 
 # ---------------------------------------------------------------- folds
@@ -260,8 +266,8 @@ SELECT label, CASE WHEN sev = 'blocker' THEN 'hard_fold_' || failure_mode WHEN m
   WHEN positive_rate_alarm_count > 0 THEN 'review_positive_rate_calibration' WHEN weak_ap_prevalence_lift_count > 0 THEN 'improve_ranking_signal' ELSE 'promotion_review' END AS next_step,
  NOT promotion_ready AS blocks_promotion FROM j""")
 def g13(spark, sf):
-    rows = views.loo(spark, sf)
-    return G.failure_pattern(summary(spark, sf), G.hard_fold_profile(rows, ["label"], HARD),
+    rows = loo_once(spark, sf)
+    return G.failure_pattern(summary(spark, sf, rows), G.hard_fold_profile(rows, ["label"], HARD),
                              G.coverage(rows, ["label"], FOLDS, SEEDS), ["label"])
 
 
@@ -270,7 +276,8 @@ c AS (SELECT v.*, row_number() OVER (PARTITION BY label ORDER BY abs(coalesce(v.
   FROM V_LOO v JOIN summary s USING (label) JOIN worst USING (label) WHERE heldout_segment = worst_fold_id)
 SELECT label, heldout_segment, seed, artifact_dir, round(val_f1, 9) AS val_f1 FROM c WHERE rn = 1""")
 def g14(spark, sf):
-    return rounded(G.weak_fold_row(views.loo(spark, sf), summary(spark, sf), ["label"], "artifact_dir"))
+    rows = loo_once(spark, sf)
+    return rounded(G.weak_fold_row(rows, summary(spark, sf, rows), ["label"], "artifact_dir"))
 
 
 # ---------------------------------------------------------------- caps
@@ -402,7 +409,7 @@ def shifted(df, key: str, step: int):
  ON COLUMNS(* EXCLUDE label) INTO NAME metric VALUE v)
 SELECT b.label, b.metric, round(c.v, 9) AS candidate, round(b.v, 9) AS baseline, round(c.v-b.v, 9) AS delta FROM u b JOIN u c ON c.label = b.label + 1 AND c.metric = b.metric""")
 def h1(spark, sf):
-    s = summary(spark, sf)
+    s = written(summary(spark, sf))
     out = H.compare_loo(shifted(s, "label", 1), s, ["label"])
     return rounded(out.filter("candidate IS NOT NULL AND baseline IS NOT NULL"))
 
@@ -410,7 +417,7 @@ def h1(spark, sf):
 @query("h1_fold_deltas", f"""{FULL} SELECT b.label, b.heldout_segment, round(c.f1, 9) AS candidate, round(b.f1, 9) AS baseline, round(c.f1-b.f1, 9) AS delta
  FROM pfold b JOIN pfold c ON c.label = b.label + 1 AND c.heldout_segment = b.heldout_segment""")
 def h1_folds(spark, sf):
-    f = G.fold_means(views.loo(spark, sf), ["label"])
+    f = written(G.fold_means(views.loo(spark, sf), ["label"]))
     return rounded(H.fold_deltas(shifted(f, "label", 1), f, ["label"], "heldout_segment", "val_f1"))
 
 
@@ -424,7 +431,7 @@ SELECT * REPLACE (round(mean_delta, 9) AS mean_delta, round(median_delta, 9) AS
  CASE WHEN wins+losses > 0 THEN round(least(1.0, 2.0*list_sum(list_transform(range(0, least(wins, losses)+1),
    lambda k: factorial((wins+losses)::INT)::DOUBLE/(factorial(k::INT)::DOUBLE*factorial((wins+losses-k)::INT)::DOUBLE)))/pow(2.0, wins+losses)), 9) END AS sign_test_two_sided_p FROM a""")
 def h2(spark, sf):
-    f = G.fold_means(views.loo(spark, sf), ["label"])
+    f = written(G.fold_means(views.loo(spark, sf), ["label"]))
     return rounded(H.paired_compare(shifted(f, "label", 1), f, ["label"], "heldout_segment", "val_f1"))
 
 
@@ -435,8 +442,8 @@ d AS (SELECT coalesce(b.label, c.label - 1) AS label, coalesce(b.metric, c.metri
 
 
 def paired_sides(spark, sf):
-    rows = views.loo(spark, sf)
-    values = H.paired_values(G.fold_means(rows, ["label"]), G.seed_stats(rows, ["label"]), ["label"])
+    rows = loo_once(spark, sf)
+    values = written(H.paired_values(G.fold_means(rows, ["label"]), G.seed_stats(rows, ["label"]), ["label"]))
     return shifted(values, "label", 1), values
 
 
@@ -463,14 +470,14 @@ _WARNED = ", ".join(f"coalesce({w}, 0) AS {w}" for w in H.SUMMARY_WARNINGS)
 SELECT coalesce(b.label, c.label - 1) AS label, coalesce(b.warning, c.warning) AS warning, coalesce(c.v, 0) AS candidate, coalesce(b.v, 0) AS baseline, coalesce(c.v, 0) - coalesce(b.v, 0) AS delta
  FROM u b FULL JOIN u c ON c.label - 1 = b.label AND c.warning = b.warning""")
 def h1_warnings(spark, sf):
-    s = summary(spark, sf)
+    s = written(summary(spark, sf))
     return H.compare_warnings(shifted(s, "label", 1), s, ["label"])
 
 
 @query("h1_worst_folds", f"""{FULL}, o AS (SELECT label, arg_min(heldout_segment, (f1, heldout_segment)) AS id, min(f1) AS v FROM pfold WHERE f1 IS NOT NULL GROUP BY 1)
 SELECT b.label, c.id AS candidate_worst_fold_id, round(c.v, 9) AS candidate_worst_value, b.id AS baseline_worst_fold_id, round(b.v, 9) AS baseline_worst_value, c.id = b.id AS same_fold FROM o b JOIN o c ON c.label - 1 = b.label""")
 def h1_worst(spark, sf):
-    f = G.fold_means(views.loo(spark, sf), ["label"])
+    f = written(G.fold_means(views.loo(spark, sf), ["label"]))
     return rounded(H.worst_fold_change(shifted(f, "label", 1), f, ["label"], "heldout_segment", "val_f1"))
 
 
