@@ -3,8 +3,9 @@
 Each whole text gives rule statistics: words, characters in words, symbols, upper-case letters, repeated lines, repeated word
 windows. How far their ratios lie beyond the usual rule limits are the features of an isolation forest: every tree splits a
 small draw of rows at random values of random features, and a row that is isolated after few splits, on average over the
-trees, is anomalous. The forest grows on a bounded sample of labelled rows; the path-length score at which a row is rejected
-is calibrated on their `quality`, for the best balanced accuracy. Every document is then scored with the same small model.
+trees, is anomalous. A tree's draw is taken from all labelled rows, and no two trees share a row while there are enough. Every
+document is scored with the same small model. The path-length score at which a row is rejected is calibrated on the `quality` of
+all labelled rows, for the best balanced accuracy: counts per score, summed up in cells of scores.
 
 Base rules come first: fewer than 50 words, or more than half of them in repeated windows, fail whatever the forest says.
 
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalgate.functions.scores import cell_borders
 from evalgate.llm.common import checkpointed
+from evalgate.operators.metrics import running_counts
 
-#: Bound of the labelled sample that the forest and its threshold are fitted on: rows of smallest hash of their id.
-SAMPLE_ROWS = 8_000
 TREES = 100
 DRAW = 512
 SEED = 11
@@ -105,7 +106,6 @@ class Forest:
     right: np.ndarray
     length: np.ndarray
     norm: float
-    threshold: float = 1.0
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """2 ** (-mean path / expected path): near 1 for rows that are isolated at once."""
@@ -131,6 +131,7 @@ def expected_path(n: int) -> float:
 
 
 def grow(rows: np.ndarray, trees: int = TREES, draw: int = DRAW, seed: int = SEED) -> Forest:
+    """Trees from rows in random order: dealt to the trees if each can have its full draw, else every tree draws from all."""
     rng = np.random.default_rng(seed)
     size = min(draw, len(rows))
     depth = max(1, int(np.ceil(np.log2(max(size, 2)))))
@@ -138,7 +139,8 @@ def grow(rows: np.ndarray, trees: int = TREES, draw: int = DRAW, seed: int = SEE
     feature, left, right = np.full((trees, nodes), -1), np.zeros((trees, nodes), dtype=np.int64), np.zeros((trees, nodes), dtype=np.int64)
     value, length = np.zeros((trees, nodes)), np.zeros((trees, nodes))
     for tree in range(trees):
-        used, todo = 1, [(0, rows[rng.choice(len(rows), size, replace=False)], 0)]
+        mine = rows[tree : trees * draw : trees] if len(rows) >= trees * draw else rows[rng.choice(len(rows), size, replace=False)]
+        used, todo = 1, [(0, mine, 0)]
         while todo:
             node, part, level = todo.pop()
             wide = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(part) > 1 and level < depth else []
@@ -154,53 +156,58 @@ def grow(rows: np.ndarray, trees: int = TREES, draw: int = DRAW, seed: int = SEE
     return Forest(feature, value, left, right, length, max(expected_path(size), 1e-9))
 
 
-def calibrated(forest: Forest, rows: np.ndarray, good: np.ndarray) -> float:
-    """Score above which a row is rejected: best balanced accuracy, in the middle between neighbouring scores."""
-    scores = forest.score(rows)
-    if good.all() or not good.any():
-        return 1.0
-    order = np.argsort(scores, kind="stable")
-    s, g = scores[order], good[order]
-    kept = np.concatenate([[0], np.cumsum(g)]) / g.sum()
-    caught = (np.concatenate([[0], np.cumsum(~g)]) * -1.0 + (~g).sum()) / (~g).sum()
-    at = int(np.argmax(kept + caught))
-    if at == len(s):
-        return 1.0
-    return float((s[at - 1] + s[at]) / 2) if at else 0.0
-
-
-def fit(counts: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest | None:
-    """Forest and threshold from a bounded sample of labelled rows that pass the base rules; None if there is none."""
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows that pass the base rules, with their known quality."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality IN (0, 1)")
-    sample = (
-        known.join(counts.filter(~failed()), "doc_id").select("quality", *[x.split()[0] for x in COUNTS.split(", ")])
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).toPandas()
-    )
-    if not len(sample):
-        return None
-    rows = features(sample.iloc[:, 2:].to_numpy())
-    good = sample.quality.to_numpy() == 1
-    forest = grow(rows)
-    return Forest(**{**forest.__dict__, "threshold": calibrated(forest, rows, good)})
+    return known.join(rows.filter(~failed()), "doc_id")
+
+
+def fit(counts: DataFrame, labels: DataFrame) -> Forest | None:
+    """Forest whose trees draw from all labelled rows, by the hash of their id; None if there are none."""
+    known = labelled(counts, labels).select("doc_id", *[x.split()[0] for x in COUNTS.split(", ")[1:]])
+    wanted, total = TREES * DRAW, known.count()
+    # rows far beyond the draws are left out by their hash alone, so that few are sorted
+    share = min(1.0, 1.5 * wanted / max(total, 1))
+    order = F.xxhash64("doc_id")
+    drawn = known.filter(F.pmod(order, F.lit(1_000_003)) < share * 1_000_003).orderBy(order, "doc_id").limit(wanted).toPandas()
+    return grow(features(drawn.iloc[:, 1:].to_numpy())) if len(drawn) else None
+
+
+def calibrated(scored: DataFrame, labels: DataFrame) -> float:
+    """Score above which a row is rejected: best balanced accuracy over all labelled rows, in the middle between neighbouring scores."""
+    values = checkpointed(labelled(scored, labels).groupBy(F.lit("all").alias("scope"), F.col("anomaly").alias("prob")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("quality").alias("pos")))
+    cum = running_counts(values, ["scope"], borders=cell_borders(values, "prob")[0])
+    above, good_above = F.col("ge_n") - F.col("n"), F.col("ge_pos") - F.col("pos")
+    gain = (F.col("all_pos") - good_above) / F.col("all_pos") + (above - good_above) / (F.col("all_n") - F.col("all_pos"))
+    # of equal gains the lowest cut; keeping nothing gains 1, as keeping all does
+    found = cum.filter((F.col("all_pos") > 0) & (F.col("all_pos") < F.col("all_n"))).agg(
+        F.max_by(F.struct(gain.alias("gain"), "prob", "hi_prob"), F.struct(gain, -F.col("prob"))).alias("b")).select("b.*").first()
+    if found.gain is None or found.hi_prob is None:
+        return 1.0
+    return (found.prob + found.hi_prob) / 2 if found.gain > 1 else 0.0
 
 
 def failed() -> F.Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, the five statistics, base_failed, the anomaly score and kept."""
     counts = checkpointed(statistics(docs))
-    forest = fit(counts, labels, sample_rows)
+    forest = fit(counts, labels)
     names = [x.split()[0] for x in COUNTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.column_stack([batch.column(i).to_numpy() for i in range(1, len(names))]) if batch.num_rows else np.zeros((0, 7))
             score = forest.score(features(rows)) if forest else np.zeros(len(rows))
-            fine = score <= forest.threshold if forest else np.ones(len(rows), dtype=bool)
-            yield pa.record_batch([*batch.columns[: len(STATS) + 1], pa.array(score), pa.array(fine)], names=[*names[: len(STATS) + 1], "anomaly", "fine"])
+            yield pa.record_batch([*batch.columns[: len(STATS) + 1], pa.array(score)], names=[*names[: len(STATS) + 1], "anomaly"])
 
     kinds = ", ".join(COUNTS.split(", ")[: len(STATS) + 1])
-    scored = counts.mapInArrow(run, f"{kinds}, anomaly double, fine boolean")
-    return scored.select("doc_id", *STATS, failed().alias("base_failed"), (~failed() & F.col("fine")).alias("kept"), "anomaly")
+    scored = counts.mapInArrow(run, f"{kinds}, anomaly double")
+    threshold = 1.0
+    if forest:
+        scored = checkpointed(scored)
+        threshold = calibrated(scored, labels)
+    return scored.select("doc_id", *STATS, failed().alias("base_failed"), (~failed() & (F.col("anomaly") <= threshold)).alias("kept"), "anomaly")

@@ -49,3 +49,24 @@ def test_without_labels_and_empty(spark):
     assert all(r[7] != r[6] for r in got)
     assert rows_of(forest.judged(docs.selectExpr("*", "1 AS n_words", "2 AS fine", "3 AS kept"), none)) == got
     assert forest.judged(docs.limit(0), none).count() == 0
+
+
+def test_threshold_counts_every_labelled_row(spark):
+    """10,000 labelled rows, more than the former sample held: the cut is the best one over all of them."""
+    rng = np.random.default_rng(5)
+    score = np.round(rng.random(10_000), 3)
+    good = rng.random(10_000) < 0.9 - 0.6 * score
+    scored = spark.createDataFrame([(i, 100, 0, float(s)) for i, s in enumerate(score)], "doc_id long, n_words long, n_repeat_words long, anomaly double")
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    cuts = np.unique(score)
+    gains = [(score[good] <= c).mean() + (score[~good] > c).mean() for c in cuts]
+    at = int(np.argmax(np.round(gains, 12)))
+    assert forest.calibrated(scored, labels) == (cuts[at] + cuts[at + 1]) / 2
+    assert forest.calibrated(scored, labels.filter("quality = 1")) == 1.0
+
+
+def test_trees_deal_out_all_rows():
+    """With enough rows each tree has rows of its own: here all alike, so that none splits; draws from all rows would."""
+    rows = np.tile(np.arange(3.0)[:, None], (4, 5))
+    assert (forest.grow(rows, trees=3, draw=4).feature == -1).all()
+    assert (forest.grow(rows[:11], trees=3, draw=4).feature >= 0).any()
