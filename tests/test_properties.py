@@ -91,6 +91,40 @@ def test_split_regions_match_brute_force(spark):
     assert d.is_default and (d.train_lo, d.train_hi, d.val_lo, d.val_hi) == (0, 40, 44, 60)
 
 
+def best_split(lab, patch, stride):
+    """Regions (train_lo, train_hi, val_lo, val_hi) of the best candidate by trying every tile; None without one."""
+    h, w = lab.shape
+    half = max(patch, w // 50) // 2
+
+    def top(lo, hi, step):
+        return max((lab[y:y + patch, x:x + patch].sum() for y in range(0, h - patch + 1, step) for x in range(lo, hi - patch + 1, step)), default=0)
+
+    found = []
+    for sx in range(max(patch + half, int(w * .15)), min(w - patch - half, int(w * .85)) + 1, max(patch, w // 32)):
+        left, right = (0, max(patch, sx - half)), (min(w - patch, sx + half), w)
+        for side, (a, b) in enumerate([(left, right), (right, left)]):
+            t, v = top(*a, patch), top(*b, stride)
+            if min(t, v) > 0:
+                found.append(((min(t, v), v, t, b[1] - b[0], -sx, -side), (*a, *b)))
+    return max(found)[1] if found else None
+
+
+def test_split_regions_sum_pixels_once_for_all_strips(spark):
+    rng = np.random.default_rng(5)
+    maps = [(rng.random((int(rng.integers(6, 22)), int(rng.integers(20, 70)))) < rate).astype(int) for rate in (.02, .1, .3, .6, .9)]
+    rows = [(k, y, x, int(lab[y, x])) for k, lab in enumerate(maps) for y in range(lab.shape[0]) for x in range(lab.shape[1])]
+    px = spark.createDataFrame(rows, "k int, y int, x int, label int")
+    for patch, stride in ((4, 2), (4, 4), (5, 3)):
+        want = {k: b for k, lab in enumerate(maps) if (b := best_split(lab, patch, stride))}
+        # without a label a pixel needs no row, the last one of its map apart
+        sparse = px.filter("label = 1").union(px.groupBy("k").agg(F.max("y").alias("y"), F.max("x").alias("x"), F.lit(0).alias("label")))
+        for table in (px, sparse):
+            out = C.split_regions(table, ["k"], patch, stride)
+            assert {r.k: (r.train_lo, r.train_hi, r.val_lo, r.val_hi) for r in out.collect() if not r.is_default} == want
+    plan = C.split_regions(px, ["k"], 4, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_folds_exclude_their_segment(spark):
     p = spark.createDataFrame([(s, i) for s in "abc" for i in range(3)], "segment string, i int")
     assert G.build_folds(p).filter("heldout_segment = train_segment").count() == 0 and G.build_folds(p).count() == 6
