@@ -10,7 +10,8 @@ Prefix and suffix products of the matrices, combined associatively, leave one st
 on its own between its two states. Shorter documents are one chunk between the start and the end.
 
 Runs of spaces are merged last by the model (all their pieces have one score), so they are put together after the scan. No piece
-goes from a letter into a space, so words are encoded once and remembered.
+goes from a letter into a space, so words are encoded once and remembered. Nor does any merge join two neighbouring characters
+that no piece holds side by side: words are cut there, and of a new word only the parts that are new are searched.
 
 Defined results: null texts count as empty and have no pieces; characters without a piece become byte pieces; U+2581 in a text
 is the model's space and comes back as one; rows that repeat a doc_id are encoded on their own; an empty table gives an empty
@@ -19,9 +20,10 @@ result; other columns are not looked at.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -35,7 +37,7 @@ from evalgate.llm.common import long_rows
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 16_384
 SPACE = "▁"
-#: Words, and pairs of pieces, that a worker remembers; words in two generations.
+#: Words, parts of words, and pairs of pieces, that a worker remembers; words and parts in two generations.
 REMEMBERED = 200_000
 CUTS = "row long, doc_id long, chunk int, chunks int, before string, body string, after string"
 State = tuple[int, str]
@@ -71,6 +73,10 @@ class Vocabulary:
         self.turn = re.compile(f"[^{SPACE}](?={SPACE})").search
         self.fits = lru_cache(maxsize=REMEMBERED)(self._fits)
         self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
+        #: Neighbouring characters that some piece holds.
+        self.inside = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         self.good = self.good or frozenset(p for p in self.rank if self.merged(p) == [p])
         self.number = {p: self.id[p] for p in self.good} | {p: i for p, i in self.id.items() if len(p) == 1}
         self.pairs: dict[int, bool] = {}
@@ -185,7 +191,7 @@ class Vocabulary:
     def word(self, text: str) -> bytes:
         """Ids of a stretch without a space after its first character; the latest words are remembered."""
         if (ids := self.older.get(text)) is None:
-            ids = self.searched(text) if text else b""
+            ids = self.by_parts(text) if text else b""
         if len(text) <= 32:
             if len(self.words) >= REMEMBERED:
                 self.older = dict(self.words)
@@ -193,6 +199,26 @@ class Vocabulary:
             self.words[text] = ids
         return ids
 
+    def by_parts(self, text: str) -> bytes:
+        """Ids of a word from its parts, which end where no piece holds both neighbouring characters."""
+        inside, get = self.inside, self.parts.get
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inside]
+        if not cuts:
+            return get(text) or self.part(text)
+        parts = [text[lo:hi] for lo, hi in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        return b"".join([get(p) or self.part(p) for p in parts])
+
+    def part(self, text: str) -> bytes:
+        """Ids of a part of a word; the latest parts are remembered."""
+        if (ids := self.older_parts.get(text)) is None:
+            ids = self.searched(text)
+        if len(text) <= 32:
+            if len(self.parts) >= REMEMBERED:
+                self.older_parts = dict(self.parts)
+                self.parts.clear()
+            self.parts[text] = ids
+        return ids
+
     def packed(self, found: list[str]) -> bytes:
         """Ids of pieces; a character that is none becomes byte pieces."""
         get, out = self.id.get, array("i")
@@ -360,6 +386,12 @@ def _arrays(lists: pa.ListArray) -> Iterator[np.ndarray]:
 
 def encoded(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, ids) of every row."""
+    return _encoded(docs, model, chunk, lambda book, doc, found: [doc, _list(found)], "doc_id long, ids array<int>")
+
+
+def _encoded(docs: DataFrame, model: str, chunk: int, told: Callable[[Vocabulary, pa.Array, list[np.ndarray]], list[pa.Array]], columns: str) -> DataFrame:
+    """What `told` makes of doc_ids and their ids, in the same pass that has encoded them."""
+    names = [c.split()[0] for c in columns.split(", ")]
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary.load(model))
     reach = shared.value.longest
@@ -370,7 +402,7 @@ def encoded(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFram
         book = shared.value
         for batch in batches:
             found = [book.with_runs(book.encode_whole(normal(t))) for t in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(1), _list(found)], names=["doc_id", "ids"])
+            yield pa.record_batch(told(book, batch.column(1), found), names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -408,14 +440,14 @@ def encoded(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFram
         book = shared.value
         for batch in batches:
             found = [book.with_runs(ids.tobytes()) for ids in _arrays(batch.column(1))]
-            yield pa.record_batch([batch.column(0), _list(found)], names=["doc_id", "ids"])
+            yield pa.record_batch(told(book, batch.column(0), found), names=names)
 
-    chunks = rows.filter(long).mapInArrow(cut, CUTS).repartition("row", "chunk")
+    chunks = rows.filter(long).mapInArrow(cut, CUTS).filter("row IS NOT NULL AND chunk IS NOT NULL").repartition("row", "chunk")
     states = chunks.mapInArrow(matrices, "row long, chunk int, matrix array<string>").groupBy("row").applyInArrow(scanned, "row long, chunk int, between string")
     parts = chunks.join(states, ["row", "chunk"]).mapInArrow(traced, "row long, doc_id long, chunk int, ids array<int>")
     joined = parts.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-    giant = joined.select("doc_id", F.flatten("parts.ids").alias("ids")).mapInArrow(run_merged, "doc_id long, ids array<int>")
-    return rows.filter(~long).mapInArrow(whole, "doc_id long, ids array<int>").union(giant)
+    giant = joined.select("doc_id", F.flatten("parts.ids").alias("ids")).mapInArrow(run_merged, columns)
+    return rows.filter(~long).mapInArrow(whole, columns).union(giant)
 
 
 _CUT_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
@@ -444,5 +476,9 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
 def tokenized(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids and decoded_sha256, the hash of the text that the ids decode to."""
-    back = decoded(encoded(docs, model, chunk), model)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("text"), 256).alias("decoded_sha256"))
+
+    def told(book: Vocabulary, doc: pa.Array, found: list[np.ndarray]) -> list[pa.Array]:
+        hashes = [hashlib.sha256(book.decode(ids.tolist()).encode()).hexdigest() for ids in found]
+        return [doc, pa.array([len(ids) for ids in found], pa.int64()), _list(found), pa.array(hashes, pa.string())]
+
+    return _encoded(docs, model, chunk, told, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")

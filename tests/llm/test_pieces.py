@@ -57,3 +57,20 @@ def test_odd_rows_empty_and_clashing_columns(spark, library):
     assert got == want(library, rows)
     assert rows_of(pieces.tokenized(docs.selectExpr("*", "1 AS row", "2 AS ids", "3 AS chunk"), chunk=300)) == got
     assert pieces.tokenized(docs.limit(0)).count() == 0
+
+
+def test_new_words_are_searched_by_their_new_parts(book, library, monkeypatch):
+    fresh, searched = pieces.Vocabulary(*book.__getstate__()), []
+    monkeypatch.setattr(fresh, "searched", lambda text: searched.append(text) or book.searched(text))
+    text = "Wörterbuch Wörterbuch. Wörterbuch, (Wörterbuch) Wörterbuch!? xWörterbuch§Wörterbuch, 名Wörterbuch"
+    assert fresh.with_runs(fresh.encode_whole(pieces.normal(text))).tolist() == library.encode(text)
+    assert searched.count("örterbuch") == 1 and len(set(searched)) == len(searched)
+    # every two neighbours are either inside some piece or a place that no merge crosses
+    for word in ("§.", "Wö,rter", "a!b?c", "«Wort».", "ab\u0301c", "x\u200by", "€5,00", "名前a"):
+        assert fresh.by_parts("▁" + word) == book.searched("▁" + word)
+
+
+def test_texts_are_encoded_and_decoded_in_one_pass(spark):
+    docs = spark.createDataFrame([(1, "a short text"), (2, "a long one " * 40)], "doc_id long, text string")
+    plan = pieces.tokenized(docs, chunk=100)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")
