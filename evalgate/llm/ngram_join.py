@@ -12,7 +12,9 @@ Every cell has a tree: its members in order of component and size are the leaves
 the OR of its members' token bitmaps with ranges of their sizes. The traversal goes down from pairs of nodes to pairs of children
 and drops a pair as soon as its largest possible overlap (bits in common plus the tokens without a bit of their own) or its
 sizes are too small, or when all members of both are known to be in one component. For that, hot cells first link their members to
-the member with the most copies. Surviving pairs of leaves are verified by the exact sets, once each.
+the member with the most copies. Surviving pairs of leaves are verified by the exact sets, at most once each: first every node
+with the partner that is in the most pairs, then the pairs whose ends are still in different components. Before whole sets, the
+low 16 bits of their tokens tell pairs that cannot link: equal tokens have equal bits.
 
 No group is one task: tokens that are frequent in a batch are flagged hot before the shuffle and don't go to their bucket; places
 come from a range partitioning; pairs of nodes are rows; sets are looked up in salted form.
@@ -221,6 +223,51 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def nearest(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), one for each node: that with the partner which is in the most pairs."""
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    degrees = ends.groupBy(F.col("node").alias("other")).agg(F.count("*").alias("degree"))
+    most = salted_lookup(ends, "other", "node", degrees).groupBy("node").agg(F.max(F.struct("degree", "other")).alias("most"))
+    return most.select(F.least("node", "most.other").alias("a"), F.greatest("node", "most.other").alias("b")).distinct()
+
+
+def links_of(pairs: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links `stars` and as many of the pairs (a, b), written once, as join all nodes that links join.
+
+    Whole sets go only with one pair for each node and with pairs whose ends these links leave apart.
+    """
+    chosen = written(nearest(pairs))
+    links = written(stars.unionByName(linked(likely(chosen, sets, percent), sets, percent)))
+    ends = written(pairs.join(chosen, ["a", "b"], "left_anti"))
+    nodes = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()
+    labels = written(components(nodes, links))
+    of = lambda node, name: labels.select(F.col("node").alias(node), F.col("label").alias(name))
+    apart = salted_lookup(salted_lookup(ends, "a", "b", of("a", "x")), "b", "a", of("b", "y")).filter("x <> y").select("a", "b")
+    return written(links.unionByName(linked(likely(written(apart), sets, percent), sets, percent)))
+
+
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), written once, without those that the low bits of their tokens rule out; no link is lost."""
+
+    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.frombuffer(s, dtype=np.uint64).astype(np.uint16).tobytes() for s in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(bits, pa.binary())], names=["node", "low"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(*[[np.frombuffer(v, dtype=np.uint16) for v in batch.column(c).to_pylist()] for c in (2, 3)], strict=True):
+                most = min(int(np.isin(x, y).sum()), int(np.isin(y, x).sum()))
+                keep.append(100 * most >= percent * (len(x) + len(y) - most))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    lows = sets.select("node", "set").mapInArrow(low, "node long, low binary")
+    of = lambda node, name: lows.select(F.col("node").alias(node), F.col("low").alias(name))
+    both = salted_lookup(salted_lookup(pairs, "a", "b", of("a", "x")), "b", "a", of("b", "y"))
+    return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+
+
 def possible(x: Column, y: Column, percent: int) -> Column:
     """Whether a member of one tree node may link with one of the other, not being known to be connected."""
     common = F.aggregate(F.zip_with(x["sig"], y["sig"], lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda s, c: s + c)
@@ -299,7 +346,7 @@ def joined(docs: DataFrame, width: int = 3, percent: int = PERCENT) -> DataFrame
     stars = written(_stars(known, sets, percent))
     labels = components(linkable.select("node"), stars).withColumnRenamed("label", "comp")
     members = known.join(labels, "node").join(sets.drop("set"), "node").select("cell", "node", "n", "slack", "sig", "comp")
-    links = stars.unionByName(linked(written(candidates(written(members), percent)), sets, percent))
+    links = links_of(written(candidates(written(members), percent)), stars, sets, percent)
     graph = checkpointed(components(linkable.select("node"), links).join(linkable.select("node", "key", "least"), "node"))
     smallest = graph.groupBy("label").agg(F.min("least").alias("component"))
     by_key = salted_lookup(graph.select("key", "label"), "label", "key", smallest).select("key", "component")

@@ -115,3 +115,27 @@ def test_sizes():
     for n in range(1, 400):
         assert ngram_join.prefix_size(n) == n - -(-90 * n // 100) + 1
         assert 1 <= ngram_join.least_shared(n) <= ngram_join.pool_size(n) <= n
+
+
+def test_whole_sets_go_only_with_pairs_that_may_matter(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    fresh = lambda n: rng.integers(0, 2**64 - 1, n, dtype=np.uint64)
+    bases = [fresh(200), fresh(200)]
+    # of each base: copies within the threshold of one another, and copies that are near it but link with nothing
+    sets = [np.unique(np.concatenate([base[changed:], fresh(changed)])) for base in bases for changed in [4] * 8 + [30, 31, 32, 33, 34, 35]]
+    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, set binary")
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets))]
+    common = {p: len(np.intersect1d(sets[p[0]], sets[p[1]])) for p in pairs}
+    links = {(a, b) for (a, b), c in common.items() if 100 * c >= 90 * (len(sets[a]) + len(sets[b]) - c)}
+    frame = spark.createDataFrame(pairs, "a long, b long")
+    kept = {(r.a, r.b) for r in ngram_join.likely(frame, table, 90).collect()}
+    assert links <= kept and len(kept - links) < 5
+    # a tree leaves over the links, and of the others those with the first copy of each base
+    left = sorted(links | {(a, b) for a, b in pairs if a % 14 == 0 and b < a + 14})
+    frame = spark.createDataFrame(left, "a long, b long")
+    met, linked = [], ngram_join.linked
+    monkeypatch.setattr(ngram_join, "linked", lambda p, s, percent: met.append(p.count()) or linked(p, s, percent))
+    found = {(r.a, r.b) for r in ngram_join.links_of(frame, frame.limit(0), table, 90).collect()}
+    assert found <= links and sum(met) < len(links)
+    components = lambda edges: {(r.node, r.label) for r in ngram_join.components(table.select("node"), spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
+    assert components(found) == components(links)
