@@ -6,15 +6,19 @@ tokens, they share least_shared(n) = pool - p + 1 or more. A node that shares fe
 
 A token in the pools of 2 to HOT nodes is a cell. A more frequent one is hot: it is a cell only for heavy nodes, of which that
 many pool tokens are hot, and only where it is among the first p. Two nodes that link meet in a cell: by a rare token if one of
-them is light, by one of the first p tokens if both are heavy. Cells of the same members are one cell.
+them is light, by one of the first p tokens if both are heavy. Cells of the same members are one cell, which weighs as many tokens as they were.
+
+A light node keeps only some of its cells of rare tokens. It shares as many rare tokens with a partner as it must share tokens and
+has no hot ones for. In one order of all cells, the heaviest first, the first cell that two linked nodes share has all they share
+at or behind it; so a node leaves out the cells at the end that weigh less than that together.
 
 Every cell has a tree: its members in order of component and size are the leaves, `FANOUT` neighbours share a node, and a node holds
 the OR of its members' token bitmaps with ranges of their sizes. The traversal goes down from pairs of nodes to pairs of children
 and drops a pair as soon as its largest possible overlap (bits in common plus the tokens without a bit of their own) or its
 sizes are too small, or when all members of both are known to be in one component. For that, hot cells first link their members to
 the member with the most copies. Surviving pairs of leaves are verified by the exact sets, at most once each: first every node
-with the partner that is in the most pairs, then the pairs whose ends are still in different components. Before whole sets, the
-low 16 bits of their tokens tell pairs that cannot link: equal tokens have equal bits.
+with the partner that is in the most pairs, then the pairs whose ends are still in different components. Before whole sets, counts
+of their tokens in bins (a byte for 2 to 4 tokens) tell pairs that cannot link: equal tokens are in the same bin.
 
 No group is one task: tokens that are frequent in a batch are flagged hot before the shuffle and don't go to their bucket; places
 come from a range partitioning; pairs of nodes are rows; sets are looked up in salted form.
@@ -33,7 +37,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalgate.llm.common import LOWER, checkpointed, components, long_rows, placed, salted_lookup, salt_of, written
@@ -47,6 +51,9 @@ BUCKET = 1_000_000
 DEALT = 1_000_000
 OFTEN = 64
 SPREAD = 4096
+#: Fewest bins of a set, and the count at which a bin is full and tells nothing.
+BINS = 32
+FULL = 255
 NO_ID = -(2**63)
 SEED = 42
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -234,36 +241,50 @@ def nearest(pairs: DataFrame) -> DataFrame:
 def links_of(pairs: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links `stars` and as many of the pairs (a, b), written once, as join all nodes that links join.
 
-    Whole sets go only with one pair for each node and with pairs whose ends these links leave apart.
+    Whole sets go only with likely pairs: one for each node, and those whose ends these links leave apart.
     """
-    chosen = written(nearest(pairs))
-    links = written(stars.unionByName(linked(likely(chosen, sets, percent), sets, percent)))
-    ends = written(pairs.join(chosen, ["a", "b"], "left_anti"))
+    fit = likely(pairs, sets, percent)
+    chosen = written(nearest(fit))
+    links = written(stars.unionByName(linked(chosen, sets, percent)))
+    ends = written(fit.join(chosen, ["a", "b"], "left_anti"))
     nodes = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()
     labels = written(components(nodes, links))
     of = lambda node, name: labels.select(F.col("node").alias(node), F.col("label").alias(name))
     apart = salted_lookup(salted_lookup(ends, "a", "b", of("a", "x")), "b", "a", of("b", "y")).filter("x <> y").select("a", "b")
-    return written(links.unionByName(linked(likely(written(apart), sets, percent), sets, percent)))
+    return written(links.unionByName(linked(written(apart), sets, percent)))
+
+
+def binned(tokens: np.ndarray) -> np.ndarray:
+    """How many tokens fall in each bin, a byte each, FULL at most; a power of two of bins, a quarter to a half of the tokens."""
+    bins = max(BINS, 1 << max(0, (len(tokens) - 1).bit_length() - 2))
+    return np.minimum(np.bincount((tokens & np.uint64(bins - 1)).astype(np.int64), minlength=bins), FULL).astype(np.uint8)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether sets with these bins can be as similar as asked: they have no more tokens in common than the bins."""
+    if x.max() == FULL or y.max() == FULL:
+        return True
+    bins = min(len(x), len(y))
+    x, y = (v.reshape(-1, bins).sum(axis=0, dtype=np.int64) for v in (x, y))
+    most = int(np.minimum(x, y).sum())
+    return 100 * most >= percent * (int(x.sum()) + int(y.sum()) - most)
 
 
 def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b), written once, without those that the low bits of their tokens rule out; no link is lost."""
+    """The pairs (a, b), written once, without those that the bins of their tokens rule out; no link is lost."""
 
-    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [np.frombuffer(s, dtype=np.uint64).astype(np.uint16).tobytes() for s in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(bits, pa.binary())], names=["node", "low"])
+            bins = [binned(np.frombuffer(s, dtype=np.uint64)).tobytes() for s in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(bins, pa.binary())], names=["node", "bins"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(*[[np.frombuffer(v, dtype=np.uint16) for v in batch.column(c).to_pylist()] for c in (2, 3)], strict=True):
-                most = min(int(np.isin(x, y).sum()), int(np.isin(y, x).sum()))
-                keep.append(100 * most >= percent * (len(x) + len(y) - most))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            x, y = ([np.frombuffer(v, dtype=np.uint8) for v in batch.column(c).to_pylist()] for c in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array([may_link(v, w, percent) for v, w in zip(x, y, strict=True)], pa.bool_()))
 
-    lows = sets.select("node", "set").mapInArrow(low, "node long, low binary")
-    of = lambda node, name: lows.select(F.col("node").alias(node), F.col("low").alias(name))
+    counts = written(sets.select("node", "set").mapInArrow(count, "node long, bins binary"))
+    of = lambda node, name: counts.select(F.col("node").alias(node), F.col("bins").alias(name))
     both = salted_lookup(salted_lookup(pairs, "a", "b", of("a", "x")), "b", "a", of("b", "y"))
     return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
@@ -341,11 +362,14 @@ def joined(docs: DataFrame, width: int = 3, percent: int = PERCENT) -> DataFrame
     tokens = nodes.agg(F.sum(F.size("pool")).alias("n")).first()["n"] or 0
     met = written(meetings(token_cells(dealt(nodes, max(16, tokens // BUCKET), percent))))
     linkable = _linkable(met, nodes, percent)
-    sets = written(whole_sets(docs, linkable.select("node", "key", "least"), width))
-    known = met.join(linkable.select("node", "copies", "heavy"), "node").filter("NOT hot OR (heavy AND first)")
+    known = written(memberships(met.join(linkable.select("node", "copies", "least_rare"), "node")))
+    wanted = linkable.join(known.select("node").distinct(), "node", "left_semi")
+    sets = written(whole_sets(docs, wanted.select("node", "key", "least"), width))
+    # apart from the sets, they are small enough not to move the memberships for a while
+    prints = written(sets.drop("set"))
     stars = written(_stars(known, sets, percent))
-    labels = components(linkable.select("node"), stars).withColumnRenamed("label", "comp")
-    members = known.join(labels, "node").join(sets.drop("set"), "node").select("cell", "node", "n", "slack", "sig", "comp")
+    labels = components(wanted.select("node"), stars).withColumnRenamed("label", "comp")
+    members = known.join(prints.join(labels, "node"), "node").select("cell", "node", "n", "slack", "sig", "comp")
     links = links_of(written(candidates(written(members), percent)), stars, sets, percent)
     graph = checkpointed(components(linkable.select("node"), links).join(linkable.select("node", "key", "least"), "node"))
     smallest = graph.groupBy("label").agg(F.min("least").alias("component"))
@@ -358,13 +382,30 @@ def joined(docs: DataFrame, width: int = 3, percent: int = PERCENT) -> DataFrame
     return every.select(told("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), told("component").alias("component_id"))
 
 
+def memberships(met: DataFrame) -> DataFrame:
+    """(cell, node, hot, copies): the cells in which two linked nodes meet, without rare ones that a node needs not be in.
+
+    `met` are (cell, node, hot, times, first, copies, least_rare) of linkable nodes; least_rare is the weight of cells of rare
+    tokens that a node shares with any set that it links with, 0 or less for heavy nodes.
+    """
+
+    def shared(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("sharers", F.count("*").over(Window.partitionBy("cell"))).filter("sharers > 1").drop("sharers")
+
+    # the lightest first, so that the sum is the weight from the end of the order up to and with the cell
+    behind = Window.partitionBy("node").orderBy("times", "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rare = shared(met.filter("NOT hot")).withColumn("weight", F.sum("times").over(behind)).filter("weight >= least_rare")
+    hot = met.filter("hot AND first AND least_rare <= 0")
+    return shared(rare).select("cell", "node", "hot", "copies").unionByName(hot.select("cell", "node", "hot", "copies"))
+
+
 def _linkable(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, key, least, n, copies, heavy) of the nodes that share enough pool tokens to link with anyone."""
+    """(node, key, least, n, copies, least_rare) of the nodes that share enough pool tokens to link with anyone."""
     shared = met.groupBy("node").agg(F.sum("times").alias("shared"), F.sum(F.when(F.col("hot"), 1).otherwise(0)).alias("hot"))
     of = lambda n: f"least({n}, 2 * ({n} - ({percent} * {n} + 99) div 100 + 1)) - ({n} - ({percent} * {n} + 99) div 100 + 1) + 1"
     need = f"least({of('n')}, {of(f'(({percent} * n + 99) div 100)')})"
     found = nodes.drop("pool").join(shared, "node").withColumn("need", F.expr(need)).filter("shared >= need")
-    return written(found.select("node", "key", "least", "n", "copies", (F.col("hot") >= F.col("need")).alias("heavy")))
+    return written(found.select("node", "key", "least", "n", "copies", (F.col("need") - F.col("hot")).alias("least_rare")))
 
 
 def _stars(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -372,4 +413,4 @@ def _stars(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     hot = known.filter("hot").select("cell", "node", "copies")
     centres = hot.groupBy("cell").agg(F.max(F.struct("copies", "node")).alias("most")).select("cell", F.col("most.node").alias("centre"))
     pairs = salted_lookup(hot.select("cell", "node"), "cell", "node", centres).filter("centre <> node")
-    return linked(written(pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()), sets, percent)
+    return linked(likely(written(pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()), sets, percent), sets, percent)

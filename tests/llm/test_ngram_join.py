@@ -139,3 +139,49 @@ def test_whole_sets_go_only_with_pairs_that_may_matter(spark, monkeypatch):
     assert found <= links and sum(met) < len(links)
     components = lambda edges: {(r.node, r.label) for r in ngram_join.components(table.select("node"), spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
     assert components(found) == components(links)
+
+
+def test_nodes_are_in_few_cells_and_linked_ones_still_meet(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(30):
+        first = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        rows += [(len(rows) + k, edited(rng, first, k)) for k in range(7)]
+    met, candidates = [], ngram_join.candidates
+    monkeypatch.setattr(ngram_join, "candidates", lambda members, percent: met.append(members.count()) or candidates(members, percent))
+    assert rows_of(ngram_join.joined(frame(spark, rows))) == brute(rows)
+    assert sum(met) < 5 * len(rows)  # 1390 when every shared pool token was a cell
+
+
+def test_memberships_leave_every_pair_that_may_link_a_cell(spark):
+    rng = random.Random(4)
+    cells = {c: (rng.choice((1, 1, 2, 9)), rng.sample(range(40), rng.randrange(2, 9))) for c in range(120)}
+    weight = {n: sum(times for times, nodes in cells.values() if n in nodes) for n in range(40)}
+    least = {n: rng.choice((0, 1, weight[n] // 4, weight[n] // 2)) for n in range(40)}
+    rows = [(c, n, False, times, True, 1, least[n]) for c, (times, nodes) in cells.items() for n in nodes]
+    rows += [(1000, n, True, 1, n % 2 == 0, 1, least[n]) for n in range(40)] + [(2000, 7, False, 50, True, 1, least[7])]
+    met = spark.createDataFrame(rows, "cell long, node long, hot boolean, times long, first boolean, copies long, least_rare long")
+    kept = [(r.cell, r.node, r.hot) for r in ngram_join.memberships(met).collect()]
+    together = lambda a, b: [c for c, (_, nodes) in cells.items() if a in nodes and b in nodes]
+    for a, b in [(a, b) for a in range(40) for b in range(a) if together(a, b)]:
+        if sum(cells[c][0] for c in together(a, b)) >= max(least[a], least[b]):
+            assert any((c, a, False) in kept and (c, b, False) in kept for c in together(a, b))
+    assert {n for _, n, hot in kept if hot} == {n for n in range(40) if n % 2 == 0 and least[n] <= 0}
+    assert len(kept) == len(set(kept)) < len(rows) and (2000, 7, False) not in kept
+
+
+def test_bins_rule_out_no_link_and_are_small():
+    rng = np.random.default_rng(3)
+    fresh = lambda n: rng.integers(0, 2**64 - 1, n, dtype=np.uint64)
+    for n in (1, 2, 9, 30, 125, 128, 131, 260, 1000, 4090):
+        for more in (0, 1, n // 20, n // 10):
+            base = np.unique(fresh(n))
+            for other in (np.concatenate([base, fresh(more)]), np.concatenate([base[more:], fresh(more)])):
+                both = len(np.intersect1d(base, other))
+                if 100 * both >= 90 * (len(base) + len(other) - both):
+                    assert ngram_join.may_link(ngram_join.binned(base), ngram_join.binned(other), 90)
+        assert ngram_join.binned(base).nbytes <= max(ngram_join.BINS, n / 2)
+        assert n < 100 or not ngram_join.may_link(ngram_join.binned(base), ngram_join.binned(np.concatenate([base[n // 4 :], fresh(n // 4)])), 90)
+    # full bins tell nothing: two sets of 10,000 tokens in one bin each are not ruled out
+    crowded = np.arange(10_000, dtype=np.uint64) << np.uint64(32)
+    assert ngram_join.may_link(ngram_join.binned(crowded), ngram_join.binned(crowded[:9_500]), 90)
