@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from evalgate.functions.columns import bounded_join, falsy_zero, first_reason, floored_ratio, grouped, is_few, null_safe_join, number_of, reasons
 from evalgate.functions.tables import HELD_OUT_MODES, PLANNER_SECTION, SEARCH_DEFAULTS
 from evalgate.operators.rules import cost_rank, is_robust, lookup, mutation_family, scope_priority, validation_priority
-from evalgate.session import checkpointed
+from evalgate.session import checkpointed, written
 
 HARD_SEGMENTS = ["20230530172803", "20230522181603"]
 
@@ -278,7 +278,7 @@ def failure_classes(runs: DataFrame) -> Column:
 
 def failure_context(runs: DataFrame, by: list[str], n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Failure counts, mean quality per family and changed paths of the newest n gated runs."""
-    last = top_rows(runs, by, [F.col("ts").desc(), F.col("run_id").desc()], n)
+    last = checkpointed(top_rows(runs, by, [F.col("ts").desc(), F.col("run_id").desc()], n))
     codes = last.select(*by, F.explode(failure_classes(last)).alias("failure")).groupBy(*by, "failure").agg(F.count(F.lit(1)).alias("runs"))
     scored = last.withColumn("_q", quality_score(last, "planner")).filter("changed_path <> ''")
     fam = scored.withColumn("family", mutation_family(F.col("changed_path"))).groupBy(*by, "family").agg(F.avg("_q").alias("mean_quality"))
@@ -402,9 +402,13 @@ def _leaf(path: Column | str) -> Column:
 
 def canonical(text: Column, path: Column | str) -> Column:
     """Text of a leaf as the search signature holds it; depth above 3 counts as 3."""
-    number = F.round(number_of(text), 10)
-    deep = (F.lit(path) if isinstance(path, str) else path) == "model.depth"
-    return F.coalesce(F.when(deep & (number > 3), "3.0"), number.cast("string"), text)
+    return _canonical(text, number_of(text), F.lit(path) if isinstance(path, str) else path)
+
+
+def _canonical(text: Column, number: Column, path: Column) -> Column:
+    """``canonical`` of a text whose number is known."""
+    number = F.round(number, 10)
+    return F.coalesce(F.when((path == "model.depth") & (number > 3), "3.0"), number.cast("string"), text)
 
 
 def searched_leaves() -> Column:
@@ -416,19 +420,19 @@ def _signature(texts: Column) -> Column:
     return F.sha2(F.array_join(texts, "|"), 256)
 
 
-def changed_signature(path: Column, proposed: Column, sets: Column, fills: Column) -> Column:
+def changed_signature(path: Column, new: Column, sets: Column, fills: Column) -> Column:
     """Search signature of the configuration in ``leaves`` after a change; ``searched`` holds its ``searched_leaves``.
 
-    A change of one path replaces one text; only changes that set or fill others look at every path.
+    ``new`` and the values of ``sets`` and ``fills`` are canonical texts. A change of one path replaces one text; only changes that set
+    or fill others look at every path.
     """
-    names, texts, new = F.array(*[F.lit(p) for p in SEARCH_DEFAULTS]), F.col("searched"), canonical(proposed, path)
+    names, texts = F.array(*[F.lit(p) for p in SEARCH_DEFAULTS]), F.col("searched")
     place, n = F.array_position(names, path).cast("int"), len(SEARCH_DEFAULTS)
     one = F.when(place == 0, texts).otherwise(F.concat(F.slice(texts, 1, place - 1), F.array(new), F.slice(texts, place + 1, n)))
 
     def held(p: Column, i: Column) -> Column:
         old = F.get(texts, i)
-        return F.when(p == path, new).otherwise(F.coalesce(
-            canonical(F.try_element_at(sets, p), p), F.when(_leaf(p).isNotNull(), old), canonical(F.try_element_at(fills, p), p), old))
+        return F.when(p == path, new).otherwise(F.coalesce(F.try_element_at(sets, p), F.when(_leaf(p).isNotNull(), old), F.try_element_at(fills, p), old))
 
     return _signature(F.when((F.size(sets) == 0) & (F.size(fills) == 0), one).otherwise(F.transform(names, held)))
 
@@ -439,44 +443,123 @@ def base_documents(bases: DataFrame, by: list[str]) -> DataFrame:
     return bases.groupBy(*by, "base_id", "model_name").agg(F.map_concat(found, F.create_map(F.lit("model.name"), "model_name")).alias("leaves"))
 
 
+def wide_documents(bases: DataFrame, by: list[str], leaves: dict[str, Column]) -> DataFrame:
+    """``base_documents`` of bases that hold their leaves as columns: nothing is gathered."""
+    pairs = [x for path, value in leaves.items() for x in (F.lit(path), value.cast("string"))]
+    return bases.select(*by, "base_id", "model_name", F.create_map(*pairs, F.lit("model.name"), F.col("model_name")).alias("leaves"))
+
+
+def _by_configuration(docs: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
+    """Aggregates per configuration of a group, with the configuration and its hash.
+
+    A configuration counts as its text; two texts of one configuration are only worked out twice.
+    """
+    each = docs.groupBy(*keys, _configuration().alias("_text")).agg(*aggregates)
+    held = F.from_json("_text", "model_name string, leaves map<string,string>")
+    rest = [c for c in each.columns if c != "_text"]
+    return each.select(*rest, F.sha2("_text", 256).alias("config"), held.alias("_held")).select(*rest, "config", "_held.*")
+
+
+def _configuration() -> Column:
+    return F.to_json(F.struct("model_name", "leaves"))
+
+
+def configurations(docs: DataFrame, by: list[str]) -> DataFrame:
+    """One row per configuration of a group with the number of bases that hold it, written once; ``docs`` may be ``leading_bases``."""
+    return written(_by_configuration(docs, by, (F.sum("bases") if "bases" in docs.columns else F.count(F.lit(1))).alias("bases")))
+
+
+def leading_bases(docs: DataFrame, by: list[str], like: list[str]) -> DataFrame:
+    """Of the bases of a group with one configuration and equal columns ``like`` the one with the lowest id, and how many they are.
+
+    Written once. The candidates of the others have the same signatures and scores and come after its own, so a selection never takes them.
+    """
+    return written(_by_configuration(docs, [*by, *like], F.min("base_id").alias("base_id"), F.count(F.lit(1)).alias("bases")))
+
+
 def search_signatures(docs: DataFrame, by: list[str]) -> DataFrame:
-    """Signatures of the configurations as they are, for the novelty test."""
+    """Signatures of the configurations as they are (a row per base or per configuration), for the novelty test."""
     return docs.select(*by, _signature(searched_leaves()).alias("candidate_signature")).distinct()
 
 
-def expand_candidates(docs: DataFrame, rules: DataFrame, by: list[str], tested: DataFrame) -> DataFrame:
+def expand_candidates(docs: DataFrame, rules: DataFrame, by: list[str], tested: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     """One change per candidate of every base (``base_documents``), with the signature of the changed configuration.
 
-    Rules meet bases by the kind of model, so that an absent path counts with its default. No-ops, repeated changes
-    and changes whose signature the group has tested are left out.
+    No-ops, repeated changes and changes whose signature the group has tested are left out. Candidates depend on the configuration
+    alone: they are worked out once per configuration (``configs``: the ``configurations`` of these or more bases) and then meet the
+    bases that hold it; where few bases share one, each base is worked on by itself.
+    """
+    configs = configurations(docs, by) if configs is None else configs
+    known = checkpointed(tested.select(*by, "candidate_signature").distinct())
+    few = is_few(known)
+
+    def novel(out: DataFrame) -> DataFrame:
+        return out.join(F.broadcast(known) if few else known, [*by, "candidate_signature"], "left_anti")
+
+    size = configs.agg(F.countDistinct("config").alias("n"), F.sum("bases").alias("bases")).first()
+    names = [*by, "base_id", "model_name", "ordinal", "model", "path", "value", "proposed", "candidate_signature"]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if size["n"] * 2 > (size["bases"] or 0):
+        return novel(_changes(docs.repartition(parts, *by, "base_id"), rules, [*by, "base_id"])).select(*names)
+    once = configs.select("config", "model_name", "leaves").repartition(parts, "config").dropDuplicates(["config"])
+    of_groups = novel(_changes(once, rules, ["config"]).join(configs.select(*by, "config"), "config"))
+    held_by = docs.select(*by, "base_id", F.col("config") if "config" in docs.columns else F.sha2(_configuration(), 256).alias("config"))
+    # sizes of both sides are far from what a plan estimates; none is sent whole
+    return null_safe_join(held_by.hint("merge"), of_groups, [*by, "config"]).select(*names)
+
+
+def worked_out(df: DataFrame, **columns: Column) -> DataFrame:
+    """The table with columns that later steps take as they are.
+
+    The optimiser copies an expression to all places that use it, filters above all, and code that grows so large is not compiled.
+    It does not look into a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _told(rules: DataFrame) -> DataFrame:
+    """The rules with the numbers and canonical texts of their own words."""
+    default = F.col("default")
+    return rules.withColumns({
+        "default_number": F.coalesce(number_of(default), F.when(F.lower(default) == "auto", 2.0)), "word_number": number_of(F.col("word")),
+        "holds_number": number_of(F.col("holds")), "set_texts": F.transform_values("sets", lambda k, v: canonical(v, k)),
+        "fill_texts": F.transform_values("fills", lambda k, v: canonical(v, k))})
+
+
+def _changes(docs: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
+    """Changes of each document by the rules, without no-ops and repeated ones.
+
+    Rules meet documents by the kind of model, so that an absent path counts with its default.
     """
     name = F.col("model_name")
     kinds = F.when(name.contains("torch"), F.array(F.lit("torch"))).when(name == "tiny_numpy_mlp", F.array(F.lit("numpy"), F.lit("mlp"))).otherwise(F.array(F.lit("numpy")))
+    numbers = F.transform_values("leaves", lambda k, v: number_of(v))
     # the rules are a table of fixed size
-    each = docs.withColumn("searched", searched_leaves()).withColumn("model", F.explode(kinds)).join(F.broadcast(rules), "model")
-    each = each.withColumn("real", _leaf(F.col("path"))).withColumn("value", F.coalesce("real", "default"))
-    number, other, holds = _number(), _leaf(F.col("other")), F.col("holds")
-    met = (F.when(holds.isNull(), True).when(holds == "positive", number_of(other) > 0).when(holds == "absent", F.coalesce(other, F.lit("")).isin("", "null"))
-           .when(holds == "not 0.25", ~F.coalesce(number_of(other) == 0.25, F.lit(False))).otherwise(F.coalesce(number_of(other) == number_of(holds), other == holds)))
+    each = docs.withColumns({"searched": searched_leaves(), "numbers": numbers}).withColumn("model", F.explode(kinds)).join(F.broadcast(_told(rules)), "model")
+    real, real_number, other, holds, whole = _leaf(F.col("path")), F.try_element_at("numbers", F.col("path")), F.col("other"), F.col("holds"), F.col("digits") == 0
+    each = worked_out(each, real=real, real_number=real_number, other_text=_leaf(other), other_number=F.try_element_at("numbers", other), number=F.when(
+        real.isNull(), F.col("default_number")).otherwise(F.coalesce(real_number, F.when(F.lower(real) == "auto", 2.0))))
+    number, other, other_number = F.col("number"), F.col("other_text"), F.col("other_number")
+    met = (F.when(holds.isNull(), True).when(holds == "positive", other_number > 0).when(holds == "absent", F.coalesce(other, F.lit("")).isin("", "null"))
+           .when(holds == "not 0.25", ~F.coalesce(other_number == 0.25, F.lit(False))).otherwise(F.coalesce(other_number == F.col("holds_number"), other == holds)))
     guarded = F.coalesce(number >= F.col("guard_low"), F.col("guard_low").isNull()) & F.coalesce(number < F.col("guard_high"), F.col("guard_high").isNull())
-    whole = F.col("digits") == 0
     product = F.when(F.col("factor") == 0, 0.0).otherwise(F.when(whole, F.floor(number * F.col("factor"))).otherwise(number * F.col("factor")))
     moved = F.least(F.greatest(product + F.col("addend"), F.col("floor")), F.col("ceiling"))
-    text = F.when(whole, moved.cast("long").cast("string")).otherwise(
-        F.round(F.expr("CASE digits WHEN 4 THEN round(moved, 4) WHEN 5 THEN round(moved, 5) WHEN 6 THEN round(moved, 6) ELSE round(moved, 7) END"), 7).cast("string"))
-    flipped = F.when(F.lower("value") == "true", "false").otherwise("true")
-    out = each.filter(F.coalesce(met, F.lit(False)) & guarded).withColumn("moved", moved)
-    out = out.withColumn("proposed", F.when(F.col("word") == "toggle", flipped).otherwise(F.coalesce("word", text)))
-    same = F.coalesce(number_of(F.col("proposed")) == number_of(F.col("real")), F.col("proposed") == F.col("real"), F.lit(False))
+    out = worked_out(each.filter(F.coalesce(met, F.lit(False)) & guarded), moved=moved, long=F.when(whole, moved.cast("long")))
+    short = F.round(F.expr("CASE digits WHEN 4 THEN round(moved, 4) WHEN 5 THEN round(moved, 5) WHEN 6 THEN round(moved, 6) ELSE round(moved, 7) END"), 7)
+    out = worked_out(out, short=F.when(whole, F.col("long").cast("double")).otherwise(short))
+    flipped = F.when(F.lower(F.coalesce("real", "default")) == "true", "false").otherwise("true")
+    text = F.when(whole, F.col("long").cast("string")).otherwise(F.col("short").cast("string"))
+    out = worked_out(out, proposed=F.when(F.col("word") == "toggle", flipped).otherwise(F.coalesce("word", text)),
+                     proposed_number=F.when(F.col("word").isNotNull(), F.col("word_number")).otherwise(F.col("short")))
+    same = F.coalesce(F.col("proposed_number") == F.col("real_number"), F.col("proposed") == F.col("real"), F.lit(False))
     in_place = (F.size("sets") > 0) & F.col("word").isNotNull() & F.forall(F.map_entries("sets"), lambda e: F.coalesce(
-        number_of(_leaf(e["key"])) == number_of(e["value"]), F.lit(False)))
-    out = out.filter(F.col("proposed").isNotNull() & ~same & ~in_place)
-    out = out.select(*by, "base_id", "model_name", "ordinal", "model", "path", F.col("real").alias("value"), "proposed",
-                     changed_signature(F.col("path"), F.col("proposed"), F.col("sets"), F.col("fills")).alias("candidate_signature"))
-    # the keys include those that the documents are partitioned by, so the candidates of a base are not shuffled again
-    out = top_rows(out, [*by, "base_id", "model_name", "path", "proposed"], [F.col("ordinal")], 1, "_repeat").drop("_repeat")
-    known = checkpointed(tested.select(*by, "candidate_signature").distinct())
-    return out.join(F.broadcast(known) if is_few(known) else known, [*by, "candidate_signature"], "left_anti").select(*out.columns)
+        F.try_element_at("numbers", e["key"]) == number_of(e["value"]), F.lit(False)))
+    out = worked_out(out.filter(F.col("proposed").isNotNull() & ~same & ~in_place), new=_canonical(F.col("proposed"), F.col("proposed_number"), F.col("path")))
+    out = out.select(*keys, "model_name", "ordinal", "model", "path", F.col("real").alias("value"), "proposed",
+                     changed_signature(F.col("path"), F.col("new"), F.col("set_texts"), F.col("fill_texts")).alias("candidate_signature"))
+    # the keys include those that the documents are partitioned by, so the candidates of a document are not shuffled again
+    return top_rows(out, [*keys, "model_name", "path", "proposed"], [F.col("ordinal")], 1, "_repeat").drop("_repeat")
 
 
 # Relevance of a mutation family to a hard fold near prevalence.
@@ -531,6 +614,18 @@ def score_candidates(candidates: DataFrame, by: list[str], counts: DataFrame, fa
     return out.drop("_hard_ap", "_hard", "_cal", "_near", "_any", "_prior", "_dup")
 
 
+def score_by_place(candidates: DataFrame, by: list[str], groups: DataFrame, paths: DataFrame, tiers: list[str],
+                   counts: DataFrame, families: DataFrame, changed: DataFrame) -> DataFrame:
+    """``score_candidates`` of candidates whose paths and cost tiers are known beforehand.
+
+    A score depends on group, path and cost tier alone, so it is worked out once for each of them and looked up.
+    """
+    tier = F.explode(F.array(*[F.lit(t) for t in tiers]))
+    places = groups.select(*by).distinct().crossJoin(F.broadcast(paths.select("path").distinct())).withColumn("cost_tier", tier)
+    scores = checkpointed(score_candidates(places, by, counts, families, changed))
+    return bounded_join(candidates, scores, [*by, "path", "cost_tier"], "left")
+
+
 def select_proposals(scored: DataFrame, by: list[str], k: int, families: list[str] | None = None, signature: str = "candidate_signature") -> DataFrame:
     """Top k by (score, cost, ordinal); unique signatures, and one per family when families are required."""
     order = [F.col("score").desc(), cost_rank(F.col("cost_tier")), F.col("ordinal")]
