@@ -147,14 +147,14 @@ def cursor_batches(df: DataFrame, batch: int, seed: int, ids: list[str], epochs:
         "batch", F.floor(F.col("position") / batch).cast("int")).drop("_rank", "_rank_n", "_lap")
 
 
-def segment_groups(inputs: DataFrame, keys: list[str], sample_count: str) -> DataFrame:
+def segment_groups(inputs: DataFrame, keys: list[str], sample_count: str, arrival: list[str] | None = None) -> DataFrame:
     """Group index ranges of a combined set from its input list.
 
     ``inputs`` has one row per (keys, position) with ``segment`` and ``samples``; groups number
-    segments by first appearance. Sets whose counts disagree give no rows. Rows of one position are taken from the
-    smallest up, so reruns agree.
+    segments by first appearance. Sets whose counts disagree give no rows. Rows of one position are taken in the
+    order of the columns ``arrival``, from the smallest up without them, so reruns agree.
     """
-    order = W.partitionBy(*keys).orderBy("position", "samples", "segment")
+    order = W.partitionBy(*keys).orderBy("position", *(arrival or ["samples", "segment"]))
     rows = inputs.withColumn("first_index", F.coalesce(F.sum("samples").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.withColumns({"_total": F.sum("samples").over(W.partitionBy(*keys)), "_seen": F.min("position").over(W.partitionBy(*keys, "segment"))})
     rows = rows.withColumn("group_index", F.dense_rank().over(W.partitionBy(*keys).orderBy("_seen")) - 1)
